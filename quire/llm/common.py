@@ -17,6 +17,12 @@ _TO_LOWER = str.maketrans(_UPPER, _LOWER)
 _FIND_WORDS = re.compile(WORD).findall
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: at most 1000 rows go to Python at once, unless the session says otherwise."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
@@ -33,12 +39,14 @@ def scratch(spark: SparkSession, name: str) -> str:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage is cut, lost executors cost nothing done."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
