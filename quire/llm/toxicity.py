@@ -59,7 +59,7 @@ class Classifier:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 40, batch: int = 2048, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 150, batch: int = 2048, rate: float = 0.05, decay: float = 1e-4, seed: int = 7) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, with Adam and logistic loss."""
     rng = np.random.default_rng(seed)
     d = positive.shape[1]
