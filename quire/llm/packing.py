@@ -9,6 +9,8 @@ round, until one group is left. Groups hold a bounded number of pieces at any sc
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from functools import lru_cache, reduce
 
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TwoGenerationCache, materialise, table, words_of
+from quire.llm.common import materialise, table, words_of
 
 CAPACITY, GROUP_PIECES, FAN_IN = 2048, 4096, 32
 END_ID = b"\0\0\0\0"
@@ -25,23 +27,62 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space, with memoised words.
+    """Ids of a tokenizer that ignores case and drops white space, with memoised words.
 
-    ASCII white space always ends a token and composes with nothing, so the ids of a text are those
-    of its words, one after the other.
+    White space always ends a token and composes with nothing, so the ids of a text are those of its
+    words, one after the other. A word new to the memo is looked up in lower case (if all ASCII) and
+    without a comma or full stop after a letter or digit, which is a token by itself; what is then still
+    new in a batch is encoded together. A full memo starts anew.
     """
 
-    def __init__(self, path: str, half: int = 200_000):
+    def __init__(self, path: str, most: int = 1_000_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = TwoGenerationCache(self._ids, half)
-
-    def _ids(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        return b"".join(map(self.cache.__getitem__, words_of(text)))
+        self.known: dict[str, bytes] = {}
+        self.most = most
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """Split at white space; of what Python calls so, the four separator controls are none to the tokenizer."""
+        return words_of(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+
+    @staticmethod
+    def parts(word: str) -> tuple[str, str]:
+        """What of a word is encoded, and the comma or full stop after it."""
+        if not word.isascii():
+            return word, ""
+        word = word.lower()
+        return (word[:-1], word[-1]) if word[-1] in ",." and word[-2:-1].isalnum() else (word, "")
+
+    def learn(self, words: set[str]) -> None:
+        known = self.known
+        split = {w: self.parts(w) for w in words}
+        new = [w for w in {p for pair in split.values() for p in pair} if w and w not in known]
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                ids = e.ids
+                known[w] = pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+        for w, (stem, mark) in split.items():
+            known[w] = known[stem] + known[mark] if mark else known[stem]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > self.most:
+            self.known.clear()
+        get = self.known.get
+        lists = [self.words(t) if t else [] for t in texts]
+        out = [list(map(get, ws)) for ws in lists]
+        late = [i for i, ids in enumerate(out) if None in ids]
+        if late:
+            self.learn({w for i in late for w, x in zip(lists[i], out[i], strict=True) if x is None})
+            for i in late:
+                out[i] = map(get, lists[i])
+        return [b"".join(ids) for ids in out]
+
+
+pack_ids = [struct.Struct(f"<{n}I").pack for n in range(17)]
 
 
 @lru_cache(maxsize=2)
@@ -56,8 +97,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
         t = word_tokenizer(tokenizer_path)
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
-            for doc, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                raw = t.ids(x or "") + END_ID
+            for doc, raw in zip(b.column(0).to_pylist(), t.ids(b.column(1).to_pylist()), strict=True):
+                raw += END_ID
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[at : at + 4 * capacity]
                     ids.append(doc)
