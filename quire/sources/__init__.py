@@ -1,0 +1 @@
+"""Reading workspaces and files, versioned snapshots, Markdown reports."""
