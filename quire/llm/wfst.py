@@ -36,7 +36,7 @@ INFINITE = float("inf")
 class Transducer:
     """Normaliser, pieces and byte fallback, compiled from a SentencePiece model file."""
 
-    def __init__(self, path: str, kind: str = "bpe", half: int = 250_000):
+    def __init__(self, path: str, kind: str = "bpe", half: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -56,7 +56,7 @@ class Transducer:
             node[""] = i
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds the word mark after another character")
-        self.pairs = TwoGenerationCache(self._pair, half)
+        self.pairs = TwoGenerationCache(self._pair, 250_000)
         self.chunks = TwoGenerationCache(self._chunk, half)
 
     def normalise(self, text: str) -> str:
