@@ -81,7 +81,7 @@ def count_chunk(chunk: str, ranks: dict[str, float]) -> int:
 class Counter:
     """Counts the tokens of whole texts, with memoised chunks."""
 
-    def __init__(self, path: str, half: int = 250_000):
+    def __init__(self, path: str, half: int = 500_000):
         ranks = load_ranks(path)
         self.ranks = ranks
         self.split_lines = not any("\n" in p for p in ranks)
