@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quire.functions.text import clamp, head, normalize_text, number_or, squeeze, strip
 
 ORDER = ["page", "reading_order", "block_id"]
-IN_DOC = Window.partitionBy("doc_id").orderBy(*ORDER)
 #: Titles that are headings by themselves (any case).
 FIXED_TITLES = ["摘要", "关键词", "引言", "导论", "绪论", "结语", "结论", "参考文献", "附录", "后记", "abstract", "keywords"]
 #: Endings of headings that must be followed by body text.
@@ -26,6 +25,11 @@ DECIMAL = r"^\d+(\.\d+){0,3}[、.．\s]"
 REFERENCE = r"^(\d+|[①-⑳])\s*[、.．]"
 
 
+def in_doc():
+    """The window of document order; a function, as windows need a session."""
+    return Window.partitionBy("doc_id").orderBy(*ORDER)
+
+
 def _any_of(words: list[str]) -> str:
     return "(" + "|".join(words) + ")"
 
@@ -37,7 +41,7 @@ def heading_level(c: Column) -> Column:
 
 def detect_headings(blocks: DataFrame) -> DataFrame:
     """Blocks that are headings, with level and confidence."""
-    following = F.coalesce(F.lead("text").over(IN_DOC), F.lit(""))
+    following = F.coalesce(F.lead("text").over(in_doc()), F.lit(""))
     v = F.regexp_replace(normalize_text(F.col("text")), r"^\s*[①-⑳]\s*", "")
     b = blocks.withColumn("next_text", following).withColumn("v", v)
     v = F.col("v")
@@ -51,7 +55,7 @@ def detect_headings(blocks: DataFrame) -> DataFrame:
 
 def semantic_outline(blocks: DataFrame, limit: int = 160) -> DataFrame:
     """doc_id, outline_id, title, level, page, block_id, confidence, source, ord."""
-    n = F.row_number().over(IN_DOC)
+    n = F.row_number().over(in_doc())
     return detect_headings(blocks).withColumn("ord", n).where(F.col("ord") <= limit).select("doc_id", F.concat(F.lit("outline-semantic-"), F.col("ord").cast("string")).alias("outline_id"), F.col("text").alias("title"), "level", "page", "block_id", "confidence", F.lit("automatic").alias("source"), "ord")
 
 
@@ -70,7 +74,7 @@ def mark_headings(blocks: DataFrame, outline: DataFrame) -> DataFrame:
 
 def merge_model_outline(response: DataFrame, blocks: DataFrame, limit: int = 160) -> DataFrame:
     """Model rows (doc_id, ord, block_id, title, level, confidence) whose block exists; the first of each block."""
-    real = blocks.where(~F.col("block_type").isin("footnote", "header", "footer", "page_number") & (F.length(strip(F.col("text"))) > 0)).withColumn("at", F.row_number().over(IN_DOC)).select("doc_id", "block_id", "page", "at", F.col("text").alias("block_text"))
+    real = blocks.where(~F.col("block_type").isin("footnote", "header", "footer", "page_number") & (F.length(strip(F.col("text"))) > 0)).withColumn("at", F.row_number().over(in_doc())).select("doc_id", "block_id", "page", "at", F.col("text").alias("block_text"))
     j = response.join(real, ["doc_id", "block_id"])
     first = F.row_number().over(Window.partitionBy("doc_id", "block_id").orderBy("ord"))
     j = j.withColumn("rn", first).where("rn = 1").withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "at"))).where(F.col("n") <= limit)
@@ -83,7 +87,7 @@ def apply_format_corrections(blocks: DataFrame, response: DataFrame, strict: boo
     A blank text removes the block. Blocks without a correction stay as they are; with ``strict`` only
     corrected blocks come back.
     """
-    indexed = blocks.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0).withColumn("block_index", F.row_number().over(IN_DOC) - 1)
+    indexed = blocks.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0).withColumn("block_index", F.row_number().over(in_doc()) - 1)
     fix = response.select("doc_id", F.col("block_index").cast("int").alias("block_index"), F.col("block_type").alias("new_type"), F.col("text").alias("new_text"), F.lit(True).alias("fixed")).dropDuplicates(["doc_id", "block_index"])
     j = indexed.join(fix, ["doc_id", "block_index"], "inner" if strict else "left")
     kind = F.when(F.col("new_type").isin("heading", "paragraph", "footnote", "table", "caption"), F.col("new_type")).otherwise("paragraph")
@@ -110,7 +114,7 @@ def sanitize_user_outline(rows: DataFrame, limit: int = 300) -> DataFrame:
 
 def indexed_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks with text and their 0-based place in the document."""
-    return blocks.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0).withColumn("idx", F.row_number().over(IN_DOC) - 1)
+    return blocks.where(F.length(strip(F.coalesce("text", F.lit("")))) > 0).withColumn("idx", F.row_number().over(in_doc()) - 1)
 
 
 def section_boundaries(outline: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -217,9 +221,9 @@ def merge_continuous_paragraphs(blocks: DataFrame) -> DataFrame:
     heading = (F.col("block_type") == "heading") | (t.rlike(ENUMERATED) & (F.length(t) <= 64)) | (t.rlike(f"^第[{DIGITS}]+[，,]") & (F.length(t) <= 42))
     closed = t.rlike("[。！？!?；;：:.…][”’\"』」）)]?$")
     b = blocks.withColumn("_p", F.col("block_type") == "paragraph").withColumn("_h", heading).withColumn("_a", author).withColumn("_c", closed).withColumn("_e", t.rlike(ENUMERATED))
-    before = lambda c: F.lag(c).over(IN_DOC)
+    before = lambda c: F.lag(c).over(in_doc())
     joins = F.col("_p") & before("_p") & ~before("_a") & ~before("_h") & ~F.col("_h") & ~before("_c") & ~F.col("_e")
-    return b.withColumn("_break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("group", F.sum("_break").over(IN_DOC)).drop("_p", "_h", "_a", "_c", "_e", "_break")
+    return b.withColumn("_break", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1)).withColumn("group", F.sum("_break").over(in_doc())).drop("_p", "_h", "_a", "_c", "_e", "_break")
 
 
 def merged_paragraphs(blocks: DataFrame) -> DataFrame:
