@@ -25,13 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm.bpe_count import MARK
-from quire.llm.common import lower_ascii, materialise, remainder, table, words_of
+from quire.llm.common import materialise, remainder, table
 
 #: Bound of the broadcast counts: 16 bytes a word.
 FREQUENT_WORDS = 1_000_000
 EM_STEPS = 2
 SMOOTHING = 0.5
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_400_000
 SEED = 42  # of Spark's xxhash64
 
 
@@ -46,6 +46,8 @@ class Pieces:
         rank = np.array([-sp.get_score(sp.piece_to_id(p)) for p in texts])
         self.index = {p: i for i, p in enumerate(texts)}
         self.longest = max(map(len, texts))
+        # a beginning of pieces that is none itself is -1, so that the search for pieces can end early
+        self.known = {p[:k]: -1 for p in texts for k in range(1, len(p))} | self.index
         self.bytes, self.end, self.size = len(texts), len(texts) + 256, len(texts) + 257
         first = 1 / (np.argsort(np.argsort(rank, kind="stable")) + 10.0)
         p = np.concatenate([first, np.full(256, first.min() / 10), [first.max()]])
@@ -57,20 +59,32 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def edges(v: Pieces, words: list[str]) -> np.ndarray:
-    """Piece ending after place j that began k + 1 characters before, for words of one length; -1: none, -2: by bytes."""
-    n, size = len(words), len(words[0])
-    get, most = v.index.get, min(v.longest, size)
-    flat = [get(w[j - k : j], -1) if k <= j else -1 for w in words for j in range(1, size + 1) for k in range(1, most + 1)]
-    out = np.array(flat, np.int32).reshape(n, size, most)
-    out[:, :, 0] = np.where(out[:, :, 0] < 0, -2, out[:, :, 0])
-    return out
-
-
-def fallback(v: Pieces, words: list[str], e: np.ndarray, logp: np.ndarray) -> np.ndarray:
-    """Log weights of the edges; characters that are no piece weigh what their bytes weigh together."""
-    w = np.where(e >= 0, logp[np.maximum(e, 0)], -np.inf)
-    for r, j in zip(*np.nonzero(e[:, :, 0] == -2), strict=True):
+def edges(v: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lattice edges of words of one length: rows of word, end, characters - 1, piece; and the characters that are no piece."""
+    size, get, most, flat, odd = len(words[0]), v.known.get, v.longest, [], []
+    add = flat.append
+    for r, w in enumerate(words):
+        at = r * size
+        for i in range(size):
+            for j in range(i + 1, min(i + most, size) + 1):
+                piece = get(w[i:j])
+                if piece is None:
+                    break
+                if piece >= 0:
+                    add(((at + j - 1) * 64 + j - i - 1) * 65536 + piece)
+            if w[i] not in v.index:
+                odd.append((r, i))
+    code = np.array(flat, np.int64)
+    place, piece = code >> 16, code & 65535
+    end = place >> 6
+    return np.stack([end // size, end % size, place & 63, piece]), odd
+
+
+def weights(v: Pieces, words: list[str], e: np.ndarray, odd: list, logp: np.ndarray) -> np.ndarray:
+    """Log weights by word, end and characters - 1; a character that is no piece weighs what its bytes weigh together."""
+    w = np.full((len(words), len(words[0]), int(e[2].max()) + 1 if e.shape[1] else 1), -np.inf)
+    w[e[0], e[1], e[2]] = logp[e[3]]
+    for r, j in odd:
         w[r, j, 0] = sum(logp[v.bytes + b] for b in words[r][j].encode("utf-8", "surrogatepass"))
     return w
 
@@ -94,7 +108,7 @@ def by_length(words, most: int = 4096):
     for i, w in enumerate(words):
         g = groups.setdefault(len(w), [])
         g.append(i)
-        if len(g) * len(w) >= most * 8:
+        if len(g) * (len(w) + 1) >= most * 8:
             yield groups.pop(len(w))
     yield from groups.values()
 
@@ -104,7 +118,7 @@ def marginals(v: Pieces, logp: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.zeros(len(words))
     for at in by_length(words):
         part = [MARK + words[i] for i in at]
-        out[at] = forward(fallback(v, part, edges(v, part), logp))[:, -1]
+        out[at] = forward(weights(v, part, *edges(v, part), logp))[:, -1]
     return out
 
 
@@ -113,43 +127,47 @@ def expected(v: Pieces, logp: np.ndarray, words: list[str], counts: np.ndarray)
     total = np.zeros(v.size)
     for at in by_length(words):
         part = [MARK + words[i] for i in at]
-        e = edges(v, part)
-        w = fallback(v, part, e, logp)
+        e, odd = edges(v, part)
+        w = weights(v, part, e, odd, logp)
         n, size, most = w.shape
         a, b = forward(w), np.full((n, size + 1), -np.inf)
         b[:, size] = 0
         for j in range(size - 1, -1, -1):
-            k = min(most, size - j)
-            ways = np.stack([w[:, j + x, x] + b[:, j + x + 1] for x in range(k)], 1)
+            k = np.arange(min(most, size - j))
+            ways = w[:, j + k, k] + b[:, j + k + 1]
             top = ways.max(1)
             b[:, j] = top + np.log(np.exp(ways - top[:, None]).sum(1))
-        for x in range(most):
-            mass = np.exp(a[:, : size - x] + w[:, x:, x] + b[:, x + 1 :] - a[:, -1:]) * counts[at][:, None]
-            ids = e[:, x:, x]
-            total += np.bincount(ids[ids >= 0], weights=mass[ids >= 0], minlength=v.size)
-            if x == 0:
-                for r, j in zip(*np.nonzero(ids == -2), strict=True):
-                    for byte in part[r][j].encode("utf-8", "surrogatepass"):
-                        total[v.bytes + byte] += mass[r, j]
+        r, j, k, piece = e
+        mass = np.exp(a[r, j - k] + logp[piece] + b[r, j + 1] - a[r, -1]) * counts[at][r]
+        total += np.bincount(piece, weights=mass, minlength=v.size)
+        for r, j in odd:
+            m = np.exp(a[r, j] + w[r, j, 0] + b[r, j + 1] - a[r, -1]) * counts[at[r]]
+            for byte in part[r][j].encode("utf-8", "surrogatepass"):
+                total[v.bytes + byte] += m
     return total
 
 
+def words_of_bytes(texts: pa.Array) -> list[list[bytes]]:
+    """The words of each text in UTF-8, A-Z lowered: bytes know no other case and no other white space than ASCII's."""
+    return [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """word, n over all whole texts: combined in each task, then by word."""
 
     def run(batches):
         c: Counter = Counter()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                c.update(words_of(lower_ascii(t)) if t else ())
-                if len(c) > 300_000:
+            for ws in words_of_bytes(b.column(0)):
+                c.update(ws)
+                if len(c) > 400_000:
                     yield out(c)
                     c = Counter()
         if c:
             yield out(c)
 
     def out(c):
-        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.binary()).cast(pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
 
     return texts.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -187,32 +205,31 @@ class Scorer:
         self.clear()
 
     def clear(self):
-        self.at: dict[str, int] = {}
-        self.words: list[str] = []
+        self.at: dict[bytes, int] = {}
+        self.words: list[bytes] = []
         self.base = self.score = np.empty(0)
         self.rare = np.empty(0, bool)
 
-    def learn(self, new: list[str]) -> None:
-        h = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), SEED) for w in new], np.uint64).view(np.int64)
+    def learn(self, new: list[bytes]) -> None:
+        h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in new], np.uint64).view(np.int64)
         n = np.zeros(len(new), np.int64)
         if len(self.hashes):
             k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             n = np.where(self.hashes[k] == h, self.counts[k], 0)
         self.base = np.r_[self.base, np.log10(n + 1.0) - self.denominator]
-        self.score = np.r_[self.score, marginals(self.v, self.logp, new) / math.log(10)]
+        self.score = np.r_[self.score, marginals(self.v, self.logp, [w.decode("utf-8", "surrogatepass") for w in new]) / math.log(10)]
         self.rare = np.r_[self.rare, n == 0]
-        for w in new:
-            self.at[w] = len(self.words)
-            self.words.append(w)
+        self.at.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.words.extend(new)
 
-    def texts(self, lists: list[list[str]]):
+    def texts(self, lists: list[list[bytes]]):
         """Of each text: the base and model scores of its words, and its words that are not frequent, with how often."""
         if len(self.words) > KNOWN_WORDS:
             self.clear()
         at = self.at
-        new = list(dict.fromkeys(w for ws in lists for w in ws if w not in at))
+        new = set().union(*lists).difference(at)
         if new:
-            self.learn(new)
+            self.learn(sorted(new))
         for ws in lists:
             i = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
             r = self.rare[i]
@@ -245,10 +262,10 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
-                lists = [words_of(lower_ascii(t)) if t else [] for t in part.column("text").to_pylist()]
+                lists = words_of_bytes(part.column("text"))
                 base, score, known, odd, times = (list(c) for c in zip(*s.texts(lists), strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row"), part.column("doc_id"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(known, pa.int64()), pa.array(odd, pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
+                    [part.column("row"), part.column("doc_id"), pa.array([len(x) + 1 for x in lists], pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(known, pa.int64()), pa.array(odd, pa.list_(pa.binary())).cast(pa.list_(pa.string())), pa.array(times, pa.list_(pa.int64()))],
                     names=["row", "doc_id", "n_tokens", "base", "marginal", "known", "odd", "times"],
                 )
 
