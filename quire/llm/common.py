@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 ASCII_SPACE = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_TO_LOWER = str.maketrans(_UPPER, _LOWER)
 _FIND_WORDS = re.compile(WORD).findall
 
 
@@ -61,10 +59,6 @@ def words_of(text: str | None) -> list[str]:
     return _FIND_WORDS(text) if text else []
 
 
-def lower_ascii(text: str) -> str:
-    return text.translate(_TO_LOWER)
-
-
 class TwoGenerationCache(dict):
     """A bounded memo: when the young half is full, it becomes the old half."""
 
