@@ -113,8 +113,9 @@ def page_rects(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     return blocks.join(pages.select(*PAGE, "width", "height"), PAGE, "left").withColumn("page_rect", boxes.page_rect(F.col("bbox"), F.col("width"), F.col("height"))).drop("width", "height")
 
 
-def repair_legacy_boxes(blocks: DataFrame, pages: DataFrame) -> DataFrame:
-    is_ocr = (F.col("extraction_method") == "kimi_vision_ocr") & F.col("font_size").isNull()
+def repair_legacy_boxes(blocks: DataFrame, pages: DataFrame, method: str = "vision_ocr") -> DataFrame:
+    """Boxes of one OCR method that an older scaling wrote a thousand times too small."""
+    is_ocr = (F.col("extraction_method") == method) & F.col("font_size").isNull()
     return blocks.join(pages.select(*PAGE, "width", "height"), PAGE, "left").withColumn("bbox", boxes.repair_legacy_box(F.col("bbox"), F.col("width"), F.col("height"), is_ocr)).drop("width", "height")
 
 
