@@ -7,9 +7,9 @@ probability is the product over its words (no piece crosses a word boundary) and
 The file's scores are merge ranks; taken as a Zipf law they are the first piece weights. Each
 further step of expectation-maximisation runs over all distinct training words and their counts.
 
-The base score needs the training count of every word. The most frequent words (a fixed number)
-are broadcast as sorted 64-bit hashes with counts; the rest of a document's words is joined with
-the rest of the counts.
+Each distinct training word is scored once. The most frequent ones (a fixed number) are broadcast as
+sorted 64-bit hashes with counts and scores; the rest of a document's words is joined with the table
+of all, and words that no training text has are scored after that join.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from quire.llm.bpe_count import MARK
 from quire.llm.common import materialise, remainder, table
 
-#: Bound of the broadcast counts: 16 bytes a word.
+#: Bound of the broadcast counts and scores: 24 bytes a word.
 FREQUENT_WORDS = 1_000_000
 EM_STEPS = 2
 SMOOTHING = 0.5
@@ -199,8 +199,8 @@ def fit_pieces(counts: DataFrame, ends: int, model_path: str, steps: int = EM_ST
 class Scorer:
     """Per task: words already met get an index into arrays of their numbers."""
 
-    def __init__(self, hashes, counts, logp, total, distinct, model_path):
-        self.hashes, self.counts, self.logp, self.v = hashes, counts, logp, pieces(model_path)
+    def __init__(self, hashes, counts, marginal, total, distinct):
+        self.hashes, self.counts, self.marginal = hashes, counts, marginal
         self.denominator = math.log10(total + distinct + 1)
         self.clear()
 
@@ -212,12 +212,13 @@ class Scorer:
 
     def learn(self, new: list[bytes]) -> None:
         h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in new], np.uint64).view(np.int64)
-        n = np.zeros(len(new), np.int64)
+        n, m = np.zeros(len(new), np.int64), np.zeros(len(new))
         if len(self.hashes):
             k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            n = np.where(self.hashes[k] == h, self.counts[k], 0)
+            hit = self.hashes[k] == h
+            n, m = np.where(hit, self.counts[k], 0), np.where(hit, self.marginal[k], 0.0)
         self.base = np.r_[self.base, np.log10(n + 1.0) - self.denominator]
-        self.score = np.r_[self.score, marginals(self.v, self.logp, [w.decode("utf-8", "surrogatepass") for w in new]) / math.log(10)]
+        self.score = np.r_[self.score, m]
         self.rare = np.r_[self.rare, n == 0]
         self.at.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
         self.words.extend(new)
@@ -234,7 +235,7 @@ class Scorer:
             i = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
             r = self.rare[i]
             odd, times = np.unique(i[r], return_counts=True) if r.any() else ((), ())
-            yield float(self.base[i[~r]].sum()), float(self.score[i].sum()), int((~r).sum()), [self.words[k] for k in odd], list(map(int, times))
+            yield float(self.base[i[~r]].sum()), float(self.score[i[~r]].sum()), int((~r).sum()), [self.words[k] for k in odd], list(map(int, times))
 
 
 def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequent: int = FREQUENT_WORDS, steps: int = EM_STEPS) -> DataFrame:
@@ -250,15 +251,22 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
     words, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = words + ends, distinct + (ends > 0)
     logp = fit_pieces(counts, ends, model_path, steps)
-    # the count at which the frequent words end; those of a tie stay with the rest
-    top = counts.select(F.xxhash64("word").alias("h"), "n", "word").orderBy(F.desc("n"), "word").limit(frequent).select("h", "n").toArrow()
-    h, n = top.column("h").to_numpy(), top.column("n").to_numpy()
+    log10p = spark.sparkContext.broadcast(logp)
+
+    def weigh(batches):
+        v = pieces(model_path)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marginals(v, log10p.value, b.column(0).to_pylist()) / math.log(10))], names=["word", "n", "marginal"])
+
+    counts = materialise(counts.select("word", "n").mapInArrow(weigh, "word string, n long, marginal double"), "word-scores")
+    top = counts.select(F.xxhash64("word").alias("h"), "n", "marginal", "word").orderBy(F.desc("n"), "word").limit(frequent).select("h", "n", "marginal").toArrow()
+    h, n, m = (top.column(c).to_numpy() for c in ("h", "n", "marginal"))
     order = np.argsort(h)
-    model = spark.sparkContext.broadcast((h[order], n[order], logp))
-    del top, h, n
+    model = spark.sparkContext.broadcast((h[order], n[order], m[order]))
+    del top, h, n, m
 
     def run(batches):
-        s = Scorer(*model.value, total, distinct, model_path)
+        s = Scorer(*model.value, total, distinct)
         for b in batches:
             for k in range(0, b.num_rows, 1000):
                 part = b.slice(k, 1000)
@@ -272,8 +280,21 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = materialise(rows.mapInArrow(run, "row long, doc_id long, n_tokens long, base double, marginal double, known long, odd array<string>, times array<long>"), "scored")
     odd = scored.select("row", F.explode(F.arrays_zip("odd", "times")).alias("z")).select("row", F.col("z.odd").alias("word"), F.col("z.times").alias("times"))
-    n = F.coalesce(F.col("n"), F.lit(0))
-    rest = odd.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rest_known"), F.sum(F.col("times") * (F.log10(n + 1.0) - F.log10(F.lit(float(total + distinct + 1))))).alias("rest_base"))
+
+    def weigh_new(batches):
+        """The words that no training text has are scored here; the others bring their score along."""
+        v = pieces(model_path)
+        for b in batches:
+            m = b.column("marginal").to_numpy(zero_copy_only=False).astype(np.float64)
+            new = np.flatnonzero(np.isnan(m))
+            if len(new):
+                words, at = np.unique(np.array(b.column("word").take(pa.array(new)).to_pylist(), object), return_inverse=True)
+                m[new] = (marginals(v, log10p.value, words.tolist()) / math.log(10))[at]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("times"), b.column("n"), pa.array(m)], names=["row", "times", "n", "marginal"])
+
+    found = odd.join(counts, "word", "left").select("row", "word", "times", F.coalesce("n", F.lit(0)).alias("n"), "marginal").mapInArrow(weigh_new, "row long, times long, n long, marginal double")
+    n = F.col("n")
+    rest = found.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("rest_known"), F.sum(F.col("times") * (F.log10(n + 1.0) - F.log10(F.lit(float(total + distinct + 1))))).alias("rest_base"), F.sum(F.col("times") * F.col("marginal")).alias("rest_marginal"))
     out = scored.drop("odd", "times").join(rest, "row", "left")
     v = pieces(model_path)
     end_base = math.log10(ends + 1.0) - math.log10(total + distinct + 1)
@@ -283,7 +304,7 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
         (F.col("known") + F.coalesce("rest_known", F.lit(0)) + int(ends > 0)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rest_base", F.lit(0.0)) + end_base).alias("base_score"),
-        (F.col("marginal") + float(logp[v.end]) / math.log(10)).alias("score"),
+        (F.col("marginal") + F.coalesce("rest_marginal", F.lit(0.0)) + float(logp[v.end]) / math.log(10)).alias("score"),
     )
 
 
