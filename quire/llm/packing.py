@@ -35,7 +35,7 @@ class WordTokenizer:
     new in a batch is encoded together. A full memo starts anew.
     """
 
-    def __init__(self, path: str, most: int = 1_400_000):
+    def __init__(self, path: str, most: int = 900_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 

@@ -45,7 +45,7 @@ class Classifier:
 
     def prepare(self) -> Classifier:
         index = self.index
-        self.cache = TwoGenerationCache(lambda w: tuple(index[f] for f in word_features(w) if f in index), 200_000)
+        self.cache = TwoGenerationCache(lambda w: tuple(index[f] for f in word_features(w) if f in index), 100_000)
         return self
 
     def score(self, text: str | None) -> float:
