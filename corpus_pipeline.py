@@ -26,10 +26,16 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest id stays (rows that repeat it too only once)."""
-    groups = jaccard.link(docs).where(F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    one = docs.join(groups, docs["doc_id"].eqNullSafe(groups["kept_id"])).select(*docs.columns)
-    return one.dropDuplicates(["doc_id"])
+    """Of each group of linked documents the row of the smallest id, then text fingerprint, stays.
+
+    Rows without a word link with nothing and stay. Rows that repeat id and text stay once.
+    """
+    # partial sums drop repeats before the shuffle, whose keys the join then has too
+    keys = ["near_copies_id", "near_copies_no_id", "near_copies_fingerprint"]
+    keyed = lambda df, fingerprint: df.withColumns(dict(zip(keys, [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), fingerprint], strict=True)))
+    kept = keyed(jaccard.representatives(docs), F.col("fingerprint")).select(*keys)
+    rows = keyed(docs, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(keys)
+    return rows.join(kept, keys, "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -323,6 +323,19 @@ def test_pipeline_stages(spark, docs, texts):
     assert packed.select("doc_id").distinct().count() == len(after)
 
 
+def test_near_copies_keeps_other_texts_of_an_id(spark):
+    import corpus_pipeline as c
+
+    words = lambda name: " ".join(f"{name}{j}" for j in range(12))
+    rows = [(None, words("a")), (None, words("b")), (None, words("c")), (None, words("c")), (None, words("d")), (1, words("d"))]  # null ids: a, b, c stay, d goes with 1
+    rows += [(7, words("e")), (7, words("f")), (7, words("f")), (7, words("g")), (3, words("g").upper()), (9, words("a")), (7, words("h")), (8, words("h"))]
+    rows += [(None, None), (None, ""), (20, ""), (21, ""), (21, "")]
+    d = spark.createDataFrame([(i, t, "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, fingerprint string, n int")
+    got = c.drop_near_copies(spark, d, SF)
+    want = {(None, words("b")), (None, words("c")), (1, words("d")), (7, words("e")), (7, words("f")), (3, words("g").upper()), (9, words("a")), (7, words("h"))} | {(None, None), (None, ""), (20, ""), (21, "")}
+    assert got.columns == d.columns and Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(want)
+
+
 def test_entry_survives_without_these_folders(tmp_path):
     import shutil
     import subprocess
