@@ -19,9 +19,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the calibrated models reject go."""
+    """Documents whose language the calibrated models reject go; without a model all stay."""
     training = F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
-    kept = langid.identify(docs, langid.train(docs, training), keep=tuple(c for c in docs.columns if c != "doc_id"))
+    model = langid.train(docs, training)
+    if not model.languages:
+        return docs
+    kept = langid.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
     return kept.where("not rejected").select(*docs.columns)
 
 

@@ -158,6 +158,22 @@ def test_language(spark, odd, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(docs.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def test_rare_language_is_calibrated(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    monkeypatch.setattr(langid, "CALIBRATION_TEXTS", 40)
+    rng = np.random.default_rng(4)
+    text = lambda alphabet: " ".join("".join(rng.choice(list(alphabet), 6)) for _ in range(20))
+    rows = [(None if k % 2 else k, text("abcdefg"), "a") for k in range(600)] + [(1000 + k, text("tuvwxyz"), "b") for k in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(d, F.lit(True))
+    assert model.languages == ["a", "b"] and np.isfinite(model.limit).all()
+    sample = Counter(r["lang"] for r in langid.calibration_sample(d, {"a": 600, "b": 20}).collect())
+    assert sample == {"a": 50, "b": 20}
+    none = d.withColumn("lang", F.lit(None).cast("string"))
+    assert c.drop_unidentified(spark, none, SF).count() == len(rows)
+
+
 def test_kneser_ney_sums_to_one():
     grams, _ = langid.codes(["abab abba", "baab"])
     g, n = np.unique(grams, return_counts=True)
