@@ -158,6 +158,26 @@ def test_language(spark, odd, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(docs.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def test_cut_arrays_keep_full_counts(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)) for _ in range(40)]
+    d = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)] + [(100, "xyz zyx", "b")], "doc_id long, text string, lang string")
+    g, n = np.unique(langid.codes(texts)[0], return_counts=True)
+    whole = langid.train(d, F.lit(True)).models[0]
+    want = langid.KneserNey(g, n, whole.alphabet)
+    assert np.allclose(whole.log2(g), want.log2(g), rtol=0, atol=1e-12)
+    monkeypatch.setattr(langid, "MAX_NGRAMS", 100)
+    cut = langid.train(d, F.lit(True)).models[0]
+    for few, full in zip(cut.levels, want.levels, strict=True):
+        assert len(few[0]) == min(100, len(full[0])) and len(few[2]) == min(100, len(full[2]))
+        for keys, values in ((0, (1,)), (2, (3, 4))):
+            at = np.searchsorted(full[keys], few[keys])
+            assert all(np.allclose(full[v][at], few[v]) for v in values)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(d, F.lit(True))
+
+
 def test_rare_language_is_calibrated(spark, monkeypatch):
     import corpus_pipeline as c
 
