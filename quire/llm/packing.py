@@ -4,12 +4,15 @@ Pieces are spread over groups by hash. Each group packs best-fit decreasing, the
 functions give a lower bound on its number of sequences. A group at its bound keeps all but its
 emptiest sequence; one with a gap gives up its emptiest sequences, one more than the gap. What is
 given up is exchanged: it meets in fewer, merged groups and is packed again, round after
-round, until one group is left. Groups hold a bounded number of pieces at any scale.
+round, until one group is left, or a round gives up so much that the next would not have half as many
+groups. Groups hold a bounded number of pieces at any scale.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
 from functools import lru_cache, reduce
@@ -21,18 +24,90 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, table, words_of
 
-CAPACITY, GROUP_PIECES, FAN_IN = 2048, 4096, 32
+CAPACITY, GROUP_PIECES = 2048, 4096
 END_ID = b"\0\0\0\0"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: The only steps with which ids of a text are those of its words: other files are encoded text by text.
+CASELESS_WORDS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
+)
+#: Marks, letters of which normalising changes none, marks: each run is a token group by itself.
+_PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
+
+
+class Merges:
+    """Byte-pair merging of many words at once: a row a word, and in each step every row merges its first pair of least rank."""
+
+    def __init__(self, vocab: dict[str, int], merges: list):
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+        hidden = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        symbol = [hidden.get(b, chr(b)) for b in range(256)]
+        self.inner = np.array([vocab[c] for c in symbol], np.int64)
+        self.last = np.array([vocab[c + "</w>"] for c in symbol], np.int64)
+        pairs = [m if isinstance(m, (list, tuple)) else m.split(" ") for m in merges]
+        code = np.array([(vocab[a] << 32) | vocab[b] for a, b in pairs], np.int64)
+        order = np.argsort(code)
+        self.code, self.rank = code[order], order
+        self.joined = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.none = len(pairs)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        code = (left << 32) | right
+        at = np.minimum(np.searchsorted(self.code, code), self.none - 1)
+        return np.where(self.code[at] == code, self.rank[at], self.none)
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word as little-endian unsigned 32-bit numbers."""
+        out: list = [None] * len(words)
+        groups: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
+            groups.setdefault(len(w), []).append(i)
+        for size, every in groups.items():
+            step = max(1, 65_536 // size)
+            for k in range(0, len(every), step):
+                self._encode(words, every[k : k + step], size, out)
+        return out
+
+    def _encode(self, words: list[bytes], at: list[int], size: int, out: list) -> None:
+        raw = np.frombuffer(b"".join([words[i] for i in at]), np.uint8).reshape(-1, size)
+        ids = self.inner[raw]
+        ids[:, -1] = self.last[raw[:, -1]]
+        rank = np.full(ids.shape, self.none, np.int64)
+        rank[:, :-1] = self.ranks(ids[:, :-1], ids[:, 1:])
+        rows, left = np.arange(len(at)), np.full(len(at), size)
+        while len(rows):
+            k = rank.argmin(1)
+            each = np.arange(len(rows))
+            best = rank[each, k]
+            done = best == self.none
+            for r in np.flatnonzero(done).tolist():
+                out[at[rows[r]]] = ids[r, : left[r]].astype("<u4").tobytes()
+            go = ~done
+            ids, rank, rows, left, k, best = ids[go], rank[go], rows[go], left[go] - 1, k[go], best[go]
+            if not len(rows):
+                break
+            each = np.arange(len(rows))
+            move = np.minimum(np.arange(size) + (np.arange(size) > k[:, None]), size - 1)
+            ids, rank = np.take_along_axis(ids, move, 1), np.take_along_axis(rank, move, 1)
+            ids[each, k] = self.joined[best]
+            # beyond a row's end nothing merges
+            right = k + 1 < left
+            rank[each, k] = np.where(right, self.ranks(ids[each, k], ids[each, np.minimum(k + 1, size - 1)]), self.none)
+            rank[each, left - 1] = self.none
+            before = k > 0
+            rank[each[before], k[before] - 1] = self.ranks(ids[each[before], k[before] - 1], ids[each[before], k[before]])
+
+
 class WordTokenizer:
     """Ids of a tokenizer that ignores case and drops white space, with memoised words.
 
     White space always ends a token and composes with nothing, so the ids of a text are those of its
-    words, one after the other. A word new to the memo is looked up in lower case (if all ASCII) and
-    without a comma or full stop after a letter or digit, which is a token by itself; what is then still
-    new in a batch is encoded together. A full memo starts anew.
+    words, one after the other. Of a word new to the memo, runs of plain letters and of marks are
+    encoded apart: new letter runs are merged here, many at once; what is left goes to the library together.
+    A full memo starts anew. A file with other rules than ``CASELESS_WORDS`` is encoded text by text.
     """
 
     def __init__(self, path: str, most: int = 900_000):
@@ -40,6 +115,12 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        model = made["model"]
+        steps = [(made[k] or {}).get(v) for k, v in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))]
+        self.by_word = steps == list(CASELESS_WORDS) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not any(model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+        self.by_word = self.by_word and all("<|" in t["content"] and t["content"].isascii() for t in made["added_tokens"])
+        self.merges = Merges(model["vocab"], model["merges"]) if self.by_word else None
         self.known: dict[str, bytes] = {}
         self.most = most
 
@@ -48,27 +129,33 @@ class WordTokenizer:
         """Split at white space; of what Python calls so, the four separator controls are none to the tokenizer."""
         return words_of(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
-    @staticmethod
-    def parts(word: str) -> tuple[str, str]:
-        """What of a word is encoded, and the comma or full stop after it."""
-        if not word.isascii():
-            return word, ""
-        word = word.lower()
-        return (word[:-1], word[-1]) if word[-1] in ",." and word[-2:-1].isalnum() else (word, "")
-
     def learn(self, words: set[str]) -> None:
         known = self.known
-        split = {w: self.parts(w) for w in words}
-        new = [w for w in {p for pair in split.values() for p in pair} if w and w not in known]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
+        split, odd = {}, set()
+        for w in words:
+            m = _PARTS(w.lower())
+            if m and "<|" not in w:
+                split[w] = m.groups()
+            else:
+                odd.add(w)
+        stems = [t for t in {p[1] for p in split.values()} if t and t not in known]
+        known.update(zip(stems, self.merges.encode([t.encode() for t in stems]), strict=True))
+        odd |= {t for p in split.values() for t in (p[0], p[2]) if t}
+        self.encode([t for t in odd if t not in known])
+        known.setdefault("", b"")
+        for w, (head, stem, tail) in split.items():
+            if w != stem:
+                known[w] = known[head] + known[stem] + known[tail]
+
+    def encode(self, words: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                ids = e.ids
-                known[w] = pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
-        for w, (stem, mark) in split.items():
-            known[w] = known[stem] + known[mark] if mark else known[stem]
+                self.known[w] = as_bytes(e.ids)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
+        if not self.by_word:
+            return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
         if len(self.known) > self.most:
             self.known.clear()
         get = self.known.get
@@ -82,6 +169,10 @@ class WordTokenizer:
         return [b"".join(ids) for ids in out]
 
 
+def as_bytes(ids: list[int]) -> bytes:
+    return pack_ids[len(ids)](*ids) if len(ids) < len(pack_ids) else np.array(ids, "<u4").tobytes()
+
+
 pack_ids = [struct.Struct(f"<{n}I").pack for n in range(17)]
 
 
@@ -196,10 +287,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     while True:
         last = groups == 1
         packed = materialise(pack_round(items, groups, k << 58, capacity, last), f"packed{k}")
-        done.append(packed.where(~F.col("given")))
-        if last:
+        after = -(-packed.where("given").count() // group_pieces) if not last else 0
+        last = last or 2 * after > groups  # what every group gave up stays where it was packed
+        done.append(packed if last else packed.where(~F.col("given")))
+        if last or not after:
             break
-        items, groups, k = packed.where("given").select(*items.columns), -(-groups // FAN_IN), k + 1
+        items, groups, k = packed.where("given").select(*items.columns), after, k + 1
     return reduce(DataFrame.union, done).drop("h", "given")
 
 
