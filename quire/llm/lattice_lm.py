@@ -32,9 +32,40 @@ FREQUENT_WORDS = 1_000_000
 EM_STEPS = 2
 SMOOTHING = 0.5
 KNOWN_WORDS = 1_400_000
+#: Words of more characters are taken in parts of as many.
+LONG = 8_192
 SEED = 42  # of Spark's xxhash64
 
 
+class Windows:
+    """64-bit hashes of all windows of words of one length: a polynomial over code points, finalised."""
+
+    BASE = 0x9E3779B97F4A7C55
+
+    def __init__(self, longest: int):
+        self.longest = longest
+        self.powers = self.inverse = np.ones(0, np.uint64)
+
+    def prefix(self, words: list[str]) -> np.ndarray:
+        """Sums from each word's beginning to each place."""
+        size = len(words[0])
+        if size > len(self.powers):
+            n = max(64, size)
+            self.powers, self.inverse = (np.array([pow(b, i, 1 << 64) for i in range(n)], np.uint64) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        c = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, size).astype(np.uint64) + np.uint64(1)
+        out = np.zeros((len(words), size + 1), np.uint64)
+        np.cumsum(c * self.powers[:size], axis=1, out=out[:, 1:])
+        return out
+
+    def between(self, prefix: np.ndarray, k: int) -> np.ndarray:
+        """Of each word and place the hash of the k characters from there on."""
+        h = (prefix[:, k:] - prefix[:, :-k]) * self.inverse[: prefix.shape[1] - k]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+    def of(self, words: list[str], k: int) -> np.ndarray:
+        return self.between(self.prefix(words), k)
+
+
 class Pieces:
     """The vocabulary: piece to index, then 256 bytes and the end."""
 
@@ -46,8 +77,18 @@ class Pieces:
         rank = np.array([-sp.get_score(sp.piece_to_id(p)) for p in texts])
         self.index = {p: i for i, p in enumerate(texts)}
         self.longest = max(map(len, texts))
-        # a beginning of pieces that is none itself is -1, so that the search for pieces can end early
-        self.known = {p[:k]: -1 for p in texts for k in range(1, len(p))} | self.index
+        self.hashes = Windows(self.longest)
+        self.by_length = {}  # of each length: sorted hashes of its pieces, and their indices
+        for k in sorted(set(map(len, texts))):
+            at = np.array([i for i, p in enumerate(texts) if len(p) == k])
+            h = self.hashes.of([texts[i] for i in at], k)[:, 0]
+            order = np.argsort(h)
+            self.by_length[k] = (h[order], at[order])
+            if len(np.unique(h)) < len(h):
+                raise ValueError("two pieces have one hash")
+        self.filter = np.zeros(1 << 20, bool)
+        for h, _ in self.by_length.values():
+            self.filter[h >> np.uint64(44)] = True
         self.bytes, self.end, self.size = len(texts), len(texts) + 256, len(texts) + 257
         first = 1 / (np.argsort(np.argsort(rank, kind="stable")) + 10.0)
         p = np.concatenate([first, np.full(256, first.min() / 10), [first.max()]])
@@ -59,25 +100,29 @@ def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def edges(v: Pieces, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lattice edges of words of one length: rows of word, end, characters - 1, piece; and the characters that are no piece."""
-    size, get, most, flat, odd = len(words[0]), v.known.get, v.longest, [], []
-    add = flat.append
-    for r, w in enumerate(words):
-        at = r * size
-        for i in range(size):
-            for j in range(i + 1, min(i + most, size) + 1):
-                piece = get(w[i:j])
-                if piece is None:
-                    break
-                if piece >= 0:
-                    add(((at + j - 1) * 64 + j - i - 1) * 65536 + piece)
-            if w[i] not in v.index:
-                odd.append((r, i))
-    code = np.array(flat, np.int64)
-    place, piece = code >> 16, code & 65535
-    end = place >> 6
-    return np.stack([end // size, end % size, place & 63, piece]), odd
+def edges(v: Pieces, words: list[str]) -> tuple[np.ndarray, list]:
+    """Lattice edges of words of one length: rows of word, end, characters - 1, piece; and the characters that are no piece.
+
+    All windows of a length are looked up at once, by 64-bit hash.
+    """
+    size, parts, odd = len(words[0]), [], []
+    prefix = v.hashes.prefix(words)
+    for k, (keys, pieces_) in v.by_length.items():
+        if k > size:
+            break
+        h = v.hashes.between(prefix, k).ravel()
+        at = np.flatnonzero(v.filter[h >> np.uint64(44)])
+        wanted = h[at]
+        found = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[found] == wanted
+        at = at[hit]
+        word, start = np.divmod(at, size - k + 1)
+        parts.append(np.stack([word, start + k - 1, np.full(len(at), k - 1), pieces_[found[hit]]]))
+        if k == 1:
+            none = np.ones(len(h), bool)
+            none[at] = False
+            odd = [divmod(i, size) for i in np.flatnonzero(none).tolist()]
+    return np.concatenate(parts, axis=1), odd
 
 
 def weights(v: Pieces, words: list[str], e: np.ndarray, odd: list, logp: np.ndarray) -> np.ndarray:
@@ -102,10 +147,54 @@ def forward(w: np.ndarray) -> np.ndarray:
     return a
 
 
+def log_sum(ways: np.ndarray) -> float:
+    top = ways.max()
+    return top + math.log(np.exp(ways - top).sum()) if top > -np.inf else -np.inf
+
+
+def long_forward(v: Pieces, logp: np.ndarray, word: str) -> np.ndarray:
+    """``forward`` of one long word: weights are made for LONG ends at a time."""
+    a = np.full(len(word) + 1, -np.inf)
+    a[0] = 0
+    for low in range(0, len(word), LONG):
+        first = max(0, low - v.longest + 1)
+        part = word[first : low + LONG]
+        w = weights(v, [part], *edges(v, [part]), logp)[0]
+        for j in range(low, first + len(part)):
+            k = min(w.shape[1], j + 1)
+            a[j + 1] = log_sum(a[j + 1 - k : j + 1][::-1] + w[j - first, :k])
+    return a
+
+
+def long_expected(v: Pieces, logp: np.ndarray, word: str, total: np.ndarray, count: float) -> None:
+    """Adds the expected pieces of one long word to ``total``: weights are made for LONG beginnings at a time."""
+    a, b = long_forward(v, logp, word), np.full(len(word) + 1, -np.inf)
+    b[-1] = 0
+    for low in range((len(word) - 1) // LONG * LONG, -1, -LONG):
+        part = word[low : low + LONG + v.longest - 1]
+        e, odd = edges(v, [part])
+        w = weights(v, [part], e, odd, logp)[0]
+        own = min(LONG, len(word) - low)
+        for i in range(own - 1, -1, -1):
+            k = np.arange(min(w.shape[1], len(part) - i))
+            b[low + i] = log_sum(w[i + k, k] + b[low + i + k + 1])
+        _, j, k, piece = e[:, e[1] - e[2] < own]
+        mass = np.exp(a[low + j - k] + logp[piece] + b[low + j + 1] - a[-1]) * count
+        total += np.bincount(piece, weights=mass, minlength=v.size)
+        for _, j in odd:
+            if j < own:
+                m = math.exp(a[low + j] + w[j, 0] + b[low + j + 1] - a[-1]) * count
+                for byte in part[j].encode("utf-8", "surrogatepass"):
+                    total[v.bytes + byte] += m
+
+
 def by_length(words, most: int = 4096):
-    """Places of words of equal length, in groups of bounded size."""
+    """Places of words of equal length, in groups of bounded size; long words one by one."""
     groups: dict[int, list[int]] = {}
     for i, w in enumerate(words):
+        if len(w) >= LONG:
+            yield [i]
+            continue
         g = groups.setdefault(len(w), [])
         g.append(i)
         if len(g) * (len(w) + 1) >= most * 8:
@@ -118,6 +207,9 @@ def marginals(v: Pieces, logp: np.ndarray, words: list[str]) -> np.ndarray:
     out = np.zeros(len(words))
     for at in by_length(words):
         part = [MARK + words[i] for i in at]
+        if len(part[0]) > LONG:
+            out[at] = long_forward(v, logp, part[0])[-1]
+            continue
         out[at] = forward(weights(v, part, *edges(v, part), logp))[:, -1]
     return out
 
@@ -127,6 +219,9 @@ def expected(v: Pieces, logp: np.ndarray, words: list[str], counts: np.ndarray)
     total = np.zeros(v.size)
     for at in by_length(words):
         part = [MARK + words[i] for i in at]
+        if len(part[0]) > LONG:
+            long_expected(v, logp, part[0], total, float(counts[at[0]]))
+            continue
         e, odd = edges(v, part)
         w = weights(v, part, e, odd, logp)
         n, size, most = w.shape
@@ -227,17 +322,33 @@ class Scorer:
         """Of each text: the base and model scores of its words, and its words that are not frequent, with how often."""
         if len(self.words) > KNOWN_WORDS:
             self.clear()
-        at = self.at
-        new = set().union(*lists).difference(at)
-        if new:
-            self.learn(sorted(new))
-        for ws in lists:
-            i = np.fromiter(map(at.__getitem__, ws), np.int64, len(ws))
+        get = self.at.get
+        found = [list(map(get, ws)) for ws in lists]
+        late = [k for k, i in enumerate(found) if None in i]
+        if late:
+            self.learn(sorted({w for k in late for w, i in zip(lists[k], found[k], strict=True) if i is None}))
+            for k in late:
+                found[k] = list(map(get, lists[k]))
+        for i in found:
+            i = np.array(i, np.int64)
             r = self.rare[i]
             odd, times = np.unique(i[r], return_counts=True) if r.any() else ((), ())
             yield float(self.base[i[~r]].sum()), float(self.score[i[~r]].sum()), int((~r).sum()), [self.words[k] for k in odd], list(map(int, times))
 
 
+def among_most(counts: DataFrame, most: int) -> Column:
+    """Whether a word is among about ``most`` of the largest counts, at most so many: all from one count on, and a share of the next by hash."""
+    rows = counts.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count("*").alias("c")).collect()
+    room, share, least = most, 0.0, 1 << 62
+    for n, c in sorted(map(tuple, rows), reverse=True):
+        if c > room:
+            share = max(0.0, 0.95 * room / c - 0.001)
+            break
+        room, least = room - c, n
+    below = max((n for n, _ in map(tuple, rows) if n < least), default=0)
+    return (F.col("n") >= least) | ((F.col("n") == below) & (F.pmod(F.xxhash64("word", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)))
+
+
 def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequent: int = FREQUENT_WORDS, steps: int = EM_STEPS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
@@ -259,7 +370,7 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marginals(v, log10p.value, b.column(0).to_pylist()) / math.log(10))], names=["word", "n", "marginal"])
 
     counts = materialise(counts.select("word", "n").mapInArrow(weigh, "word string, n long, marginal double"), "word-scores")
-    top = counts.select(F.xxhash64("word").alias("h"), "n", "marginal", "word").orderBy(F.desc("n"), "word").limit(frequent).select("h", "n", "marginal").toArrow()
+    top = counts.where(among_most(counts, frequent)).select(F.xxhash64("word").alias("h"), "n", "marginal").toArrow()
     h, n, m = (top.column(c).to_numpy() for c in ("h", "n", "marginal"))
     order = np.argsort(h)
     model = spark.sparkContext.broadcast((h[order], n[order], m[order]))
