@@ -97,8 +97,9 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
 def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier:
     """A classifier from at most MAX_POSITIVE confirmed toxic and MAX_UNLABELLED other texts of the training rows.
 
-    Documents are taken in the order of a hash of their id, so the sample does not depend on partitions.
-    Without positives, or without any text, every score is the class prior.
+    Documents are taken in the order of a hash of their id, so the sample does not depend on partitions. Rows with a
+    null id or text are no part of the sample; of an id with several texts all are; empty texts have no feature. Of
+    several labels of an id the highest holds. Without positives, or without any text, every score is the class prior.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.where(is_training & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -139,17 +140,30 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier
             rows = [[index[f] for f in d if f in index] for d in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["part", "at"])
 
-    got = counted.mapInArrow(project, "part string, at array<int>").toArrow()
-    x = {"p": np.zeros((n, len(features)), np.uint8), "u": np.zeros((m, len(features)), np.uint8)}
-    seen = Counter()
-    for part, at in sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), strict=True)):
-        x[part][seen[part], at] = 1
-        seen[part] += 1
-    return Classifier(features, *nnpu(x["p"], x["u"], prior))
+    def fit(batches):
+        x = {"p": np.zeros((n, len(features)), np.uint8), "u": np.zeros((m, len(features)), np.uint8)}
+        seen, rows = Counter(), []
+        for b in batches:
+            rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+        for part, at in sorted(rows):
+            x[part][seen[part], at] = 1
+            seen[part] += 1
+        w, bias = nnpu(x["p"], x["u"], prior)
+        yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["weights", "bias"])
+
+    # the sample is bounded, MAX_POSITIVE + MAX_UNLABELLED rows of at most MAX_FEATURES numbers: one task fits it
+    got = counted.mapInArrow(project, "part string, at array<int>").repartition(1).mapInArrow(fit, "weights array<double>, bias double").first()
+    return Classifier(features, np.array(got["weights"]), got["bias"])
 
 
 def classify(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted (and ``keep`` columns) of every whole text; null and empty texts get the bias alone."""
+    """doc_id, score, predicted (and ``keep`` columns) of every whole text; null and empty texts get the bias alone.
+
+    Rows that repeat, and null or repeated ids, each stay a row. A ``keep`` column that is named as a result is an
+    error; other columns are not read.
+    """
+    if clash := {"score", "predicted"}.intersection(keep):
+        raise ValueError(f"columns named as results cannot be kept: {sorted(clash)}")
     model = docs.sparkSession.sparkContext.broadcast(classifier)
     fields = ["doc_id", *keep]
     chosen = docs.select(*fields, *([] if "text" in fields else [F.col("text").cast("string").alias("text")]))
