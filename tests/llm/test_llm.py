@@ -194,6 +194,33 @@ def test_rare_language_is_calibrated(spark, monkeypatch):
     assert c.drop_unidentified(spark, none, SF).count() == len(rows)
 
 
+def test_kneser_ney_equals_the_recursion():
+    texts = ["abab abba cab", "baab ca", "ccb abc"]
+    padded = ["   " + t + " " for t in texts]
+    four = Counter(t[k : k + 4] for t in padded for k in range(len(t) - 3))
+    orders = {4: four}
+    for k in (3, 2, 1):
+        orders[k] = Counter(g[1:] for g in orders[k + 1])
+
+    def p(gram):
+        if not gram:
+            return 1 / m.alphabet
+        c = orders[len(gram)]
+        followers = {g: n for g, n in c.items() if g[:-1] == gram[:-1]}
+        if not followers:
+            return p(gram[1:])
+        ones, twos = sum(n == 1 for n in c.values()), sum(n == 2 for n in c.values())
+        d, total = (min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5), sum(followers.values())
+        return max(followers.get(gram, 0) - d, 0) / total + d * len(followers) / total * p(gram[1:])
+
+    grams, counts = np.unique(langid.codes(texts)[0], return_counts=True)
+    m = langid.KneserNey(grams, counts, 5)
+    new = "abc cabz ba"
+    got = m.log2(langid.codes([new])[0])
+    padded = "   " + new + " "
+    assert np.allclose(got, [math.log2(p(padded[k : k + 4])) for k in range(len(padded) - 3)])
+
+
 def test_kneser_ney_sums_to_one():
     grams, _ = langid.codes(["abab abba", "baab"])
     g, n = np.unique(grams, return_counts=True)
@@ -203,11 +230,11 @@ def test_kneser_ney_sums_to_one():
     assert np.exp2(m.log2(np.array([context | c for c in letters], np.uint64))).sum() == pytest.approx(1)
 
 
-def brute_groups(rows, percent=90):
+def brute_groups(rows, percent=90, words=3):
     sets = []
     for i, t in rows:
         w = WORD.findall((t or "").translate(LOWER))
-        sets.append((i, {tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) > 2 else {tuple(w)} if w else set()))
+        sets.append((i, {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)} if w else set()))
     parent, lists = list(range(len(sets))), defaultdict(list)
 
     def find(x):
@@ -253,13 +280,63 @@ def test_similarity_join(spark, odd, docs):
     assert jaccard.link(d.limit(0)).count() == 0
 
 
+def test_near_copies_of_five_words(spark):
+    rows = near_copies(12, 0, 3, 1, 0) + near_copies(200, 3, 40, 2, 100) + near_copies(200, 9, 40, 3, 200) + near_copies(40, 1, 20, 4, 300) + near_copies(3000, 90, 12, 5, 400)
+    rows += [(500 + i, " ".join([*(f"p{j}" for j in range(60)), *(f"u{i}x{j}" for j in range(60))])) for i in range(40)]
+    rows += [(600, "a b c d"), (601, "A B c d"), (602, None), (None, "a b c d"), (603, "")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter(tuple(r) for r in jaccard.link(d, words=5, percent=80).select("doc_id", "n_shingles", "component_id").collect())
+    want = brute_groups(rows, percent=80, words=5)
+    assert got == want, ((got - want), (want - got))
+
+
+def test_long_texts_are_shingled_in_blocks(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [" ".join("".join(rng.choice(list("abcé \n"), 9)) for _ in range(rng.integers(0, 200))).encode() for _ in range(20)] + [b"", b" ", b"x" * 3000, b"a b " * 2000]
+    whole = jaccard.Shingler(3).sets(texts)
+    monkeypatch.setattr(jaccard, "BLOCK", 64)
+    assert all(np.array_equal(a, b) for a, b in zip(whole, jaccard.Shingler(3).sets(texts), strict=True))
+
+
+def test_texts_of_megabytes(spark):
+    long = " ".join(f"w{i % 5003} x{i % 4999}" for i in range(400_000))
+    d = spark.createDataFrame([(1, long), (2, long + " end"), (3, "y" * 1_500_000), (4, "short text")], "doc_id long, text string")
+    assert sorted(r["component_id"] for r in jaccard.link(d).collect()) == [1, 1, 3, 4]
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = {r["doc_id"]: r["n_tokens"] for r in bpe_count.count_tokens(d.where("doc_id in (1, 4)"), PIECES).collect()}
+    assert got == {1: len(sp.encode(long)), 4: len(sp.encode("short text"))}
+    scored = {r["doc_id"]: r for r in lattice_lm.score_documents(d.where("doc_id in (3, 4)"), PIECES, F.lit(True), steps=1).collect()}
+    assert scored[3]["n_tokens"] == 2 and math.isfinite(scored[3]["score"]) and scored[3]["score"] < scored[4]["score"]
+    packed = packing.pack_documents(d, WORDS)
+    assert packed.where("length > 2048").isEmpty() and packed.where("doc_id = 1").agg(F.sum("length")).first()[0] == len(Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids) + 1
+
+
+def test_word_tokenizer_equals_library():
+    t, library, rng = packing.WordTokenizer(WORDS), Tokenizer.from_file(WORDS), np.random.default_rng(1)
+    assert t.by_word
+    parts = [*"aAbBzÜüßÿÀÖØøœ'.,#<|>_ -!?09é́İſKÅ\x1c", "'s", "<|endoftext|>", "<|startoftext|>", "ab", "\u2003", "\n"]
+    texts = ["".join(rng.choice(parts, rng.integers(1, 25))) for _ in range(3000)] + ["x" * 3000, "straßenüberführung", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in t.ids(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_are_encoded_whole():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, library = packing.WordTokenizer(path), Tokenizer.from_file(path)
+    texts = ["Some Text,  with spaces", "", "abc\n\nABC"]
+    assert not t.by_word and [np.frombuffer(x, "<u4").tolist() for x in t.ids(texts)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_parity_sketch_is_a_lower_bound():
     rng = np.random.default_rng(3)
-    for _ in range(50):
-        s = np.unique(rng.integers(0, 1 << 63, 500, np.uint64))
+    for size in [500] * 25 + [1000] * 25:
+        s = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
         t = np.unique(np.r_[s[20:], rng.integers(0, 1 << 63, 30, np.uint64)])
-        bits = sum(int(x).bit_count() for x in (jaccard.parity_sketch(s) ^ jaccard.parity_sketch(t)).view(np.uint64))
-        assert bits <= len(np.setxor1d(s, t))
+        a, b = jaccard.parity_sketch(s), jaccard.parity_sketch(t)
+        while len(a) != len(b):  # one is folded to the size of the other
+            a, b = (a[: len(a) // 2] ^ a[len(a) // 2 :], b) if len(a) > len(b) else (a, b[: len(b) // 2] ^ b[len(b) // 2 :])
+        bits = sum(int(x).bit_count() for x in (a ^ b).view(np.uint64))
+        short = sum(int(x).bit_count() for x in (jaccard.fold(a) ^ jaccard.fold(b)).view(np.uint64))
+        assert short <= bits <= len(np.setxor1d(s, t))
 
 
 def test_transducer_equals_library(spark, odd, texts):
@@ -298,6 +375,46 @@ def test_lattice_forward_is_the_sum_over_segmentations():
     assert 2 <= e.sum() <= 6
 
 
+def segmentations(v, word):
+    """All ways of a word over pieces, and over bytes where a character is no piece."""
+    if not word:
+        return [()]
+    ways = [(v.index[word[:k]], *rest) for k in range(1, len(word) + 1) if word[:k] in v.index for rest in segmentations(v, word[k:])]
+    if word[0] not in v.index:
+        ways += [(*(v.bytes + b for b in word[0].encode()), *rest) for rest in segmentations(v, word[1:])]
+    return ways
+
+
+def test_expectation_maximisation_equals_enumeration(spark):
+    v = lattice_lm.pieces(PIECES)
+    counts = {"the": 5, "there": 2, "ab": 1, "é😀x": 3, "rare": 1}
+    rows = spark.createDataFrame(list(counts.items()), "word string, n long")
+    logp, ends = v.start, 4
+    for _ in range(2):
+        mass = np.zeros(v.size)
+        for w, n in counts.items():
+            ways = segmentations(v, "▁" + w)
+            p = np.array([math.exp(sum(logp[i] for i in way)) for way in ways])
+            for way, x in zip(ways, n * p / p.sum(), strict=True):
+                for i in way:
+                    mass[i] += x
+        mass[v.end] += ends
+        p = mass + lattice_lm.SMOOTHING * np.exp(v.start) * v.size
+        logp = np.log(p / p.sum())
+    got = lattice_lm.fit_pieces(rows, ends, PIECES, steps=2)
+    assert np.allclose(got, logp, rtol=0, atol=1e-9)
+    for w in counts:
+        assert lattice_lm.marginals(v, got, [w])[0] == pytest.approx(math.log(sum(math.exp(sum(got[i] for i in way)) for way in segmentations(v, "▁" + w))))
+
+
+def test_long_words_in_parts(monkeypatch):
+    v = lattice_lm.pieces(PIECES)
+    words = ["ab" * 90, "日本😀the" * 30, "x" * 101]
+    whole, mass = lattice_lm.marginals(v, v.start, words), lattice_lm.expected(v, v.start, words, np.ones(3))
+    monkeypatch.setattr(lattice_lm, "LONG", 50)
+    assert np.allclose(lattice_lm.marginals(v, v.start, words), whole) and np.allclose(lattice_lm.expected(v, v.start, words, np.ones(3)), mass)
+
+
 @pytest.mark.parametrize("frequent", [10, 10**6])
 def test_lattice_scores(odd, docs, frequent):
     for d in (docs, odd):
@@ -340,6 +457,75 @@ def test_toxicity(spark, docs, odd):
     assert {r["predicted"] for r in toxicity.classify(odd, none).collect()} == {0}
 
 
+def test_non_negative_risk_is_least():
+    rng = np.random.default_rng(2)
+    prior = 0.2
+    positive = (rng.random((400, 1)) < 0.9).astype(np.uint8)
+    unlabelled = (rng.random((2000, 1)) < 0.2 * 0.9 + 0.8 * 0.1).astype(np.uint8)
+
+    def risk(w, b):
+        gp, gu = positive[:, 0] * w + b, unlabelled[:, 0] * w + b
+        return prior * np.logaddexp(0, -gp).mean() + max(0.0, np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean())
+
+    w, b = toxicity.nnpu(positive, unlabelled, prior)
+    assert risk(float(w[0]), b) <= min(risk(x, y) for x in np.linspace(-8, 8, 81) for y in np.linspace(-8, 8, 81)) + 0.005
+
+
+#: Columns of each query's contract, in order.
+COLUMNS = {
+    "op3": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"], "op4": ["query_id", "rank", "vec_id", "score"], "op5": ["doc_id", "held_out", "lang_pred", "score"], "op6": ["doc_id", "n_shingles", "component_id"],
+    "op8": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"], "op9": ["doc_id", "held_out", "score", "predicted"], "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+}
+
+
+@pytest.mark.parametrize("n", sorted(COLUMNS))
+def test_queries_keep_their_contract(spark, docs, n):
+    name = next(q for q in registry.queries() if q.startswith(n + "_"))
+    got = materialise(registry.queries()[name](spark, SF), "contract")
+    assert got.columns[: len(COLUMNS[n])] == COLUMNS[n]
+    rows = got.collect()
+    fold = {"op5": (4, 2), "op8": (7, 2), "op9": (5, 0)}.get(n)
+    if fold:
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % fold[0] == fold[1]) for r in rows)
+    if n not in ("op3", "op4"):
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+    if n == "op6":
+        assert Counter(tuple(r)[:3] for r in rows) == brute_groups([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    if n == "op3":
+        assert Counter(tuple(r)[:5] for r in rows) == brute_pieces([tuple(r) for r in docs.select("doc_id", "text").collect()])
+    if n == "op5":
+        held = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+        right = [r["lang_pred"] == held[r["doc_id"]] for r in rows if r["held_out"]]
+        assert sum(right) / len(right) > 0.95
+    if n == "op10":
+        sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+        want = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+        assert all((r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(want[r["doc_id"]].encode()), len(sp.encode(want[r["doc_id"]])), len(sp.encode(want[r["doc_id"]])) > 4096) for r in rows)
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    import corpus_pipeline as c
+
+    names = ["score", "predicted", "lang_pred", "bits_per_char", "rejected", "fingerprint", "node", "component", "n", "kept_row", "a b", "near_copies_id"]
+    rows = [(i, f"plain words of a text number {i} that say little and are all alike {i * 7}", "en", *[f"{x}{i}" for x in names]) for i in range(60)] + [(None, None, None, *names), (3, "", "en", *names)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"`{x}` string" for x in names))
+    for _, stage in c.STAGES[:-1]:
+        out = stage(spark, d, SF)
+        assert out.columns == d.columns
+        assert {tuple(r) for r in out.collect()} <= set(rows) and stage(spark, d.limit(0), SF).count() == 0
+
+
+def test_run_equals_its_stages_by_hand(spark, docs, texts):
+    """run(): what is packed is what toxicity and language leave, one of each brute-force group, all of it and whole."""
+    import corpus_pipeline as c
+
+    got = materialise(c.run(spark, SF), "run")
+    left = c.drop_unidentified(spark, materialise(c.drop_toxic(spark, docs, SF), "t"), SF)
+    ids = {r["doc_id"] for r in left.select("doc_id").collect()}
+    keep = {g for _, _, g in brute_groups([(i, texts[i]) for i in ids], percent=80, words=5)}
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got.collect()) == brute_pieces([(i, texts[i]) for i in keep])
+
+
 def test_pipeline_stages(spark, docs, texts):
     import corpus_pipeline as c
 
@@ -351,7 +537,7 @@ def test_pipeline_stages(spark, docs, texts):
         after = [r["doc_id"] for r in now.select("doc_id").collect()]
         assert now.columns == docs.columns and set(after) <= before and len(after) == len(set(after))
         if name == "near_copies":
-            left = brute_groups([(i, texts[i]) for i in before])
+            left = brute_groups([(i, texts[i]) for i in before], percent=80, words=5)
             assert set(after) == {g for _, _, g in left}
         if name == "toxicity":
             assert sum(labels.get(i) == 0 for i in before - set(after)) <= 1
