@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,39 +12,62 @@ from quire.llm import jaccard, langid, packing, toxicity
 from quire.llm.common import materialise, remainder, table
 
 
+#: Near copies: shingles of five words, a similarity of 80 per cent.
+WORDS, PERCENT = 5, 80
+
+
+def where(docs: DataFrame, judge: Callable[..., DataFrame], condition: str) -> DataFrame:
+    """The rows whose result of ``judge(docs, keep=...)`` meets the condition.
+
+    Other columns than doc_id and text pass it under names of their own, so that none clashes with a result.
+    """
+    names = {c: c if c in ("doc_id", "text") else f"passing_{k}" for k, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    kept = judge(plain, keep=tuple(n for n in names.values() if n != "doc_id")).where(condition)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier rejects go."""
+    """Documents that the toxicity classifier rejects go.
+
+    Null and empty texts stay unless the class prior alone rejects; null ids, repeated rows and further columns of
+    any name are kept as they are; an empty table stays empty.
+    """
     training = F.coalesce(remainder("doc_id", 5) != 0, F.lit(True))
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), training)
-    kept = toxicity.classify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where("predicted = 0").select(*docs.columns)
+    return where(docs, lambda d, keep: toxicity.classify(d, model, keep), "predicted = 0")
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the calibrated models reject go; without a model all stay."""
+    """Documents whose language the calibrated models reject go; without a model all stay.
+
+    Null and empty texts, and texts without a letter, have no language and go. Null ids, repeated rows and further
+    columns of any name are kept as they are; an empty table stays empty.
+    """
     training = F.coalesce(remainder("doc_id", 4) != 2, F.lit(True))
     model = langid.train(docs, training)
     if not model.languages:
         return docs
-    kept = langid.identify(docs, model, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    return kept.where("not rejected").select(*docs.columns)
+    return where(docs, lambda d, keep: langid.identify(d, model, keep), "not rejected")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the row of the smallest id, then text fingerprint, stays.
 
-    Rows without a word link with nothing and stay. Rows that repeat id and text stay once.
+    Documents link when their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Rows without a
+    word link with nothing and stay. Rows that repeat id and text stay once; different texts of one id, or of null
+    ids, are different documents. Further columns may have any name; an empty table stays empty.
     """
     # partial sums drop repeats before the shuffle, whose keys the join then has too
     keys = ["near_copies_id", "near_copies_no_id", "near_copies_fingerprint"]
     keyed = lambda df, fingerprint: df.withColumns(dict(zip(keys, [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), fingerprint], strict=True)))
-    kept = keyed(jaccard.representatives(docs), F.col("fingerprint")).select(*keys)
+    kept = keyed(jaccard.representatives(docs, words=WORDS, percent=PERCENT), F.col("fingerprint")).select(*keys)
     rows = keyed(docs, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(keys)
     return rows.join(kept, keys, "left_semi").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents left, packed into sequences."""
+    """The documents left, packed into sequences; null texts are empty ones, and each row is its own document."""
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
