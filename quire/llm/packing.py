@@ -34,6 +34,8 @@ CASELESS_WORDS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
     [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}],
 )
+#: Merging step by step takes time with the square of a word's length: longer words go to the library.
+LONGEST = 64
 #: Marks, letters of which normalising changes none, marks: each run is a token group by itself.
 _PARTS = re.compile(r"([!-&(-/:-@\[-`{-~]*)([a-z\xdf-\xf6\xf8-\xff]*)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -134,7 +136,7 @@ class WordTokenizer:
         split, odd = {}, set()
         for w in words:
             m = _PARTS(w.lower())
-            if m and "<|" not in w:
+            if m and "<|" not in w and len(w) <= LONGEST:
                 split[w] = m.groups()
             else:
                 odd.add(w)
