@@ -8,8 +8,31 @@ from pyspark.sql import functions as F
 from quire.functions.text import round_half_up
 
 ACTIVE = ["queued", "running"]
-#: Stage, its label and its progress.
-STAGES = [("queued", "等待处理", 0), ("parsing", "正在解析", 10), ("ocr", "正在识别", 20), ("formatting", "正在排版", 10), ("format_complete", "排版完成", 100), ("mapping", "正在分段分析", 10), ("reducing", "正在综合", 82), ("anchoring", "正在核对原文", 94), ("completed", "分析完成", 100), ("failed", "处理失败", 0)]
+#: Stage, its label and its progress; null progress comes from the share done.
+STAGES = [
+    ("uploaded", "已上传，等待解析", 2),
+    ("extracting_text", "提取 PDF 文字层", 12),
+    ("awaiting_ocr", "等待 AI OCR", 100),
+    ("kimi_ocr", "AI 正在识别页面", None),
+    ("formatting", "整理文档结构", 10),
+    ("format_complete", "文档结构整理完成", 100),
+    ("ocr_failed", "识别过程遇到问题", 0),
+    ("parse_failed", "PDF 解析失败", 0),
+    ("preparing_sections", "准备分析章节", 8),
+    ("analyzing_full_text", "AI 正在全文分析", 15),
+    ("analyzing_sections", "AI 正在逐段分析", None),
+    ("analyzing_judgment_sections", "AI 正在逐段分析", None),
+    ("synthesizing_argument", "AI 正在综合论证结构", 82),
+    ("synthesizing_judgment", "AI 正在综合裁判结构", 82),
+    ("finalizing_anchors", "AI 正在关联原文依据", 94),
+    ("finalizing_judgment_anchors", "AI 正在关联原文依据", 94),
+    ("analysis_ready", "AI 阅读辅助已就绪", 100),
+    ("analysis_failed", "AI 分析失败", 0),
+    ("review", "可阅读", 0),
+    ("ready", "可阅读 · AI 辅助就绪", 0),
+]
+#: The stage whose progress is all of the share done; of the others it is 10 to 75.
+RECOGNISING = "kimi_ocr"
 
 
 def job_rollup(page_results: DataFrame, totals: DataFrame | None = None) -> DataFrame:
@@ -66,8 +89,9 @@ def ocr_doc_status(rollup: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def progress_stage(jobs: DataFrame) -> DataFrame:
-    """Adds stage_label and value; while mapping the value is 10 + round(65 * done / total)."""
-    dim = F.broadcast(jobs.sparkSession.createDataFrame(STAGES, "stage string, stage_label string, base int"))  # ten rows
+    """Adds stage_label and value. A stage without a label is its own; pages recognised count fully, sections from 10 to 75."""
+    dim = F.broadcast(jobs.sparkSession.createDataFrame(STAGES, "stage string, stage_label string, base int"))  # twenty rows
     share = F.when(F.col("total") > 0, F.col("done") / F.col("total")).otherwise(0.0)
-    value = F.when(F.col("stage") == "mapping", F.lit(10) + round_half_up(65 * share)).otherwise(F.coalesce("base", F.lit(0)))
-    return jobs.join(dim, "stage", "left").withColumn("value", value.cast("int")).drop("base")
+    by_share = F.when(F.col("stage") == RECOGNISING, round_half_up(100 * share)).otherwise(F.lit(10) + round_half_up(65 * share))
+    value = F.when(F.col("stage_label").isNull(), 0).otherwise(F.coalesce(F.col("base").cast("long"), by_share))
+    return jobs.join(dim, "stage", "left").withColumn("value", value.cast("int")).withColumn("stage_label", F.coalesce("stage_label", "stage")).drop("base")

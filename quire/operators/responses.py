@@ -14,10 +14,25 @@ from quire.functions.text import clamp, head, strip
 
 NODE_SCHEMA = "title string, role string, attribution string, summary string, reasons array<string>, sourceBlockIds array<string>, candidateIds array<string>, confidence double"
 ISSUE_SCHEMA = "title string, stage string, claim string, courtFact string, evidence array<string>, laws array<string>, reasoning string, conclusion string, sourceBlockIds array<string>, candidateIds array<string>, confidence double"
-READING_SCHEMA = "legalQuestion string, summary string, approach string, framework string, sourceBlockIds array<string>"
+READING_SCHEMA = "legalQuestion string, summary string, analysisApproach string, framework array<string>, sourceBlockIds array<string>"
+SECTION_SCHEMA = f"sectionId string, title string, confidence double, {READING_SCHEMA}"
+SUMMARY_SCHEMA = "surfaceTopic string, coreQuestion string, coreConclusion string, paradigm string, boundary string"
 CASE_SCHEMA = "caseNumber string, court string, cause string, documentType string, procedure string, decisionDate string, result string"
-#: Words that mark the issue in dispute.
-DISPUTE = "争议|焦点"
+
+
+def struct_of(fields: str) -> str:
+    """The fields of a flat schema, "name type, ...", as a struct type."""
+    return "struct<" + ",".join(f.replace(" ", ":", 1) for f in fields.split(", ")) + ">"
+
+
+#: What a model may answer about a paper and about a judgment, in any stage.
+PAPER_RESPONSE = f"sectionSummary string, sectionAnalysis {struct_of(READING_SCHEMA)}, nodes array<{struct_of(NODE_SCHEMA)}>, sectionAnalyses array<{struct_of(SECTION_SCHEMA)}>, documentAnalysis {struct_of(READING_SCHEMA + ', confidence double')}, documentSummary {struct_of(SUMMARY_SCHEMA)}, warnings array<string>"
+JUDGMENT_RESPONSE = f"caseSummary {struct_of(CASE_SCHEMA)}, issues array<{struct_of(ISSUE_SCHEMA)}>, warnings array<string>"
+#: What stands in for a missing name, the mark of an issue in dispute, and an issue's first state.
+NODE, CHUNK_NODE, ISSUE, SECTION = "分析节点 ", "章节节点 ", "裁判节点 ", "一级标题 "
+ROLE, ATTRIBUTION, STAGE = "论证展开", "作者观点", "法院说理"
+DOCUMENT_TYPE, PROCEDURE, PARADIGM, WHOLE = "裁判文书", "待确认", "待确认", "全文"
+DISPUTE, PENDING = "争议", "待读取"
 
 
 def strings(c: Column, most: int, length: int = 1600) -> Column:
@@ -25,9 +40,23 @@ def strings(c: Column, most: int, length: int = 1600) -> Column:
     return F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: head(strip(x), length)), lambda x: x != ""), 1, most)
 
 
-def text_of(c: Column, most: int, default: str = "") -> Column:
-    t = head(strip(c), most)
-    return F.when(t == "", default).otherwise(t) if default else t
+def said(c: Column, most: int, *defaults) -> Column:
+    """The text as it is, or the first default that is there if it is missing (not if it is empty), cut to ``most``."""
+    return head(F.coalesce(c, *[d if isinstance(d, Column) else F.lit(d) for d in defaults], F.lit("")), most)
+
+
+def filled(c: Column, *defaults) -> Column:
+    """The text without white space at its ends, or the first default that is not blank."""
+    return F.coalesce(*[F.nullif(strip(d if isinstance(d, Column) else F.lit(d)), F.lit("")) for d in (c, *defaults)], F.lit(""))
+
+
+def numbered(label: str, ord_: str = "ord") -> Column:
+    return F.concat(F.lit(label), (F.col(ord_) + 1).cast("string"))
+
+
+def listed(c) -> Column:
+    """A list of texts, empty where there is none."""
+    return F.coalesce(c, F.array().cast("array<string>"))
 
 
 def parse_json_lenient(df: DataFrame, schema: str, raw: str = "raw") -> DataFrame:
@@ -51,9 +80,9 @@ def dead_letters(parsed: DataFrame) -> DataFrame:
 
 
 def valid_ids(rows: DataFrame, ids: str, allowed: DataFrame, keys: list[str], most: int, allowed_ids: str = "block_ids") -> DataFrame:
-    """``ids`` cut to those in the allowed list of the same keys, each once, in order, at most ``most``."""
+    """``ids`` cut to those in the allowed list of the same keys, in order, at most ``most``."""
     j = rows.join(allowed.select(*keys, F.col(allowed_ids).alias("_allowed")), keys, "left")
-    inside = F.array_distinct(F.filter(F.coalesce(ids, F.array().cast("array<string>")), lambda x: F.array_contains(F.coalesce("_allowed", F.array().cast("array<string>")), x)))
+    inside = F.filter(listed(ids), lambda x: F.array_contains(listed("_allowed"), x))
     return j.withColumn(ids, F.slice(inside, 1, most)).drop("_allowed")
 
 
@@ -62,19 +91,35 @@ def _confidence(c: Column, default) -> Column:
 
 
 def normalize_map_nodes(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Candidates from map responses (parsed.nodes): at most 7 a chunk, named candidate ``{chunk}-n{pos}``."""
+    """Candidates from map responses (parsed.nodes): at most 7 a chunk, named ``{chunk}-node-{n}``; one with neither summary nor id goes."""
     n = parsed.select("doc_id", "chunk_id", F.posexplode("parsed.nodes").alias("ord", "n")).where("ord < 7")
-    r = n.select("doc_id", "chunk_id", "ord", F.concat_ws("-n", "chunk_id", (F.col("ord") + 1).cast("string")).alias("candidate_id"), text_of(F.col("n.title"), 100, "未命名节点").alias("title"), text_of(F.col("n.role"), 40, "论点").alias("role"), text_of(F.col("n.attribution"), 40, "作者观点").alias("attribution"), text_of(F.col("n.summary"), 1600).alias("summary"), strings(F.col("n.reasons"), 8).alias("reasons"), F.col("n.sourceBlockIds").alias("block_ids"), _confidence(F.col("n.confidence"), 70).alias("confidence_pct"))
+    r = n.select(
+        "doc_id", "chunk_id", "ord", F.concat_ws("-node-", "chunk_id", (F.col("ord") + 1).cast("string")).alias("candidate_id"),
+        said(F.col("n.title"), 100, numbered(CHUNK_NODE)).alias("title"), said(F.col("n.role"), 40, ROLE).alias("role"), said(F.col("n.attribution"), 40, ATTRIBUTION).alias("attribution"),
+        said(F.col("n.summary"), 1600).alias("summary"), F.slice(listed("n.reasons"), 1, 8).alias("reasons"), F.col("n.sourceBlockIds").alias("block_ids"), _confidence(F.col("n.confidence"), 70).alias("confidence_pct"),
+    )
     r = valid_ids(r, "block_ids", chunks, ["doc_id", "chunk_id"], 16)
-    return r.where((F.col("summary") != "") | (F.size("block_ids") > 0))
+    return _placed(r.where((F.col("summary") != "") | (F.size("block_ids") > 0)), chunks)
+
 
+def _placed(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
+    """With ``chunk_ord``, the place of the chunk in its document."""
+    return candidates.join(chunks.select("doc_id", "chunk_id", F.col("ord").alias("chunk_ord")), ["doc_id", "chunk_id"], "left")
 
-def normalize_chunk_reading(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One reading row per map response (parsed.reading); without valid ids the chunk's first 20 count."""
-    r = parsed.select("doc_id", "chunk_id", text_of(F.col("parsed.reading.legalQuestion"), 600).alias("legal_question"), text_of(F.col("parsed.reading.summary"), 1600).alias("summary"), text_of(F.col("parsed.reading.approach"), 800).alias("approach"), text_of(F.col("parsed.reading.framework"), 800).alias("framework"), F.col("parsed.reading.sourceBlockIds").alias("block_ids"))
-    r = valid_ids(r, "block_ids", chunks, ["doc_id", "chunk_id"], 80)
-    c = chunks.select("doc_id", "chunk_id", "section_id", "title", "start_page", "end_page", F.col("ord").alias("chunk_ord"), F.col("block_ids").alias("all_ids"))
-    return r.join(c, ["doc_id", "chunk_id"]).withColumn("block_ids", F.when(F.size("block_ids") == 0, F.slice("all_ids", 1, 20)).otherwise(F.col("block_ids"))).drop("all_ids")
+
+def normalize_chunk_reading(parsed: DataFrame, chunks: DataFrame, blocks: DataFrame) -> DataFrame:
+    """One reading row per map response (parsed.sectionAnalysis); without valid ids the chunk's first 20 paragraphs count."""
+    a = "parsed.sectionAnalysis"
+    r = parsed.select(
+        "doc_id", "chunk_id", said(F.col(f"{a}.legalQuestion"), 1600).alias("legal_question"), said(F.col(f"{a}.summary"), 2200, F.col("parsed.sectionSummary")).alias("summary"),
+        said(F.col(f"{a}.analysisApproach"), 1800).alias("approach"), strings(F.col(f"{a}.framework"), 14).alias("framework"), strings(F.col(f"{a}.sourceBlockIds"), 30).alias("block_ids"),
+    )
+    r = valid_ids(r, "block_ids", chunks, ["doc_id", "chunk_id"], 30)
+    c = chunks.select("doc_id", "chunk_id", "section_id", "title", "start_page", "end_page", F.col("ord").alias("chunk_ord"), "block_ids")
+    e = c.select("doc_id", "chunk_id", F.posexplode("block_ids").alias("p", "block_id")).join(blocks.where("block_type = 'paragraph'").select("doc_id", "block_id"), ["doc_id", "block_id"])
+    first = e.groupBy("doc_id", "chunk_id").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("p", "block_id"))), lambda x: x["block_id"]), 1, 20).alias("paragraphs"))
+    j = r.join(c.drop("block_ids"), ["doc_id", "chunk_id"]).join(first, ["doc_id", "chunk_id"], "left")
+    return j.withColumn("block_ids", F.when(F.size("block_ids") == 0, listed("paragraphs")).otherwise(F.col("block_ids"))).drop("paragraphs")
 
 
 def anchors(rows: DataFrame, ids: str, blocks: DataFrame, keys: list[str]) -> DataFrame:
@@ -87,66 +132,124 @@ def anchors(rows: DataFrame, ids: str, blocks: DataFrame, keys: list[str]) -> Da
 
 
 def _inherit(final: DataFrame, candidates: DataFrame, fields: list[str]) -> DataFrame:
-    """For each final row, its candidates in the order named: first non-blank texts, joined lists."""
-    lists = [f.name for f in candidates.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    c = candidates.select("doc_id", "candidate_id", *[F.col(f).alias(f"c_{f}") for f in fields])
-    e = final.select("doc_id", "ord", F.posexplode_outer("candidate_ids").alias("p", "candidate_id")).join(c, ["doc_id", "candidate_id"], "left")
-    agg = [F.transform(F.array_sort(F.collect_list(F.when(F.col(f"c_{f}").isNotNull(), F.struct("p", F.col(f"c_{f}").alias("v"))))), lambda x: x["v"]).alias(f"c_{f}") for f in fields]
-    g = e.groupBy("doc_id", "ord").agg(*agg)
-    for f in fields:
-        g = g.withColumn(f"c_{f}", F.array_distinct(F.flatten(f"c_{f}")) if f in lists else F.get(F.filter(f"c_{f}", lambda x: x.cast("string") != ""), F.lit(0)))
-    return final.join(g, ["doc_id", "ord"], "left")
+    """Adds ``inherited``: the candidates that a final row names, in that order; names without a candidate drop out."""
+    c = candidates.select("doc_id", "candidate_id", F.struct(*fields, "block_ids", "confidence_pct").alias("c"))
+    e = final.select("doc_id", "ord", F.posexplode("candidate_ids").alias("p", "candidate_id")).join(c, ["doc_id", "candidate_id"])
+    g = e.groupBy("doc_id", "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "c"))), lambda x: x["c"]).alias("inherited"))
+    return final.join(g, ["doc_id", "ord"], "left").withColumn("inherited", F.coalesce("inherited", F.array().cast(g.schema["inherited"].dataType)))
 
 
-def synthesize_nodes(parsed: DataFrame, candidates: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
-    """Final nodes of a document: at most 16 from the reduce response, else the first 12 candidates.
+def _first_candidates(candidates: DataFrame, final: DataFrame, most: int) -> DataFrame:
+    """The first candidates of documents without final rows, as final rows that name themselves."""
+    order = Window.partitionBy("doc_id").orderBy("chunk_ord", "ord")
+    spare = candidates.join(final.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("rn", F.row_number().over(order) - 1).where(F.col("rn") < most)
+    return spare.withColumn("ord", F.col("rn")).withColumn("confidence", F.col("confidence_pct")).withColumn("candidate_ids", F.array("candidate_id")).withColumn("own_ids", F.col("block_ids")).select(*final.columns)
 
-    Ids are those of the candidates named and the row's own, if they exist in the document, at most 20.
-    """
-    f = parsed.where(F.col("stage") == stage).select("doc_id", F.posexplode("parsed.nodes").alias("ord", "n")).where("ord < 16")
-    final = f.select("doc_id", "ord", *[F.col(f"n.{c}").alias(c) for c in ("title", "role", "attribution", "summary", "reasons", "confidence")], F.col("n.candidateIds").alias("candidate_ids"), F.col("n.sourceBlockIds").alias("own_ids"))
-    order = Window.partitionBy("doc_id").orderBy("chunk_id", "ord")
-    spare = candidates.join(final.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("rn", F.row_number().over(order) - 1).where("rn < 12")
-    spare = spare.select("doc_id", F.col("rn").alias("ord"), "title", "role", "attribution", "summary", "reasons", F.col("confidence_pct").alias("confidence"), F.array("candidate_id").alias("candidate_ids"), F.array().cast("array<string>").alias("own_ids"))
-    j = _inherit(final.unionByName(spare), candidates, ["title", "role", "attribution", "summary", "reasons", "block_ids"])
-    j = j.withColumn("ids", F.slice(F.array_distinct(F.concat(F.coalesce("c_block_ids", F.array().cast("array<string>")), F.coalesce("own_ids", F.array().cast("array<string>")))), 1, 400))
-    a = anchors(j, "ids", blocks, ["doc_id", "ord"]).withColumn("source_anchors", F.slice("source_anchors", 1, 20))
-    own = lambda c, n, d: text_of(F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.col(f"c_{c}")), n, d)
+
+def _finish(rows: DataFrame, blocks: DataFrame, most: int) -> DataFrame:
+    """Adds the anchors of inherited and own ids, each once, at most ``most`` that exist, whether there are any, and the confidence."""
+    ids = F.array_distinct(F.concat(F.flatten(F.transform("inherited", lambda x: x["block_ids"])), listed("own_ids")))
+    a = anchors(rows.withColumn("ids", ids), "ids", blocks, ["doc_id", "ord"]).withColumn("source_anchors", F.slice("source_anchors", 1, most))
+    return _judged(a, F.get("inherited", F.lit(0))["confidence_pct"])
+
+
+def _judged(rows: DataFrame, inherited: Column) -> DataFrame:
     anchored = F.size("source_anchors") > 0
-    reasons = F.when(F.size(strings(F.col("reasons"), 8)) > 0, strings(F.col("reasons"), 8)).otherwise(strings(F.col("c_reasons"), 8))
-    return a.select("doc_id", F.concat(F.lit("node-"), (F.col("ord") + 1).cast("string")).alias("node_id"), "ord", own("title", 100, "未命名节点").alias("title"), own("role", 40, "论点").alias("role"), own("attribution", 40, "作者观点").alias("attribution"), own("summary", 1600, "").alias("summary"), reasons.alias("reasons"), _confidence(F.col("confidence"), F.when(anchored, 78.0).otherwise(45.0)).alias("confidence_pct"), F.when(anchored, "ai_summary").otherwise("ai_inference").alias("source_type"), F.lit("unread").alias("user_status"), "source_anchors")
+    kind = F.when(anchored, "ai_summary").otherwise("ai_inference")
+    return rows.withColumn("source_type", kind).withColumn("confidence_pct", _confidence(F.coalesce("confidence", inherited), F.when(anchored, 78.0).otherwise(45.0)))
+
+
+NODE_COLUMNS = ["doc_id", "node_id", "ord", "title", "role", "attribution", "summary", "reasons", "confidence_pct", "source_type", "user_status", "source_anchors"]
 
 
-def synthesize_sections(readings: DataFrame, parsed: DataFrame, stage: str = "reduce") -> DataFrame:
-    """One row per section in order: the reduce response's text (parsed.sections by sectionId), else its parts joined."""
-    done = parsed.where(F.col("stage") == stage).select("doc_id", F.explode("parsed.sections").alias("s")).select("doc_id", F.col("s.sectionId").alias("section_id"), text_of(F.col("s.summary"), 2400).alias("final_summary"), text_of(F.col("s.legalQuestion"), 600).alias("final_question")).dropDuplicates(["doc_id", "section_id"])
+def _own_nodes(parsed: DataFrame, stage: str) -> DataFrame:
+    f = parsed.where(F.col("stage") == stage).select("doc_id", F.posexplode("parsed.nodes").alias("ord", "n")).where("ord < 16")
+    return f.select("doc_id", "ord", *[F.col(f"n.{c}").alias(c) for c in ("title", "role", "attribution", "summary", "reasons", "confidence")], listed("n.candidateIds").alias("candidate_ids"), F.col("n.sourceBlockIds").alias("own_ids"))
+
+
+def synthesize_nodes(parsed: DataFrame, candidates: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
+    """Final nodes of a document: at most 16 from the reduce response, else the first 12 candidates.
+
+    What a node does not say it takes from its first candidate; its summary from all of them. Ids are those of the
+    candidates named, then the row's own, that exist in the document, at most 20.
+    """
+    final = _own_nodes(parsed, stage)
+    names = ["title", "role", "attribution", "summary", "reasons"]
+    j = _finish(_inherit(final.unionByName(_first_candidates(candidates, final, 12)), candidates, names), blocks, 20)
+    first = F.get("inherited", F.lit(0))
+    summaries = F.array_join(F.transform("inherited", lambda x: x["summary"]), "；")
+    reasons = F.coalesce("reasons", F.flatten(F.transform("inherited", lambda x: x["reasons"])))
+    return j.select(
+        "doc_id", numbered("ai-node-").alias("node_id"), "ord", said(F.col("title"), 80, first["title"], numbered(NODE)).alias("title"), said(F.col("role"), 40, first["role"], ROLE).alias("role"), said(F.col("attribution"), 40, first["attribution"], ATTRIBUTION).alias("attribution"),
+        said(F.col("summary"), 1800, summaries).alias("summary"), F.slice(reasons, 1, 8).alias("reasons"), "confidence_pct", "source_type", F.lit("unread").alias("user_status"), "source_anchors",
+    )
+
+
+def synthesize_sections(readings: DataFrame, parsed: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
+    """One row per section in order: what the reduce response says of it (parsed.sectionAnalyses by sectionId, the last of several), else its parts joined.
+
+    Its ids are those of all its parts that exist in the document, each once, at most 80.
+    """
+    e = parsed.where(F.col("stage") == stage).select("doc_id", F.posexplode("parsed.sectionAnalyses").alias("p", "s")).where("s.sectionId is not null")
+    done = e.groupBy("doc_id", F.col("s.sectionId").alias("section_id")).agg(F.max_by("s", "p").alias("s"))
     parts = lambda c: F.array_join(F.filter(F.transform("parts", lambda p: p[c]), lambda x: x != ""), "；")
-    g = readings.groupBy("doc_id", "section_id").agg(F.min("chunk_ord").alias("ord"), F.min_by("title", "chunk_ord").alias("title"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"), F.array_sort(F.collect_list(F.struct("chunk_ord", "legal_question", "summary", "approach", "framework", "block_ids"))).alias("parts"))
-    j = g.join(done, ["doc_id", "section_id"], "left")
-    return j.select("doc_id", "section_id", "ord", "title", "start_page", "end_page", F.coalesce(F.nullif("final_question", F.lit("")), parts("legal_question")).alias("legal_question"), F.coalesce(F.nullif("final_summary", F.lit("")), parts("summary")).alias("summary"), parts("approach").alias("approach"), F.slice(F.array_distinct(F.filter(F.transform("parts", lambda p: p["framework"]), lambda x: x != "")), 1, 16).alias("framework"), F.slice(F.array_distinct(F.flatten(F.transform("parts", lambda p: p["block_ids"]))), 1, 80).alias("block_ids"))
+    g = readings.groupBy("doc_id", "section_id").agg(F.min("chunk_ord").alias("chunk_ord"), F.min_by("title", "chunk_ord").alias("part_title"), F.min("start_page").alias("start_page"), F.max("end_page").alias("end_page"), F.array_sort(F.collect_list(F.struct("chunk_ord", "legal_question", "summary", "approach", "framework", "block_ids"))).alias("parts"))
+    g = g.withColumn("ord", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_ord")) - 1)
+    every = lambda c: F.array_distinct(F.flatten(F.transform("parts", lambda p: p[c])))
+    j = anchors(g.withColumn("ids", every("block_ids")), "ids", blocks, ["doc_id", "section_id"]).join(done, ["doc_id", "section_id"], "left")
+    own = strings(F.col("s.framework"), 16)
+    return j.select(
+        "doc_id", "section_id", "ord", said(F.col("s.title"), 180, F.col("part_title"), numbered(SECTION)).alias("title"), "start_page", "end_page", said(F.col("s.legalQuestion"), 2000, parts("legal_question")).alias("legal_question"), said(F.col("s.summary"), 2600, parts("summary")).alias("summary"),
+        said(F.col("s.analysisApproach"), 2200, parts("approach")).alias("approach"), F.when(F.size(own) > 0, own).otherwise(F.slice(every("framework"), 1, 16)).alias("framework"), _confidence(F.col("s.confidence"), 76).alias("confidence_pct"), F.slice("source_anchors", 1, 80).alias("source_anchors"),
+    )
 
 
-def document_reading(parsed: DataFrame, sections: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
-    """doc_id, summary, block_ids: the ids asked for (at most 40), else the first two of each section; the summary falls back to the sections'."""
-    every = blocks.groupBy("doc_id").agg(F.collect_list("block_id").alias("all_ids"))
-    asked = valid_ids(parsed.where(F.col("stage") == stage).select("doc_id", text_of(F.col("parsed.document.summary"), 2400).alias("own_summary"), F.col("parsed.document.sourceBlockIds").alias("block_ids")), "block_ids", every, ["doc_id"], 40, "all_ids")
-    s = sections.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", "summary", F.slice("block_ids", 1, 2).alias("two")))).alias("s"))
-    j = s.join(asked, "doc_id", "left")
-    return j.select("doc_id", F.coalesce(F.nullif("own_summary", F.lit("")), F.array_join(F.filter(F.transform("s", lambda x: x["summary"]), lambda x: x != ""), "；")).alias("summary"), F.when(F.size(F.coalesce("block_ids", F.array().cast("array<string>"))) > 0, F.col("block_ids")).otherwise(F.slice(F.flatten(F.transform("s", lambda x: x["two"])), 1, 40)).alias("block_ids"))
+def document_reading(parsed: DataFrame, sections: DataFrame, blocks: DataFrame, docs: DataFrame | None = None, stage: str = "reduce") -> DataFrame:
+    """The reading of each document with sections or an answer: parsed.documentAnalysis, then parsed.documentSummary.
+
+    Its ids are those asked for that exist (at most 40), else the first two of each section, each once.
+    """
+    a, z = "parsed.documentAnalysis", "parsed.documentSummary"
+    said_ = parsed.where(F.col("stage") == stage).select(
+        "doc_id", said(F.col(f"{a}.legalQuestion"), 2400, F.col(f"{z}.coreQuestion")).alias("legal_question"), said(F.col(f"{a}.summary"), 3200, F.col(f"{z}.coreConclusion")).alias("summary"), said(F.col(f"{a}.analysisApproach"), 2600).alias("approach"), strings(F.col(f"{a}.framework"), 20).alias("framework"),
+        _confidence(F.col(f"{a}.confidence"), 78).alias("confidence_pct"), *[said(F.col(f"{z}.{c}"), 1 << 30, d).alias(n) for c, n, d in (("surfaceTopic", "surface_topic", ""), ("coreQuestion", "core_question", ""), ("coreConclusion", "core_conclusion", ""), ("paradigm", "paradigm", PARADIGM), ("boundary", "boundary", ""))], strings(F.col(f"{a}.sourceBlockIds"), 40).alias("asked"),
+    )
+    asked = anchors(said_, "asked", blocks, ["doc_id"])
+    two = F.transform(F.slice("source_anchors", 1, 2), lambda x: x["block_id"])
+    s = sections.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", two.alias("two")))), lambda x: x["two"])).alias("section_ids"))
+    j = asked.join(s, "doc_id", "full").withColumn("ids", F.when(F.size(F.coalesce("source_anchors", F.array().cast(asked.schema["source_anchors"].dataType))) > 0, F.transform("source_anchors", lambda x: x["block_id"])).otherwise(listed("section_ids")))
+    j = anchors(j.drop("source_anchors").withColumn("ids", F.array_distinct("ids")), "ids", blocks, ["doc_id"])
+    title = F.lit(WHOLE) if docs is None else F.coalesce(F.nullif("title", F.lit("")), F.lit(WHOLE))
+    j = j if docs is None else j.join(docs.select("doc_id", "title"), "doc_id", "left")
+    texts = ["legal_question", "summary", "approach", "surface_topic", "core_question", "core_conclusion", "boundary"]
+    return j.select("doc_id", title.alias("title"), *[F.coalesce(c, F.lit("")).alias(c) for c in texts], F.coalesce("paradigm", F.lit(PARADIGM)).alias("paradigm"), listed("framework").alias("framework"), F.coalesce("confidence_pct", F.lit(78.0)).alias("confidence_pct"), F.slice("source_anchors", 1, 40).alias("source_anchors"))
 
 
 def full_text_sections(parsed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Sections of a one-response analysis: at most 24, evidence paragraphs at most 40 each."""
-    every = blocks.groupBy("doc_id").agg(F.collect_list("block_id").alias("all_ids"))
-    s = parsed.where("stage = 'full_text'").select("doc_id", F.posexplode("parsed.sections").alias("ord", "s")).where("ord < 24")
-    r = s.select("doc_id", F.coalesce("s.sectionId", F.concat(F.lit("section-"), (F.col("ord") + 1).cast("string"))).alias("section_id"), "ord", text_of(F.col("s.title"), 120, "正文").alias("title"), text_of(F.col("s.legalQuestion"), 600).alias("legal_question"), text_of(F.col("s.summary"), 2400).alias("summary"), F.col("s.sourceBlockIds").alias("block_ids"))
-    return valid_ids(r, "block_ids", every, ["doc_id"], 40, "all_ids")
+    """Sections of a one-response analysis: at most 24, with up to 30 ids each; a document without any has one, of its first 20 blocks with text."""
+    f = parsed.where("stage = 'full_text'")
+    s = f.select("doc_id", F.posexplode("parsed.sectionAnalyses").alias("ord", "s")).where("ord < 24").select("doc_id", "ord", F.nullif("s.sectionId", F.lit("")).alias("section_id"), F.nullif("s.title", F.lit("")).alias("title"), *[F.col(f"s.{c}").alias(c) for c in ("legalQuestion", "summary", "analysisApproach", "framework", "confidence")], strings(F.col("s.sourceBlockIds"), 30).alias("ids"))
+    none = f.join(s.select("doc_id").distinct(), "doc_id", "left_anti")
+    order = Window.partitionBy("doc_id").orderBy("page", "reading_order", "block_id")
+    first = blocks.where(strip(F.col("text")) != "").withColumn("n", F.row_number().over(order)).where("n <= 20").groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "block_id"))), lambda x: x["block_id"]).alias("ids"))
+    a = "parsed.documentAnalysis"
+    spare = none.join(first, "doc_id", "left").select("doc_id", F.lit(0).alias("ord"), F.lit(None).cast("string").alias("section_id"), F.lit("正文").alias("title"), *[F.col(f"{a}.{c}").alias(c) for c in ("legalQuestion", "summary", "analysisApproach", "framework")], F.coalesce(f"{a}.confidence", F.lit(78.0)).alias("confidence"), listed("ids").alias("ids"))
+    j = anchors(s.unionByName(spare), "ids", blocks, ["doc_id", "ord"])
+    return j.select(
+        "doc_id", F.coalesce("section_id", numbered("section-")).alias("section_id"), "ord", said(F.col("title"), 180, numbered(SECTION)).alias("title"), said(F.col("legalQuestion"), 2000).alias("legal_question"), said(F.col("summary"), 2600).alias("summary"), said(F.col("analysisApproach"), 2200).alias("approach"),
+        strings(F.col("framework"), 16).alias("framework"), _confidence(F.col("confidence"), 76).alias("confidence_pct"), "source_anchors",
+    )
 
 
 def full_text_nodes(parsed: DataFrame, sections: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Nodes of a one-response analysis: at most 16 of its own, else one for each of the first 12 sections."""
-    spare = sections.where("ord < 12").select("doc_id", F.lit("full_text").alias("chunk_id"), "ord", F.concat_ws("-", F.lit("section"), "section_id").alias("candidate_id"), "title", F.lit("论点").alias("role"), F.lit("作者观点").alias("attribution"), "summary", F.array().cast("array<string>").alias("reasons"), "block_ids", F.lit(70.0).alias("confidence_pct"))
-    return synthesize_nodes(parsed, spare, blocks, "full_text")
+    """Nodes of a one-response analysis: at most 16 of its own, with up to 20 ids each, else one for each of the first 12 sections."""
+    own = _own_nodes(parsed, "full_text").withColumn("ids", strings(F.col("own_ids"), 20))
+    own = _judged(anchors(own, "ids", blocks, ["doc_id", "ord"]), F.lit(None).cast("double"))
+    or_else = lambda c, most, d: said(F.nullif(F.col(c), F.lit("")), most, d).alias(c)
+    own = own.select("doc_id", numbered("ai-node-").alias("node_id"), "ord", or_else("title", 80, numbered(NODE)), or_else("role", 40, ROLE), or_else("attribution", 40, ATTRIBUTION), said(F.col("summary"), 1800).alias("summary"), F.slice(listed("reasons"), 1, 8).alias("reasons"), "confidence_pct", "source_type", F.lit("unread").alias("user_status"), "source_anchors")
+    spare = sections.where("ord < 12").join(own.select("doc_id").distinct(), "doc_id", "left_anti")
+    spare = spare.select("doc_id", numbered("ai-node-").alias("node_id"), "ord", "title", F.lit(ROLE).alias("role"), F.lit(ATTRIBUTION).alias("attribution"), head(F.col("summary"), 1800).alias("summary"), F.slice("framework", 1, 8).alias("reasons"), "confidence_pct", F.when(F.size("source_anchors") > 0, "ai_summary").otherwise("ai_inference").alias("source_type"), F.lit("unread").alias("user_status"), F.slice("source_anchors", 1, 20).alias("source_anchors"))
+    return own.unionByName(spare).select(*NODE_COLUMNS)
 
 
 def coverage_metrics(chunks: DataFrame, responses: DataFrame, cited: DataFrame) -> DataFrame:
@@ -162,46 +265,66 @@ def coverage_metrics(chunks: DataFrame, responses: DataFrame, cited: DataFrame)
     return g.join(n, "doc_id", "left").select("doc_id", "source_characters", "analyzed_characters", F.least(F.lit(1.0), F.col("prefixed") / src).alias("text_coverage"), (F.col("analyzed_characters") / src).alias("true_coverage"), "generated_characters", "total_sections", "analyzed_sections", (F.col("total_sections") - F.col("analyzed_sections")).alias("failed_chunks"), F.coalesce("cited_blocks", F.lit(0)).alias("cited_blocks"))
 
 
+#: The texts of an issue: its name in a response and the most characters kept; lists keep 12.
+ISSUE_TEXTS = {"claim": ("claim", 1600), "court_fact": ("courtFact", 2000), "reasoning": ("reasoning", 2400), "conclusion": ("conclusion", 1600)}
+ISSUE_COLUMNS = ["doc_id", "issue_id", "ord", "title", "stage", *ISSUE_TEXTS, "evidence", "laws", "page", "status", "confidence_pct", "source_type", "source_anchors"]
+
+
 def normalize_map_issues(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Judgment candidates: at most 10 a chunk; a row without any text and id goes."""
+    """Judgment candidates: at most 10 a chunk, named ``{chunk}-issue-{n}``; a row with neither a text besides its title nor an id goes."""
     n = parsed.select("doc_id", "chunk_id", F.posexplode("parsed.issues").alias("ord", "n")).where("ord < 10")
-    r = n.select("doc_id", "chunk_id", "ord", F.concat_ws("-i", "chunk_id", (F.col("ord") + 1).cast("string")).alias("candidate_id"), text_of(F.col("n.title"), 120).alias("title"), text_of(F.col("n.stage"), 60).alias("stage"), text_of(F.col("n.claim"), 1600).alias("claim"), text_of(F.col("n.courtFact"), 1600).alias("court_fact"), strings(F.col("n.evidence"), 16).alias("evidence"), strings(F.col("n.laws"), 16).alias("laws"), text_of(F.col("n.reasoning"), 2000).alias("reasoning"), text_of(F.col("n.conclusion"), 1600).alias("conclusion"), F.col("n.sourceBlockIds").alias("block_ids"), _confidence(F.col("n.confidence"), 70).alias("confidence_pct"))
+    r = n.select(
+        "doc_id", "chunk_id", "ord", F.concat_ws("-issue-", "chunk_id", (F.col("ord") + 1).cast("string")).alias("candidate_id"), said(F.col("n.title"), 100, numbered(ISSUE)).alias("title"), said(F.col("n.stage"), 40, STAGE).alias("stage"), *[said(F.col(f"n.{f}"), most).alias(c) for c, (f, most) in ISSUE_TEXTS.items()],
+        strings(F.col("n.evidence"), 12).alias("evidence"), strings(F.col("n.laws"), 12).alias("laws"), strings(F.col("n.sourceBlockIds"), 24).alias("block_ids"), _confidence(F.col("n.confidence"), 70).alias("confidence_pct"),
+    )
     r = valid_ids(r, "block_ids", chunks, ["doc_id", "chunk_id"], 24)
-    return r.where((F.concat("title", "claim", "court_fact", "reasoning", "conclusion") != "") | (F.size("block_ids") > 0))
+    return _placed(r.where((F.concat(*ISSUE_TEXTS) != "") | (F.size("block_ids") > 0)), chunks)
 
 
-def synthesize_issues(parsed: DataFrame, candidates: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
-    """Final issues: at most 18, else the first 14 candidates; blanks inherited from the candidates named."""
-    texts = {"title": 120, "stage": 60, "claim": 1600, "court_fact": 1600, "reasoning": 2000, "conclusion": 1600}
+def _own_issues(parsed: DataFrame, stage: str) -> DataFrame:
     f = parsed.where(F.col("stage") == stage).select("doc_id", F.posexplode("parsed.issues").alias("ord", "n")).where("ord < 18")
-    final = f.select("doc_id", "ord", *[F.col(f"n.{c if c != 'court_fact' else 'courtFact'}").alias(c) for c in texts], F.col("n.evidence").alias("evidence"), F.col("n.laws").alias("laws"), F.col("n.confidence").alias("confidence"), F.col("n.candidateIds").alias("candidate_ids"), F.col("n.sourceBlockIds").alias("own_ids"))
-    order = Window.partitionBy("doc_id").orderBy("chunk_id", "ord")
-    spare = candidates.join(final.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("rn", F.row_number().over(order) - 1).where("rn < 14")
-    spare = spare.select("doc_id", F.col("rn").alias("ord"), *texts, "evidence", "laws", F.col("confidence_pct").alias("confidence"), F.array("candidate_id").alias("candidate_ids"), F.array().cast("array<string>").alias("own_ids"))
-    j = _inherit(final.unionByName(spare), candidates, [*texts, "evidence", "laws", "block_ids"])
-    j = j.withColumn("ids", F.array_distinct(F.concat(F.coalesce("c_block_ids", F.array().cast("array<string>")), F.coalesce("own_ids", F.array().cast("array<string>")))))
-    a = anchors(j, "ids", blocks, ["doc_id", "ord"]).withColumn("source_anchors", F.slice("source_anchors", 1, 30))
-    own = lambda c, n: text_of(F.coalesce(F.nullif(strip(F.col(c)), F.lit("")), F.col(f"c_{c}")), n).alias(c)
-    lists = lambda c: F.when(F.size(strings(F.col(c), 16)) > 0, strings(F.col(c), 16)).otherwise(strings(F.col(f"c_{c}"), 16)).alias(c)
-    anchored = F.size("source_anchors") > 0
-    return a.select("doc_id", F.concat(F.lit("issue-"), (F.col("ord") + 1).cast("string")).alias("issue_id"), "ord", *[own(c, n) for c, n in texts.items()], lists("evidence"), lists("laws"), F.coalesce(F.get("source_anchors", F.lit(0))["page"], F.lit(1)).alias("page"), F.lit("未开始").alias("status"), _confidence(F.col("confidence"), F.when(anchored, 78.0).otherwise(45.0)).alias("confidence_pct"), "source_anchors")
+    texts = [F.col(f"n.{f}").alias(c) for c, (f, _) in ISSUE_TEXTS.items()]
+    return f.select("doc_id", "ord", "n.title", "n.stage", *texts, "n.evidence", "n.laws", "n.confidence", strings(F.col("n.candidateIds"), 12).alias("candidate_ids"), strings(F.col("n.sourceBlockIds"), 24).alias("own_ids"))
+
+
+def _with_page(issues: DataFrame) -> DataFrame:
+    first = F.get("source_anchors", F.lit(0))["page"]
+    return issues.withColumn("issue_id", numbered("ai-issue-")).withColumn("page", F.coalesce(first, F.lit(1))).withColumn("status", F.lit(PENDING)).select(*ISSUE_COLUMNS)
+
+
+def synthesize_issues(parsed: DataFrame, candidates: DataFrame, blocks: DataFrame, stage: str = "reduce") -> DataFrame:
+    """Final issues: at most 18, else the first 14 candidates; what is blank is taken from the first candidate named that has it."""
+    final = _own_issues(parsed, stage)
+    texts = ["title", "stage", *ISSUE_TEXTS]
+    j = _finish(_inherit(final.unionByName(_first_candidates(candidates, final, 14)), candidates, [*texts, "evidence", "laws"]), blocks, 30)
+    from_any = lambda c: F.get(F.filter(F.transform("inherited", lambda x: strip(x[c])), lambda x: x != ""), F.lit(0))
+    every = lambda c: F.slice(F.array_distinct(F.flatten(F.transform("inherited", lambda x: x[c]))), 1, 16)
+    own = {c: filled(F.col(c), from_any(c)) for c in ISSUE_TEXTS} | {"title": filled(F.col("title"), from_any("title"), numbered(ISSUE)), "stage": filled(F.col("stage"), from_any("stage"), STAGE)}
+    own |= {c: F.when(F.size(strings(F.col(c), 12)) > 0, strings(F.col(c), 12)).otherwise(every(c)) for c in ("evidence", "laws")}
+    return _with_page(j.withColumns(own))
 
 
 def full_text_issues(parsed: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Issues of a one-response analysis: at most 18, without candidates."""
-    none = parsed.sparkSession.createDataFrame([], "doc_id string, chunk_id string, ord int, candidate_id string, title string, stage string, claim string, court_fact string, evidence array<string>, laws array<string>, reasoning string, conclusion string, block_ids array<string>, confidence_pct double")
-    return synthesize_issues(parsed, none.withColumn("doc_id", F.col("doc_id").cast(parsed.schema["doc_id"].dataType)), blocks, "full_text")
+    """Issues of a one-response analysis: at most 18, without candidates, with up to 24 ids each."""
+    j = _judged(anchors(_own_issues(parsed, "full_text"), "own_ids", blocks, ["doc_id", "ord"]), F.lit(None).cast("double"))
+    own = {c: said(F.col(c), most) for c, (_, most) in ISSUE_TEXTS.items()} | {c: strings(F.col(c), 12) for c in ("evidence", "laws")}
+    own |= {"title": said(F.nullif("title", F.lit("")), 100, numbered(ISSUE)), "stage": said(F.nullif("stage", F.lit("")), 40, STAGE)}
+    return _with_page(j.withColumns(own))
 
 
-def case_summary(parsed: DataFrame, issues: DataFrame, stages: tuple[str, ...] = ("reduce", "full_text")) -> DataFrame:
-    """Case data of each document; the result falls back to the last conclusion; the core question is the first dispute's title."""
-    names = ["caseNumber", "court", "cause", "documentType", "procedure", "decisionDate", "result"]
-    c = parsed.where(F.col("stage").isin(*stages)).groupBy("doc_id").agg(*[F.max(text_of(F.col(f"parsed.caseSummary.{n}"), 1200)).alias(f"_{i}") for i, n in enumerate(names)])
-    last = F.max_by("conclusion", F.when(F.col("conclusion") != "", F.col("ord")))
-    dispute = F.concat_ws(" ", "stage", "title").rlike(DISPUTE)
-    g = issues.groupBy("doc_id").agg(last.alias("last_conclusion"), F.min_by("title", F.when(dispute, F.col("ord"))).alias("core_question"))
-    out = ["case_number", "court", "cause", "document_type", "procedure", "decision_date"]
-    return c.join(g, "doc_id", "full").select("doc_id", *[F.coalesce(f"_{i}", F.lit("")).alias(n) for i, n in enumerate(out)], F.coalesce(F.nullif("_6", F.lit("")), "last_conclusion", F.lit("")).alias("result"), F.coalesce("core_question", F.lit("")).alias("core_question"))
+def case_summary(parsed: DataFrame, issues: DataFrame, docs: DataFrame | None = None, stages: tuple[str, ...] = ("reduce", "full_text")) -> DataFrame:
+    """Case data of each document that has an answer or issues; a missing result is the last conclusion.
+
+    The core question is the claim of the first issue whose stage or title names a dispute; the topic is the cause, or the title.
+    """
+    names = {"caseNumber": "case_number", "court": "court", "cause": "cause", "documentType": "document_type", "procedure": "procedure", "decisionDate": "decision_date", "result": "result"}
+    c = parsed.where(F.col("stage").isin(*stages)).groupBy("doc_id").agg(*[F.max(f"parsed.caseSummary.{n}").alias(f"_{out}") for n, out in names.items()])
+    dispute = F.col("stage").contains(DISPUTE) | F.col("title").contains(DISPUTE)
+    g = issues.groupBy("doc_id").agg(F.max_by("conclusion", F.when(F.col("conclusion") != "", F.col("ord"))).alias("last"), F.min_by("claim", F.when(dispute, F.col("ord"))).alias("core_question"))
+    j = c.join(g, "doc_id", "full")
+    j = j.withColumn("title", F.lit(None).cast("string")) if docs is None else j.join(docs.select("doc_id", "title"), "doc_id", "left")
+    defaults = {"document_type": F.lit(DOCUMENT_TYPE), "procedure": F.lit(PROCEDURE), "result": F.col("last")}
+    return j.select("doc_id", *[F.coalesce(f"_{out}", defaults.get(out, F.lit("")), F.lit("")).alias(out) for out in names.values()], F.coalesce("_cause", "title", F.lit("")).alias("surface_topic"), F.coalesce("core_question", F.lit("")).alias("core_question"), F.coalesce("_result", "last", F.lit("")).alias("core_conclusion"))
 
 
 def token_usage(responses: DataFrame) -> DataFrame:
@@ -212,7 +335,8 @@ def token_usage(responses: DataFrame) -> DataFrame:
 
 def merge_warnings(parsed: DataFrame, most: int = 30) -> DataFrame:
     """doc_id, warnings: those of map responses in order, then of the reduce response, each once."""
-    rank = F.struct((F.col("stage") != "map").alias("late"), "chunk_id")
+    # chunk names end in their number: shorter ones come first
+    rank = F.struct((F.col("stage") != "map").alias("late"), F.length("chunk_id").alias("size"), "chunk_id")
     g = parsed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), strings(F.col("parsed.warnings"), 100, 400).alias("w")))).alias("w"))
     return g.select("doc_id", F.slice(F.array_distinct(F.flatten(F.transform("w", lambda x: x["w"]))), 1, most).alias("warnings"))
 
@@ -220,7 +344,7 @@ def merge_warnings(parsed: DataFrame, most: int = 30) -> DataFrame:
 def partial_sections(candidates: DataFrame, nodes: DataFrame) -> DataFrame:
     """Candidates as provisional nodes of documents that have no final ones: inference, without anchors."""
     c = candidates.join(nodes.select("doc_id").distinct(), "doc_id", "left_anti")
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_id", "ord")) - 1
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_ord", "ord")) - 1
     kind = nodes.schema["source_anchors"].dataType
     return c.select("doc_id", F.concat(F.lit("partial-"), "candidate_id").alias("node_id"), n.alias("ord"), "title", "role", "attribution", "summary", "reasons", "confidence_pct", F.lit("ai_inference").alias("source_type"), F.lit("unread").alias("user_status"), F.array().cast(kind).alias("source_anchors"))
 
@@ -233,8 +357,8 @@ def library_projection(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 #: States that a reader may give a node or an issue.
-NODE_STATUSES = ["unread", "reading", "understood", "agree", "doubt", "disagree", "skipped"]
-ISSUE_STATUSES = ["未开始", "进行中", "已完成"]
+NODE_STATUSES = ["unread", "passed", "read", "understood", "doubt", "disagree", "saved"]
+ISSUE_STATUSES = ["已完成", "进行中", "待读取"]
 
 
 def apply_user_status(rows: DataFrame, edits: DataFrame, key: str, statuses: list[str], column: str = "user_status") -> tuple[DataFrame, DataFrame]:

@@ -54,7 +54,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "labels").where("doc_id % 2 = 1")
-    status = F.when(F.col("quality") == 1, "已完成").when(F.col("doc_id") % 3 == 0, "进行中").otherwise("未开始")
+    status = F.when(F.col("quality") == 1, "已完成").when(F.col("doc_id") % 3 == 0, "进行中").otherwise("待读取")
     return n.select("doc_id", F.concat(F.lit("i"), F.col("doc_id").cast("string")).alias("issue_id"), F.lit(1).alias("ord"), F.concat(F.lit("Issue "), F.col("doc_id").cast("string")).alias("title"), F.lit("fact").alias("court_fact"), F.lit("held").alias("conclusion"), status.alias("status"), _anchors(F.col("doc_id") % 3 != 1))
 
 

@@ -34,7 +34,7 @@ NODES = """
 nodes AS (SELECT doc_id, 'n' || doc_id AS node_id, 'Node ' || doc_id AS title, doc_id % 4 = 0 AS anchored, CASE WHEN toxic = 1 THEN '结论' ELSE '问题' END AS role,
                  CASE WHEN doc_id % 6 = 0 THEN 'doubt' WHEN quality = 1 THEN 'understood' ELSE 'unread' END AS user_status FROM labels WHERE doc_id % 2 = 0),
 issues AS (SELECT doc_id, 'i' || doc_id AS issue_id, 'Issue ' || doc_id AS title, doc_id % 3 <> 1 AS anchored,
-                  CASE WHEN quality = 1 THEN '已完成' WHEN doc_id % 3 = 0 THEN '进行中' ELSE '未开始' END AS status FROM labels WHERE doc_id % 2 = 1),
+                  CASE WHEN quality = 1 THEN '已完成' WHEN doc_id % 3 = 0 THEN '进行中' ELSE '待读取' END AS status FROM labels WHERE doc_id % 2 = 1),
 cards AS (SELECT CAST(l.doc_id AS VARCHAR) AS card_id, d.source AS project_id, l.doc_id, CASE WHEN l.doc_id % 4 = 0 THEN '规范卡' ELSE '观点卡' END AS type,
                  CASE WHEN toxic = 1 THEN '责任与赔偿' ELSE 'Card ' || l.doc_id END AS title, left(d.text, 60) AS excerpt, d.source, CASE WHEN quality = 1 THEN '已核验' ELSE '待核验' END AS verify_status,
                  ['支持', '反对', '条件性', '背景', '其他'][l.doc_id % 5 + 1] AS relation, CASE WHEN l.doc_id % 10 = 0 THEN '第一章' ELSE '' END AS outline_node, l.doc_id % 2 = 0 AS anchored FROM labels l JOIN documents d USING (doc_id)),
@@ -335,13 +335,13 @@ def apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _responses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A map response of each document: one node that names its first block and one that is not there; every fourth is fenced, every tenth cut off."""
     b = ad.blocks(spark, sf_dir)
-    chunks = b.groupBy("doc_id").agg(F.sort_array(F.collect_list("block_id")).alias("block_ids")).withColumn("chunk_id", F.lit("c1"))
+    chunks = b.groupBy("doc_id").agg(F.sort_array(F.collect_list("block_id")).alias("block_ids")).withColumn("chunk_id", F.lit("c1")).withColumn("ord", F.lit(1))
     node = F.concat(F.lit('{"nodes": [{"title": "T'), F.col("doc_id").cast("string"), F.lit('", "summary": "s", "confidence": 120, "sourceBlockIds": ["'), F.get("block_ids", F.lit(0)), F.lit('", "nowhere"]}, {"title": "empty", "sourceBlockIds": ["nowhere"]}]}'))
     raw = F.when(F.col("doc_id") % 10 == 0, F.substring(node, 1, 40)).when(F.col("doc_id") % 4 == 0, F.concat(F.lit("```json\n"), node, F.lit("\n```"))).otherwise(node)
-    return rs.parse_json_lenient(chunks.select("doc_id", "chunk_id", F.lit("map").alias("stage"), raw.alias("raw")), f"nodes array<struct<{', '.join(x.split()[0] + ':' + x.split()[1] for x in rs.NODE_SCHEMA.split(', '))}>>"), chunks
+    return rs.parse_json_lenient(chunks.select("doc_id", "chunk_id", F.lit("map").alias("stage"), raw.alias("raw")), rs.PAPER_RESPONSE), chunks
 
 
-@query(f"WITH {BLOCKS}, f AS (SELECT doc_id, min(block_id) AS b FROM blocks GROUP BY doc_id) SELECT doc_id, 'c1-n1' AS candidate_id, 'T' || doc_id AS title, '论点' AS role, 's' AS summary, b AS ids, CAST(100 AS DOUBLE) AS confidence_pct FROM f WHERE doc_id % 10 <> 0")
+@query(f"WITH {BLOCKS}, f AS (SELECT doc_id, min(block_id) AS b FROM blocks GROUP BY doc_id) SELECT doc_id, 'c1-node-1' AS candidate_id, 'T' || doc_id AS title, '论证展开' AS role, 's' AS summary, b AS ids, CAST(100 AS DOUBLE) AS confidence_pct FROM f WHERE doc_id % 10 <> 0")
 def validate_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed, chunks = _responses(spark, sf_dir)
     return rs.normalize_map_nodes(parsed, chunks).select("doc_id", "candidate_id", "title", "role", "summary", F.array_join("block_ids", "|").alias("ids"), "confidence_pct")
@@ -378,3 +378,6 @@ def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = ad.table(spark, sf_dir, "lineitem")
     runs = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("item_no"), F.col("l_shipmode").alias("str") if "l_shipmode" in li.columns else F.col("l_returnflag").alias("str"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") % 50).cast("double").alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"))
     return pa.group_lines(runs)
+
+
+from quire.plans import queries_responses  # noqa: E402, F401  (registers its queries)

@@ -63,7 +63,7 @@ def test_judgment_check(spark):
     resp = chunks.select("doc_id", "chunk_id", F.lit("map").alias("stage"), F.format_string(raw, F.element_at("block_ids", 1)).alias("raw"))
     issue_type = "issues array<struct<" + ",".join(x.split()[0] + ":" + x.split()[1] for x in rs.ISSUE_SCHEMA.split(", ")) + ">>"
     cand = rs.normalize_map_issues(rs.parse_json_lenient(resp, issue_type), chunks)
-    reduce_raw = '{"issues": [' + ",".join('{"candidateIds": ["section-part-%d-i1"]}' % i for i in range(1, 13)) + "]}"
+    reduce_raw = '{"issues": [' + ",".join('{"candidateIds": ["section-part-%d-issue-1"]}' % i for i in range(1, 13)) + "]}"
     final = rs.synthesize_issues(rs.parse_json_lenient(spark.createDataFrame([("j", "reduce", "reduce", reduce_raw)], "doc_id string, chunk_id string, stage string, raw string"), issue_type), cand, b.withColumn("bbox", F.lit(None).cast("array<double>")))
     got = final.collect()
     assert len(got) == 12 and all(len(r["source_anchors"]) == 1 and r["claim"] == "c" for r in got)
