@@ -1,16 +1,66 @@
-"""Legal citations: classified in a fixed order, rebuilt, and checked for what is missing."""
+"""Legal citations, table-driven: a note is taken apart once, its parts tell its type, and the type's template
+puts them together again and names what is missing.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import squeeze
 from quire.operators.footnotes import looks_like_footnote
 
-#: The types and the issues as the reader sees them.
+#: The types as the reader sees them.
 WEB, JUDGMENT, STATUTE, JOURNAL, BOOK, OTHER = "网络资料", "裁判文书", "法律法规", "期刊论文", "专著", "其他文献"
-PAGE_NO = r"第\s*\d+(\s*[-—]\s*\d+)?\s*页"
+#: How each part of a note is written; the first group is the part.
+PARTS = {
+    "url": r"(?i)(https?://[^\s，。]+)",
+    "access": r"(?:最后)?访问(?:日期|时间)?[：:]?\s*(\d{4}[-./年]\d{1,2}[-./月]\d{1,2}日?)",
+    "title": "《([^》]+)》",
+    "author": "^([^：，]+)：",
+    "container": "载《([^》]+)》",
+    "year": r"(\d{4})\s*年",
+    "issue": r"第\s*(\d+)\s*期",
+    "publisher": "，([^，。]*?(?:出版社|出版))",
+    "court": "([^，。；：]+法院)",
+    "number": r"(（\d{4}）[^\s，。；]{2,40}?号)",
+    "article": r"(第\s*\d+\s*条)",
+    "pages": r"(第\s*\d+(?:\s*[-—]\s*\d+)?\s*页)",
+}
+#: Parts that are looked for in the note as it is written: full-width marks would break an address.
+AS_WRITTEN = {"url", "access"}
+#: What tells a type, in this order; a note is of the first type of which any pattern is found.
+SIGNS = [
+    (WEB, [PARTS["url"]]),
+    (JUDGMENT, ["(人民法院|法院).{0,30}(案|字)", r"（\d{4}）[^\s，。]{2,30}号"]),
+    (STATUTE, [PARTS["article"], "^(?!.*载《).*(法|条例|办法|规定|解释)》"]),
+    (JOURNAL, ["载《", r"\d{4}\s*年第\s*\d+\s*期"]),
+    (BOOK, ["出版"]),
+]
+#: What a type is put together from: a part, what stands before it, what stands behind it.
+TEMPLATES = {
+    WEB: [("lead", "", "，"), ("url", "", ""), ("access", "，最后访问日期：", "")],
+    JUDGMENT: [("court", "", "："), ("number", "", ""), ("title", "《", "》"), ("at_page", "，", "")],
+    STATUTE: [("name", "", ""), ("at_article", "", "")],
+    JOURNAL: [("author", "", "："), ("title", "《", "》"), ("container", "，载《", "》"), ("year", "", "年"), ("issue", "第", "期"), ("at_page", "，", "")],
+    BOOK: [("author", "", "："), ("title", "《", "》"), ("publisher", "，", ""), ("year", "", "年版"), ("at_page", "，", "")],
+    OTHER: [("original", "", "")],
+}
+#: What is said if one of these parts is missing.
+REQUIRED = {
+    WEB: [(["title"], "未识别到网络资料标题"), (["access"], "缺少访问日期")],
+    JUDGMENT: [(["court"], "未识别到审理法院"), (["number"], "未识别到案号")],
+    STATUTE: [(["title"], "未识别到法规名称"), (["article"], "缺少具体条文号")],
+    JOURNAL: [(["author"], "未识别到作者"), (["title"], "未识别到篇名"), (["container"], "未识别到刊名"), (["year", "issue"], "缺少年份或期号"), (["pages"], "缺少引证页码")],
+    BOOK: [(["author"], "未识别到作者"), (["title"], "未识别到书名"), (["publisher", "year"], "缺少出版社或版本年份"), (["pages"], "缺少引证页码")],
+    OTHER: [(["type"], "无法可靠识别文献类型，已保留原文")],
+}
+#: A pinpoint's number, and the marker before a note. The first digits of a year are no marker.
+PINPOINT = r"(?:第\s*)?(\d+(?:\s*[-—]\s*\d+)?)\s*(?:页|条)"
+MARKER = r"^(\[\d{1,3}\]|\d{1,3}(?!\d)(?!\s*年)|[①-⑳]|[＊*])[.、\s]*"
 
 
 def full_width(c: Column) -> Column:
@@ -18,28 +68,41 @@ def full_width(c: Column) -> Column:
     return F.translate(squeeze(c), ",:;", "，：；")
 
 
-def without_marker(c: Column) -> Column:
-    """No leading footnote marker; the first digits of a year are not one."""
-    return F.trim(F.regexp_replace(c, r"^(\[\d{1,3}\]|\d{1,3}(?!\d)(?!\s*年)|[①-⑳]|[＊*])[.、\s]*", ""))
-
-
-def found(c: Column, pattern: str, group: int = 1) -> Column:
-    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
+def take_apart(text: Column) -> Column:
+    """The parts of a note as a struct of texts; null where a part is not there."""
+    written, original = (F.trim(F.regexp_replace(c, MARKER, "")) for c in (squeeze(text), full_width(text)))
+    found = {name: F.nullif(F.regexp_extract(written if name in AS_WRITTEN else original, pattern, 1), F.lit("")) for name, pattern in PARTS.items()}
+    numbers = F.regexp_extract_all(original, F.lit(PINPOINT), F.lit(1))
+    last = F.regexp_replace(F.get(F.reverse(numbers), F.lit(0)), r"\s", "")
+    found |= {"original": original, "lead": F.regexp_replace(full_width(F.substring_index(written, "http", 1)), "[，。]+$", "")}
+    found |= {"at_page": F.concat(F.lit("第"), last, F.lit("页")), "at_article": F.concat(F.lit("第"), last, F.lit("条"))}
+    found["name"] = F.coalesce(F.concat(F.lit("《"), found["title"], F.lit("》")), F.regexp_replace(original, "。+$", ""))
+    return F.struct(*[c.alias(name) for name, c in found.items()])
 
 
-def with_stop(c: Column) -> Column:
-    return F.when((c == "") | c.rlike("[。！？]$"), c).otherwise(F.concat(c, F.lit("。")))
+def type_of(parts: Column) -> Column:
+    """The first type that has a sign in the note."""
+    out = F.lit(OTHER)
+    for kind, patterns in reversed(SIGNS):
+        of = parts["url"] if kind == WEB else parts["original"]
+        seen = F.coalesce(reduce(lambda a, b: a | b, [of.rlike(p) for p in patterns]), F.lit(False))
+        out = F.when(seen, kind).otherwise(out)
+    return out
 
 
-def pinpoint(c: Column, suffix: str) -> Column:
-    """The last page or article number as 第N页 or 第N条; empty if there is none."""
-    every = F.regexp_extract_all(c, F.lit(r"(?:第\s*)?(\d+(?:\s*[-—]\s*\d+)?)\s*(?:页|条)"), F.lit(1))
-    return F.when(F.size(every) > 0, F.concat(F.lit("第"), F.regexp_replace(F.element_at(every, F.greatest(F.size(every), F.lit(1))), r"\s", ""), F.lit(suffix))).otherwise("")
+def put_together(kind: Column, parts: Column) -> Column:
+    """The note by its type's template, with a stop at its end."""
+    out = F.lit("")
+    for name, template in TEMPLATES.items():
+        pieces = [F.when(F.length(parts[p]) > 0, F.concat(F.lit(before), parts[p], F.lit(behind))).otherwise("") for p, before, behind in template]
+        out = F.when(kind == name, F.concat(*pieces)).otherwise(out)
+    return F.when((out == "") | out.rlike("[。！？]$"), out).otherwise(F.concat(out, F.lit("。")))
 
 
-def opt(before: str, c: Column, after: str = "") -> Column:
-    """The value between two strings, or nothing."""
-    return F.when(c.isNotNull() & (c != ""), F.concat(F.lit(before), c, F.lit(after))).otherwise("")
+def missing_parts(kind: Column, parts: Column) -> Column:
+    """What the type requires and the note does not have."""
+    there = lambda names: reduce(and_, [parts[n].isNotNull() if n != "type" else F.lit(False) for n in names])
+    return F.array_compact(F.array(*[F.when((kind == name) & ~there(needed), F.lit(said)) for name, rules in REQUIRED.items() for needed, said in rules]))
 
 
 def normalize_citations(notes: DataFrame, text: str = "text") -> DataFrame:
@@ -47,52 +110,10 @@ def normalize_citations(notes: DataFrame, text: str = "text") -> DataFrame:
 
     A web address is looked for before punctuation is made full-width, so it is found as it is written.
     """
-    raw = without_marker(squeeze(F.col(text)))
-    d = notes.withColumn("_raw", raw).withColumn("original", without_marker(full_width(F.col(text))))
-    o, r = F.col("original"), F.col("_raw")
-    url = found(r, r"(?i)(https?://[^\s，。]+)")
-    title = found(o, "《([^》]+)》")
-    court_case = o.rlike("(人民法院|法院).{0,30}(案|字)") | o.rlike(r"（\d{4}）[^\s，。]{2,30}号")
-    article = o.rlike(r"第\s*\d+\s*条")
-    statute = article | (o.rlike("(法|条例|办法|规定|解释)》") & ~o.contains("载《"))
-    journal = o.contains("载《") | o.rlike(r"\d{4}\s*年第\s*\d+\s*期")
-    kind = F.when(url.isNotNull(), WEB).when(court_case, JUDGMENT).when(statute, STATUTE).when(journal, JOURNAL).when(o.contains("出版"), BOOK).otherwise(OTHER)
-    access = found(r, r"(?:最后)?访问(?:日期|时间)?[：:]?\s*(\d{4}[-./年]\d{1,2}[-./月]\d{1,2}日?)")
-    before = F.regexp_replace(full_width(F.substring_index(r, "http", 1)), "[，。]+$", "")
-    court, number = found(o, "([^，。；：]+法院)"), found(o, r"(（\d{4}）[^\s，。；]{2,40}?号)")
-    author, year, issue = found(o, "^([^：，]+)："), found(o, r"(\d{4})\s*年"), found(o, r"第\s*(\d+)\s*期")
-    source, publisher = found(o, "载《([^》]+)》"), found(o, "，([^，。]*?(?:出版社|出版))")
-    page, article_no = pinpoint(o, "页"), pinpoint(o, "条")
-    d = d.withColumn("citation_type", kind)
-    t = F.col("citation_type")
-    formatted = (
-        F.when(t == WEB, F.concat(opt("", before, "，"), url, opt("，最后访问日期：", access)))
-        .when(t == JUDGMENT, F.concat(opt("", court, "："), opt("", number), opt("《", title, "》"), opt("，", page)))
-        .when(t == STATUTE, F.concat(F.when(title.isNotNull(), F.concat(F.lit("《"), title, F.lit("》"))).otherwise(F.regexp_replace(o, "。+$", "")), article_no))
-        .when(t == JOURNAL, F.concat(opt("", author, "："), opt("《", title, "》"), opt("，载《", source, "》"), opt("", year, "年"), opt("第", issue, "期"), opt("，", page)))
-        .when(t == BOOK, F.concat(opt("", author, "："), opt("《", title, "》"), opt("，", publisher), opt("", year, "年版"), opt("，", page)))
-        .otherwise(o)
-    )
-    missing = lambda *cs: ~F.coalesce(*[F.when(c.isNull(), F.lit(False)) for c in cs], F.lit(True))
-    checks = [
-        ((t == WEB) & title.isNull(), "未识别到网络资料标题"),
-        ((t == WEB) & access.isNull(), "缺少访问日期"),
-        ((t == JUDGMENT) & court.isNull(), "未识别到审理法院"),
-        ((t == JUDGMENT) & number.isNull(), "未识别到案号"),
-        ((t == STATUTE) & title.isNull(), "未识别到法规名称"),
-        ((t == STATUTE) & ~article, "缺少具体条文号"),
-        (t.isin(JOURNAL, BOOK) & author.isNull(), "未识别到作者"),
-        ((t == JOURNAL) & title.isNull(), "未识别到篇名"),
-        ((t == BOOK) & title.isNull(), "未识别到书名"),
-        ((t == JOURNAL) & source.isNull(), "未识别到刊名"),
-        ((t == JOURNAL) & missing(year, issue), "缺少年份或期号"),
-        ((t == BOOK) & missing(publisher, year), "缺少出版社或版本年份"),
-        (t.isin(JOURNAL, BOOK) & ~o.rlike(PAGE_NO), "缺少引证页码"),
-        (t == OTHER, "无法可靠识别文献类型，已保留原文"),
-    ]
-    issues = F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in checks]))
-    out = d.withColumn("formatted", with_stop(formatted)).withColumn("issues", issues)
-    return out.withColumn("citation_confidence", F.when(F.size("issues") > 0, 0.62).otherwise(0.9)).drop("_raw")
+    d = notes.withColumn("_parts", take_apart(F.col(text))).withColumn("citation_type", type_of(F.col("_parts")))
+    kind, parts = F.col("citation_type"), F.col("_parts")
+    out = d.withColumn("original", parts["original"]).withColumn("formatted", put_together(kind, parts)).withColumn("issues", missing_parts(kind, parts))
+    return out.withColumn("citation_confidence", F.when(F.size("issues") > 0, 0.62).otherwise(0.9)).drop("_parts")
 
 
 def citations_by_document(blocks: DataFrame) -> DataFrame:
@@ -110,7 +131,6 @@ def citation_summary(citations: DataFrame, only_risks: bool = False) -> DataFram
 
 
 def citation_corpus_summary(citations: DataFrame) -> DataFrame:
-    """Counts over all documents by type, and by issue within the type (issue null: all)."""
-    by_type = citations.groupBy("citation_type").agg(F.count("*").alias("n")).select("citation_type", F.lit(None).cast("string").alias("issue"), "n")
-    by_issue = citations.select("citation_type", F.explode("issues").alias("issue")).groupBy("citation_type", "issue").agg(F.count("*").alias("n"))
-    return by_type.unionByName(by_issue)
+    """Counts over all documents by type (issue null), and by issue within the type, in one grouping."""
+    each = F.explode(F.concat(F.array(F.lit(None).cast("string")), "issues")).alias("issue")
+    return citations.select("citation_type", each).groupBy("citation_type", "issue").agg(F.count("*").alias("n"))

@@ -30,11 +30,11 @@ def group_lines(page_items: DataFrame, exact: bool = True) -> DataFrame:
     else:
         run = F.struct((-F.col("y")).alias("ny"), "x", "item_no", "y", "width", "height", "font_size", "text")
         # the state: the height of each line, and the line of each run so far
+        # the first line near enough is looked for once: k is its place from 1, or 0
         place = """aggregate(runs, named_struct('rows', cast(array() as array<double>), 'at', cast(array() as array<int>)), (s, r) ->
-            CASE WHEN exists(s.rows, q -> abs(q - r.y) <= greatest(2.0D, r.height * 0.28D))
-                 THEN named_struct('rows', transform(s.rows, (q, i) -> CASE WHEN i = array_position(transform(s.rows, p -> abs(p - r.y) <= greatest(2.0D, r.height * 0.28D)), true) - 1 THEN (q + r.y) / 2 ELSE q END),
-                                   'at', concat(s.at, array(cast(array_position(transform(s.rows, p -> abs(p - r.y) <= greatest(2.0D, r.height * 0.28D)), true) - 1 as int))))
-                 ELSE named_struct('rows', concat(s.rows, array(r.y)), 'at', concat(s.at, array(size(s.rows)))) END)"""
+            element_at(transform(array(array_position(transform(s.rows, p -> abs(p - r.y) <= greatest(2.0D, r.height * 0.28D)), true)), k ->
+                CASE WHEN k > 0 THEN named_struct('rows', transform(s.rows, (q, i) -> CASE WHEN i = k - 1 THEN (q + r.y) / 2 ELSE q END), 'at', concat(s.at, array(cast(k - 1 as int))))
+                     ELSE named_struct('rows', concat(s.rows, array(r.y)), 'at', concat(s.at, array(size(s.rows)))) END), 1))"""
         pages = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(run)).alias("runs")).withColumn("s", F.expr(place))
         rows = pages.select(*PAGE, "s", F.posexplode("runs").alias("k", "r")).select(*PAGE, F.expr("s.at[k]").alias("line"), F.expr("s.rows[s.at[k]]").alias("row_y"), "r.x", "r.y", "r.width", "r.height", "r.font_size", "r.text", "r.item_no")
     lines = rows.groupBy(*PAGE, "line", "row_y").agg(
@@ -120,7 +120,7 @@ def repair_legacy_boxes(blocks: DataFrame, pages: DataFrame, method: str = "visi
 
 
 def clean_marker(c: Column) -> Column:
-    """A footnote marker without the brackets around it, at most 20 characters."""
+    """A footnote marker without the brackets around it (fixed values), at most 20 characters."""
     return head(F.regexp_replace(strip(c.cast("string")), r"^[（(\[]|[）)\]]$", ""), 20)
 
 

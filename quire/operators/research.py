@@ -21,8 +21,10 @@ STANCES = ["支持", "反对", "条件性", "背景"]
 
 def dedupe_documents(docs: DataFrame) -> DataFrame:
     """The newest document of each project, kind and content hash; documents without a hash all stay."""
-    w = Window.partitionBy("project_id", "kind", "content_hash").orderBy(F.desc("created_at"), F.desc("doc_id"))
-    hashed = docs.where("content_hash is not null and content_hash <> ''").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    # the maximum is combined before the shuffle, so a content that very many documents share is no hot group
+    row = F.struct(*docs.columns)
+    newest = F.max_by(row, F.struct("created_at", "doc_id")).alias("r")
+    hashed = docs.where("content_hash is not null and content_hash <> ''").groupBy("project_id", "kind", "content_hash").agg(newest).select("r.*")
     return hashed.unionByName(docs.where("content_hash is null or content_hash = ''"))
 
 

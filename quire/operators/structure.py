@@ -17,6 +17,7 @@ FIXED_TITLES = ["摘要", "关键词", "引言", "导论", "绪论", "结语", "
 HEADING_ENDINGS = ["问题的提出", "理论基础", "制度背景", "规范分析", "比较法", "实证分析", "案例分析", "裁判", "解释路径", "制度完善", "规则构造", "研究方法", "文献综述", "核心概念", "结论与建议", "结论"]
 #: Endings of numbered references.
 REFERENCE_ENDINGS = ["参见", "载", "出版社", "页", "号"]
+#: Numerals and how headings and references are numbered.
 DIGITS = "一二三四五六七八九十"
 CHAPTER = f"^第[{DIGITS}百]+(章|节|部分)"
 ENUMERATED = f"^[{DIGITS}]+、"

@@ -6,7 +6,7 @@ what readers decided; events are job results, tags and reading positions; conver
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STATUSES = ["uploaded", "parsing", "ocr", "review", "analyzing", "ready", "failed"]
@@ -95,17 +95,17 @@ def page_results(events: DataFrame) -> DataFrame:
 
 
 def citation_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A legal citation from each document's data, of six shapes by id."""
-    d, n = table(spark, sf_dir, "documents"), F.col("doc_id")
-    s = lambda x: x.cast("string")
-    head, title = F.concat(s(n % 97 + 1), F.lit(" ")), F.concat(F.lit("《题"), s(n), F.lit("》"))
+    """Each block's first word in a legal citation: six shapes in turn, some without a page, an article or a date."""
+    b, k = blocks(spark, sf_dir), F.col("reading_order")
+    w = F.regexp_extract("text", "([A-Za-z]{3,})", 1)
+    s = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    year = 1990 + k % 30
     shapes = [
-        F.concat(head, F.lit("作者："), title, F.lit("，载《期刊》"), s(1990 + n % 30), F.lit("年第"), s(n % 12 + 1), F.lit("期，第"), s(n % 300 + 1), F.lit("页。")),
-        F.concat(head, F.lit("作者："), title, F.lit("，法律出版社"), s(1990 + n % 30), F.lit("年版。")),
-        F.concat(head, F.lit("北京市某区人民法院（2020）京01民终"), s(n), F.lit("号民事判决书。")),
-        F.concat(head, F.lit("《民法》第"), s(n % 1000 + 1), F.lit("条。")),
-        F.concat(head, title, F.lit("，http://example.org/"), s(n), F.lit("，访问日期：2020-01-0"), s(n % 9 + 1)),
-        F.concat(head, F.lit("plain note "), s(n)),
+        s("12 ", w, "：《", w, "x》，载《", w, "刊》", year, "年第", k % 12 + 1, "期", F.when(k % 4 == 0, "，第3-5页").otherwise(""), "。"),
+        s(w, "：《T", k, "》，", w, "出版社", year, "年版", F.when(k % 4 == 1, "，第7页").otherwise("")),
+        s(w, "市人民法院（2020）京01民终", k, "号民事判决书"),
+        s("《", w, "法》", F.when(k % 4 == 3, "").otherwise(s("第", k, "条"))),
+        s("《", w, "》, http://e.org/", w, F.when(k % 8 == 4, "，访问日期：2020-01-02").otherwise("")),
+        s(w, " plain"),
     ]
-    text = F.element_at(F.array(*shapes), (n % 6 + 1).cast("int"))
-    return d.select("doc_id", F.concat(F.lit("f"), s(n)).alias("block_id"), F.lit(1).alias("page"), F.lit(1).alias("reading_order"), F.lit("footnote").alias("block_type"), F.lit(None).cast("string").alias("footnote_marker"), text.alias("text"))
+    return b.withColumn("text", F.element_at(F.array(*shapes), (k % 6 + 1).cast("int"))).withColumn("block_type", F.lit("footnote")).withColumn("footnote_marker", F.lit(None).cast("string"))

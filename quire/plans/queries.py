@@ -156,21 +156,26 @@ def nearest_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fo.nearest_match(c.where("role = 'user'").select("conv_id", "turn").distinct(), right, ["conv_id"], "turn", "match")
 
 
-@query("""WITH n AS (SELECT doc_id % 6 AS s FROM documents), t AS (SELECT ['期刊论文', '专著', '裁判文书', '法律法规', '网络资料', '其他文献'][s + 1] AS citation_type, s FROM n),
-i AS (SELECT '缺少引证页码' AS issue, 1 AS s UNION ALL SELECT '无法可靠识别文献类型，已保留原文', 5)
-SELECT citation_type, NULL AS issue, count(*) AS n FROM t GROUP BY citation_type UNION ALL SELECT citation_type, issue, count(*) FROM t JOIN i USING (s) GROUP BY citation_type, issue""")
+CITED = f"""{BLOCKS}, w AS (SELECT *, regexp_extract(text, '([A-Za-z]{{3,}})', 1) AS w, reading_order AS k FROM blocks),
+cn AS (SELECT doc_id, block_id, page, k, w, CASE k % 6 WHEN 0 THEN w || '：《' || w || 'x》，载《' || w || '刊》' || (1990 + k % 30) || '年第' || (k % 12 + 1) || '期' || CASE WHEN k % 4 = 0 THEN '，第3-5页' ELSE '' END || '。' WHEN 1 THEN w || '：《T' || k || '》，' || w || '出版社' || (1990 + k % 30) || '年版' || CASE WHEN k % 4 = 1 THEN '，第7页' ELSE '' END
+  WHEN 2 THEN w || '市人民法院（2020）京01民终' || k || '号民事判决书' WHEN 3 THEN '《' || w || '法》' || CASE WHEN k % 4 = 3 THEN '' ELSE '第' || k || '条' END WHEN 4 THEN '《' || w || '》, http://e.org/' || w || CASE WHEN k % 8 = 4 THEN '，访问日期：2020-01-02' ELSE '' END ELSE trim(w || ' plain') END AS n FROM w),
+ty AS (SELECT *, CASE WHEN regexp_matches(n, 'https?://') THEN '网络资料' WHEN regexp_matches(n, '法院.*号') THEN '裁判文书' WHEN regexp_matches(n, '第[0-9]+条|法》') AND NOT contains(n, '载《') THEN '法律法规' WHEN contains(n, '载《') THEN '期刊论文' WHEN contains(n, '出版社') THEN '专著' ELSE '其他文献' END AS citation_type FROM cn),
+need AS (SELECT * FROM (VALUES ('网络资料', '《[^》]+》', '未识别到网络资料标题'), ('网络资料', '访问日期：', '缺少访问日期'), ('法律法规', '第[0-9]+条', '缺少具体条文号'), ('期刊论文', '^[^：，]+：', '未识别到作者'), ('期刊论文', '页', '缺少引证页码'), ('专著', '^[^：，]+：', '未识别到作者'), ('专著', '页', '缺少引证页码'), ('其他文献', '^$', '无法可靠识别文献类型，已保留原文')) v(citation_type, pattern, issue)),
+bad AS (SELECT t.doc_id, t.block_id, t.citation_type, need.issue FROM ty t JOIN need USING (citation_type) WHERE NOT regexp_matches(t.n, need.pattern))"""
+
+
+@query(f"WITH {CITED} SELECT citation_type, NULL AS issue, count(*) AS n FROM ty GROUP BY citation_type UNION ALL SELECT citation_type, issue, count(*) FROM bad GROUP BY citation_type, issue")
 def citation_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.citation_corpus_summary(ci.citations_by_document(ad.citation_notes(spark, sf_dir)))
 
 
-@query("SELECT doc_id, 1 AS total, CASE WHEN doc_id % 6 IN (1, 5) THEN 1 ELSE 0 END AS needs_review FROM documents")
+@query(f"WITH {CITED} SELECT doc_id, count(*) AS total, count(DISTINCT b.block_id) AS needs_review FROM ty LEFT JOIN (SELECT DISTINCT doc_id, block_id FROM bad) b USING (doc_id, block_id) GROUP BY doc_id")
 def citation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ci.citation_summary(ci.citations_by_document(ad.citation_notes(spark, sf_dir)))
 
 
-@query("""SELECT doc_id, '1. ' || CASE doc_id % 6 WHEN 0 THEN '作者：《题' || doc_id || '》，载《期刊》' || (1990 + doc_id % 30) || '年第' || (doc_id % 12 + 1) || '期，第' || (doc_id % 300 + 1) || '页。'
-  WHEN 1 THEN '作者：《题' || doc_id || '》，法律出版社' || (1990 + doc_id % 30) || '年版。' WHEN 2 THEN '北京市某区人民法院：（2020）京01民终' || doc_id || '号。' WHEN 3 THEN '《民法》第' || (doc_id % 1000 + 1) || '条。'
-  WHEN 4 THEN '《题' || doc_id || '》，http://example.org/' || doc_id || '，最后访问日期：2020-01-0' || (doc_id % 9 + 1) || '。' ELSE 'plain note ' || doc_id || '。' END AS report FROM documents""")
+@query(f"""WITH {CITED}, f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, k) AS i, CASE citation_type WHEN '网络资料' THEN regexp_replace(replace(n, ', http', '，http'), '，访问日期：', '，最后访问日期：') || '。' WHEN '裁判文书' THEN w || '市人民法院：（2020）京01民终' || k || '号。' WHEN '期刊论文' THEN CASE WHEN w = '' THEN substring(n, 2) ELSE n END WHEN '专著' THEN CASE WHEN w = '' THEN substring(n, 2) ELSE n END || '。' ELSE n || '。' END AS formatted FROM ty)
+SELECT doc_id, string_agg(i || '. ' || formatted, chr(10) ORDER BY i) AS report FROM f GROUP BY doc_id""")
 def citation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.citation_list_report(ci.citations_by_document(ad.citation_notes(spark, sf_dir)))
 
@@ -207,23 +212,27 @@ def edit_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.edit_tags(ad.tagged_events(spark, sf_dir), 3, "rename", "click", "press").select("annotation_id", F.array_join("tags", "|").alias("tag"), "affected")
 
 
-@query("WITH t AS (SELECT user_id % 7 AS project_id, event_type AS tag, min(struct_pack(ts := ts, i := CAST(event_id AS VARCHAR))) AS o FROM events GROUP BY ALL), u AS (SELECT project_id, tag, 1 AS s, o.ts AS ts, o.i AS i FROM t WHERE tag NOT IN ('重要', '待查') UNION ALL SELECT DISTINCT project_id, d.tag, 0, NULL, d.i FROM t, (VALUES ('重要', '0'), ('待查', '1')) d(tag, i)), r AS (SELECT project_id, tag, row_number() OVER (PARTITION BY project_id ORDER BY s, ts, i) AS rank FROM u) SELECT project_id, tag, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8")
+@query("""WITH t AS (SELECT user_id % 7 AS project_id, event_type AS tag, min(struct_pack(ts := ts, i := CAST(event_id AS VARCHAR))) AS o FROM events GROUP BY ALL), c AS (SELECT l.doc_id % 7 AS project_id, t.tag, min(CAST(l.doc_id AS VARCHAR)) AS i FROM labels l JOIN documents d USING (doc_id), (VALUES (0, 't'), (1, 'click')) t(q, tag) WHERE t.q = 0 OR l.quality = 1 GROUP BY ALL),
+u AS (SELECT project_id, tag, 1 AS s, o.ts AS ts, o.i AS i FROM t UNION ALL SELECT DISTINCT project_id, d.tag, 0, NULL, d.i FROM t, (VALUES ('重要', '0'), ('待查', '1')) d(tag, i) UNION ALL SELECT project_id, tag, 2, TIMESTAMP '2024-01-01', i FROM c),
+f AS (SELECT project_id, tag, min(struct_pack(s := s, ts := coalesce(ts, TIMESTAMP '1900-01-01'), i := i)) AS o FROM u GROUP BY ALL), r AS (SELECT project_id, tag, row_number() OVER (PARTITION BY project_id ORDER BY o, tag) AS rank FROM f) SELECT project_id, tag, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
 def suggest_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ad.tagged_events(spark, sf_dir)
-    none = ad.cards(spark, sf_dir).where("false").select(F.lit(0).cast("long").alias("project_id"), "tags", "updated_at", "card_id")
-    return an.suggest_tags(["重要", "待查"], a, none, a.select("project_id").distinct())
+    c = ad.cards(spark, sf_dir).select((F.col("doc_id") % 7).alias("project_id"), F.when(F.col("verify_status") == "已核验", F.concat("tags", F.array(F.lit("click")))).otherwise(F.col("tags")).alias("tags"), "updated_at", "card_id")
+    return an.suggest_tags(["重要", "待查"], a, c, a.select("project_id").distinct())
 
 
-@query(f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_id, length(text) AS n FROM blocks WHERE reading_order = 0), r AS (SELECT doc_id, block_id, 'x' AS annotation_id, 1 AS ord, 0 AS s, n // 2 AS e FROM b UNION ALL SELECT doc_id, block_id, 'y', 2, n // 4, n FROM b),
-c AS (SELECT DISTINCT doc_id, block_id, unnest([0, n // 4, n // 2, n]) AS k FROM b), p AS (SELECT doc_id, block_id, k, lead(k) OVER (PARTITION BY doc_id, block_id ORDER BY k) AS k2 FROM c)
-SELECT p.doc_id, p.block_id, CAST(p.k AS INTEGER) AS start_offset, CAST(p.k2 AS INTEGER) AS end_offset, arg_min(r.annotation_id, r.ord) AS annotation_id FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.s <= p.k AND r.e >= p.k2 WHERE p.k2 IS NOT NULL GROUP BY ALL""")
+@query(f"""WITH {BLOCKS}, b AS (SELECT doc_id, block_id, length(text) AS n FROM blocks), r AS (SELECT doc_id, block_id, 'x' AS annotation_id, 1 AS ord, 0 AS s, n // 2 AS e FROM b UNION ALL SELECT doc_id, block_id, 'y', 2, n // 4, n FROM b), m AS (SELECT doc_id, block_id, n // 3 AS s, least(n, n // 3 + 2) AS e FROM b),
+c AS (SELECT DISTINCT doc_id, block_id, unnest([0, n // 4, n // 2, n, n // 3, least(n, n // 3 + 2)]) AS k FROM b), p AS (SELECT doc_id, block_id, k, lead(k) OVER (PARTITION BY doc_id, block_id ORDER BY k) AS k2 FROM c),
+q AS (SELECT p.doc_id, p.block_id, p.k, p.k2, arg_min(r.annotation_id, r.ord) AS annotation_id FROM p LEFT JOIN r ON r.doc_id = p.doc_id AND r.block_id = p.block_id AND r.s <= p.k AND r.e >= p.k2 WHERE p.k2 IS NOT NULL GROUP BY ALL)
+SELECT q.doc_id, q.block_id, CAST(k AS INTEGER) AS start_offset, CAST(k2 AS INTEGER) AS end_offset, annotation_id, CASE WHEN m.s IS NOT NULL THEN 'm' END AS ref FROM q LEFT JOIN m ON m.doc_id = q.doc_id AND m.block_id = q.block_id AND m.s <= k AND m.e >= k2""")
 def split_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = ad.blocks(spark, sf_dir).where("reading_order = 0")
+    """Two ranges and a reference in every block."""
+    b = ad.blocks(spark, sf_dir)
     n = F.length("text")
     one = lambda name, o, s, e: b.select("doc_id", "block_id", F.lit(name).alias("annotation_id"), F.lit(o).alias("ord"), s.cast("int").alias("start_offset"), e.cast("int").alias("end_offset"))
     r = one("x", 1, F.lit(0), F.floor(n / 2)).unionByName(one("y", 2, F.floor(n / 4), n))
-    refs = r.where("false").select("doc_id", "block_id", F.lit("m").alias("marker"), "start_offset", "end_offset")
-    return an.split_ranges(r, refs, b).drop("ref")
+    refs = one("m", 0, F.floor(n / 3), F.least(n, F.floor(n / 3) + 2)).withColumnRenamed("annotation_id", "marker").drop("ord")
+    return an.split_ranges(r, refs, b)
 
 
 @query(f"""WITH {DOCS}, {NODES}, w AS (SELECT *, [8, 20, 35, 48, 62, 72, 5][doc_id % 7 + 1] AS weight FROM docs WHERE NOT archived), b AS (SELECT project_id, avg(weight) + avg(current_page / page_count) * 12 AS base FROM w GROUP BY 1),
@@ -372,12 +381,16 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rs.coverage_metrics(chunks, r, cited).select("doc_id", "source_characters", "analyzed_characters", "total_sections", "analyzed_sections", "failed_chunks")
 
 
-@query()
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_returnflag AS t, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice % 50 AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_extendedprice % 50 AS DOUBLE) DESC, CAST(l_quantity AS DOUBLE), l_linenumber) AS n FROM lineitem),
+f AS (SELECT doc_id, n, [y] AS rows, [1] AS places FROM i WHERE n = 1 UNION ALL SELECT doc_id, n, CASE WHEN k > 0 THEN list_transform(rows, lambda q, j: CASE WHEN j = k THEN (q + y) / 2 ELSE q END) ELSE list_append(rows, y) END, list_append(places, CASE WHEN k > 0 THEN k ELSE len(rows) + 1 END)
+  FROM (SELECT i.doc_id, i.n, i.y, f.rows, f.places, coalesce(list_position(list_transform(f.rows, lambda q: abs(q - i.y) <= 2.8), true), 0) AS k FROM f JOIN i ON i.doc_id = f.doc_id AND i.n = f.n + 1)),
+z AS (SELECT f.* FROM f JOIN (SELECT doc_id, max(n) AS n FROM i GROUP BY 1) USING (doc_id, n)), p AS (SELECT i.*, z.places[i.n] AS line, z.rows[z.places[i.n]] AS row_y FROM i JOIN z USING (doc_id)),
+l AS (SELECT doc_id, line, row_y, string_agg(t, ' ' ORDER BY x, item_no) AS text, min(x) AS x, max(x) + 10 - min(x) AS w FROM p GROUP BY doc_id, line, row_y)
+SELECT doc_id, 'b-1-' || row_number() OVER (PARTITION BY doc_id ORDER BY row_y DESC, line) AS block_id, text, round(x, 2) AS x, round(w, 2) AS w FROM l""")
 def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as positioned runs: an order is a page."""
-    li = ad.table(spark, sf_dir, "lineitem")
-    runs = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("item_no"), F.col("l_shipmode").alias("str") if "l_shipmode" in li.columns else F.col("l_returnflag").alias("str"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") % 50).cast("double").alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"))
-    return pa.group_lines(runs)
+    runs = ad.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("l_linenumber").alias("item_no"), F.col("l_returnflag").alias("str"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") % 50).cast("double").alias("y"), F.lit(10.0).alias("width"), F.lit(10.0).alias("height"), F.lit(10.0).alias("font_size"))
+    return pa.group_lines(runs).select("doc_id", "block_id", "text", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(2)).alias("w"))
 
 
-from quire.plans import queries_responses  # noqa: E402, F401  (registers its queries)
+from quire.plans import queries_evidence, queries_responses  # noqa: E402, F401  (each registers its queries)
