@@ -1,13 +1,14 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-Three machines are compiled once per task: the normaliser (spaces to the word mark, one mark
-in front), the pieces (a deterministic trie whose arcs read characters and whose final states
+Three machines are compiled once per task: the normaliser (from the model file's own settings: spaces to
+the word mark, one mark in front, perhaps no more than one space in a row), the pieces (a deterministic trie whose arcs read characters and whose final states
 write a piece) and the byte fallback (a character that no piece holds writes its UTF-8 bytes).
 Each input is composed with them, and the tropical-semiring shortest path gives the pieces.
 
 Weights make the path agree with the vocabulary's own kind of model:
 
-* unigram models weigh a piece by its negative log probability;
+* unigram models weigh a piece by its negative log probability, and a character that no piece holds by ten
+  more than the least probable piece;
 * BPE models have ranks, not probabilities. There an arc between two pieces is in the machine
   (weight 1 a piece) only if merging their joined text gives exactly these two pieces back. A
   sequence is the BPE result if and only if all its neighbours are such pairs, so the composed
@@ -19,6 +20,7 @@ point before each run of marks; the pieces between two cut points are found alon
 
 from __future__ import annotations
 
+import re
 import zlib
 from functools import lru_cache
 
@@ -30,24 +32,85 @@ from pyspark.sql import functions as F
 from quire.llm.bpe_count import MARK, merge_symbols
 from quire.llm.common import TwoGenerationCache, table
 
-INFINITE = float("inf")
+#: How much more than the least probable piece a character costs that no piece holds (unigram models).
+UNKNOWN_PENALTY = 10.0
+
+
+def message(data: bytes) -> dict[int, list]:
+    """The fields of a protocol-buffer message: numbers, and bytes of what has a length."""
+    out: dict[int, list] = {}
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = data[at]
+            at += 1
+            value |= (byte & 127) << shift
+            shift += 7
+            if byte < 128:
+                return value
+
+    while at < len(data):
+        key = varint()
+        kind = key & 7
+        if kind == 0:
+            value = varint()
+        else:
+            size = varint() if kind == 2 else 8 if kind == 1 else 4
+            value, at = data[at : at + size], at + size
+        out.setdefault(key >> 3, []).append(value)
+    return out
+
+
+class Normaliser:
+    """What a model file says of its input: compiled from its settings, or refused.
+
+    Files that also map characters (a table of their own) are refused: their input would differ.
+    """
+
+    def __init__(self, model: dict[int, list]):
+        spec = message(model.get(3, [b""])[-1])
+        flag = lambda n: bool(spec.get(n, [1])[-1])  # noqa: E731  (absent: true)
+        self.front, self.single, self.marked = flag(3), flag(4), flag(5)
+        if spec.get(2, [b""])[-1]:
+            raise ValueError("the model's normaliser maps characters, which is not built")
+        if not self.marked:
+            raise ValueError("the model does not mark words")
+
+    def __call__(self, text: str) -> str:
+        if self.single:
+            text = re.sub(" +", " ", text.strip(" "))
+        return (MARK if self.front else "") + text.replace(" ", MARK) if text else ""
+
+    @property
+    def plain(self) -> bool:
+        """Whether words that single spaces part are marked one by one."""
+        return self.front and not self.single
 
 
 class Transducer:
     """Normaliser, pieces and byte fallback, compiled from a SentencePiece model file."""
 
-    def __init__(self, path: str, kind: str = "bpe", half: int = 600_000):
+    def __init__(self, path: str, kind: str | None = None, half: int = 600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = message(sp.serialized_model_proto())
         size = range(sp.get_piece_size())
-        self.kind = kind
+        own = {1: "unigram", 2: "bpe"}.get(message(model.get(2, [b""])[-1]).get(3, [1])[-1])
+        self.kind = kind or own
+        if self.kind not in ("unigram", "bpe"):
+            raise ValueError("only unigram and BPE models are built")
+        self.normalise = Normaliser(model)
         self.pieces = [sp.id_to_piece(i) for i in size]
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in size if sp.is_byte(i)}
         self.output = [bytes([int(p[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) else p.encode() for i, p in enumerate(self.pieces)]
         self.unknown = sp.unk_id()
         self.ids = {self.pieces[i]: i for i in size if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
         self.ranks = {p: -sp.get_score(i) for p, i in self.ids.items()}
+        self.unknown_cost = 1.0 if self.kind == "bpe" else max(self.ranks.values()) + UNKNOWN_PENALTY
         self.trie: dict = {}
         for piece, i in self.ids.items():
             node = self.trie
@@ -59,9 +122,6 @@ class Transducer:
         self.pairs = TwoGenerationCache(self._pair, 250_000)
         self.chunks = TwoGenerationCache(self._chunk, half)
 
-    def normalise(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
-
     def _pair(self, pair: tuple[int, int]) -> bool:
         u, v = self.pieces[pair[0]], self.pieces[pair[1]]
         return merge_symbols(u + v, self.ranks) == [u, v]
@@ -85,8 +145,8 @@ class Transducer:
             if chunk[i] not in known:
                 w, last = min((v[0], k) for k, v in here.items())
                 old = best[i + 1].get(-2)
-                if old is None or w + 1 < old[0]:
-                    best[i + 1][-2] = (w + 1 if bpe else w + 1e3, i, last)
+                if old is None or w + self.unknown_cost < old[0]:
+                    best[i + 1][-2] = (w + self.unknown_cost, i, last)
             j = i
             while node is not None:
                 j += 1
@@ -120,7 +180,7 @@ class Transducer:
             return np.empty(0, np.uint32)
         chunks = self.chunks
         out: list[bytes] = []
-        if MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        if not self.normalise.plain or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
             marked, start = self.normalise(text), 0
             for i in range(1, len(marked) + 1):
                 if i == len(marked) or (marked[i] == MARK and marked[i - 1] != MARK):
@@ -141,16 +201,19 @@ class Transducer:
         """The inverse machine: bytes joined to characters, marks to spaces, the front mark dropped."""
         raw = b"".join(map(self.output.__getitem__, np.asarray(ids).tolist()))
         text = raw.decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if self.normalise.front and text.startswith(" ") else text
 
 
 @lru_cache(maxsize=2)
-def transducer(path: str, kind: str = "bpe") -> Transducer:
+def transducer(path: str, kind: str | None = None) -> Transducer:
     return Transducer(path, kind)
 
 
-def encode(docs: DataFrame, model_path: str, kind: str = "bpe", text: str = "text") -> DataFrame:
-    """doc_id, ids array<int>: the pieces of each whole text (null and empty: none)."""
+def encode(docs: DataFrame, model_path: str, kind: str | None = None, text: str = "text") -> DataFrame:
+    """doc_id, ids array<int>: the pieces of each whole text (null and empty: none), by the file's kind of model unless one is given.
+
+    Repeated rows and null ids stay as they are; other columns are not read.
+    """
 
     def run(batches):
         t = transducer(model_path, kind)
