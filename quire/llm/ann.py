@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialise, table
@@ -135,11 +135,14 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def classes(rows: DataFrame, k: int) -> DataFrame:
-    """Distinct vectors (w, hash h) with their k + 1 smallest ids: a query takes at most k, and never its own."""
+    """Distinct vectors (w, hash h) with their k + 1 smallest ids: a query takes at most k, and never its own.
+
+    Spark keeps k + 1 rows a vector in each task before it shuffles, so a vector that a third of the rows share is no hot group.
+    """
     one = rows.select(F.transform("v", lambda x: x + 0.0).alias("w"), "vec_id").withColumn("h", F.xxhash64("w"))
-    # first by salt, so that a vector that a third of the rows share is no single task
-    salted = one.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64))).groupBy("h", "w", "salt").agg(F.slice(F.sort_array(F.collect_list("vec_id")), 1, k + 1).alias("ids"))
-    return salted.groupBy("h", "w").agg(F.slice(F.sort_array(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
+    rank = F.row_number().over(Window.partitionBy("h", "w").orderBy("vec_id"))
+    few = one.withColumn("rank", rank).where(F.col("rank") <= k + 1)
+    return few.groupBy("h", "w").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
@@ -210,8 +213,11 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
             block = np.arange(len(r)) - np.repeat(np.cumsum(each) - each, each)
             yield pa.RecordBatch.from_arrays([pa.array(l), pa.array(block), b.column(0).take(pa.array(r)), b.column(1).take(pa.array(r))], names=["list", "block", "query_id", "q"])
 
-    queries = rows.where(is_query).select("vec_id", F.transform("v", lambda x: x + 0.0).alias("q")).dropDuplicates(["vec_id", "q"])
-    asked = queries.mapInArrow(choose, "list long, block long, query_id long, q array<double>")
+    # equal vectors are asked for once, with one answer more than wanted: a query leaves itself out of it
+    q = F.transform("v", lambda x: x + 0.0)
+    queries = rows.where(is_query).select(F.col("vec_id").alias("own_id"), q.alias("q")).distinct().withColumn("h", F.xxhash64("q"))
+    distinct = materialise(queries.groupBy("h", "q").agg(F.count("*").alias("n")).withColumn("vec_id", F.monotonically_increasing_id()), "queries")
+    asked = distinct.select("vec_id", "q").mapInArrow(choose, "list long, block long, query_id long, q array<double>")
     blocks_of = F.broadcast(spark.createDataFrame([(int(i), int(b)) for i, b in enumerate(blocks)], "list long, blocks long"))
     dealt = postings.join(blocks_of, "list").withColumn("block", F.pmod("h", "blocks")).select("list", "block", "w", "ids")
 
@@ -224,15 +230,18 @@ def search(vectors: DataFrame, is_query, k: int = 10) -> DataFrame:
                 d = np.sqrt(((w - q[i]) ** 2).sum(1))
                 # k + 1 entries with all that tie with the last: one of them may be the query alone
                 cut = np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
-                found = sorted((float(d[j]), v) for j in np.nonzero(d <= cut)[0] for v in ids[j] if v != query)[:k]
+                found = sorted((float(d[j]), v) for j in np.nonzero(d <= cut)[0] for v in ids[j])[: k + 1]
                 out += [(query, v, s) for s, v in found]
         cols = list(zip(*out, strict=True)) if out else ([], [], [])
         return pa.table({"query_id": pa.array(cols[0], pa.int64()), "vec_id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.float64())})
 
     found = asked.groupBy("list", "block").cogroup(dealt.groupBy("list", "block")).applyInArrow(nearest, "query_id long, vec_id long, score double")
     # a vector in several lists is found several times with the same score
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k).alias("b"))
-    return best.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
+    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.struct("score", "vec_id"))), 1, k + 1).alias("b"))
+    answers = best.join(distinct.select(F.col("vec_id").alias("query_id"), "h", F.col("q").alias("asked")), "query_id").select("h", "asked", "b")
+    # on the vector's hash, so that Spark can split a vector that very many queries share
+    each = queries.join(answers, "h").where("q = asked").select(F.col("own_id").alias("query_id"), F.slice(F.filter("b", lambda x: x["vec_id"] != F.col("own_id")), 1, k).alias("b"))
+    return each.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).alias("rank"), F.col("x.vec_id").alias("vec_id"), F.col("x.score").alias("score"))
 
 
 def op4_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:

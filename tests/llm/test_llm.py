@@ -148,6 +148,24 @@ def test_ann(spark):
     assert ann.search(e.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_ann_prunes_and_still_finds(spark):
+    """Two hundred lists and more, of which a query reads a part; recall against brute force."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(300, 16))
+    x = (centres[rng.integers(0, 300, 21_000)] + 0.15 * rng.normal(size=(21_000, 16))).astype(np.float32)
+    d = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<float>").repartition(4)
+    got = defaultdict(list)
+    for r in ann.search(d, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    y = x.astype(float)
+    hits = 0
+    for q in range(0, 21_000, 100):
+        dist = ((y - y[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(set(np.argsort(dist, kind="stable")[:10].tolist()) & set(got[q]))
+    assert 21_000 // ann.PER_LIST >= 200 > ann.PROBES and hits / 2100 >= 0.9
+
+
 def test_language(spark, odd, docs):
     model = langid.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
     got = docs.select("doc_id", "lang").join(langid.identify(docs, model), "doc_id").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).collect()
@@ -352,6 +370,44 @@ def test_transducer_equals_library(spark, odd, texts):
     assert Counter(r["text"] for r in back) == Counter((x or "").replace("▁", " ") for x in ODD)
 
 
+def test_unigram_paths_are_shortest():
+    """The file's ranks taken as costs: the path is the cheapest of all, by enumeration."""
+    t = wfst.Transducer(PIECES, "unigram")
+    assert wfst.Transducer(PIECES).kind == "bpe"
+
+    def cheapest(chunk):
+        best = {0: 0.0}
+        for i in range(len(chunk)):
+            for j in range(i + 1, len(chunk) + 1):
+                cost = t.ranks.get(chunk[i:j], t.unknown_cost if j == i + 1 else math.inf)
+                if i in best and best[i] + cost < best.get(j, math.inf):
+                    best[j] = best[i] + cost
+        return best[len(chunk)]
+
+    for word in ["there", "é😀x", "zzq", "a\nb", "international"]:
+        path = t.shortest("▁" + word)
+        cost, k = 0.0, 0
+        byte = set(t.byte_id.values())
+        while k < len(path):
+            if path[k] in byte:  # a character's bytes count once
+                first = next(b for b, i in t.byte_id.items() if i == path[k])
+                k += 1 if first < 0x80 else 2 if first < 0xE0 else 3 if first < 0xF0 else 4
+                cost += t.unknown_cost
+            else:
+                cost, k = cost + t.ranks[t.pieces[path[k]]], k + 1
+        assert cost == pytest.approx(cheapest("▁" + word))
+
+
+def test_normaliser_is_read_from_the_file():
+    field = lambda n, v: bytes([n << 3, v])
+    spec = lambda *f: {3: [b"".join(f)]}
+    assert wfst.Normaliser(spec(field(3, 0), field(4, 1)))("  a  b ") == "a▁b"
+    assert wfst.Normaliser(spec(field(3, 1), field(4, 0)))(" a") == "▁▁a"
+    for refused in (spec(b"\x12\x01x"), spec(field(5, 0))):
+        with pytest.raises(ValueError):
+            wfst.Normaliser(refused)
+
+
 def test_token_counts_equal_library(odd, docs):
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
     for d in (odd, docs):
