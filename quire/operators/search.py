@@ -22,10 +22,9 @@ def search_blocks(blocks: DataFrame, query: str, limit: int = 80) -> DataFrame:
     at = F.position(F.lit(q.lower()), F.lower("t")) - 1
     start, end = F.greatest(F.lit(0), at - 36), F.least(F.length("t"), at + len(q) + 56)
     snippet = F.concat(F.when(start > 0, "…").otherwise(""), F.substring(F.col("t"), start + 1, end - start), F.when(end < F.length("t"), "…").otherwise(""))
-    total = hit.groupBy("doc_id").agg(F.count("*").alias("total"))
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "reading_order", "block_id"))
-    top = hit.withColumn("rank", rank).where(F.col("rank") <= limit)
-    return top.join(total, "doc_id").select("doc_id", "block_id", "page", "block_type", snippet.alias("snippet"), "rank", "total")
+    doc = Window.partitionBy("doc_id")
+    ranked = hit.withColumn("rank", F.row_number().over(doc.orderBy("page", "reading_order", "block_id"))).withColumn("total", F.count("*").over(doc))
+    return ranked.where(F.col("rank") <= limit).select("doc_id", "block_id", "page", "block_type", snippet.alias("snippet"), "rank", "total")
 
 
 def _has(query: str, *columns: Column) -> Column:
@@ -59,14 +58,14 @@ def search_annotations_in_doc(annotations: DataFrame, doc_id, query: str, limit:
 
 
 def filter_documents(docs: DataFrame, kind: str | None = None, query: str = "", order: str = "recent") -> DataFrame:
-    """order: recent, progress (share read, least first) or title."""
+    """order: recent, progress (share read, least first) or title (as Chinese readers sort)."""
     d = active_documents(docs)
     if kind:
         d = d.where(F.col("kind") == kind)
     if query:
         d = d.where(_has(query, *[F.col(c) for c in ("title", "source", "author") if c in docs.columns]))
     share = F.when(F.col("page_count") > 0, F.col("current_page") / F.col("page_count")).otherwise(0.0)
-    by = {"recent": [F.desc("updated_at")], "progress": [share.asc()], "title": [F.col("title").asc()]}[order]
+    by = {"recent": [F.desc("updated_at")], "progress": [share.asc()], "title": [F.collate(F.col("title"), "zh").asc()]}[order]
     return d.orderBy(*by, "doc_id")
 
 

@@ -107,10 +107,22 @@ def format_outline(response: DataFrame, old: DataFrame, limit: int = 160) -> Dat
     return new.unionByName(old.join(new.select("doc_id").distinct(), "doc_id", "left_anti"), allowMissingColumns=True)
 
 
+#: What an outline item without a title is called.
+UNTITLED = "未命名目录"
+
+
 def sanitize_user_outline(rows: DataFrame, limit: int = 300) -> DataFrame:
+    """A reader's outline (doc_id, ord, title, level, page, block_id, perhaps outline_id): the first ``limit`` items, with what is missing filled in."""
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))
-    r = rows.withColumn("title", head(strip(F.col("title")), 160)).where("title <> ''").withColumn("ord", n).where(F.col("ord") <= limit)
-    return r.select("doc_id", F.concat(F.lit("user-"), F.col("ord").cast("string")).alias("outline_id"), "title", clamp(number_or(F.col("level"), 1), 1, 4).cast("int").alias("level"), F.greatest(F.lit(1), number_or(F.col("page"), 1).cast("int")).alias("page"), "block_id", F.lit(1.0).alias("confidence"), F.lit("user").alias("source"), "ord")
+    r = rows.withColumn("title", head(F.coalesce(F.nullif("title", F.lit("")), F.lit(UNTITLED)), 160)).withColumn("ord", n).where(F.col("ord") <= limit)
+    own = F.nullif("outline_id", F.lit("")) if "outline_id" in rows.columns else F.lit(None).cast("string")
+    return r.select("doc_id", F.coalesce(own, F.concat(F.lit("outline-user-"), F.col("ord").cast("string"))).alias("outline_id"), "title", clamp(number_or(F.col("level"), 1), 1, 4).cast("int").alias("level"), F.greatest(F.lit(1), number_or(F.col("page"), 1).cast("int")).alias("page"), "block_id", F.lit(1.0).alias("confidence"), F.lit("user").alias("source"), "ord")
+
+
+def log_edits(log: DataFrame, edits: DataFrame, keep: int = 100) -> DataFrame:
+    """Edit log (doc_id, type, edited_at) with new edits; of each document the last ``keep``."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("edited_at"), "type"))
+    return log.unionByName(edits.select(*log.columns)).withColumn("_n", n).where(F.col("_n") <= keep).drop("_n")
 
 
 def indexed_blocks(blocks: DataFrame) -> DataFrame:

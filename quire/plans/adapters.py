@@ -74,12 +74,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quote from the second block of each document; some name another block, some are changed."""
-    b = blocks(spark, sf_dir).where("reading_order = 1")
+    """A quote from each block; some name another block, some are changed."""
+    b, turn = blocks(spark, sf_dir), (F.col("doc_id") + F.col("reading_order")) % 3
     quote = F.substring("text", 3, 40)
     return b.select(
-        F.concat(F.lit("a"), F.col("doc_id").cast("string")).alias("annotation_id"), F.lit("p").alias("project_id"), "doc_id", F.lit("highlight").alias("kind"), F.lit("yellow").alias("color"), F.lit("引用卡").alias("card_type"), F.when(F.col("doc_id") % 3 == 2, F.concat(F.lit("\u0001"), quote)).otherwise(quote).alias("text"), F.lit("").alias("note"), F.lit(1).alias("page"),
-        F.when(F.col("doc_id") % 3 == 1, "b0000000").otherwise(F.col("block_id")).alias("block_id"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), F.lit("").alias("quote_prefix"), F.lit("").alias("quote_suffix"), F.lit(None).cast("array<double>").alias("page_rect"), F.lit(None).cast("array<array<double>>").alias("page_rects"),
+        F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("-"), F.col("reading_order").cast("string")).alias("annotation_id"), F.lit("p").alias("project_id"), "doc_id", F.lit("highlight").alias("kind"), F.lit("yellow").alias("color"), F.lit("引用卡").alias("card_type"), F.when(turn == 2, F.concat(F.lit("\u0001"), quote)).otherwise(quote).alias("text"), F.lit("").alias("note"), "page",
+        F.when(turn == 1, "b0000000").otherwise(F.col("block_id")).alias("block_id"), F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), F.lit("").alias("quote_prefix"), F.lit("").alias("quote_suffix"), F.lit(None).cast("array<double>").alias("page_rect"), F.lit(None).cast("array<array<double>>").alias("page_rects"),
         F.array().cast("array<struct<block_id:string,start_offset:int,end_offset:int,text:string>>").alias("segments"), F.lit("exact").alias("anchor_status"), F.array(F.lit("t1")).alias("tags"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"),
     )
 

@@ -180,12 +180,12 @@ def citation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.citation_list_report(ci.citations_by_document(ad.citation_notes(spark, sf_dir)))
 
 
-@query(f"""WITH {BLOCKS}, b1 AS (SELECT * FROM blocks WHERE reading_order = 1), a AS (SELECT doc_id, substring(text, 3, 40) AS q, CASE WHEN doc_id % 3 = 1 THEN 'b0000000' ELSE block_id END AS block_id FROM b1),
-x AS (SELECT doc_id, CASE WHEN doc_id % 3 = 2 THEN chr(1) || q ELSE q END AS text, block_id FROM a),
-own AS (SELECT x.*, b.text AS own_text, b.page AS own_page FROM x LEFT JOIN blocks b USING (doc_id, block_id)),
-hit AS (SELECT o.doc_id, arg_min(b.block_id, CASE WHEN b.page <> 1 THEN 1000000000 ELSE 0 END + b.reading_order) AS hb FROM own o JOIN blocks b ON b.doc_id = o.doc_id AND o.text <> '' AND contains(b.text, o.text) GROUP BY o.doc_id)
-SELECT 'a' || doc_id AS annotation_id, CASE WHEN own_text IS NOT NULL AND contains(own_text, text) OR text = '' THEN 'exact' WHEN hb IS NOT NULL THEN 'recovered' ELSE 'orphaned' END AS anchor_status,
-  CASE WHEN own_text IS NOT NULL AND contains(own_text, text) THEN block_id ELSE coalesce(hb, block_id) END AS block_id FROM own LEFT JOIN hit USING (doc_id) WHERE text <> ''""")
+@query(f"""WITH {BLOCKS}, a AS (SELECT doc_id, reading_order AS k, page, substring(text, 3, 40) AS q, CASE WHEN (doc_id + reading_order) % 3 = 1 THEN 'b0000000' ELSE block_id END AS block_id FROM blocks),
+x AS (SELECT doc_id, k, page, CASE WHEN (doc_id + k) % 3 = 2 THEN chr(1) || q ELSE q END AS text, block_id FROM a),
+own AS (SELECT x.*, b.text AS own_text FROM x LEFT JOIN blocks b USING (doc_id, block_id) WHERE x.text <> ''),
+hit AS (SELECT o.doc_id, o.k, arg_min(b.block_id, CASE WHEN b.page <> o.page THEN 1000000000 ELSE 0 END + b.reading_order) AS hb FROM own o JOIN blocks b ON b.doc_id = o.doc_id AND contains(b.text, o.text) GROUP BY o.doc_id, o.k)
+SELECT 'a' || doc_id || '-' || k AS annotation_id, CASE WHEN own_text IS NOT NULL AND contains(own_text, text) THEN 'exact' WHEN hb IS NOT NULL THEN 'recovered' ELSE 'orphaned' END AS anchor_status,
+  CASE WHEN own_text IS NOT NULL AND contains(own_text, text) THEN block_id ELSE coalesce(hb, block_id) END AS block_id FROM own LEFT JOIN hit USING (doc_id, k)""")
 def recover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = ad.annotations(spark, sf_dir).where("text <> ''")
     return an.recover_anchors(a, ad.blocks(spark, sf_dir)).select("annotation_id", "anchor_status", "block_id")
@@ -305,8 +305,8 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{JOBS} FROM events GROUP BY user_id")
 def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # all of a stored table may be in one micro-batch, whatever its times
-    s = streams.job_progress_stream(ad.page_results(_event_stream(spark, sf_dir)), "36500 days")
+    # a stored table is one micro-batch, and only earlier batches make a row late
+    s = streams.job_progress_stream(ad.page_results(_event_stream(spark, sf_dir)))
     return streams.run_available(s, "complete", streams.new_checkpoint(spark, "jobs"))
 
 
@@ -369,16 +369,18 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {BLOCKS}, {CHUNKS}, c AS (SELECT doc_id, character_count - n_blocks AS with_prefix, character_count, n_blocks, section_start, part, (section_start + part) % 4 <> 0 AS ok FROM chunks),
 p AS (SELECT f.doc_id, f.section_start, f.pack AS part, sum(f.size - 1 - length('[P' || f.page || '#b0000000] ')) AS plain FROM f GROUP BY ALL)
-SELECT doc_id, CAST(sum(plain) AS BIGINT) AS source_characters, CAST(sum(CASE WHEN ok THEN plain ELSE 0 END) AS BIGINT) AS analyzed_characters, count(*) AS total_sections, count(*) FILTER (ok) AS analyzed_sections, count(*) FILTER (NOT ok) AS failed_chunks FROM c JOIN p USING (doc_id, section_start, part) GROUP BY doc_id""")
+SELECT doc_id, CAST(sum(plain) AS BIGINT) AS source_characters, CAST(sum(CASE WHEN ok THEN plain ELSE 0 END) AS BIGINT) AS analyzed_characters, count(*) AS total_sections, count(*) FILTER (ok) AS analyzed_sections, count(*) FILTER (NOT ok) AS failed_chunks,
+  round(least(1.0, coalesce(sum(CASE WHEN ok THEN character_count - 1 END), 0) / greatest(1, sum(plain))), 6) AS text_coverage, round(coalesce(sum(CASE WHEN ok THEN plain END), 0) / greatest(1, sum(plain)), 6) AS true_coverage, 7 * count(*) AS generated_characters, CAST(sum(n_blocks) AS BIGINT) AS cited_blocks FROM c JOIN p USING (doc_id, section_start, part) GROUP BY doc_id""")
 def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ad.blocks(spark, sf_dir)
     chunks = st.analysis_chunks(b, ad.outline(spark, sf_dir))
     idx = st.indexed_blocks(b).select("doc_id", F.col("block_id").alias("first_block"), "idx")
     starts = chunks.select("doc_id", "chunk_id", "section_id", "part", F.element_at("block_ids", 1).alias("first_block")).join(idx, ["doc_id", "first_block"])
     begin = starts.where("part = 1").select("doc_id", "section_id", F.col("idx").alias("section_start"))
-    r = starts.join(begin, ["doc_id", "section_id"]).select("doc_id", "chunk_id", ((F.col("section_start") + F.col("part")) % 4 != 0).alias("ok"), F.lit(0).alias("generated_characters"))
+    r = starts.join(begin, ["doc_id", "section_id"]).select("doc_id", "chunk_id", ((F.col("section_start") + F.col("part")) % 4 != 0).alias("ok"), F.lit(7).alias("generated_characters"))
     cited = b.select("doc_id", "block_id")
-    return rs.coverage_metrics(chunks, r, cited).select("doc_id", "source_characters", "analyzed_characters", "total_sections", "analyzed_sections", "failed_chunks")
+    m = rs.coverage_metrics(chunks, r, cited.unionByName(cited))
+    return m.select("doc_id", "source_characters", "analyzed_characters", "total_sections", "analyzed_sections", "failed_chunks", F.round("text_coverage", 6).alias("text_coverage"), F.round("true_coverage", 6).alias("true_coverage"), "generated_characters", "cited_blocks")
 
 
 @query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_returnflag AS t, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice % 50 AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_extendedprice % 50 AS DOUBLE) DESC, CAST(l_quantity AS DOUBLE), l_linenumber) AS n FROM lineitem),

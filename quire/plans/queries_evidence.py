@@ -85,14 +85,21 @@ def format_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.format_outline(r, ad.outline(spark, sf_dir)).select("doc_id", "outline_id", "title", "level", "page")
 
 
-@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id, reading_order, page, block_id, CASE WHEN reading_order % 5 = 4 THEN '' ELSE 'T' || reading_order END AS title FROM blocks), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order DESC) AS n FROM r WHERE title <> '')
-SELECT doc_id, 'user-' || n AS outline_id, title, CAST(CASE WHEN reading_order % 7 = 0 THEN 1 ELSE least(4, reading_order % 7) END AS INTEGER) AS level, page, block_id FROM n WHERE n <= 300""")
+@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id, reading_order, page, block_id, CASE WHEN reading_order % 5 = 4 THEN '未命名目录' ELSE ' T' || reading_order END AS title FROM blocks), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY reading_order DESC) AS n FROM r)
+SELECT doc_id, CASE WHEN reading_order % 4 = 0 THEN 'mine' ELSE 'outline-user-' || n END AS outline_id, title, CAST(CASE WHEN reading_order % 7 = 0 THEN 1 ELSE least(4, reading_order % 7) END AS INTEGER) AS level, page, block_id FROM n WHERE n <= 300""")
 def sanitize_user_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("reading_order")
-    r = ad.blocks(spark, sf_dir).select("doc_id", (-k).alias("ord"), F.when(k % 5 == 4, "  ").otherwise(F.concat(F.lit(" T"), _text(k), F.lit(" "))).alias("title"), (k % 7).alias("level"), (F.col("page") * F.when(k % 3 == 0, 1).otherwise(1)).alias("page"), "block_id")
+    r = ad.blocks(spark, sf_dir).select("doc_id", (-k).alias("ord"), F.when(k % 10 == 9, "").when(k % 10 != 4, F.concat(F.lit(" T"), _text(k))).alias("title"), (k % 7).alias("level"), "page", "block_id", F.when(k % 4 == 0, "mine").when(k % 4 == 1, "").alias("outline_id"))
     return st.sanitize_user_outline(r).select("doc_id", "outline_id", "title", "level", "page", "block_id")
 
 
+@query("WITH e AS (SELECT user_id AS doc_id, event_type AS type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM events) SELECT doc_id, count(*) AS n, min(ts) AS oldest FROM e WHERE n <= 20 GROUP BY doc_id")
+def log_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("type"), F.col("ts").alias("edited_at"), "event_id")
+    log = st.log_edits(e.where("event_id % 3 = 0").drop("event_id"), e.where("event_id % 3 > 0").drop("event_id"), 20)
+    return log.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("edited_at").alias("oldest"))
+
+
 @query(rf"""WITH {LEGAL}, s AS (SELECT *, {SQUEEZE} AS t FROM legal) SELECT doc_id, block_id, t AS title, CASE WHEN t LIKE '一、%' THEN 2 ELSE {LEVEL} END AS level FROM s WHERE block_type = 'heading' OR t LIKE '一、%'""")
 def reader_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.reader_outline(_legal(spark, sf_dir)).select("doc_id", "block_id", "title", "level")

@@ -111,8 +111,21 @@ def write_snapshot(spark: SparkSession, tables: dict[str, DataFrame], path: str,
     return snapshot
 
 
-def read_snapshot(spark: SparkSession, path: str, snapshot: str, version: int = 2) -> dict[str, DataFrame]:
-    """The tables that a manifest names; a missing part, another version or another row count is an error."""
+def current_snapshot(spark: SparkSession, path: str) -> str:
+    """The id of the snapshot published last; none is an error."""
+    every = spark.read.schema(MANIFEST).option("recursiveFileLookup", "true").parquet(f"{path}/manifest")
+    part = every.agg(F.max_by("part", F.struct("published_at", "part"))).first()[0]
+    if part is None:
+        raise ValueError("no snapshot")
+    return part.split("/")[1]
+
+
+def read_snapshot(spark: SparkSession, path: str, snapshot: str | None = None, version: int = 2) -> dict[str, DataFrame]:
+    """The tables that a manifest names (the last one published unless one is given).
+
+    A missing part, another version or another row count is an error.
+    """
+    snapshot = snapshot or current_snapshot(spark, path)
     manifest = spark.read.schema(MANIFEST).parquet(f"{path}/manifest/{snapshot}").collect()
     out = {}
     for row in manifest:

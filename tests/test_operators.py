@@ -137,6 +137,33 @@ def test_seed_without_anchors_is_demoted(spark):
     assert re_.demote_nodes(n).first()["user_status"] == "doubt" and re_.demote_cards(c).first()["verify_status"] == "待核验"
 
 
+def test_titles_sort_as_chinese_readers_sort(spark):
+    from quire.operators import search as se
+
+    d = spark.createDataFrame([(i, t, None, None, 1, 1) for i, t in enumerate(["张三", "阿姨", "李四"])], "doc_id int, title string, archived_at timestamp, updated_at timestamp, page_count int, current_page int")
+    assert [r["title"] for r in se.filter_documents(d, order="title").collect()] == ["阿姨", "李四", "张三"]
+
+
+def test_marked_up_layout(spark):
+    raw = spark.createDataFrame([("d", 1, 1, "text", "# **Title** here, yes", [0.1, 0.1, 0.2, 0.2]), ("d", 1, 2, "text", "> some *quoted* `code`, and more", [0.1, 0.1, 0.2, 0.2]), ("d", 1, 3, "image", "x", None)], "doc_id string, page int, item_no int, label string, content string, bbox array<double>")
+    md = spark.createDataFrame([("d", 1, "# **Title** here, yes\ntext")], "doc_id string, page int, markdown string")
+    pages = spark.createDataFrame([("d", 1, 600.0, 800.0)], "doc_id string, page int, width double, height double")
+    got = rows(pa.normalize_layout_blocks(raw, md, pages).select("reading_order", "block_type", "text"), "reading_order")
+    assert got == [(1, "heading", "Title here, yes"), (2, "paragraph", "some quoted code, and more")]
+
+
+def test_real_response_keys(spark):
+    """A paper's answers with the keys that the prompts ask for."""
+    raw = '{"sectionSummary": "sum", "sectionAnalysis": {"legalQuestion": "q", "analysisApproach": "a", "framework": ["f"], "sourceBlockIds": ["b000", "zz"]}, "nodes": [{"title": "t", "sourceBlockIds": ["b001"]}, {"summary": ""}], "warnings": ["w"]}'
+    b = blocks(spark, ["one", "two"]).withColumn("bbox", F.lit(None).cast("array<double>"))
+    chunks = spark.createDataFrame([("d", "section-part-1", "s", "T", 1, 1, 1, ["b000", "b001"])], "doc_id string, chunk_id string, section_id string, title string, start_page int, end_page int, ord int, block_ids array<string>")
+    parsed = rs.parse_json_lenient(spark.createDataFrame([("d", "map", "section-part-1", raw)], "doc_id string, stage string, chunk_id string, raw string"), rs.PAPER_RESPONSE)
+    r = rs.normalize_chunk_reading(parsed, chunks, b).first()
+    assert (r["legal_question"], r["summary"], r["approach"], r["framework"], r["block_ids"]) == ("q", "sum", "a", ["f"], ["b000"])
+    n = rs.normalize_map_nodes(parsed, chunks).collect()
+    assert [(x["candidate_id"], x["title"], x["role"], x["block_ids"], x["confidence_pct"]) for x in n] == [("section-part-1-node-1", "t", "论证展开", ["b001"], 70.0)]
+
+
 def test_pending_work(spark):
     r = spark.createDataFrame([("d", "ocr_page", False, 1), ("e", "ocr_page", False, 1), ("e", "ocr_all", False, 2)], "doc_id string, type string, forced boolean, requested_at int")
     j = spark.createDataFrame([("d", "ocr_all", "running")], "doc_id string, type string, status string")
@@ -157,6 +184,9 @@ def test_workspace_and_snapshot(spark, tmp_path):
     assert workspace.read_snapshot(spark, str(tmp_path / "snap"), s)["blocks"].count() == 1
     with pytest.raises(ValueError):
         workspace.read_snapshot(spark, str(tmp_path / "snap"), s, version=3)
+    last = workspace.write_snapshot(spark, {"blocks": t["blocks"].limit(0)}, str(tmp_path / "snap"))
+    assert workspace.current_snapshot(spark, str(tmp_path / "snap")) == last != s
+    assert workspace.read_snapshot(spark, str(tmp_path / "snap"))["blocks"].count() == 0
 
 
 def test_matrix_report(spark):
