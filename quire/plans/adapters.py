@@ -75,7 +75,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote from each block; some name another block, some are changed."""
-    b, turn = blocks(spark, sf_dir), (F.col("doc_id") + F.col("reading_order")) % 3
+    b, turn = blocks(spark, sf_dir), F.col("doc_id") % 3
     quote = F.substring("text", 3, 40)
     return b.select(
         F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("-"), F.col("reading_order").cast("string")).alias("annotation_id"), F.lit("p").alias("project_id"), "doc_id", F.lit("highlight").alias("kind"), F.lit("yellow").alias("color"), F.lit("引用卡").alias("card_type"), F.when(turn == 2, F.concat(F.lit("\u0001"), quote)).otherwise(quote).alias("text"), F.lit("").alias("note"), "page",

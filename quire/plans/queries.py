@@ -180,8 +180,8 @@ def citation_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.citation_list_report(ci.citations_by_document(ad.citation_notes(spark, sf_dir)))
 
 
-@query(f"""WITH {BLOCKS}, a AS (SELECT doc_id, reading_order AS k, page, substring(text, 3, 40) AS q, CASE WHEN (doc_id + reading_order) % 3 = 1 THEN 'b0000000' ELSE block_id END AS block_id FROM blocks),
-x AS (SELECT doc_id, k, page, CASE WHEN (doc_id + k) % 3 = 2 THEN chr(1) || q ELSE q END AS text, block_id FROM a),
+@query(f"""WITH {BLOCKS}, a AS (SELECT doc_id, reading_order AS k, page, substring(text, 3, 40) AS q, CASE WHEN doc_id % 3 = 1 THEN 'b0000000' ELSE block_id END AS block_id FROM blocks),
+x AS (SELECT doc_id, k, page, CASE WHEN doc_id % 3 = 2 THEN chr(1) || q ELSE q END AS text, block_id FROM a),
 own AS (SELECT x.*, b.text AS own_text FROM x LEFT JOIN blocks b USING (doc_id, block_id) WHERE x.text <> ''),
 hit AS (SELECT o.doc_id, o.k, arg_min(b.block_id, CASE WHEN b.page <> o.page THEN 1000000000 ELSE 0 END + b.reading_order) AS hb FROM own o JOIN blocks b ON b.doc_id = o.doc_id AND contains(b.text, o.text) GROUP BY o.doc_id, o.k)
 SELECT 'a' || doc_id || '-' || k AS annotation_id, CASE WHEN own_text IS NOT NULL AND contains(own_text, text) THEN 'exact' WHEN hb IS NOT NULL THEN 'recovered' ELSE 'orphaned' END AS anchor_status,

@@ -15,20 +15,64 @@ from pyspark.sql.streaming import StreamingQuery
 from quire.operators.annotations import sync_annotations
 
 
-def stream_sync_annotations(incoming: DataFrame, path: str, docs: DataFrame, blocks: DataFrame, checkpoint: str) -> StreamingQuery:
+BUCKETS = 64
+
+
+def bucket_of(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+
+
+def stream_sync_annotations(incoming: DataFrame, path: str, docs: DataFrame, blocks: DataFrame, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """Merge each micro-batch of annotations into a versioned table below ``path``.
 
-    A batch writes version ``batch id + 1`` from the newest earlier one and only strictly newer rows win,
-    so a batch that runs twice gives the same table.
+    Documents are dealt to a fixed number of buckets. A batch reads and writes only the buckets of the documents it
+    touches, as version ``batch id + 1``, from the newest earlier ones; only strictly newer rows win, so a batch that
+    runs twice gives the same table. Of each bucket the version before stays for readers, older ones are deleted.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
-        stored = read_versions(batch.sparkSession, path, batch_id, batch.schema)
-        sync_annotations(stored, batch, docs, blocks).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        spark = batch.sparkSession
+        touched = sorted(r[0] for r in batch.select(bucket_of(buckets).alias("b")).distinct().collect())  # at most ``buckets``
+        if not touched:
+            return
+        stored = read_versions(spark, path, batch_id, batch.schema, touched)
+        here = lambda df: df.where(bucket_of(buckets).isin(touched))
+        merged = sync_annotations(stored, batch, here(docs), here(blocks)).withColumn("bucket", bucket_of(buckets))
+        merged.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id + 1}")
+        drop_superseded(spark, path)
 
     return incoming.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).start()
 
 
-def read_versions(spark, path: str, version: int | None, schema) -> DataFrame:
+def bucket_versions(spark, path: str) -> dict[int, list[int]]:
+    """The complete versions of each bucket, oldest first."""
+    at = lambda *p: spark._jvm.org.apache.hadoop.fs.Path(*p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for v in fs.listStatus(at(path)) if fs.exists(at(path)) else []:
+        if v.getPath().getName().startswith("v=") and fs.exists(at(v.getPath(), "_SUCCESS")):
+            for b in fs.listStatus(v.getPath()):
+                if b.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(b.getPath().getName()[7:]), []).append(int(v.getPath().getName()[2:]))
+    return {b: sorted(v) for b, v in out.items()}
+
+
+def read_versions(spark, path: str, version: int | None, schema, wanted: list[int] | None = None) -> DataFrame:
+    """The table at ``version`` (none: the newest): of each bucket the newest version that is no later."""
+    newest = {b: [v for v in vs if version is None or v <= version] for b, vs in bucket_versions(spark, path).items() if wanted is None or b in wanted}
+    parts = [f"{path}/v={vs[-1]}/bucket={b}" for b, vs in sorted(newest.items()) if vs]
+    return spark.read.schema(schema).parquet(*parts) if parts else spark.createDataFrame([], schema)
+
+
+def drop_superseded(spark, path: str, keep: int = 2) -> None:
+    """Delete all but the newest ``keep`` versions of each bucket."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for b, versions in bucket_versions(spark, path).items():
+        for v in versions[:-keep]:
+            fs.delete(at(f"{path}/v={v}/bucket={b}"), True)
+
+
+def read_newest(spark, path: str, version: int | None, schema) -> DataFrame:
     """The table at ``version`` (none: the newest that is complete); empty if there is none."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -67,13 +111,15 @@ def run_available(df: DataFrame, mode: str, checkpoint: str) -> DataFrame:
     q.awaitTermination()
     spark = df.sparkSession
     if mode == "complete":
-        return read_versions(spark, path, None, df.schema)
+        return read_newest(spark, path, None, df.schema)
     return spark.read.parquet(path).drop("v")
 
 
 def new_checkpoint(spark, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         import tempfile
 
         base = "file://" + tempfile.mkdtemp(prefix="quire-")
