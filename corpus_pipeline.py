@@ -21,12 +21,17 @@ def where(docs: DataFrame, judge: Callable[..., DataFrame], condition: str) -> D
 
     Other columns than doc_id and text pass it under names of their own, so that none clashes with a result.
     """
-    names = {c: c if c in ("doc_id", "text") else f"passing_{k}" for k, c in enumerate(docs.columns)}
-    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    plain, names = renamed(docs)
     kept = judge(plain, keep=tuple(n for n in names.values() if n != "doc_id")).where(condition)
     return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with further columns named passing_0, passing_1 and so on, and the new name of each column."""
+    names = {c: c if c in ("doc_id", "text") else f"passing_{k}" for k, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go.
 
@@ -62,8 +67,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     keys = ["near_copies_id", "near_copies_no_id", "near_copies_fingerprint"]
     keyed = lambda df, fingerprint: df.withColumns(dict(zip(keys, [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), fingerprint], strict=True)))
     kept = keyed(jaccard.representatives(docs, words=WORDS, percent=PERCENT), F.col("fingerprint")).select(*keys)
-    rows = keyed(docs, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(keys)
-    return rows.join(kept, keys, "left_semi").select(*docs.columns)
+    plain, names = renamed(docs)
+    rows = keyed(plain, F.xxhash64(F.col("text").cast("string"))).dropDuplicates(keys)
+    return rows.join(kept, keys, "left_semi").select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
