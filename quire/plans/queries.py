@@ -383,11 +383,11 @@ def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", "source_characters", "analyzed_characters", "total_sections", "analyzed_sections", "failed_chunks", F.round("text_coverage", 6).alias("text_coverage"), F.round("true_coverage", 6).alias("true_coverage"), "generated_characters", "cited_blocks")
 
 
-@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_returnflag AS t, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice % 50 AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_extendedprice % 50 AS DOUBLE) DESC, CAST(l_quantity AS DOUBLE), l_linenumber) AS n FROM lineitem),
+@query("""WITH RECURSIVE i AS (SELECT l_orderkey AS doc_id, l_linenumber AS item_no, l_returnflag AS t, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice % 50 AS DOUBLE) AS y, row_number() OVER (PARTITION BY l_orderkey ORDER BY CAST(l_extendedprice % 50 AS DOUBLE) DESC, CAST(l_quantity AS DOUBLE), l_linenumber, l_returnflag) AS n FROM lineitem),
 f AS (SELECT doc_id, n, [y] AS rows, [1] AS places FROM i WHERE n = 1 UNION ALL SELECT doc_id, n, CASE WHEN k > 0 THEN list_transform(rows, lambda q, j: CASE WHEN j = k THEN (q + y) / 2 ELSE q END) ELSE list_append(rows, y) END, list_append(places, CASE WHEN k > 0 THEN k ELSE len(rows) + 1 END)
   FROM (SELECT i.doc_id, i.n, i.y, f.rows, f.places, coalesce(list_position(list_transform(f.rows, lambda q: abs(q - i.y) <= 2.8), true), 0) AS k FROM f JOIN i ON i.doc_id = f.doc_id AND i.n = f.n + 1)),
 z AS (SELECT f.* FROM f JOIN (SELECT doc_id, max(n) AS n FROM i GROUP BY 1) USING (doc_id, n)), p AS (SELECT i.*, z.places[i.n] AS line, z.rows[z.places[i.n]] AS row_y FROM i JOIN z USING (doc_id)),
-l AS (SELECT doc_id, line, row_y, string_agg(t, ' ' ORDER BY x, item_no) AS text, min(x) AS x, max(x) + 10 - min(x) AS w FROM p GROUP BY doc_id, line, row_y)
+l AS (SELECT doc_id, line, row_y, string_agg(t, ' ' ORDER BY x, item_no, t) AS text, min(x) AS x, max(x) + 10 - min(x) AS w FROM p GROUP BY doc_id, line, row_y)
 SELECT doc_id, 'b-1-' || row_number() OVER (PARTITION BY doc_id ORDER BY row_y DESC, line) AS block_id, text, round(x, 2) AS x, round(w, 2) AS w FROM l""")
 def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order lines as positioned runs: an order is a page."""

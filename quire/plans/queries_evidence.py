@@ -230,9 +230,9 @@ def replace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pa.replace_pages(ad.blocks(spark, sf_dir).drop("block_type", "reading_order", "text"), new.select("doc_id", "page", "block_id"), accepted).select("doc_id", "page", "block_id")
 
 
-@query(f"""WITH {BLOCKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY reading_order) - 1 AS k FROM blocks), r AS (SELECT doc_id, page, k, ['text', 'table', 'image', 'formula'][k % 4 + 1] AS label, regexp_replace(replace(text, '*', ''), '^\\s+|\\s+$', '', 'g') AS t, text FROM pl WHERE k % 4 <> 2),
+@query(f"""WITH {BLOCKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY reading_order) - 1 AS k FROM blocks), r AS (SELECT doc_id, page, k, ['text', 'table', 'image', 'formula'][k % 4 + 1] AS label, regexp_replace(left(CASE WHEN k % 8 = 0 THEN '# ' ELSE '' END || CASE WHEN k % 8 = 0 THEN ltrim(replace(text, '*', ''), ' ') ELSE replace(text, '*', '') END, 6000), '^# |^\\s+|\\s+$', '', 'g') AS t, regexp_replace(replace(text, '*', ''), '^\\s+|\\s+$', '', 'g') AS title FROM pl WHERE k % 4 <> 2),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY k) AS n FROM r)
-SELECT doc_id, page, 'ocr-' || page || '-' || n AS block_id, CASE WHEN label = 'table' THEN 'table' WHEN (doc_id, page, t) IN (SELECT doc_id, page, t FROM r WHERE k % 8 = 0) OR (length(t) <= 80 AND regexp_matches(t, '^[^。，；：、,.;:\\n]+$')) THEN 'heading' ELSE 'paragraph' END AS block_type, t AS text FROM n""")
+SELECT doc_id, page, 'ocr-' || page || '-' || n AS block_id, CASE WHEN label = 'table' THEN 'table' WHEN (doc_id, page, t) IN (SELECT doc_id, page, title FROM r WHERE k % 8 = 0) OR (length(t) <= 80 AND regexp_matches(t, '^[^。，；：、,.;:\\n]+$')) THEN 'heading' ELSE 'paragraph' END AS block_type, t AS text FROM n""")
 def normalize_layout_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain texts only: marked-up ones are in the tests."""
     b = ad.blocks(spark, sf_dir).withColumn("text", F.translate("text", "*", "")).withColumn("k", F.row_number().over(_page_order()) - 1)
