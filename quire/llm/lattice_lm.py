@@ -242,6 +242,19 @@ def expected(v: Pieces, logp: np.ndarray, words: list[str], counts: np.ndarray)
     return total
 
 
+def together(batches, rows: int = 50_000, size: int = 1 << 24):
+    """Batches joined up to about so many rows or bytes: the more words there are of each length, the fewer steps they take."""
+    held, n, total = [], 0, 0
+    for b in batches:
+        held.append(b)
+        n, total = n + b.num_rows, total + b.nbytes
+        if n >= rows or total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, total = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def words_of_bytes(texts: pa.Array) -> list[list[bytes]]:
     """The words of each text in UTF-8, A-Z lowered: bytes know no other case and no other white space than ASCII's."""
     return [t.lower().split() if t else [] for t in texts.cast(pa.binary()).to_pylist()]
@@ -276,7 +289,7 @@ def fit_pieces(counts: DataFrame, ends: int, model_path: str, steps: int = EM_ST
 
         def run(batches, model=model):
             v, total = pieces(model_path), 0.0
-            for b in batches:
+            for b in together(batches):
                 total = total + expected(v, model.value, b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64))
             if not np.isscalar(total):
                 at = np.nonzero(total)[0]
@@ -330,7 +343,7 @@ class Scorer:
             for k in late:
                 found[k] = list(map(get, lists[k]))
         for i in found:
-            i = np.array(i, np.int64)
+            i = np.fromiter(i, np.int64, len(i))
             r = self.rare[i]
             odd, times = np.unique(i[r], return_counts=True) if r.any() else ((), ())
             yield float(self.base[i[~r]].sum()), float(self.score[i[~r]].sum()), int((~r).sum()), [self.words[k] for k in odd], list(map(int, times))
@@ -366,7 +379,7 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
 
     def weigh(batches):
         v = pieces(model_path)
-        for b in batches:
+        for b in together(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(marginals(v, log10p.value, b.column(0).to_pylist()) / math.log(10))], names=["word", "n", "marginal"])
 
     counts = materialise(counts.select("word", "n").mapInArrow(weigh, "word string, n long, marginal double"), "word-scores")
@@ -395,7 +408,7 @@ def score_documents(docs: DataFrame, model_path: str, is_training: Column, frequ
     def weigh_new(batches):
         """The words that no training text has are scored here; the others bring their score along."""
         v = pieces(model_path)
-        for b in batches:
+        for b in together(batches):
             m = b.column("marginal").to_numpy(zero_copy_only=False).astype(np.float64)
             new = np.flatnonzero(np.isnan(m))
             if len(new):
