@@ -21,6 +21,13 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def bound_bytes(spark: SparkSession) -> None:
+    """Rows of megabytes: at most 16 MB go to Python at once, unless the session says otherwise."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") in ("67108864b", "64MB"):
+        spark.conf.set(key, "16m")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
@@ -36,17 +43,21 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, group_rows: int | None = None) -> DataFrame:
     """Write to the shared folder and read again: lineage is cut, lost executors cost nothing done."""
-    return stored(df, name)[0]
+    return stored(df, name, group_rows)[0]
 
 
-def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """As ``materialise``, with the path, which ``discard`` takes once nothing reads it any more."""
+def stored(df: DataFrame, name: str, group_rows: int | None = None) -> tuple[DataFrame, str]:
+    """As ``materialise``, with the path, which ``discard`` takes once nothing reads it any more.
+
+    Readers hold a row group at once: where rows take megabytes, ``group_rows`` bounds it.
+    """
     spark = df.sparkSession
     bound_batches(spark)
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.option("parquet.block.row.count.limit", str(group_rows)) if group_rows else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

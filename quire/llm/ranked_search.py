@@ -18,10 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, table
+from quire.llm.common import bound_bytes, materialise, table
 
 #: Postings of a block (a longer document is a block of its own), and strata that each item visits first.
-BLOCK_POSTINGS, FIRST_STRATA = 400_000, 16
+BLOCK_POSTINGS, FIRST_STRATA = 100_000, 16
+#: Blocks that a reader holds at once.
+GROUP_ROWS = 8
 #: Terms of items that are broadcast at once; more items are taken in as many slices as needed.
 SLICE_TERMS = 200_000
 #: Postings that are added up at once.
@@ -91,6 +93,7 @@ def build(docs: DataFrame, text: str = "text") -> Index:
     their own. Strata are dealt out by ranges of m and a hash of the row, so that one length may have any share of the
     documents. Other columns are not read.
     """
+    bound_bytes(docs.sparkSession)
     names = [x.split()[0] for x in BLOCKS.split(", ")]
     forward = materialise(term_counts(docs, text).withColumn("row", F.monotonically_increasing_id()), "forward")
     documents, length = forward.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -126,7 +129,7 @@ def build(docs: DataFrame, text: str = "text") -> Index:
         if held:
             yield out()
 
-    return Index(materialise(dealt.select("m", "doc_id", "terms", "tfs").mapInArrow(run, BLOCKS), "blocks"), documents, length)
+    return Index(materialise(dealt.select("m", "doc_id", "terms", "tfs").mapInArrow(run, BLOCKS), "blocks", GROUP_ROWS), documents, length)
 
 
 class Items:
