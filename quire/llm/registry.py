@@ -10,6 +10,7 @@ from quire.llm.lattice_lm import op8_lattice_lm
 from quire.llm.line_quality import ORACLE as LINE_QUALITY
 from quire.llm.line_quality import op2_line_quality
 from quire.llm.packing import op3_best_fit_packing
+from quire.llm.pii import op11_pii
 from quire.llm.phrases import ORACLE as PHRASES
 from quire.llm.phrases import op13_phrases
 from quire.llm.ranked_search import ORACLE as RANKED_SEARCH
@@ -21,7 +22,7 @@ from quire.llm.wfst import op7_sentencepiece_wfst
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc_segments, op2_line_quality, op3_best_fit_packing, op4_balanced_postings, op5_language_id, op6_ngram_jaccard, op7_sentencepiece_wfst, op8_lattice_lm, op9_toxicity, op10_token_counts, op12_ranked_search, op13_phrases)}
+    return {f.__name__: f for f in (op1_warc_segments, op2_line_quality, op3_best_fit_packing, op4_balanced_postings, op5_language_id, op6_ngram_jaccard, op7_sentencepiece_wfst, op8_lattice_lm, op9_toxicity, op10_token_counts, op11_pii, op12_ranked_search, op13_phrases)}
 
 
 def oracle_sql() -> dict[str, str]:
