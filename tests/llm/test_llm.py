@@ -176,24 +176,46 @@ def test_language(spark, odd, docs):
     assert {r["lang_pred"] for r in langid.identify(odd, langid.train(docs.limit(0), F.lit(True))).collect()} == {"und"}
 
 
+def model_of(identifier, lang):
+    return next(b.models[b.languages.index(lang)] for b in identifier.blocks() if lang in b.languages)
+
+
 def test_cut_arrays_keep_full_counts(spark, monkeypatch):
     rng = np.random.default_rng(6)
-    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5)) for _ in range(30)) for _ in range(40)]
-    d = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)] + [(100, "xyz zyx", "b")], "doc_id long, text string, lang string")
+    texts = [" ".join("".join(rng.choice(list("abcdefgh"), 5, p=[0.3, 0.2, 0.1, 0.1, 0.1, 0.1, 0.05, 0.05])) for _ in range(30)) for _ in range(40)]
+    d = spark.createDataFrame([(k, t, "a") for k, t in enumerate(texts)] + [(100, "abc cba", "b")], "doc_id long, text string, lang string")
     g, n = np.unique(langid.codes(texts)[0], return_counts=True)
-    whole = langid.train(d, F.lit(True)).models[0]
+    whole = model_of(langid.train(d, F.lit(True)), "a")
     want = langid.KneserNey(g, n, whole.alphabet)
     assert np.allclose(whole.log2(g), want.log2(g), rtol=0, atol=1e-12)
     monkeypatch.setattr(langid, "MAX_NGRAMS", 100)
-    cut = langid.train(d, F.lit(True)).models[0]
+    cut = model_of(langid.train(d, F.lit(True)), "a")
     for few, full in zip(cut.levels, want.levels, strict=True):
-        assert len(few[0]) == min(100, len(full[0])) and len(few[2]) == min(100, len(full[2]))
-        for keys, values in ((0, (1,)), (2, (3, 4))):
+        assert len(few[0]) <= 130 and len(few[2]) <= 130 and len(few[0]) >= min(70, len(full[0]))
+        for keys, value in ((0, 1), (2, 3)):
             at = np.searchsorted(full[keys], few[keys])
-            assert all(np.allclose(full[v][at], few[v]) for v in values)
-    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1)
-    with pytest.raises(ValueError, match="languages"):
-        langid.train(d, F.lit(True))
+            assert np.array_equal(full[keys][at], few[keys]) and np.allclose(full[value][at], few[value])
+    # what was cut weighs in the back-off: after every context the letters' probabilities sum to one
+    letters = sorted({int(x & np.uint64(0xFFFF)) for x in g})
+    assert len(letters) == whole.alphabet - 1
+    contexts = sorted({int(x) >> 16 << 16 for x in g})
+    lowest = cut.levels[-1]
+    outside = 1 - sum(np.exp2(cut.log2(np.array([0xFFFE << 48 | 0xFFFE << 32 | 0xFFFE << 16 | c for c in letters], np.uint64))))
+    for context in contexts:
+        p = np.exp2(cut.log2(np.array([context | c for c in letters], np.uint64)))
+        assert 0.9 < p.sum() <= 1 + 1e-9 and 1 - p.sum() <= outside + 1e-9
+    assert len(lowest[0]) == len(letters)
+
+
+def test_languages_in_blocks_equal_all_at_once(spark, docs, odd, monkeypatch):
+    columns = ["doc_id", "lang_pred", "rejected", F.round("score", 9).alias("score"), F.round("bits_per_char", 9).alias("bits")]
+    told = lambda d, m: sorted(map(str, langid.identify(d, m).select(*columns).collect()))
+    whole = langid.train(docs, F.lit(True))
+    want = told(docs, whole), told(odd, whole)
+    monkeypatch.setattr(langid, "BLOCK_LANGUAGES", 1)
+    parts = langid.train(docs, F.lit(True))
+    assert len(parts.languages) > 2 and sum(1 for _ in parts.blocks()) == len(parts.languages)
+    assert (told(docs, parts), told(odd, parts)) == want and parts.limit == pytest.approx(whole.limit)
 
 
 def test_rare_language_is_calibrated(spark, monkeypatch):
@@ -205,9 +227,13 @@ def test_rare_language_is_calibrated(spark, monkeypatch):
     rows = [(None if k % 2 else k, text("abcdefg"), "a") for k in range(600)] + [(1000 + k, text("tuvwxyz"), "b") for k in range(20)]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = langid.train(d, F.lit(True))
-    assert model.languages == ["a", "b"] and np.isfinite(model.limit).all()
-    sample = Counter(r["lang"] for r in langid.calibration_sample(d, {"a": 600, "b": 20}).collect())
-    assert sample == {"a": 50, "b": 20}
+    assert model.languages == ["a", "b"] and np.isfinite(list(model.limit.values())).all()
+    # repeated rows count once, so they leave a language's calibration as it is
+    again = d.union(d.where("doc_id = 0").crossJoin(spark.range(5000)).select("doc_id", "text", "lang"))
+    for rows_ in (d, again):
+        assert Counter(r["lang"] for r in langid.calibration_sample(rows_).collect()) == {"a": 50, "b": 20}
+    few = langid.train(d.where("lang = 'a' or doc_id < 1003"), F.lit(True))
+    assert np.isfinite(few.limit["b"]) and few.limit["b"] > model.limit["b"]
     none = d.withColumn("lang", F.lit(None).cast("string"))
     assert c.drop_unidentified(spark, none, SF).count() == len(rows)
 
