@@ -1,12 +1,13 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; a sample of all training texts, whatever their label,
-is the unlabelled part. A linear classifier on the presence of words and word beginnings is
+Confirmed toxic texts are the positives; all training texts, whatever their label, are the
+unlabelled part. A linear classifier on the presence of words and word beginnings is
 trained in numpy on the class-prior-corrected risk
 
     R = prior * E_P[l(+g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),
 
-whose second part, an estimate, is kept from going below zero.
+whose second part, an estimate, is kept from going below zero. A bounded sample gives candidate
+features and, in batches drawn from it, the weights; the shares that choose features are taken over all training rows.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import TwoGenerationCache, materialise, remainder, table
 
-#: Bounds of the training sample (documents) and of the classifier (features).
+#: Bounds of the positives and the unlabelled rows that batches are drawn from, and of the classifier's features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4_000, 12_000, 1_024
+#: Candidates whose shares are taken over all rows.
+MAX_CANDIDATES = 8 * MAX_FEATURES
 PREFIXES = (3, 4, 5, 6)
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -94,12 +97,31 @@ def nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return w[:-1], float(w[-1])
 
 
+def draw(docs: DataFrame, fold: DataFrame) -> DataFrame:
+    """h, part: hashes of id and text of at most MAX_POSITIVE rows that are labelled toxic (p) and MAX_UNLABELLED of all (u).
+
+    Rows that repeat id and text are drawn once. Only ids and hashes are joined and ordered.
+    """
+    keys = docs.select("doc_id", row_hash())
+    n = docs.count()
+    # a little more than is needed, so that repeated rows leave enough
+    some = keys.where(F.pmod(F.xxhash64("h"), F.lit(1_000_000)) < min(1.0, 8 * MAX_UNLABELLED / max(n, 1)) * 1_000_000)
+    toxic = keys.join(fold.where("toxic = 1").select(F.col("label_id").alias("doc_id")), "doc_id", "left_semi")
+    least = lambda df, most, part: df.select("h").distinct().orderBy("h").limit(most).withColumn("part", F.lit(part))
+    return least(toxic, MAX_POSITIVE, "p").union(least(some, MAX_UNLABELLED, "u"))
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", "text").alias("h")
+
+
 def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier:
     """A classifier from at most MAX_POSITIVE confirmed toxic and MAX_UNLABELLED other texts of the training rows.
 
-    Documents are taken in the order of a hash of their id, so the sample does not depend on partitions. Rows with a
-    null id or text are no part of the sample; of an id with several texts all are; empty texts have no feature. Of
-    several labels of an id the highest holds. Without positives, or without any text, every score is the class prior.
+    The sample is drawn in the order of a hash of id and text, so it does not depend on partitions, and an id that
+    repeats takes no more of it than it has different texts. Null texts take no part, empty ones have no feature. Of several
+    labels of an id the highest holds; a null id has none. Without positives, or without any text, every score is the
+    class prior.
     """
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").alias("label_id")).agg(F.max("toxic").alias("toxic"))
     rows = docs.where(is_training & F.col("text").isNotNull()).select("doc_id", F.col("text").cast("string").alias("text"))
@@ -108,31 +130,76 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier
     if not toxic:
         return Classifier([], np.empty(0), np.log(0.01 / 0.99))
     prior = min(max(toxic / n, 1e-3), 0.5)
-    # the smallest hashes among ids: only ids are ordered, and texts are fetched for the chosen
-    key = F.xxhash64("doc_id")
-    chosen_p = fold.where("toxic = 1").select(F.col("label_id").alias("doc_id")).orderBy(key, "doc_id").limit(MAX_POSITIVE).withColumn("part", F.lit("p"))
-    chosen_u = rows.select("doc_id").where("doc_id is not null").orderBy(key, "doc_id").limit(MAX_UNLABELLED).withColumn("part", F.lit("u"))
-    sample = rows.join(F.broadcast(chosen_p.union(chosen_u)), "doc_id")
+    chosen = materialise(draw(rows, fold), "toxic-chosen")
 
     def run(batches):
+        seen = set()
         for b in batches:
-            feats = [sorted({f for w in words_in(t) for f in word_features(w)}) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(feats, pa.list_(pa.string()))], names=["part", "feats"])
-
-    counted = sample.select("text", "part").mapInArrow(run, "part string, feats array<string>")
-    counted = materialise(counted, "toxic-sample")
+            parts, feats, hashes = [], [], []
+            for h, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (h, part) not in seen:
+                    seen.add((h, part))
+                    hashes.append(h)
+                    parts.append(part)
+                    feats.append(sorted({f for w in words_in(text) for f in word_features(w)}))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.int64()), pa.array(parts, pa.string()), pa.array(feats, pa.list_(pa.string()))], names=["h", "part", "feats"])
+
+    sample = rows.select(row_hash(), "text").join(F.broadcast(chosen), "h").mapInArrow(run, "h long, part string, feats array<string>").dropDuplicates(["h", "part"])
+    counted = materialise(sample.select("part", "feats"), "toxic-sample")
     sizes = {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.count("*").alias("n")).collect()}
     n, m = sizes.get("p", 0), sizes.get("u", 0)
     if not n or not m:
         return Classifier([], np.empty(0), np.log(prior / (1 - prior)))
-    # document shares of each feature are counted by Spark; the sample's rows come back with the chosen ones only
     df = counted.select("part", F.explode("feats").alias("f")).groupBy("f").agg(F.count(F.when(F.col("part") == "p", 1)).alias("k"), F.count(F.when(F.col("part") == "u", 1)).alias("c"))
-    a, b = F.col("k") / n, (F.col("c") + 0.5) / (m + 1)
-    z = (a - b) / F.sqrt(b * (1 - F.least(b, F.lit(1 - 1e-9))) / n + 1e-12)
     lift = 1 + 0.4 * (1 / prior - 1)  # the most that a feature of toxic texts only can have is 1 / prior
-    features = [r["f"] for r in df.where(F.col("k") >= 3).where(a >= lift * b).select("f", z.alias("z")).where("z > 5").orderBy(F.desc("z"), "f").limit(MAX_FEATURES).collect()]
-    if not features:
+    # candidates stand out in the sample, if only half as much; shares over all rows then choose among them
+    a, b = F.col("k") / n, (F.col("c") + 0.5) / (m + 1)
+    likely = df.where(F.col("k") >= 3).where(a >= 0.5 * lift * b).withColumn("z", z_score(a, b, n)).where("z > 2.5").orderBy(F.desc("z"), "f").limit(MAX_CANDIDATES).select("f", "k").collect()
+    if not likely:
         return Classifier([], np.empty(0), np.log(prior / (1 - prior)))
+    candidates = [r["f"] for r in likely]
+    size, shares = document_shares(rows, candidates)
+    k = np.array([r["k"] for r in likely])
+    a, b = k / n, (shares + 0.5) / (size + 1)
+    z = (a - b) / np.sqrt(b * (1 - np.minimum(b, 1 - 1e-9)) / n + 1e-12)
+    good = [i for i in np.lexsort((np.array(candidates), -z)) if a[i] >= lift * b[i] and z[i] > 5][:MAX_FEATURES]
+    if not good:
+        return Classifier([], np.empty(0), np.log(prior / (1 - prior)))
+    features = [candidates[i] for i in good]
+    return Classifier(features, *fit_sample(counted, features, prior, n, m))
+
+
+def z_score(a: Column, b: Column, n: int) -> Column:
+    return (a - b) / F.sqrt(b * (1 - F.least(b, F.lit(1 - 1e-9))) / n + 1e-12)
+
+
+def document_shares(rows: DataFrame, candidates: list[str]) -> tuple[int, np.ndarray]:
+    """The number of rows, and in how many of them each candidate is."""
+    shared = rows.sparkSession.sparkContext.broadcast(candidates)
+
+    def run(batches):
+        index = {f: i for i, f in enumerate(shared.value)}
+        cache = TwoGenerationCache(lambda w: tuple(index[f] for f in word_features(w) if f in index), 100_000)
+        size, total = 0, np.zeros(len(index), np.int64)
+        for b in batches:
+            size += b.num_rows
+            for t in b.column(0).to_pylist():
+                at: set[int] = set()
+                for w in words_in(t):
+                    if f := cache[w]:
+                        at.update(f)
+                total[list(at)] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at], pa.int64()), pa.array(np.r_[size, total[at]], pa.int64())], names=["at", "n"])
+
+    got = rows.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(candidates) + 1, np.int64)
+    out[got["at"].to_numpy()] = got["n"].to_numpy()
+    return int(out[-1]), out[:-1]
+
+
+def fit_sample(counted: DataFrame, features: list[str], prior: float, n: int, m: int) -> tuple[np.ndarray, float]:
+    """Weights and bias from the sample."""
     index = {f: i for i, f in enumerate(features)}
 
     def project(batches):
@@ -153,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier
 
     # the sample is bounded, MAX_POSITIVE + MAX_UNLABELLED rows of at most MAX_FEATURES numbers: one task fits it
     got = counted.mapInArrow(project, "part string, at array<int>").repartition(1).mapInArrow(fit, "weights array<double>, bias double").first()
-    return Classifier(features, np.array(got["weights"]), got["bias"])
+    return np.array(got["weights"]), got["bias"]
 
 
 def classify(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ()) -> DataFrame:
