@@ -16,6 +16,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,8 +25,10 @@ from quire.llm.common import bound_bytes, materialise, table
 
 LONGEST, LEAST, TOP = 5, 100, 2000
 UNDETERMINED = "und"
-#: Words of a chunk, phrases of a shard's dictionary and of one stored transducer.
-CHUNK, SHARD, PART = 1_000_000, 400_000, 20_000
+#: Bytes of text of a chunk, distinct phrases of a task's sums, phrases of a shard's dictionary and of one stored transducer.
+CHUNK, HELD, SHARD, PART = 8 << 20, 2_000_000, 400_000, 20_000
+#: Words for which counts of hashes are dealt to one more group.
+GROUP_WORDS = 4_000_000
 #: Phrases (with the shards that hold them) of a prefix range, transducers united at once, and transducers read to set the ranges.
 RANGE, UNITED, SAMPLE = 500_000, 64, 10_000
 #: Chunks and transducers that a reader holds at once.
@@ -34,10 +37,9 @@ GROUP_ROWS = 8
 FILTER_BITS = 26
 #: Languages whose totals may be broadcast.
 MAX_TOTALS = 100_000
-SEED = 42  # of Spark's xxhash64
 
-#: A-Z in lower case; ends of pieces become full stops.
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else c for c in range(256))
+#: A-Z in lower case, tabs as spaces; ends of pieces become full stops.
+_FOLD = bytes(c + 32 if 65 <= c <= 90 else 46 if c in b".,;:!?\x0a\x0b\x0c\x0d" else 32 if c == 9 else c for c in range(256))
 CODED = "lang string, words array<string>, ids array<int>"
 STORED = "lang string, first string, phrases int, words array<string>, arcs array<int>, label array<int>, target array<int>, weight array<long>, final array<long>"
 Phrase = tuple[str, ...]
@@ -47,44 +49,48 @@ def ragged(flat) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)
 
 
-def code(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """Chunks of coded texts: words sorted by bytes, ids from 1 on; 0 is a break."""
+def coded_words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, sorted by bytes, and the texts as numbers of words from 1 on; 0 is a break between pieces."""
+    a = np.frombuffer(b".".join(texts).translate(_FOLD), np.uint8)
+    word = (a != 32) & (a != 46)
+    start = np.flatnonzero(word & ~np.r_[False, word[:-1]])
+    size = np.flatnonzero(word & ~np.r_[word[1:], False]) + 1 - start
+    letters, ends = a[word], np.r_[0, np.cumsum(size)]
+    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(letters)]).dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(1, len(order) + 1)
+    stops = np.cumsum(a == 46)[start]
+    gap = np.r_[False, stops[1:] > stops[:-1]]
+    ids = np.zeros(len(start) + int(gap.sum()) + 1, np.int32)
+    ids[np.arange(len(start)) + np.cumsum(gap)] = number[words.indices.to_numpy()]
+    return words.dictionary.take(pa.array(order)).cast(pa.binary()).cast(pa.string()), ids
 
-    class Numbers(dict):
-        """Words by number; the mark of a break has 0."""
 
-        def __missing__(self, word):
-            self[word] = n = len(self)
-            return n
+def code(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """Chunks of coded texts, of about CHUNK bytes: see ``coded_words``."""
 
-    def out(name: str, numbers: Numbers, ids: list[int]):
-        del numbers[b"."]
-        words = sorted(numbers)
-        place = np.zeros(len(words) + 1, np.int32)
-        place[[numbers[w] for w in words]] = np.arange(1, len(words) + 1)
-        return pa.RecordBatch.from_arrays([pa.array([name]), ragged(pa.array(words, pa.binary()).cast(pa.string())), ragged(pa.array(place[np.array(ids, np.int64)]))], names=["lang", "words", "ids"])
+    def out(name: str, texts: list[bytes]):
+        words, ids = coded_words(texts)
+        return pa.RecordBatch.from_arrays([pa.array([name]), ragged(words), ragged(pa.array(ids))], names=["lang", "words", "ids"])
 
     def run(batches):
-        held: dict[str, tuple[Numbers, list[int]]] = {}
-        size = 0
+        held: dict[str, list[bytes]] = {}
+        sizes: dict[str, int] = {}
         for b in batches:
             for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not t:
-                    continue
-                if name not in held:
-                    held[name] = (Numbers({b".": 0}), [])
-                numbers, ids = held[name]
-                tokens = t.translate(_FOLD).replace(b".", b" . ").split()
-                ids += map(numbers.__getitem__, tokens)
-                ids.append(0)
-                size += len(tokens) + 1
-                while size >= CHUNK:
-                    most = max(held, key=lambda x: len(held[x][1]))
-                    numbers, ids = held.pop(most)
-                    size -= len(ids)
-                    yield out(most, numbers, ids)
-        for name, (numbers, ids) in held.items():
-            yield out(name, numbers, ids)
+                if t:
+                    held.setdefault(name, []).append(t)
+                    sizes[name] = sizes.get(name, 0) + len(t)
+                    if sizes[name] >= CHUNK:
+                        sizes.pop(name)
+                        yield out(name, held.pop(name))
+            while sum(sizes.values()) >= 4 * CHUNK:  # many languages: the largest part goes first
+                name = max(sizes, key=sizes.get)
+                sizes.pop(name)
+                yield out(name, held.pop(name))
+        for name, texts in held.items():
+            yield out(name, texts)
 
     return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNDETERMINED)).alias("lang"), F.col(text).cast("string").cast("binary").alias("text")).mapInArrow(run, CODED)
 
@@ -96,8 +102,8 @@ def chunks(batches) -> Iterator[tuple[str, list[str], np.ndarray]]:
 
 
 def word_hashes(lang: str, words: list[str]) -> np.ndarray:
-    """Spark's xxhash64(lang, word); at place 0, of breaks, nothing."""
-    seed = xxhash.xxh64_intdigest(lang, SEED)
+    """Hashes of words, seeded by their language; at place 0, of breaks, nothing."""
+    seed = xxhash.xxh64_intdigest(lang)
     return np.array([0, *(xxhash.xxh64_intdigest(w, seed) for w in words)], np.uint64)
 
 
@@ -108,11 +114,11 @@ def extend(h: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class Filter:
-    """A Bloom filter of fixed size with two probes."""
+    """A Bloom filter of fixed size with two probes, over the first 48 bits of hashes."""
 
     def __init__(self, frequent: DataFrame):
         low = (1 << FILTER_BITS) - 1
-        probes = frequent.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(low)), F.shiftrightunsigned("h", 64 - FILTER_BITS))).alias("p"))
+        probes = frequent.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(low)), F.shiftrightunsigned("h", 48 - FILTER_BITS))).alias("p"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
         rows = probes.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
         self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
@@ -120,7 +126,7 @@ class Filter:
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         hit = np.ones(len(h), bool)
-        for p in (h & np.uint64((1 << FILTER_BITS) - 1), h >> np.uint64(64 - FILTER_BITS)):
+        for p in ((h >> np.uint64(16)) & np.uint64((1 << FILTER_BITS) - 1), h >> np.uint64(64 - FILTER_BITS)):
             hit &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
         return hit
 
@@ -128,7 +134,7 @@ class Filter:
 def places(lang: str, words: list[str], ids: np.ndarray, filters: list[Filter]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Length, places and hashes of all phrases whose parts pass the filters, for each length up to one more than there are filters."""
     of_word = word_hashes(lang, words.to_pylist())
-    good = filters[0](of_word)
+    good = filters[0](of_word) if filters else np.ones(len(of_word), bool)
     good[0] = False
     at = np.flatnonzero(good[ids])
     h = of_word[ids[at]]
@@ -144,44 +150,72 @@ def places(lang: str, words: list[str], ids: np.ndarray, filters: list[Filter])
 
 
 def count_words(coded: DataFrame) -> DataFrame:
-    """lang, word, n."""
+    """lang, n: all words with repeats."""
 
     def run(batches):
-        for lang, words, ids in chunks(batches):
-            n = np.bincount(ids, minlength=len(words) + 1)[1:]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), words, pa.array(n, pa.int64())], names=["lang", "word", "n"])
+        for lang, _, ids in chunks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([int((ids > 0).sum())], pa.int64())], names=["lang", "n"])
 
-    return coded.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return coded.select("lang", F.lit(None).cast("array<string>").alias("words"), "ids").mapInArrow(run, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
-def frequent_hashes(coded: DataFrame, filters: list[Filter], least: int) -> DataFrame:
-    """h of the phrases that are one word longer than the filters' and may be frequent."""
-    shared = coded.sparkSession.sparkContext.broadcast(filters)
+def pack(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Ascending hashes as differences, of four bytes where they fit, and counts of a byte."""
+    gap = np.diff(h, prepend=np.uint64(0))
+    wide = bool(len(gap)) and int(gap.max()) >> 32 > 0
+    return bytes([wide]) + gap.astype(np.uint64 if wide else np.uint32).tobytes() + n.astype(np.uint8).tobytes()
+
+
+def unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    kind, size = (np.uint64, 8) if b[0] else (np.uint32, 4)
+    n = (len(b) - 1) // (size + 1)
+    return np.cumsum(np.frombuffer(b, kind, n, 1).astype(np.uint64)), np.frombuffer(b, np.uint8, n, 1 + size * n).astype(np.int64)
+
 
-    def summed(held):
-        h, n = (np.concatenate(x) for x in zip(*held, strict=True))
-        distinct, at = np.unique(h, return_inverse=True)
-        return distinct, np.bincount(at, weights=n, minlength=len(distinct)).astype(np.int64)
+def summed(held: list[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes with their counts added, up to ``most``."""
+    h, n = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], n[order]
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, np.int64)
+    return h[first], np.minimum(np.add.reduceat(n, first), most) if len(h) else n
+
+
+def frequent_hashes(coded: DataFrame, filters: list[Filter], least: int, groups: int) -> DataFrame:
+    """h, the first 48 bits of the hashes, of phrases that are one word longer than the filters' and may be frequent.
+
+    Counts are added up to ``least`` only, and travel in packs of a range of hashes. Where ``least`` is over 255, a count of a
+    task that passes a byte stands for a frequent phrase, as the choice may be too wide, but not too narrow.
+    """
+    shared = coded.sparkSession.sparkContext.broadcast(filters)
+    most = min(least, 255)
+    limits = (np.arange(1, groups) * ((1 << 48) / groups)).astype(np.uint64)
 
     def out(h, n):
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+        at = np.r_[0, np.searchsorted(h, limits), len(h)]
+        full = np.flatnonzero(np.diff(at))
+        return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array([pack(h[at[i] : at[i + 1]], n[at[i] : at[i + 1]]) for i in full], pa.binary())], names=["range", "pack"])
 
     def run(batches):
         held, size = [], 0
         for lang, words, ids in chunks(batches):
             *_, (_, _, h) = places(lang, words, ids, shared.value)
-            held.append(np.unique(h, return_counts=True))
+            held.append(summed([(h >> np.uint64(16), np.ones(len(h), np.int64))], most))
             size += len(held[-1][0])
-            if size > CHUNK and len(held) > 1:
-                held = [summed(held)]
+            if size > HELD and len(held) > 1:
+                held = [summed(held, most)]
                 size = len(held[0][0])
-                if size > CHUNK:
-                    yield out(*held.pop())
-                    size = 0
+            if size > HELD:
+                yield out(*held.pop(0))
+                held, size = [], 0
         if held:
-            yield out(*summed(held))
+            yield out(*summed(held, most))
+
+    def total(t: pa.Table) -> pa.Table:
+        h, n = summed([unpack(b) for b in t.column("pack").to_pylist()], 1 << 62)
+        return pa.table([pa.array(h[n >= most].view(np.int64))], names=["h"])
 
-    return coded.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("h")
+    return coded.mapInArrow(run, "range int, pack binary").groupBy("range").applyInArrow(total, "h long")
 
 
 class Transducer:
@@ -296,6 +330,12 @@ def shards(coded: DataFrame, filters: list[Filter]) -> DataFrame:
             counts = held.setdefault(lang, {})
             names = np.array(["", *words.to_pylist()], object)
             for k, at, h in places(lang, words, ids, shared.value):
+                if k == 1:
+                    n = np.bincount(ids[at])
+                    found = np.flatnonzero(n)
+                    for phrase, c in zip(names[found].tolist(), n[found].tolist(), strict=True):
+                        counts[phrase,] = counts.get((phrase,), 0) + c
+                    continue
                 _, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
                 grams = ids[at[:, None] + np.arange(k)]
                 if not np.array_equal(grams[first][of], grams):  # two phrases of one hash: told apart by their words
@@ -424,11 +464,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """
     bound_bytes(docs.sparkSession)
     coded = materialise(code(docs), "coded", GROUP_ROWS)
-    words = materialise(count_words(coded), "words")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    filters = [Filter(words.where(F.col("n") >= least).select(F.xxhash64("lang", "word").alias("h")))]
-    for _ in range(2, LONGEST + 1):
-        filters.append(Filter(frequent_hashes(coded, filters, least)))
+    totals = materialise(count_words(coded), "totals")
+    groups = 8 + (totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // GROUP_WORDS)
+    filters: list[Filter] = []
+    for _ in range(1, LONGEST + 1):
+        filters.append(Filter(frequent_hashes(coded, filters, least, groups)))
     parts = materialise(shards(coded, filters), "shards", GROUP_ROWS)
     limits = ranges(parts)
     sources = parts.count()
