@@ -117,16 +117,16 @@ class Filter:
     """A Bloom filter of fixed size with two probes, over the first 48 bits of hashes."""
 
     def __init__(self, frequent: DataFrame):
-        low = (1 << FILTER_BITS) - 1
-        probes = frequent.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(low)), F.shiftrightunsigned("h", 48 - FILTER_BITS))).alias("p"))
+        self.low, self.high = (1 << FILTER_BITS) - 1, 48 - FILTER_BITS
+        probes = frequent.select(F.explode(F.array(F.col("h").bitwiseAND(F.lit(self.low)), F.shiftrightunsigned("h", self.high))).alias("p"))
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("p").bitwiseAND(F.lit(63)).cast("int"))
         rows = probes.groupBy(F.shiftright("p", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
         self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
         self.bits[rows["at"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        hit = np.ones(len(h), bool)
-        for p in ((h >> np.uint64(16)) & np.uint64((1 << FILTER_BITS) - 1), h >> np.uint64(64 - FILTER_BITS)):
+        hit, h = np.ones(len(h), bool), h >> np.uint64(16)
+        for p in (h & np.uint64(self.low), h >> np.uint64(self.high)):
             hit &= (self.bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
         return hit
 

@@ -342,7 +342,7 @@ def reconcile(text: str, base: list[Span], found) -> list[Span]:
     return sorted([*base, *added])
 
 
-def labelled_windows(docs: DataFrame) -> DataFrame:
+def labelled_windows(texts: DataFrame) -> DataFrame:
     """kind (or -1), x, y: the distinct windows that hold a digit or an @, with the tags of base spans.
 
     A window in which the checks drop a match of the right shape, or that cuts a span, is no example of either.
@@ -372,7 +372,7 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
                         ys.append(np.r_[part, np.zeros(WIDTH - len(part), np.int8)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(xs, pa.binary()), pa.array(ys, pa.binary())], names=["kind", "x", "y"])
 
-    return docs.mapInArrow(run, "kind int, x binary, y binary").dropDuplicates(["x"])
+    return texts.mapInArrow(run, "kind int, x binary, y binary").dropDuplicates(["x"])
 
 
 def neighbours(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -390,14 +390,15 @@ def neighbours(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[
     return np.array(out_x, np.int8).reshape(-1, WIDTH), np.array(out_y, np.int8).reshape(-1, WIDTH)
 
 
-def train(docs: DataFrame) -> Tagger | None:
+def train(docs: DataFrame, text: str = "text") -> Tagger | None:
     """A tagger from MAX_WINDOWS windows a kind and as many without a span; None where no span is found.
 
     Windows are drawn by the hash of what they hold, so the sample does not depend on partitions or copies. Null and
     empty texts have no window. One task fits the model, as its input is bounded.
     """
     each = Window.partitionBy("kind").orderBy("h", "x")
-    sample = labelled_windows(docs).withColumn("h", F.xxhash64("x")).withColumn("r", F.row_number().over(each)).where(F.col("r") <= MAX_WINDOWS).select("kind", "x", "y")
+    read = with_triggers(docs, text).where("text is not null").select("text")
+    sample = labelled_windows(read).withColumn("h", F.xxhash64("x")).withColumn("r", F.row_number().over(each)).where(F.col("r") <= MAX_WINDOWS).select("kind", "x", "y")
 
     def run(batches):
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -449,10 +450,11 @@ def digest(found: DataFrame) -> DataFrame:
     """Base counts by kind, and the base and all spans as text: the base hashed."""
     name = F.array(*map(F.lit, KINDS))
     told = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
+    of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k))
+    counts = [of_kind(k).cast("long").alias(f"n_{x}") for k, x in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(told("base").cast("binary"), 256).alias("base_sha256"), told("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
 
 
 def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return digest(find(docs, train(with_triggers(docs, "text").where("text is not null").select("text"))))
+    return digest(find(docs, train(docs)))

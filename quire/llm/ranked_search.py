@@ -116,7 +116,7 @@ def build(docs: DataFrame, text: str = "text") -> Index:
             start = 0
             for stop in [*(np.flatnonzero(ms[1:] != ms[:-1]) + 1).tolist(), len(ms)]:
                 while start < stop:
-                    if held and (at != ms[start] or postings >= BLOCK_POSTINGS):
+                    if held and (at != ms[start] or postings + sizes[start] > BLOCK_POSTINGS):
                         yield out()
                         postings = 0
                     at = int(ms[start])
