@@ -67,16 +67,43 @@ def sanitize_annotations(annotations: DataFrame, docs: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of an index gram, and how many grams of a quote are tried for the rarest.
+GRAM, TRIED = 4, 32
+
+
+def _grams(c: Column, size: Column | int, step: Column | int = 1) -> Column:
+    """The grams of a text that begin at every ``step``-th place."""
+    size = size if isinstance(size, Column) else F.lit(size)
+    last = F.length(c) - size + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last, step if isinstance(step, Column) else F.lit(step)), lambda i: F.substring(c, i, size))).otherwise(F.array().cast("array<string>"))
+
+
 def find_quotes(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     """quote_id, doc_id, home_page, quote with the first block of the document that contains it, the home page's first.
 
-    A document's blocks and its quotes meet by document; nothing but containing blocks leaves the join.
+    The distinct texts of the quotes' documents are indexed by their grams; each quote looks up the gram of its own that
+    the fewest of them hold, and only those are compared with it in full. A quote shorter than a gram is its own gram.
     """
-    b = blocks.select("doc_id", "block_id", "page", "reading_order", F.col("text").alias("block_text"))
-    at = F.position(F.col("quote"), F.col("block_text")) - 1
-    j = quotes.join(b, "doc_id").where((F.col("quote") != "") & F.contains("block_text", F.col("quote")))
-    rank = F.struct((F.col("page") != F.col("home_page")).alias("other"), "page", "reading_order", "block_id")
-    return j.groupBy("quote_id").agg(F.min_by(F.struct("block_id", "page", at.cast("int").alias("at")), rank).alias("hit"))
+    asked = quotes.where(F.col("quote") != "").withColumn("_size", F.least(F.lit(GRAM), F.length("quote")))
+    step = F.greatest(F.lit(1), F.ceil((F.length("quote") - F.col("_size") + 1) / TRIED)).cast("int")
+    of_quote = asked.select("quote_id", "doc_id", F.explode(F.array_distinct(_grams(F.col("quote"), F.col("_size"), step))).alias("gram"))
+    # texts that repeat in a document are one entry with the first place, and the first place on each page
+    here = blocks.join(asked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "page", "reading_order", "block_id", F.col("text").alias("block_text")).withColumn("text_id", F.xxhash64("block_text"))
+    place = F.struct("page", "reading_order", "block_id")
+    texts = here.groupBy("doc_id", "text_id", "block_text").agg(F.min(place).alias("first"))
+    on_page = here.groupBy("doc_id", "text_id", "block_text", F.col("page").alias("home_page")).agg(F.min(place).alias("near"))
+    wanted = of_quote.select("doc_id", "gram").distinct()
+    sizes = [r[0] for r in asked.select("_size").distinct().collect()]
+    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("block_text"), n) for n in sizes]))) if sizes else F.array().cast("array<string>")
+    index = texts.select("doc_id", "text_id", F.explode(every).alias("gram")).join(wanted, ["doc_id", "gram"], "left_semi")
+    held = index.groupBy("doc_id", "gram").agg(F.count("*").alias("n"))
+    # a gram that no text holds is the rarest: its quote has no candidate
+    rarest = of_quote.join(held, ["doc_id", "gram"], "left").groupBy("quote_id", "doc_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
+    candidates = rarest.join(index, ["doc_id", "gram"]).join(asked.select("quote_id", "doc_id", "home_page", "quote"), ["quote_id", "doc_id"]).join(texts, ["doc_id", "text_id"]).where(F.contains("block_text", "quote"))
+    near = candidates.join(on_page, ["doc_id", "text_id", "block_text", "home_page"], "left")
+    best = F.coalesce("near", "first")
+    rank = F.struct(F.col("near").isNull().alias("other"), best.alias("place"))
+    return near.groupBy("quote_id").agg(F.min_by(F.struct(best["block_id"].alias("block_id"), best["page"].alias("page"), (F.position(F.col("quote"), F.col("block_text")) - 1).cast("int").alias("at")), rank).alias("hit"))
 
 
 def recover_anchors(annotations: DataFrame, blocks: DataFrame, pages: DataFrame | None = None) -> DataFrame:
@@ -123,18 +150,50 @@ def recover_segment_anchors(annotations: DataFrame, blocks: DataFrame) -> DataFr
     return j.join(page_of.withColumnRenamed("doc_id", "_d"), (F.col("doc_id") == F.col("_d")) & (F.col("block_id") == F.col("_b")), "left").withColumn("page", F.when(fine, F.coalesce("_p", "page")).otherwise(F.col("page"))).drop("_lost", "_moved", "_new", "_d", "_b", "_p")
 
 
+def once(df: DataFrame, keep: list[str], **columns: str) -> DataFrame:
+    """The kept columns and these expressions, each computed once: a generator of one row keeps the optimiser from putting
+    an expression in place of its name in the lambdas above it."""
+    return df.select(*keep, F.explode(F.array(F.struct(*[F.expr(c).alias(k) for k, c in columns.items()]))).alias("z")).select(*keep, "z.*")
+
+
 def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least: int = 4) -> DataFrame:
-    """key, left_start, right_start, length of the longest common substring of at least ``least`` characters.
+    """key, left_start, right_start, length (from 1) of the longest common substring of at least ``least`` characters.
 
-    Shared grams of ``least`` characters meet within the pair; places on one diagonal that follow each
-    other are a run. Of equally long runs the one that begins first in the left text counts.
+    Substrings of 2 ** k characters are named by the names of their halves; from the longest k down the length grows
+    while any name is on both sides. Time and memory of a pair are its characters times the number of k. Of equally
+    long runs the one that begins first in the left text counts, then in the right one. The runs found are held
+    against the texts; a pair in which two substrings share a name is done by its grams.
     """
-    def grams(c):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - least + 1)), lambda i: F.substring(F.col(c), i, F.lit(least)))
-
-    side = lambda c, at: pairs.select(key, F.posexplode(grams(c)).alias(at, "g")).where(F.length("g") == least)
-    m = side(left, "i").join(side(right, "j"), [key, "g"])
-    d = m.withColumn("diag", F.col("i") - F.col("j"))
+    most = pairs.agg(F.max(F.least(F.length(left), F.length(right)))).first()[0] or 0
+    top = max(0, int(most).bit_length() - 1)
+    keep = [key, left, right]
+    d = once(pairs.select(*keep), keep, **{f"{s}0": f"transform(split({c}, ''), x -> xxhash64(x))" for s, c in (("a", left), ("b", right))})
+    for k in range(1, top + 1):
+        half, names = 1 << (k - 1), [f"{s}{j}" for s in "ab" for j in range(k)]
+        part = lambda c: f"zip_with(slice({c}, 1, greatest(0, size({c}) - {half})), slice({c}, {half + 1}, greatest(0, size({c}) - {half})), (x, y) -> xxhash64(x, y))"  # noqa: B023, E731
+        d = once(d, keep + names, **{f"{s}{k}": part(f"{s}{k - 1}") for s in "ab"})
+    names = [f"{s}{j}" for s in "ab" for j in range(top + 1)]
+    d = once(d, keep + names, n="0", a="cast(null as array<bigint>)", b="cast(null as array<bigint>)")
+    for k in range(top, -1, -1):
+        # n characters named in a and b, and the 2 ** k that follow
+        longer = lambda s: f"CASE WHEN n = 0 THEN {s}{k} ELSE zip_with(slice({s}, 1, greatest(0, size({s}{k}) - n)), slice({s}{k}, n + 1, greatest(0, size({s}{k}) - n)), (x, y) -> xxhash64(x, y)) END"  # noqa: B023, E731
+        names = [f"{s}{j}" for s in "ab" for j in range(k + 1)]
+        d = once(d, [*keep, *names, "n", "a", "b"], x=longer("a"), y=longer("b"))
+        d = once(d, [*keep, *names[:k], *names[k + 1 : -1], "n", "a", "b", "x", "y"], hit="arrays_overlap(x, y)")
+        d = once(d, [*keep, *names[:k], *names[k + 1 : -1]], n=f"n + if(hit, {1 << k}, 0)", a="if(hit, x, a)", b="if(hit, y, b)")
+    d = once(d.where(F.col("n") >= least), [*keep, "n", "a", "b"], name="get(array_intersect(a, b), 0)")
+    found = d.select(*keep, F.array_position("a", F.col("name")).cast("int").alias("left_start"), F.array_position("b", F.col("name")).cast("int").alias("right_start"), F.col("n").alias("length"))
+    true = F.substring(F.col(left), F.col("left_start"), F.col("length")) == F.substring(F.col(right), F.col("right_start"), F.col("length"))
+    found = found.withColumn("_true", true)
+    again = found.where("not _true").select(*keep)
+    result = ["left_start", "right_start", "length"]
+    return found.where("_true").select(key, *result).unionByName(_run_by_grams(again, left, right, key, least).select(key, *[F.col(c).cast("int").alias(c) for c in result]))
+
+
+def _run_by_grams(pairs: DataFrame, left: str, right: str, key: str, least: int) -> DataFrame:
+    """The same by all pairs of equal grams: places on one diagonal that follow each other are a run."""
+    side = lambda c, at: pairs.select(key, F.posexplode(_grams(F.col(c), least)).alias(at, "g")).withColumn(at, F.col(at) + 1)
+    d = side(left, "i").join(side(right, "j"), [key, "g"]).withColumn("diag", F.col("i") - F.col("j"))
     run = F.col("i") - F.row_number().over(Window.partitionBy(key, "diag").orderBy("i"))
     runs = d.withColumn("run", run).groupBy(key, "diag", "run").agg(F.min("i").alias("left_start"), F.min("j").alias("right_start"), (F.count("*") + least - 1).alias("length"))
     return runs.groupBy(key).agg(F.min_by(F.struct("left_start", "right_start", "length"), F.struct(-F.col("length"), "left_start", "right_start")).alias("r")).select(key, "r.*")
@@ -168,22 +227,41 @@ def resolve_ranges(annotations: DataFrame, blocks: DataFrame) -> DataFrame:
     return seg.unionByName(found)
 
 
+def _covered(pieces: DataFrame, ranges: DataFrame, key: list[str], value: Column) -> DataFrame:
+    """key, at and the least value of the ranges that cover the piece.
+
+    A range is cut into spans of 2 ** k pieces, as a binary tree has them: twice the logarithm at most. The least value
+    of each span is taken once, and a piece looks up the one span of each size that it is in.
+    """
+    place = pieces.select(*key, "at", "idx", "n", "bits")
+    ends = pieces.select(*key, F.col("to").alias("_end"), (F.col("idx") + 1).alias("_j"))
+    r = ranges.withColumn("_value", value).join(place.groupBy(*key).agg(F.max("n").alias("_n"), F.max("bits").alias("_bits")), key)
+    r = r.withColumn("_start", F.greatest(F.lit(0), F.col("start_offset"))).withColumn("_end", F.least("_n", "end_offset")).where("_start < _end")
+    r = r.join(place.select(*key, F.col("at").alias("_start"), F.col("idx").alias("_i")), [*key, "_start"]).join(ends, [*key, "_end"])
+    spans = """aggregate(sequence(0, _bits), named_struct('i', _i, 'j', _j, 's', cast(array() as array<struct<k:int,span:int>>)), (a, k) ->
+        named_struct('i', cast((a.i + 1) div 2 as int), 'j', cast(a.j div 2 as int), 's', concat(a.s,
+            if(a.i < a.j and a.i % 2 = 1, array(named_struct('k', k, 'span', a.i)), array()), if(a.i < a.j and a.j % 2 = 1 and not (a.i % 2 = 1 and a.j = a.i + 1), array(named_struct('k', k, 'span', a.j - 1)), array())))).s"""
+    least = r.select(*key, F.explode(F.expr(spans)).alias("s"), "_value").groupBy(*key, "s.k", "s.span").agg(F.min("_value").alias("_value"))
+    inside = place.select(*key, "at", F.explode(F.expr("transform(sequence(0, bits), k -> named_struct('k', k, 'span', shiftright(idx, k)))")).alias("s")).select(*key, "at", "s.*")
+    return inside.join(least, [*key, "k", "span"]).groupBy(*key, "at").agg(F.min("_value").alias("_value"))
+
+
 def split_ranges(ranges: DataFrame, refs: DataFrame, blocks: DataFrame) -> DataFrame:
     """doc_id, block_id, start_offset, end_offset, annotation_id, ref: disjoint pieces of each block.
 
-    Blocks are cut at every range and reference boundary; the first covering annotation (by ord) wins.
+    Blocks are cut at every range and reference boundary; the first covering annotation (by ord) wins. Work grows with
+    pieces and ranges times their logarithm, not with their pairs.
     ranges: doc_id, block_id, annotation_id, ord, start_offset, end_offset; refs: doc_id, block_id, marker, start_offset, end_offset.
     """
     key = ["doc_id", "block_id"]
     length = blocks.select(*key, F.length("text").alias("n")).where("n > 0")
     both = ranges.select(*key, "start_offset", "end_offset").unionByName(refs.select(*key, "start_offset", "end_offset"))
-    cuts = both.select(*key, F.explode(F.array("start_offset", "end_offset")).alias("at")).unionByName(length.select(*key, F.explode(F.array(F.lit(0), "n")).alias("at"))).join(length, key).where("at >= 0 and at <= n").select(*key, "at").distinct()
-    pieces = cuts.withColumn("to", F.lead("at").over(Window.partitionBy(*key).orderBy("at"))).where("to is not null")
-    cover = lambda r, p: (r["start_offset"] <= p["at"]) & (r["end_offset"] >= p["to"])
-    r = ranges.select(*[F.col(k).alias(f"r_{k}") for k in key], "annotation_id", "ord", "start_offset", "end_offset")
-    a = pieces.join(r, (pieces["doc_id"] == r["r_doc_id"]) & (pieces["block_id"] == r["r_block_id"]) & cover(r, pieces), "left").groupBy(*key, "at", "to").agg(F.min_by("annotation_id", F.struct("ord", "annotation_id")).alias("annotation_id"))
-    f = refs.select(*[F.col(k).alias(f"r_{k}") for k in key], "marker", "start_offset", "end_offset")
-    out = a.join(f, (a["doc_id"] == f["r_doc_id"]) & (a["block_id"] == f["r_block_id"]) & cover(f, a), "left").groupBy(*key, "at", "to", "annotation_id").agg(F.min("marker").alias("ref"))
+    cuts = both.select(*key, F.explode(F.array("start_offset", "end_offset")).alias("at")).unionByName(length.select(*key, F.explode(F.array(F.lit(0), "n")).alias("at"))).join(length, key).where("at >= 0 and at <= n").select(*key, "n", "at").distinct()
+    w = Window.partitionBy(*key).orderBy("at")
+    pieces = cuts.withColumn("to", F.lead("at").over(w)).withColumn("idx", (F.row_number().over(w) - 1).cast("int")).withColumn("bits", F.log2(F.count("*").over(Window.partitionBy(*key))).cast("int")).where("to is not null")
+    a = _covered(pieces, ranges, key, F.struct("ord", "annotation_id")).select(*key, "at", F.col("_value.annotation_id").alias("annotation_id"))
+    f = _covered(pieces, refs, key, F.col("marker")).withColumnRenamed("_value", "ref")
+    out = pieces.join(a, [*key, "at"], "left").join(f, [*key, "at"], "left")
     return out.select(*key, F.col("at").alias("start_offset"), F.col("to").alias("end_offset"), "annotation_id", "ref")
 
 

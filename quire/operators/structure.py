@@ -158,20 +158,62 @@ def assign_sections(blocks: DataFrame, boundaries: DataFrame) -> DataFrame:
     return b.unionByName(m).withColumn("s", F.last("s", ignorenulls=True).over(w)).where("is_block = 1").select("doc_id", "idx", "b.*", "s.section_id", F.col("s.title").alias("section_title"), F.col("s.start_idx").alias("section_start"))
 
 
+#: Rows of a segment whose starts are followed within one row.
+SEGMENT = 4096
+
+#: From the pointers of places (null: out), all places that a chain from ``{0}`` visits: its length doubles each round.
+CHAIN = """aggregate(sequence(1, cast(ceil(log2(size(ptr) + 1)) as int)), named_struct('r', array({0}), 'p', ptr), (s, k) ->
+    named_struct('r', concat(s.r, filter(transform(s.r, i -> get(s.p, i)), i -> i is not null)), 'p', transform(s.p, i -> if(i is null, null, get(s.p, i))))).r"""
+
+
 def pack_sequential(df: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
     """Adds ``pack`` (from 1): consecutive rows of a key are packed greedily up to ``cap``.
 
-    A pack closes when it is not empty and the next row would not fit; a row over the cap is a pack by
-    itself. The fold keeps only where packs begin, so its state grows with packs, not with rows.
+    A pack closes when it is not empty and the next row would not fit; a row over the cap is a pack by itself. Sizes
+    below zero and missing ones count nothing. Where a pack that begins at a row would end is an as-of lookup in the
+    running sum; the starts are then followed by doubling, within segments of SEGMENT rows first and from segment to
+    segment after, where only rows remain at which a segment can be entered. So no row of a key holds all its rows.
     """
-    rows = df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    fold = f"""aggregate(sizes, named_struct('total', 0L, 'starts', cast(array() as array<int>)), (s, x) ->
-        CASE WHEN size(s.starts) > 0 AND s.total + x.size <= {int(cap)} THEN named_struct('total', s.total + x.size, 'starts', s.starts)
-             ELSE named_struct('total', x.size, 'starts', concat(s.starts, array(x._n))) END).starts"""
-    starts = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_n", F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size")))).alias("sizes")).select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(keys)], F.posexplode(F.expr(fold)).alias("_p", "_m")).withColumn("_pack", F.col("_p") + 1).drop("_p")
-    w = Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(starts, _same(keys), "left")
-    return joined.withColumn("pack", F.last("_pack", ignorenulls=True).over(w)).drop("_pack", "_n", "_m", *[f"_m{i}" for i in range(len(keys))])
+    w = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("_n", F.row_number().over(w).cast("long"))
+    k = [f"_m{i}" for i in range(len(keys))]
+    named = rows.select(*[F.col(c).alias(x) for c, x in zip(keys, k, strict=True)], "_n", F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("_size"))
+    ends = named.withColumn("_end", F.sum("_size").over(Window.partitionBy(*k).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0)))
+    # the first row whose end is over the cap from a start on: ends and limits in falling order, limits before equal ends
+    both = ends.select(*k, F.col("_end").alias("_v"), F.lit(1).alias("_row"), "_n").unionByName(ends.select(*k, (F.col("_end") - F.col("_size") + cap).alias("_v"), F.lit(0).alias("_row"), "_n"))
+    falling = Window.partitionBy(*k).orderBy(F.desc("_v"), "_row").rowsBetween(Window.unboundedPreceding, 0)
+    after = both.withColumn("_next", F.min(F.when(F.col("_row") == 1, F.col("_n"))).over(falling)).where("_row = 0").select(*k, "_n", F.greatest("_next", F.when(F.col("_next").isNotNull(), F.col("_n") + 1)).alias("_next"))
+    segment = F.floor((F.col("_n") - 1) / SEGMENT).alias("_segment")
+    joined = after.groupBy(*k, segment).agg(F.min("_n").alias("_base"), F.transform(F.array_sort(F.collect_list(F.struct("_n", "_next"))), lambda x: x["_next"]).alias("_nexts"))
+    joined = joined.withColumn("ptr", F.transform("_nexts", lambda x: F.when(x < F.col("_base") + F.size("_nexts"), (x - F.col("_base")).cast("int"))))
+    # where each row's chain leaves the segment
+    leave = "aggregate(sequence(1, cast(ceil(log2(size(_nexts) + 1)) as int)), _nexts, (e, k) -> transform(e, v -> if(v < _base + size(_nexts), get(e, cast(v - _base as int)), v)))"
+    exits = joined.select(*k, F.posexplode(F.expr(leave)).alias("_at", "_exit"), "_base").select(*k, (F.col("_base") + F.col("_at")).alias("_n"), "_exit")
+    entries = exits.select(*k, F.col("_exit").alias("_n")).where("_n is not null").unionByName(exits.where("_n = 1").select(*k, "_n")).distinct()
+    numbered = exits.join(_renamed(entries), _equal(k, "_n"), "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy(*k).orderBy("_n")) - 1)
+    to = _renamed(numbered.select(*k, F.col("_n").alias("_exit"), F.col("_i").alias("_to")))
+    linked = numbered.join(to, _equal(k, "_exit"), "left").groupBy(*k).agg(F.array_sort(F.collect_list(F.struct("_i", "_n", "t_to"))).alias("e"))
+    linked = linked.withColumn("ptr", F.transform("e", lambda x: x["t_to"]))
+    entered = linked.select(*k, F.explode(F.expr(f"transform({CHAIN.format(0)}, i -> get(e, i)._n)")).alias("_n")).withColumn("_segment", F.floor((F.col("_n") - 1) / SEGMENT))
+    entered = _renamed(entered.select(*k, "_segment", F.col("_n").alias("_entry")))
+    starts = joined.join(entered, _equal(k, "_segment")).withColumn("_from", (F.col("t_entry") - F.col("_base")).cast("int")).select(*k, "_base", F.explode(F.expr(CHAIN.format("_from"))).alias("_at")).select(*k, (F.col("_base") + F.col("_at")).alias("_m"))
+    starts = starts.withColumn("_pack", F.row_number().over(Window.partitionBy(*k).orderBy("_m")))
+    found = rows.join(starts, _same(keys), "left")
+    return found.withColumn("pack", F.last("_pack", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_n").rowsBetween(Window.unboundedPreceding, 0))).drop("_pack", "_n", "_m", *k)
+
+
+def _renamed(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"t{c}") for c in df.columns])
+
+
+def _equal(keys: list[str], *others: str) -> Column:
+    """Equal keys, nulls too, and equal other columns of a table and a renamed one."""
+    out = F.lit(True)
+    for c in keys:
+        out = out & F.col(c).eqNullSafe(F.col(f"t{c}"))
+    for c in others:
+        out = out & (F.col(c) == F.col(f"t{c}"))
+    return out
 
 
 def _same(keys: list[str]) -> Column:
