@@ -33,11 +33,13 @@ NODE, CHUNK_NODE, ISSUE, SECTION = "分析节点 ", "章节节点 ", "裁判节
 ROLE, ATTRIBUTION, STAGE = "论证展开", "作者观点", "法院说理"
 DOCUMENT_TYPE, PROCEDURE, PARADIGM, WHOLE = "裁判文书", "待确认", "待确认", "全文"
 DISPUTE, PENDING = "争议", "待读取"
+#: The paradigm and the boundary of every judgment.
+JUDGMENT_PARADIGM, JUDGMENT_BOUNDARY = "裁判推理", "裁判结论仅适用于本案事实与证据结构"
 
 
-def strings(c: Column, most: int, length: int = 1600) -> Column:
-    """A list of texts: trimmed, without empty ones, at most ``most``."""
-    return F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: head(strip(x), length)), lambda x: x != ""), 1, most)
+def strings(c: Column, most: int) -> Column:
+    """A list of texts: trimmed but whole, without empty ones, at most ``most``."""
+    return F.slice(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), strip), lambda x: x != ""), 1, most)
 
 
 def said(c: Column, most: int, *defaults) -> Column:
@@ -252,17 +254,48 @@ def full_text_nodes(parsed: DataFrame, sections: DataFrame, blocks: DataFrame) -
     return own.unionByName(spare).select(*NODE_COLUMNS)
 
 
-def coverage_metrics(chunks: DataFrame, responses: DataFrame, cited: DataFrame) -> DataFrame:
+def _characters(*columns: Column, lists: tuple[Column, ...] = ()) -> Column:
+    """The characters of texts and of the items of lists, where they are."""
+    sizes = [F.length(F.coalesce(c, F.lit(""))) for c in columns] + [F.length(F.array_join(listed(c), "")) for c in lists]
+    return sum(sizes[1:], sizes[0])
+
+
+def _total(*parts: DataFrame) -> DataFrame:
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("doc_id").agg(F.sum("n").cast("long").alias("generated_characters"))
+
+
+def generated_characters(parsed: DataFrame, nodes: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, generated_characters of an analysed paper: its nodes and sections as they are kept, and what the last response says of the whole."""
+    a, z = "parsed.documentAnalysis", "parsed.documentSummary"
+    of_nodes = nodes.select("doc_id", _characters(F.col("title"), F.col("summary"), lists=(F.col("reasons"),)).alias("n"))
+    of_sections = sections.select("doc_id", _characters(*[F.col(c) for c in ("title", "legal_question", "summary", "approach")], lists=(F.col("framework"),)).alias("n"))
+    texts = [F.col(f"{a}.{c}") for c in ("legalQuestion", "summary", "analysisApproach")] + [F.col(f"{z}.{c}") for c in ("surfaceTopic", "coreQuestion", "coreConclusion", "boundary")]
+    whole = parsed.where("stage <> 'map'").select("doc_id", _characters(*texts, lists=(F.col(f"{a}.framework"),)).alias("n"))
+    return _total(of_nodes, of_sections, whole)
+
+
+def generated_judgment_characters(parsed: DataFrame, issues: DataFrame) -> DataFrame:
+    """doc_id, generated_characters of an analysed judgment: its issues as they are kept, and the case data that the last response gives."""
+    of_issues = issues.select("doc_id", _characters(F.col("title"), *map(F.col, ISSUE_TEXTS), lists=(F.col("evidence"), F.col("laws"))).alias("n"))
+    case = parsed.where("stage <> 'map'").select("doc_id", _characters(*[F.col(f"parsed.caseSummary.{c}") for c in ("caseNumber", "court", "cause", "result")]).alias("n"))
+    return _total(of_issues, case)
+
+
+def coverage_metrics(chunks: DataFrame, responses: DataFrame, cited: DataFrame, generated: DataFrame) -> DataFrame:
     """Per document: source and analysed characters, coverage with and without line prefixes, failed chunks, cited blocks.
 
-    responses: doc_id, chunk_id, ok boolean, generated_characters; cited: doc_id, block_id.
+    responses: doc_id, chunk_id, ok boolean; cited: doc_id, block_id; generated: as the functions above count it.
     """
     prefix = "size(block_ids) - 1 + aggregate(split(source_text, '\\n'), 0, (s, l) -> s + length(regexp_extract(l, '^(\\\\[P[^\\\\]]*\\\\] )', 1)))"
     c = chunks.withColumn("plain", F.length("source_text") - F.expr(prefix)).join(responses, ["doc_id", "chunk_id"], "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
-    g = c.groupBy("doc_id").agg(F.sum("plain").alias("source_characters"), F.sum(F.when(F.col("ok"), F.col("plain")).otherwise(0)).alias("analyzed_characters"), F.sum(F.when(F.col("ok"), F.length("source_text")).otherwise(0)).alias("prefixed"), F.coalesce(F.sum("generated_characters"), F.lit(0)).alias("generated_characters"), F.count("*").alias("total_sections"), F.count_if("ok").alias("analyzed_sections"))
+    g = c.groupBy("doc_id").agg(F.sum("plain").alias("source_characters"), F.sum(F.when(F.col("ok"), F.col("plain")).otherwise(0)).alias("analyzed_characters"), F.sum(F.when(F.col("ok"), F.length("source_text")).otherwise(0)).alias("prefixed"), F.count("*").alias("total_sections"), F.count_if("ok").alias("analyzed_sections"))
     n = cited.groupBy("doc_id").agg(F.count_distinct("block_id").alias("cited_blocks"))
     src = F.greatest(F.col("source_characters"), F.lit(1))
-    return g.join(n, "doc_id", "left").select("doc_id", "source_characters", "analyzed_characters", F.least(F.lit(1.0), F.col("prefixed") / src).alias("text_coverage"), (F.col("analyzed_characters") / src).alias("true_coverage"), "generated_characters", "total_sections", "analyzed_sections", (F.col("total_sections") - F.col("analyzed_sections")).alias("failed_chunks"), F.coalesce("cited_blocks", F.lit(0)).alias("cited_blocks"))
+    j = g.join(n, "doc_id", "left").join(generated.select("doc_id", "generated_characters"), "doc_id", "left")
+    return j.select("doc_id", "source_characters", "analyzed_characters", F.least(F.lit(1.0), F.col("prefixed") / src).alias("text_coverage"), (F.col("analyzed_characters") / src).alias("true_coverage"), F.coalesce("generated_characters", F.lit(0)).alias("generated_characters"), "total_sections", "analyzed_sections", (F.col("total_sections") - F.col("analyzed_sections")).alias("failed_chunks"), F.coalesce("cited_blocks", F.lit(0)).alias("cited_blocks"))
 
 
 #: The texts of an issue: its name in a response and the most characters kept; lists keep 12.
@@ -324,7 +357,7 @@ def case_summary(parsed: DataFrame, issues: DataFrame, docs: DataFrame | None =
     j = c.join(g, "doc_id", "full")
     j = j.withColumn("title", F.lit(None).cast("string")) if docs is None else j.join(docs.select("doc_id", "title"), "doc_id", "left")
     defaults = {"document_type": F.lit(DOCUMENT_TYPE), "procedure": F.lit(PROCEDURE), "result": F.col("last")}
-    return j.select("doc_id", *[F.coalesce(f"_{out}", defaults.get(out, F.lit("")), F.lit("")).alias(out) for out in names.values()], F.coalesce("_cause", "title", F.lit("")).alias("surface_topic"), F.coalesce("core_question", F.lit("")).alias("core_question"), F.coalesce("_result", "last", F.lit("")).alias("core_conclusion"))
+    return j.select("doc_id", *[F.coalesce(f"_{out}", defaults.get(out, F.lit("")), F.lit("")).alias(out) for out in names.values()], F.coalesce("_cause", "title", F.lit("")).alias("surface_topic"), F.coalesce("core_question", F.lit("")).alias("core_question"), F.coalesce("_result", "last", F.lit("")).alias("core_conclusion"), F.lit(JUDGMENT_PARADIGM).alias("paradigm"), F.lit(JUDGMENT_BOUNDARY).alias("boundary"))
 
 
 def token_usage(responses: DataFrame) -> DataFrame:
@@ -333,12 +366,23 @@ def token_usage(responses: DataFrame) -> DataFrame:
     return responses.groupBy("doc_id").agg(F.count("*").alias("requests"), total("prompt_tokens"), total("completion_tokens"), total("total_tokens"))
 
 
-def merge_warnings(parsed: DataFrame, most: int = 30) -> DataFrame:
-    """doc_id, warnings: those of map responses in order, then of the reduce response, each once."""
-    # chunk names end in their number: shorter ones come first
-    rank = F.struct((F.col("stage") != "map").alias("late"), F.length("chunk_id").alias("size"), "chunk_id")
-    g = parsed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(rank.alias("r"), strings(F.col("parsed.warnings"), 100, 400).alias("w")))).alias("w"))
-    return g.select("doc_id", F.slice(F.array_distinct(F.flatten(F.transform("w", lambda x: x["w"]))), 1, most).alias("warnings"))
+#: Warnings kept of a map response and of another one, by kind of document.
+WARNINGS = {"paper": (10, 1 << 30), "judgment": (12, 30)}
+
+
+def merge_warnings(parsed: DataFrame, chunks: DataFrame, kind: str = "paper", most: int = 30) -> DataFrame:
+    """doc_id, warnings: those of map responses in the order of their chunks, then of the last response, each once.
+
+    Judgments' warnings are trimmed and blank ones go; papers' are as they were said, those of a one-response analysis even twice.
+    """
+    of_map, of_last = WARNINGS[kind]
+    some = lambda n: strings(F.col("parsed.warnings"), n) if kind == "judgment" else F.slice(listed("parsed.warnings"), 1, n)
+    w = F.when(F.col("stage") == "map", some(of_map)).otherwise(some(of_last))
+    j = parsed.join(chunks.select("doc_id", "chunk_id", F.col("ord").alias("_ord")), ["doc_id", "chunk_id"], "left")
+    g = j.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct((F.col("stage") != "map").alias("late"), "_ord", "chunk_id", w.alias("w")))).alias("w"), F.bool_and(F.col("stage") == "full_text").alias("whole"))
+    every = F.flatten(F.transform("w", lambda x: x["w"]))
+    kept = every if kind == "paper" else F.array_distinct(every)
+    return g.select("doc_id", F.slice(F.when(F.col("whole"), kept).otherwise(F.array_distinct(every)), 1, most).alias("warnings"))
 
 
 def partial_sections(candidates: DataFrame, nodes: DataFrame) -> DataFrame:

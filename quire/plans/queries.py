@@ -370,16 +370,19 @@ def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {BLOCKS}, {CHUNKS}, c AS (SELECT doc_id, character_count - n_blocks AS with_prefix, character_count, n_blocks, section_start, part, (section_start + part) % 4 <> 0 AS ok FROM chunks),
 p AS (SELECT f.doc_id, f.section_start, f.pack AS part, sum(f.size - 1 - length('[P' || f.page || '#b0000000] ')) AS plain FROM f GROUP BY ALL)
 SELECT doc_id, CAST(sum(plain) AS BIGINT) AS source_characters, CAST(sum(CASE WHEN ok THEN plain ELSE 0 END) AS BIGINT) AS analyzed_characters, count(*) AS total_sections, count(*) FILTER (ok) AS analyzed_sections, count(*) FILTER (NOT ok) AS failed_chunks,
-  round(least(1.0, coalesce(sum(CASE WHEN ok THEN character_count - 1 END), 0) / greatest(1, sum(plain))), 6) AS text_coverage, round(coalesce(sum(CASE WHEN ok THEN plain END), 0) / greatest(1, sum(plain)), 6) AS true_coverage, 7 * count(*) AS generated_characters, CAST(sum(n_blocks) AS BIGINT) AS cited_blocks FROM c JOIN p USING (doc_id, section_start, part) GROUP BY doc_id""")
+  round(least(1.0, coalesce(sum(CASE WHEN ok THEN character_count - 1 END), 0) / greatest(1, sum(plain))), 6) AS text_coverage, round(coalesce(sum(CASE WHEN ok THEN plain END), 0) / greatest(1, sum(plain)), 6) AS true_coverage, CAST(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0) THEN length('Node ' || doc_id) + 7 ELSE 0 END AS BIGINT) AS generated_characters, CAST(sum(n_blocks) AS BIGINT) AS cited_blocks FROM c JOIN p USING (doc_id, section_start, part) GROUP BY doc_id""")
 def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ad.blocks(spark, sf_dir)
     chunks = st.analysis_chunks(b, ad.outline(spark, sf_dir))
     idx = st.indexed_blocks(b).select("doc_id", F.col("block_id").alias("first_block"), "idx")
     starts = chunks.select("doc_id", "chunk_id", "section_id", "part", F.element_at("block_ids", 1).alias("first_block")).join(idx, ["doc_id", "first_block"])
     begin = starts.where("part = 1").select("doc_id", "section_id", F.col("idx").alias("section_start"))
-    r = starts.join(begin, ["doc_id", "section_id"]).select("doc_id", "chunk_id", ((F.col("section_start") + F.col("part")) % 4 != 0).alias("ok"), F.lit(7).alias("generated_characters"))
+    r = starts.join(begin, ["doc_id", "section_id"]).select("doc_id", "chunk_id", ((F.col("section_start") + F.col("part")) % 4 != 0).alias("ok"))
     cited = b.select("doc_id", "block_id")
-    m = rs.coverage_metrics(chunks, r, cited.unionByName(cited))
+    nodes = ad.nodes(spark, sf_dir).withColumn("reasons", F.lit(None).cast("array<string>"))
+    none = spark.createDataFrame([], "doc_id long, title string, legal_question string, summary string, approach string, framework array<string>")
+    said = rs.generated_characters(spark.createDataFrame([], f"doc_id long, stage string, parsed {rs.struct_of(rs.PAPER_RESPONSE)}"), nodes, none)
+    m = rs.coverage_metrics(chunks, r, cited.unionByName(cited), said)
     return m.select("doc_id", "source_characters", "analyzed_characters", "total_sections", "analyzed_sections", "failed_chunks", F.round("text_coverage", 6).alias("text_coverage"), F.round("true_coverage", 6).alias("true_coverage"), "generated_characters", "cited_blocks")
 
 

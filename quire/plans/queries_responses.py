@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.operators import responses as rs
 from quire.plans import adapters as ad
-from quire.plans.queries import BLOCKS, query
+from quire.plans.queries import SQL, BLOCKS, query
 
 
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +130,23 @@ def document_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("doc_id", "title", "legal_question", "summary", "core_question", "core_conclusion", "paradigm", _ids().alias("ids"), "confidence_pct")
 
 
-@query(f"WITH {PLACED}, w AS (SELECT DISTINCT doc_id, 'w' || (page % 3) AS w, min(page) OVER (PARTITION BY doc_id, page % 3) AS p FROM pl), e AS (FROM w UNION ALL SELECT DISTINCT doc_id, 'last', 1000000000 FROM pl UNION ALL SELECT doc_id, 'w1', 999999999 FROM pl GROUP BY doc_id HAVING count(*) FILTER (page % 3 = 1) = 0) SELECT doc_id, string_agg(w, '|' ORDER BY p) AS warnings FROM e GROUP BY doc_id")
+@query(f"""WITH {PLACED}, pg AS (SELECT DISTINCT doc_id, page FROM pl), x AS (SELECT doc_id, page * 10 AS o, 'w' || (page % 3) AS w FROM pg UNION ALL SELECT doc_id, page * 10 + 1, ' ' FROM pg UNION ALL SELECT DISTINCT doc_id, 1000000000, 'w1' FROM pg UNION ALL SELECT DISTINCT doc_id, 1000000001, 'last' FROM pg),
+f AS (SELECT doc_id, w, min(o) AS o FROM x GROUP BY ALL) SELECT doc_id, string_agg(w, '|' ORDER BY o) AS warnings FROM f GROUP BY doc_id""")
 def merge_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rs.merge_warnings(_paper(spark, sf_dir)[0]).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
+    parsed, chunks, _ = _paper(spark, sf_dir)
+    return rs.merge_warnings(parsed, chunks).select("doc_id", F.array_join("warnings", "|").alias("warnings"))
+
+
+_NODES_JOINED = SQL["synthesize_nodes"].replace("'|')", "'')").replace("'r1|r2'", "'r1r2'")
+_SECTIONS_JOINED = SQL["synthesize_sections"].replace("'|')", "'')")
+
+
+@query(f"""WITH a AS (SELECT doc_id, sum(length(title) + length(summary) + length(reasons)) AS n FROM ({_NODES_JOINED}) GROUP BY doc_id), b AS (SELECT doc_id, sum(length(title) + length(legal_question) + length(summary) + length(framework)) AS n FROM ({_SECTIONS_JOINED}) GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(a.n, 0) + b.n + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE length('D' || doc_id) END + length('C' || doc_id) + 1 AS BIGINT) AS generated_characters FROM b LEFT JOIN a USING (doc_id)""")
+def generated_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed, chunks, b, c = _candidates(spark, sf_dir)
+    sections = rs.synthesize_sections(rs.normalize_chunk_reading(parsed.where("stage = 'map'"), chunks, b), parsed, b)
+    return rs.generated_characters(parsed, rs.synthesize_nodes(parsed, c, b), sections)
 
 
 @query(f"WITH {CAND} SELECT doc_id, 'partial-section-part-' || page || '-node-' || (k + 1) AS node_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, k) - 1 AS INTEGER) AS ord, title, 'ai_inference' AS source_type FROM cand WHERE doc_id % 2 = 1")
@@ -195,7 +209,7 @@ def _judgment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 ISSUE_CAND = f"""{PLACED}, ic AS (SELECT doc_id, page, k, block_id, CASE WHEN k % 3 = 1 THEN '裁判节点 ' || (k + 1) ELSE left(text, 100) END AS title, CASE WHEN k = 0 THEN '争议焦点' ELSE '法院说理' END AS stage, CASE WHEN k % 2 = 0 THEN left(text, 1600) ELSE ' ' END AS claim,
-  CASE WHEN k % 3 = 0 THEN 'fact ' || k ELSE '' END AS court_fact, CASE WHEN trim(text, ' ' || chr(9) || chr(13)) = 'e' THEN ['e', 'e'] ELSE [left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1600), 'e'] END AS evidence, CASE WHEN k % 4 = 2 THEN left(text, 1600) ELSE '' END AS conclusion, CASE WHEN k % 4 = 3 THEN '' ELSE block_id END AS ids,
+  CASE WHEN k % 3 = 0 THEN 'fact ' || k ELSE '' END AS court_fact, CASE WHEN trim(text, ' ' || chr(9) || chr(13)) = 'e' THEN ['e', 'e'] ELSE [regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 'e'] END AS evidence, CASE WHEN k % 4 = 2 THEN left(text, 1600) ELSE '' END AS conclusion, CASE WHEN k % 4 = 3 THEN '' ELSE block_id END AS ids,
   CAST(CASE WHEN k % 3 = 0 THEN 70 ELSE greatest(0, least(100, length(text) - 20)) END AS DOUBLE) AS confidence_pct FROM pl WHERE k < 10)"""
 
 
@@ -221,12 +235,20 @@ def synthesize_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.select("doc_id", "issue_id", "title", "stage", "claim", "court_fact", F.array_join(F.sort_array(F.array_distinct("evidence")), "|").alias("evidence"), "conclusion", _ids().alias("ids"), "confidence_pct", "page", "status")
 
 
+@query(f"""WITH {FINAL_ISSUES}, e AS (SELECT doc_id, ord, array_to_string(evidence, '') AS e FROM fi UNION ALL SELECT doc_id, ord, array_to_string(evidence, '') FROM sp WHERE ord < 14),
+g AS (SELECT doc_id, sum(length(title) + length(claim) + length(court_fact) + length(e) + length(conclusion)) AS n FROM fin JOIN e USING (doc_id, ord) GROUP BY doc_id)
+SELECT doc_id, CAST(n + 5 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE length('cause ' || doc_id) END + CASE WHEN doc_id % 5 < 2 THEN 0 ELSE 3 END AS BIGINT) AS generated_characters FROM g""")
+def generated_judgment_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed, _, b, c = _judgment(spark, sf_dir)
+    return rs.generated_judgment_characters(parsed, rs.synthesize_issues(parsed, c, b))
+
+
 @query(f"""WITH {FINAL_ISSUES}, g AS (SELECT doc_id, arg_max(conclusion, ord) FILTER (conclusion <> '') AS last, arg_min(claim, ord) FILTER (contains(stage, '争议') OR contains(title, '争议')) AS core FROM fin GROUP BY doc_id)
-SELECT doc_id, 'court' AS court, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'cause ' || doc_id END AS cause, '裁判文书' AS document_type, '待确认' AS procedure, CASE WHEN doc_id % 5 < 2 THEN coalesce(last, '') ELSE 'won' END AS result, CASE WHEN doc_id % 2 = 0 THEN 'Document ' || doc_id ELSE 'cause ' || doc_id END AS surface_topic, coalesce(core, '') AS core_question FROM g""")
+SELECT doc_id, 'court' AS court, CASE WHEN doc_id % 2 = 0 THEN '' ELSE 'cause ' || doc_id END AS cause, '裁判文书' AS document_type, '待确认' AS procedure, CASE WHEN doc_id % 5 < 2 THEN coalesce(last, '') ELSE 'won' END AS result, CASE WHEN doc_id % 2 = 0 THEN 'Document ' || doc_id ELSE 'cause ' || doc_id END AS surface_topic, coalesce(core, '') AS core_question, '裁判推理' AS paradigm, '裁判结论仅适用于本案事实与证据结构' AS boundary FROM g""")
 def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed, _, b, c = _judgment(spark, sf_dir)
     s = rs.case_summary(parsed, rs.synthesize_issues(parsed, c, b), ad.documents(spark, sf_dir))
-    return s.select("doc_id", "court", "cause", "document_type", "procedure", "result", "surface_topic", "core_question")
+    return s.select("doc_id", "court", "cause", "document_type", "procedure", "result", "surface_topic", "core_question", "paradigm", "boundary")
 
 
 def _full_text(spark: SparkSession, sf_dir: str, judgment: bool = False) -> tuple[DataFrame, DataFrame]:
