@@ -157,7 +157,7 @@ def once(df: DataFrame, keep: list[str], **columns: str) -> DataFrame:
 
 
 def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least: int = 4) -> DataFrame:
-    """key, left_start, right_start, length (from 1) of the longest common substring of at least ``least`` characters.
+    """key, left_start, right_start (from 0), length of the longest common substring of at least ``least`` characters.
 
     Substrings of 2 ** k characters are named by the names of their halves; from the longest k down the length grows
     while any name is on both sides. Time and memory of a pair are its characters times the number of k. Of equally
@@ -182,8 +182,8 @@ def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least:
         d = once(d, [*keep, *names[:k], *names[k + 1 : -1], "n", "a", "b", "x", "y"], hit="arrays_overlap(x, y)")
         d = once(d, [*keep, *names[:k], *names[k + 1 : -1]], n=f"n + if(hit, {1 << k}, 0)", a="if(hit, x, a)", b="if(hit, y, b)")
     d = once(d.where(F.col("n") >= least), [*keep, "n", "a", "b"], name="get(array_intersect(a, b), 0)")
-    found = d.select(*keep, F.array_position("a", F.col("name")).cast("int").alias("left_start"), F.array_position("b", F.col("name")).cast("int").alias("right_start"), F.col("n").alias("length"))
-    true = F.substring(F.col(left), F.col("left_start"), F.col("length")) == F.substring(F.col(right), F.col("right_start"), F.col("length"))
+    found = d.select(*keep, (F.array_position("a", F.col("name")) - 1).cast("int").alias("left_start"), (F.array_position("b", F.col("name")) - 1).cast("int").alias("right_start"), F.col("n").alias("length"))
+    true = F.substring(F.col(left), F.col("left_start") + 1, F.col("length")) == F.substring(F.col(right), F.col("right_start") + 1, F.col("length"))
     found = found.withColumn("_true", true)
     again = found.where("not _true").select(*keep)
     result = ["left_start", "right_start", "length"]
@@ -192,7 +192,7 @@ def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least:
 
 def _run_by_grams(pairs: DataFrame, left: str, right: str, key: str, least: int) -> DataFrame:
     """The same by all pairs of equal grams: places on one diagonal that follow each other are a run."""
-    side = lambda c, at: pairs.select(key, F.posexplode(_grams(F.col(c), least)).alias(at, "g")).withColumn(at, F.col(at) + 1)
+    side = lambda c, at: pairs.select(key, F.posexplode(_grams(F.col(c), least)).alias(at, "g"))
     d = side(left, "i").join(side(right, "j"), [key, "g"]).withColumn("diag", F.col("i") - F.col("j"))
     run = F.col("i") - F.row_number().over(Window.partitionBy(key, "diag").orderBy("i"))
     runs = d.withColumn("run", run).groupBy(key, "diag", "run").agg(F.min("i").alias("left_start"), F.min("j").alias("right_start"), (F.count("*") + least - 1).alias("length"))

@@ -13,6 +13,10 @@ PAGE = ["doc_id", "page"]
 BLOCK_TYPES = ["heading", "paragraph", "footnote", "page_number", "table", "caption", "header", "footer"]
 
 
+#: Runs of a part of a page, within which what is known so far is copied.
+PART = 256
+
+
 def group_lines(page_items: DataFrame, exact: bool = True) -> DataFrame:
     """Positioned runs to lines: doc_id, page, block_id, reading_order, text, bbox, font_size.
 
@@ -29,14 +33,22 @@ def group_lines(page_items: DataFrame, exact: bool = True) -> DataFrame:
         rows = lined.withColumn("row_y", top)
     else:
         run = F.struct((-F.col("y")).alias("ny"), "x", "item_no", "y", "width", "height", "font_size", "text")
-        # the state: the height of each line, and the line of each run so far
-        # the first line near enough is looked for once: k is its place from 1, or 0
-        place = """aggregate(runs, named_struct('rows', cast(array() as array<double>), 'at', cast(array() as array<int>)), (s, r) ->
-            element_at(transform(array(array_position(transform(s.rows, p -> abs(p - r.y) <= greatest(2.0D, r.height * 0.28D)), true)), k ->
-                CASE WHEN k > 0 THEN named_struct('rows', transform(s.rows, (q, i) -> CASE WHEN i = k - 1 THEN (q + r.y) / 2 ELSE q END), 'at', concat(s.at, array(cast(k - 1 as int))))
-                     ELSE named_struct('rows', concat(s.rows, array(r.y)), 'at', concat(s.at, array(size(s.rows)))) END), 1))"""
-        pages = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(run)).alias("runs")).withColumn("s", F.expr(place))
-        rows = pages.select(*PAGE, "s", F.posexplode("runs").alias("k", "r")).select(*PAGE, F.expr("s.at[k]").alias("line"), F.expr("s.rows[s.at[k]]").alias("row_y"), "r.x", "r.y", "r.width", "r.height", "r.font_size", "r.text", "r.item_no")
+        # the state: the open lines with their heights, and how many there are. Runs come from the top, so a line that lies
+        # further over a run than the page's widest tolerance takes none any more. Runs go in parts: what a part gives is
+        # copied within the part only. The first line near enough is looked for once: k is its place from 1, or 0
+        line = "struct<line:int,y:double>"
+        step = """element_at(transform(array(filter(t.open, p -> p.y <= r.y + reach)), open ->
+            element_at(transform(array(array_position(transform(open, p -> abs(p.y - r.y) <= greatest(2.0D, r.height * 0.28D)), true)), k ->
+                CASE WHEN k > 0 THEN named_struct('open', transform(open, (q, i) -> CASE WHEN i = k - 1 THEN named_struct('line', q.line, 'y', (q.y + r.y) / 2) ELSE q END), 'n', t.n, 'out', concat(t.out, array(named_struct('line', open[cast(k - 1 as int)].line, 'y', (open[cast(k - 1 as int)].y + r.y) / 2))))
+                     ELSE named_struct('open', concat(open, array(named_struct('line', t.n, 'y', r.y))), 'n', t.n + 1, 'out', concat(t.out, array(named_struct('line', t.n, 'y', r.y)))) END), 1)), 1)"""
+        part = f"aggregate(slice(runs, j * {PART} + 1, {PART}), named_struct('open', s.open, 'n', s.n, 'out', cast(array() as array<{line}>)), (t, r) -> {step})"
+        place = f"""aggregate(sequence(0, (size(runs) - 1) div {PART}), named_struct('open', cast(array() as array<{line}>), 'n', 0, 'out', cast(array() as array<array<{line}>>)), (s, j) ->
+            element_at(transform(array({part}), d -> named_struct('open', d.open, 'n', d.n, 'out', concat(s.out, array(d.out)))), 1)).out"""
+        pages = items.groupBy(*PAGE).agg(F.array_sort(F.collect_list(run)).alias("runs"), F.greatest(F.lit(2.0), F.max("height") * 0.28).alias("reach"))
+        pages = pages.withColumn("placed", F.flatten(F.expr(place)))
+        rows = pages.select(*PAGE, F.posexplode(F.arrays_zip("runs", "placed")).alias("k", "z")).select(*PAGE, "z.placed.line", F.col("z.placed.y").alias("line_y"), "k", "z.runs.x", "z.runs.y", "z.runs.width", "z.runs.height", "z.runs.font_size", "z.runs.text", "z.runs.item_no")
+        # a line's height is what its last run made it
+        rows = rows.withColumn("row_y", F.max_by("line_y", "k").over(Window.partitionBy(*PAGE, "line")))
     lines = rows.groupBy(*PAGE, "line", "row_y").agg(
         F.array_sort(F.collect_list(F.struct("x", "item_no", "text"))).alias("parts"),
         F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("width")).alias("right"), F.max("height").alias("h"), F.max("font_size").alias("font_size"),

@@ -398,4 +398,4 @@ def group_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pa.group_lines(runs).select("doc_id", "block_id", "text", F.get("bbox", F.lit(0)).alias("x"), F.get("bbox", F.lit(2)).alias("w"))
 
 
-from quire.plans import queries_evidence, queries_responses  # noqa: E402, F401  (each registers its queries)
+from quire.plans import queries_anchors, queries_evidence, queries_responses  # noqa: E402, F401  (each registers its queries)

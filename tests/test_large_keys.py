@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quire.operators import annotations as an
+from quire.operators import pages as pa
 from quire.operators import structure as st
 
 
@@ -74,7 +75,7 @@ def brute_run(left, right, least=4):
             while i + n < len(left) and j + n < len(right) and left[i + n] == right[j + n]:
                 n += 1
             if n >= least and (best is None or n > best[2]):
-                best = (i + 1, j + 1, n)
+                best = (i, j, n)
     return best
 
 
@@ -92,7 +93,7 @@ def test_longest_common_run(spark):
 def test_longest_run_of_equal_characters(spark):
     n = 20_000
     d = spark.createDataFrame([("x", "a" * n, "a" * n), ("y", "ab" * (n // 2), "ba" * (n // 2))], "key string, l string, r string")
-    assert {tuple(r) for r in an.longest_common_run(d, "l", "r", "key").collect()} == {("x", 1, 1, n), ("y", 1, 2, n - 1)}
+    assert {tuple(r) for r in an.longest_common_run(d, "l", "r", "key").collect()} == {("x", 0, 0, n), ("y", 0, 1, n - 1)}
 
 
 def test_split_ranges_sweep(spark):
@@ -112,3 +113,35 @@ def test_split_ranges_sweep(spark):
             ref = [name for name, s, e in marks if s <= p and e >= q]
             want.append((1, block, p, q, min(over)[1] if over else None, min(ref) if ref else None))
     assert sorted(map(tuple, an.split_ranges(r, m, blocks).collect()), key=str) == sorted(want, key=str)
+
+
+def brute_lines(runs):
+    """The height of each line, and the line of each run, by the rule as it stands."""
+    rows, at = [], []
+    for y, _, _, height in sorted(runs, key=lambda r: (-r[0], r[1], r[2])):
+        near = [i for i, p in enumerate(rows) if abs(p - y) <= max(2.0, height * 0.28)]
+        if near:
+            rows[near[0]] = (rows[near[0]] + y) / 2
+        else:
+            rows.append(y)
+        at.append(near[0] if near else len(rows) - 1)
+    return rows, at
+
+
+@pytest.mark.parametrize("part", [256, 5])
+def test_lines_of_a_page_of_many_runs(spark, monkeypatch, part):
+    rng = random.Random(8)
+    monkeypatch.setattr(pa, "PART", part)
+    pages = {1: 2000, 2: 3, 3: 400}
+    runs = {p: [(float(rng.randrange(0, 4000)) / 4 if p != 3 else float(rng.choice([10, 11, 12, 13, 90])), float(rng.randrange(500)), k, rng.choice([4.0, 8.0, 10.0, 60.0 if p == 1 and k % 97 == 0 else 9.0])) for k in range(n)] for p, n in pages.items()}
+    d = spark.createDataFrame([(1, p, k, f"r{k}", x, y, 5.0, h, h) for p, rs in runs.items() for y, x, k, h in rs], "doc_id int, page int, item_no int, str string, x double, y double, width double, height double, font_size double")
+    got = {}
+    for r in pa.group_lines(d).select("page", "reading_order", "text").collect():
+        got.setdefault(r["page"], {})[r["reading_order"]] = r["text"]
+    for p, rs in runs.items():
+        rows, at = brute_lines(rs)
+        lines = {}
+        for line, (_, x, k, _) in zip(at, sorted(rs, key=lambda r: (-r[0], r[1], r[2])), strict=True):
+            lines.setdefault(line, []).append((x, k))
+        order = sorted(lines, key=lambda i: (-rows[i], i))
+        assert got[p] == {n: " ".join(f"r{k}" for _, k in sorted(lines[i])) for n, i in enumerate(order, 1)}
