@@ -310,6 +310,30 @@ def stream_job_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.run_available(s, "complete", streams.new_checkpoint(spark, "jobs"))
 
 
+LATE = """e AS (SELECT *, event_id % 4 AS b FROM events), m AS (SELECT b, max(ts) AS t FROM e GROUP BY b), z AS (SELECT e.*, (SELECT date_trunc('milliseconds', max(t)) FROM m WHERE m.b <= e.b - 2) - INTERVAL 10 DAY AS w FROM e)"""
+
+
+def _late_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in four batches, each over the whole time: a file each, written one after the other."""
+    e = ad.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = streams.new_checkpoint(spark, "batches")
+    for k in range(4):
+        e.where(F.col("event_id") % 4 == k).coalesce(1).write.parquet(f"{path}/p{k}")
+    return ad.page_results(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*"))
+
+
+@query(f"WITH {LATE} SELECT user_id AS job_id, event_id AS page, b AS batch FROM z WHERE ts <= w")
+def late_job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = streams.new_checkpoint(spark, "late")
+    return streams.late_rows(_late_stream(spark, sf_dir), path, f"{path}-at", "10 days").select("job_id", "page", "batch")
+
+
+@query(f"WITH {LATE} {JOBS} FROM z WHERE w IS NULL OR ts > w GROUP BY user_id")
+def job_progress_in_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = streams.job_progress_stream(_late_stream(spark, sf_dir), "10 days")
+    return streams.run_available(s, "complete", streams.new_checkpoint(spark, "jobs"))
+
+
 @query("SELECT user_id AS doc_id, arg_max(1 + event_id % 20, struct_pack(t := ts, p := 1 + event_id % 20)) AS page, max(ts) AS ts FROM events GROUP BY user_id")
 def stream_reading_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _event_stream(spark, sf_dir).select(F.col("user_id").alias("doc_id"), (1 + F.col("event_id") % 20).alias("page"), "ts")
