@@ -13,6 +13,8 @@ from quire.operators import search as se
 from quire.operators import structure as st
 from quire.plans import adapters as ad
 from quire.plans.queries import BLOCKS, query
+from quire.sources import workspace
+from quire.streaming import streams
 
 # Five kinds of marks, by the block's place: at its offsets; found elsewhere in the block; the block inside the quote; the
 # longest common run; a segment. The third kind has blocks of less than four characters, which only a run could find.
@@ -79,3 +81,25 @@ def repair_ref_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     fine = (F.length(t) >= 12) & F.substring(t, 5, 2).rlike("^[a-z][a-z]$") & F.substring(t, 3, 8).rlike(r"^\S.*\S$")
     b = ad.blocks(spark, sf_dir).where(fine).withColumn("refs", pa.repair_ref_offsets(F.array(ref), t))
     return b.select("doc_id", "block_id", F.explode("refs").alias("r")).select("doc_id", "block_id", "r.marker", "r.start_offset", "r.end_offset")
+
+
+@query("""WITH RECURSIVE i AS (SELECT doc_id, '{"doc_id":' || doc_id || ',"lang":"' || lang || '","source":"' || source || '","n_chars":' || n_chars || '}' AS j, row_number() OVER (ORDER BY doc_id, lang, source, n_chars) AS n FROM documents),
+f AS (SELECT n, strlen(j) + 1 AS total, 0 AS part FROM i WHERE n = 1 UNION ALL SELECT i.n, CASE WHEN f.total + strlen(j) + 1 > 1499 THEN strlen(j) + 1 ELSE f.total + strlen(j) + 1 END, CASE WHEN f.total + strlen(j) + 1 > 1499 THEN f.part + 1 ELSE f.part END FROM f JOIN i ON i.n = f.n + 1),
+p AS (SELECT part, '[' || string_agg(j, ',' ORDER BY n) || ']' AS v, count(*) AS rows FROM f JOIN i USING (n) GROUP BY part) SELECT CAST(part AS INTEGER) AS part, rows, strlen(v) AS bytes, sha256(v) AS hash, strlen(v) > 2000 AS too_large FROM p""")
+def byte_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their texts in parts of at most 1 500 bytes."""
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    return workspace.byte_parts(d, "documents", ["doc_id", "lang", "source", "n_chars"], 1500, 2000).select("part", "rows", "bytes", "hash", "too_large")
+
+
+@query("SELECT 'documents' AS name, doc_id AS id, lang AS label, n_chars AS n FROM documents UNION ALL SELECT 'labels', doc_id, CAST(toxic AS VARCHAR), quality FROM labels")
+def snapshot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables published in parts, once changed and published again, and read back."""
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    n = ad.table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    path = streams.new_checkpoint(spark, "parts")
+    workspace.publish_parts(spark, {"documents": (d.where("doc_id % 50 <> 7"), ["doc_id"]), "labels": (n, ["doc_id"])}, path)
+    workspace.publish_parts(spark, {"documents": (d, ["doc_id"]), "labels": (n, ["doc_id"])}, path)
+    t = workspace.read_parts(spark, path, {"documents": d.schema, "labels": n.schema})
+    a = t["documents"].select(F.lit("documents").alias("name"), F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.col("n_chars").cast("long").alias("n"))
+    return a.unionByName(t["labels"].select(F.lit("labels").alias("name"), F.col("doc_id").alias("id"), F.col("toxic").cast("string").alias("label"), F.col("quality").cast("long").alias("n")))

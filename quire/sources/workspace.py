@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.operators.structure import pack_sequential
+
 BLOCK = "id string, page int, readingOrder int, blockType string, text string, bbox array<double>, fontSize double, extractionMethod string, confidence double, footnoteMarker string, footnoteRefs array<struct<marker:string,quote:string,startOffset:int,endOffset:int>>"
 PAGE = "page int, width double, height double, textLength int, blockCount int, extractionMethod string, confidence double, qualityIssue string"
 OUTLINE = "id string, title string, level int, page int, blockId string, confidence double, source string"
@@ -146,3 +148,71 @@ def drop_obsolete(spark: SparkSession, path: str, keep: str) -> None:
         for s in fs.listStatus(top) if fs.exists(top) else []:
             if s.getPath().getName() != keep:
                 fs.delete(s.getPath(), True)
+
+
+#: The bytes that a part aims at, and the most that one may have.
+PART_TARGET, PART_MOST = 24 * 1024, 32 * 1024
+PART_MANIFEST = "name string, part int, hash string, folder string, rows long, bytes long, published_at timestamp"
+
+
+def byte_parts(rows: DataFrame, name: str, order: list[str], target: int = PART_TARGET, most: int = PART_MOST) -> DataFrame:
+    """name, part (from 0), value, rows, bytes, hash, too_large: the rows as JSON lists of at most ``target`` bytes, in order.
+
+    A row over the target is a part by itself; one over ``most`` is ``too_large``, as no part may hold it.
+    """
+    item = F.to_json(F.struct(*rows.columns))
+    sized = rows.select(F.lit(name).alias("name"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], item.alias("json")).withColumn("size", F.octet_length("json") + 1)
+    packed = pack_sequential(sized, ["name"], [f"o{i}" for i in range(len(order))] + ["json"], "size", target - 1)
+    place = F.struct(*[f"o{i}" for i in range(len(order))], "json")
+    g = packed.groupBy("name", (F.col("pack") - 1).cast("int").alias("part")).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["json"]).alias("items"))
+    g = g.withColumn("value", F.concat(F.lit("["), F.array_join("items", ","), F.lit("]")))
+    return g.select("name", "part", "value", F.size("items").cast("long").alias("rows"), F.octet_length("value").cast("long").alias("bytes"), F.sha2("value", 256).alias("hash"), (F.octet_length("value") > most).alias("too_large"))
+
+
+def publish_parts(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]], path: str, target: int = PART_TARGET, most: int = PART_MOST) -> str:
+    """Publish tables (with the order of their rows) as parts of bounded size; returns the snapshot's id.
+
+    A part is known by the hash of what it holds: those that the snapshot before has are not written again. The manifest
+    is written last. A row that no part may hold is an error, and nothing is published.
+    """
+    snapshot = uuid.uuid4().hex
+    parts = None
+    for name, (df, order) in tables.items():
+        one = byte_parts(df, name, order, target, most)
+        parts = one if parts is None else parts.unionByName(one)
+    large = parts.where("too_large").groupBy("name").count().collect()
+    if large:
+        raise ValueError("rows over %d bytes: %s" % (most, ", ".join(f"{r['name']}: {r['count']}" for r in sorted(large))))
+    known = _part_manifest(spark, path).select("hash", "folder").distinct()
+    parts.join(known, "hash", "left_anti").dropDuplicates(["hash"]).select("hash", "value").write.parquet(f"{path}/parts/{snapshot}")
+    manifest = parts.join(known, "hash", "left").select("name", "part", "hash", F.coalesce("folder", F.lit(snapshot)).alias("folder"), "rows", "bytes", F.current_timestamp().alias("published_at"))
+    manifest.write.parquet(f"{path}/part-manifest/{snapshot}")
+    return snapshot
+
+
+def _part_manifest(spark: SparkSession, path: str, snapshot: str | None = None) -> DataFrame:
+    """The manifest of a snapshot, or of the one published last; empty if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    top = at(f"{path}/part-manifest")
+    complete = [s.getPath().getName() for s in fs.listStatus(top) if fs.exists(at(s.getPath(), "_SUCCESS"))] if fs.exists(top) else []
+    if snapshot is None and complete:
+        every = spark.read.schema(PART_MANIFEST).parquet(*[f"{path}/part-manifest/{s}" for s in complete]).withColumn("s", F.regexp_extract(F.input_file_name(), "part-manifest/([^/]+)/", 1))
+        snapshot = every.agg(F.max_by("s", F.struct("published_at", "s"))).first()[0]
+    if snapshot is None:
+        return spark.createDataFrame([], PART_MANIFEST)
+    return spark.read.schema(PART_MANIFEST).parquet(f"{path}/part-manifest/{snapshot}")
+
+
+def read_parts(spark: SparkSession, path: str, schemas: dict[str, T.StructType], snapshot: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a snapshot (the last one published unless one is given); a part that is missing or changed is an error."""
+    manifest = _part_manifest(spark, path, snapshot)
+    folders = [r["folder"] for r in manifest.select("folder").distinct().collect()]
+    if not folders:
+        raise ValueError("no snapshot")
+    held = spark.read.schema("hash string, value string").parquet(*[f"{path}/parts/{f}" for f in folders]).where(F.sha2("value", 256) == F.col("hash")).dropDuplicates(["hash"])
+    lost = manifest.join(held, "hash", "left_anti").count()
+    if lost:
+        raise ValueError(f"{lost} parts are missing")
+    found = manifest.join(held, "hash")
+    return {name: found.where(F.col("name") == name).select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("x")).select("x.*") for name, schema in schemas.items()}
