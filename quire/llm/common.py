@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +88,14 @@ def words_of(text: str | None) -> list[str]:
     return _FIND_WORDS(text) if text else []
 
 
+def release_memory() -> None:
+    """Give back what earlier tasks of this Python worker have freed: allocators keep it otherwise."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class TwoGenerationCache(dict):
     """A bounded memo: when the young half is full, it becomes the old half."""
 

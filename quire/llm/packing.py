@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, table, words_of
+from quire.llm.common import materialise, release_memory, table, words_of
 
 CAPACITY, GROUP_PIECES = 2048, 4096
 END_ID = b"\0\0\0\0"
@@ -109,10 +109,11 @@ class WordTokenizer:
     White space always ends a token and composes with nothing, so the ids of a text are those of its
     words, one after the other. Of a word new to the memo, runs of plain letters and of marks are
     encoded apart: new letter runs are merged here, many at once; what is left goes to the library together.
-    A full memo starts anew. A file with other rules than ``CASELESS_WORDS`` is encoded text by text.
+    A memo that is full, by entries or by what long words take, starts anew. A file with other rules than
+    ``CASELESS_WORDS`` is encoded text by text.
     """
 
-    def __init__(self, path: str, most: int = 900_000):
+    def __init__(self, path: str, most: int = 500_000, most_long: int = 16 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -124,7 +125,7 @@ class WordTokenizer:
         self.by_word = self.by_word and all("<|" in t["content"] and t["content"].isascii() for t in made["added_tokens"])
         self.merges = Merges(model["vocab"], model["merges"]) if self.by_word else None
         self.known: dict[str, bytes] = {}
-        self.most = most
+        self.most, self.most_long, self.long = most, most_long, 0
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -153,13 +154,15 @@ class WordTokenizer:
         for at in range(0, len(words), 10_000):
             some = words[at : at + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[w] = as_bytes(e.ids)
+                self.known[w] = ids = as_bytes(e.ids)
+                self.long += len(w) + len(ids) if len(w) > LONGEST else 0
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_word:
             return [as_bytes(e.ids) for e in self.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-        if len(self.known) > self.most:
+        if len(self.known) > self.most or self.long > self.most_long:
             self.known.clear()
+            self.long = 0
         get = self.known.get
         lists = [self.words(t) if t else [] for t in texts]
         out = [list(map(get, ws)) for ws in lists]
@@ -187,6 +190,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """The ids of each whole text, then id 0, cut into pieces of ``capacity`` ids (the last may be shorter)."""
 
     def run(batches):
+        release_memory()
         t = word_tokenizer(tokenizer_path)
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []
