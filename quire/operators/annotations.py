@@ -164,10 +164,13 @@ def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least:
     long runs the one that begins first in the left text counts, then in the right one. The runs found are held
     against the texts; a pair in which two substrings share a name is done by its grams.
     """
+    # names of its own, as the columns may have any
+    named = [F.col(c).alias(n) for c, n in ((key, "run_key"), (left, "run_left"), (right, "run_right"))]
+    pairs, key, left, right, given = pairs.select(*named), "run_key", "run_left", "run_right", key
     most = pairs.agg(F.max(F.least(F.length(left), F.length(right)))).first()[0] or 0
     top = max(0, int(most).bit_length() - 1)
     keep = [key, left, right]
-    d = once(pairs.select(*keep), keep, **{f"{s}0": f"transform(split({c}, ''), x -> xxhash64(x))" for s, c in (("a", left), ("b", right))})
+    d = once(pairs, keep, **{f"{s}0": f"transform(split({c}, ''), x -> xxhash64(x))" for s, c in (("a", left), ("b", right))})
     for k in range(1, top + 1):
         half, names = 1 << (k - 1), [f"{s}{j}" for s in "ab" for j in range(k)]
         part = lambda c: f"zip_with(slice({c}, 1, greatest(0, size({c}) - {half})), slice({c}, {half + 1}, greatest(0, size({c}) - {half})), (x, y) -> xxhash64(x, y))"  # noqa: B023, E731
@@ -187,7 +190,7 @@ def longest_common_run(pairs: DataFrame, left: str, right: str, key: str, least:
     found = found.withColumn("_true", true)
     again = found.where("not _true").select(*keep)
     result = ["left_start", "right_start", "length"]
-    return found.where("_true").select(key, *result).unionByName(_run_by_grams(again, left, right, key, least).select(key, *[F.col(c).cast("int").alias(c) for c in result]))
+    return found.where("_true").select(key, *result).unionByName(_run_by_grams(again, left, right, key, least).select(key, *[F.col(c).cast("int").alias(c) for c in result])).withColumnRenamed(key, given)
 
 
 def _run_by_grams(pairs: DataFrame, left: str, right: str, key: str, least: int) -> DataFrame:
