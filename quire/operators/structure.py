@@ -120,8 +120,9 @@ def sanitize_user_outline(rows: DataFrame, limit: int = 300) -> DataFrame:
 
 
 def log_edits(log: DataFrame, edits: DataFrame, keep: int = 100) -> DataFrame:
-    """Edit log (doc_id, type, edited_at) with new edits; of each document the last ``keep``."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("edited_at"), "type"))
+    """Edit log (doc_id, type, edited_at) with new edits; of each document the last ``keep``, equal times by type and the other columns."""
+    others = [c for c in log.columns if c not in ("doc_id", "type", "edited_at")]
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("edited_at"), "type", *others))
     return log.unionByName(edits.select(*log.columns)).withColumn("_n", n).where(F.col("_n") <= keep).drop("_n")
 
 

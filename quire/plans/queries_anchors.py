@@ -103,3 +103,19 @@ def snapshot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = workspace.read_parts(spark, path, {"documents": d.schema, "labels": n.schema})
     a = t["documents"].select(F.lit("documents").alias("name"), F.col("doc_id").alias("id"), F.col("lang").alias("label"), F.col("n_chars").cast("long").alias("n"))
     return a.unionByName(t["labels"].select(F.lit("labels").alias("name"), F.col("doc_id").alias("id"), F.col("toxic").cast("string").alias("label"), F.col("quality").cast("long").alias("n")))
+
+
+@query(f"WITH {BLOCKS} SELECT 'block' AS kind, CAST(b.doc_id AS VARCHAR) AS doc_id, block_id AS id, page AS n, b.text, d.source AS label FROM blocks b JOIN documents d USING (doc_id) UNION ALL SELECT 'job', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR), CAST(event_id % 100 AS INTEGER), NULL, event_type FROM events")
+def read_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their blocks, and events as jobs, written as workspace files and read back in splits."""
+    b = ad.blocks(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("reading_order", "block_id", "page", "text"))).alias("b"))
+    items = F.transform("b", lambda x: F.struct(x["block_id"].alias("id"), x["page"].alias("page"), x["reading_order"].alias("readingOrder"), x["text"].alias("text")))
+    d = ad.table(spark, sf_dir, "documents").select("doc_id", "source").join(b, "doc_id", "left")
+    docs = d.select("doc_id", F.to_json(F.struct(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("projectId"), items.alias("blocks"))).alias("json"))
+    e = ad.table(spark, sf_dir, "events")
+    jobs = e.select("event_id", F.to_json(F.struct(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("documentId"), F.col("event_type").alias("stage"), (F.col("event_id") % 100).alias("progress"))).alias("json"))
+    path = streams.new_checkpoint(spark, "workspaces")
+    workspace.write_workspaces({"documents": (docs, "doc_id"), "jobs": (jobs, "event_id")}, path, 8 + docs.count() // 100_000)
+    t = workspace.read_workspace(spark, f"{path}/*")
+    blocks = t["blocks"].join(t["documents"].select("doc_id", "project_id"), "doc_id").select(F.lit("block").alias("kind"), "doc_id", F.col("block_id").alias("id"), F.col("page").alias("n"), "text", F.col("project_id").alias("label"))
+    return blocks.unionByName(t["jobs"].select(F.lit("job").alias("kind"), "doc_id", F.col("job_id").alias("id"), F.col("progress").alias("n"), F.lit(None).cast("string").alias("text"), F.col("stage").alias("label")))

@@ -30,11 +30,11 @@ def _text(c) -> Column:
 
 def _legal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of which four of six begin as headings do."""
-    k, t = F.col("reading_order") % 6, F.substring("text", 1, 30)
+    k, t = F.col("reading_order") % 6, F.col("text")
     return ad.blocks(spark, sf_dir).withColumn("text", F.when(k == 0, F.concat(F.lit("第一章 "), t)).when(k == 1, F.concat(F.lit("一、"), t)).when(k == 2, F.concat(F.lit("（二）"), t)).when(k == 3, F.concat(F.lit("1.2 "), t)).otherwise(F.col("text")))
 
 
-LEGAL = f"{BLOCKS}, legal AS (SELECT doc_id, block_id, page, reading_order, block_type, CASE reading_order % 6 WHEN 0 THEN '第一章 ' || left(text, 30) WHEN 1 THEN '一、' || left(text, 30) WHEN 2 THEN '（二）' || left(text, 30) WHEN 3 THEN '1.2 ' || left(text, 30) ELSE text END AS text FROM blocks)"
+LEGAL = f"{BLOCKS}, legal AS (SELECT doc_id, block_id, page, reading_order, block_type, CASE reading_order % 6 WHEN 0 THEN '第一章 ' || text WHEN 1 THEN '一、' || text WHEN 2 THEN '（二）' || text WHEN 3 THEN '1.2 ' || text ELSE text END AS text FROM blocks)"
 LEVEL = r"CASE WHEN t LIKE '第一章%' OR t LIKE '一、%' THEN 1 WHEN t LIKE '（二）%' THEN 2 WHEN regexp_matches(t, '^\d+\.\d+\.\d+') THEN 3 WHEN regexp_matches(t, '^\d+\.\d+') THEN 2 ELSE 1 END"
 SEMANTIC = rf"""{LEGAL}, hd AS (SELECT *, {SQUEEZE} AS t FROM legal), sem AS (SELECT doc_id, block_id, page, text AS title, {LEVEL} AS level, row_number() OVER (PARTITION BY doc_id ORDER BY page, reading_order) AS ord FROM hd
   WHERE length(t) BETWEEN 2 AND 80 AND NOT regexp_matches(t, '[;；]$') AND (t LIKE '第一章%' OR t LIKE '一、%' OR t LIKE '（二）%' OR regexp_matches(t, '^\d+(\.\d+){{0,3}}[、.．\s]')))"""
@@ -58,11 +58,11 @@ def mark_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.mark_headings(b, st.semantic_outline(b)).select("doc_id", "block_id", "block_type")
 
 
-@query(f"""WITH {BLOCKS}, r AS (SELECT *, reading_order % 9 <> 3 AS known FROM blocks WHERE reading_order % 3 = 0), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, reading_order) AS n FROM r WHERE known)
+@query(f"""WITH {BLOCKS}, r AS (SELECT *, reading_order % 9 <> 3 AS known FROM blocks), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, reading_order) AS n FROM r WHERE known)
 SELECT doc_id, 'outline-ai-' || n AS outline_id, left(CASE WHEN reading_order % 2 = 0 THEN {SQUEEZE} ELSE 'M' || reading_order END, 180) AS title, CAST(CASE WHEN reading_order % 6 = 0 THEN 1 ELSE least(4, reading_order % 6) END AS INTEGER) AS level, block_id, CAST(CASE WHEN reading_order % 10 = 0 THEN 0.72 ELSE least(0.98, greatest(0.45, (reading_order % 10) / 10.0)) END AS DOUBLE) AS confidence FROM p WHERE n <= 160""")
 def merge_model_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     b, k = ad.blocks(spark, sf_dir), F.col("reading_order")
-    r = b.where(k % 3 == 0).select("doc_id", (-k).alias("ord"), F.when(k % 9 == 3, "nowhere").otherwise(F.col("block_id")).alias("block_id"), F.when(k % 2 == 1, F.concat(F.lit("M"), _text(k))).alias("title"), (k % 6).alias("level"), ((k % 10) / 10).alias("confidence"))
+    r = b.select("doc_id", (-k).alias("ord"), F.when(k % 9 == 3, "nowhere").otherwise(F.col("block_id")).alias("block_id"), F.when(k % 2 == 1, F.concat(F.lit("M"), _text(k))).alias("title"), (k % 6).alias("level"), ((k % 10) / 10).alias("confidence"))
     again = r.withColumn("ord", F.lit(1 << 30)).withColumn("title", F.lit("again"))
     return st.merge_model_outline(r.unionByName(again), b).select("doc_id", "outline_id", "title", "level", "block_id", "confidence")
 
@@ -78,10 +78,11 @@ def apply_format_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.apply_format_corrections(b, r).select("doc_id", "block_id", "block_type", "text", "format_corrected")
 
 
-@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id, reading_order AS ord, trim(left(trim(text, ' '), 5)) AS title, greatest(1, least(4, reading_order % 8)) AS level, page FROM blocks WHERE doc_id % 2 = 0), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title, page ORDER BY ord) AS rn FROM r WHERE title <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM d WHERE rn = 1)
+@query(f"""WITH {BLOCKS}, r AS (SELECT doc_id, reading_order AS ord, CASE WHEN doc_id % 2 = 0 THEN left(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 200) ELSE '' END AS title, greatest(1, least(4, reading_order % 8)) AS level, page FROM blocks), d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, title, page ORDER BY ord) AS rn FROM r WHERE title <> ''), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM d WHERE rn = 1)
 SELECT doc_id, 'fmt-h' || n AS outline_id, title, CAST(level AS INTEGER) AS level, page FROM n WHERE n <= 160 UNION ALL SELECT doc_id, 'o' || block_id, text, 1, page FROM blocks WHERE length(text) <= 60 AND doc_id NOT IN (SELECT doc_id FROM n)""")
 def format_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = ad.blocks(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", F.col("reading_order").alias("ord"), F.concat(F.lit(" "), F.substring(F.trim("text"), 1, 5)).alias("title"), (F.col("reading_order") % 8).alias("level"), "page")
+    """Documents of odd ids have blank titles only."""
+    r = ad.blocks(spark, sf_dir).select("doc_id", F.col("reading_order").alias("ord"), F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit(" "), "text")).otherwise("  ").alias("title"), (F.col("reading_order") % 8).alias("level"), "page")
     return st.format_outline(r, ad.outline(spark, sf_dir)).select("doc_id", "outline_id", "title", "level", "page")
 
 
@@ -93,14 +94,13 @@ def sanitize_user_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.sanitize_user_outline(r).select("doc_id", "outline_id", "title", "level", "page", "block_id")
 
 
-@query("WITH e AS (SELECT user_id AS doc_id, event_type AS type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM events) SELECT doc_id, count(*) AS n, min(ts) AS oldest FROM e WHERE n <= 20 GROUP BY doc_id")
+@query("WITH e AS (SELECT user_id AS doc_id, event_type AS type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type) AS n FROM events) SELECT doc_id, type, ts AS edited_at FROM e WHERE n <= 20")
 def log_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = ad.table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("type"), F.col("ts").alias("edited_at"), "event_id")
-    log = st.log_edits(e.where("event_id % 3 = 0").drop("event_id"), e.where("event_id % 3 > 0").drop("event_id"), 20)
-    return log.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("edited_at").alias("oldest"))
+    return st.log_edits(e.where("event_id % 3 = 0").drop("event_id"), e.where("event_id % 3 > 0").drop("event_id"), 20)
 
 
-@query(rf"""WITH {LEGAL}, s AS (SELECT *, {SQUEEZE} AS t FROM legal) SELECT doc_id, block_id, t AS title, CASE WHEN t LIKE '一、%' THEN 2 ELSE {LEVEL} END AS level FROM s WHERE block_type = 'heading' OR t LIKE '一、%'""")
+@query(rf"""WITH {LEGAL}, s AS (SELECT *, {SQUEEZE} AS t FROM legal), x AS (SELECT doc_id, block_id, CASE WHEN block_type = 'heading' OR (t LIKE '一、%' AND length(t) <= 64) THEN t ELSE nullif(regexp_extract(t, '^(一、[^。！？；\s]{{2,40}})\s', 1), '') END AS title, CASE WHEN t LIKE '一、%' THEN 2 ELSE {LEVEL} END AS level FROM s) SELECT * FROM x WHERE title IS NOT NULL""")
 def reader_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return st.reader_outline(_legal(spark, sf_dir)).select("doc_id", "block_id", "title", "level")
 
@@ -116,20 +116,20 @@ def attach_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every eighth block as a footnote of one of five markers."""
-    b = ad.blocks(spark, sf_dir).where("reading_order % 8 = 7")
-    return b.withColumn("text", F.concat(_text(F.col("page") % 5 + 1), F.lit(" 《"), F.substring("text", 1, 20), F.lit("》，法律出版社"))).withColumn("footnote_marker", F.lit(None).cast("string"))
+    """Every other block as a footnote of one of twenty markers; four on a page."""
+    b = ad.blocks(spark, sf_dir).where("reading_order % 2 = 1")
+    return b.withColumn("text", F.concat(_text(F.expr("page % 5 * 4 + reading_order % 8 div 2 + 1")), F.lit(" 《"), "text", F.lit("》，法律出版社"))).withColumn("footnote_marker", F.lit(None).cast("string"))
 
 
-NOTES = f"{BLOCKS}, notes AS (SELECT doc_id, block_id, page, reading_order, CAST(page % 5 + 1 AS VARCHAR) AS marker, (page % 5 + 1) || ' 《' || left(text, 20) || '》，法律出版社' AS text FROM blocks WHERE reading_order % 8 = 7)"
+NOTES = f"{BLOCKS}, notes AS (SELECT doc_id, block_id, page, reading_order, CAST(page % 5 * 4 + reading_order % 8 // 2 + 1 AS VARCHAR) AS marker, (page % 5 * 4 + reading_order % 8 // 2 + 1) || ' 《' || text || '》，法律出版社' AS text FROM blocks WHERE reading_order % 2 = 1)"
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
     ref = lambda m: F.struct(m.alias("marker"), F.substring("text", 1, 10).alias("quote"), F.lit(0).alias("start_offset"), F.lit(1).alias("end_offset"))
-    return ad.blocks(spark, sf_dir).where("reading_order % 8 = 2").withColumn("footnote_refs", F.array(ref(_text(F.col("page") % 7 + 1)), ref(F.lit("2"))))
+    return ad.blocks(spark, sf_dir).where("reading_order % 2 = 0").withColumn("footnote_refs", F.array(ref(_text(F.col("page") % 7 + 1)), ref(F.lit("2"))))
 
 
-LINKED = f"""{NOTES}, refs AS (SELECT doc_id, block_id, page, unnest([0, 1]) AS pos, unnest([CAST(page % 7 + 1 AS VARCHAR), '2']) AS marker FROM blocks WHERE reading_order % 8 = 2),
+LINKED = f"""{NOTES}, refs AS (SELECT doc_id, block_id, page, unnest([0, 1]) AS pos, unnest([CAST(page % 7 + 1 AS VARCHAR), '2']) AS marker FROM blocks WHERE reading_order % 2 = 0),
 linked AS (SELECT r.doc_id, r.block_id, r.page, r.pos, r.marker, arg_min(n.block_id, abs(n.page - r.page) * 1000000 + n.page) AS target FROM refs r LEFT JOIN notes n ON n.doc_id = r.doc_id AND n.marker = r.marker GROUP BY ALL)"""
 
 
@@ -150,11 +150,11 @@ def _with_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, some of which are page furniture or read as footnotes."""
     k = F.col("reading_order")
     b = ad.blocks(spark, sf_dir).withColumn("block_type", F.when(k % 13 == 4, "header").otherwise(F.col("block_type")))
-    return b.withColumn("text", F.when(k % 11 == 5, F.concat(F.lit("see CNKI.net "), "text")).when(k % 8 == 7, F.concat(F.lit("3 《"), F.substring("text", 1, 20), F.lit("》，法律出版社"))).otherwise(F.col("text")))
+    return b.withColumn("text", F.when(k % 11 == 5, F.concat(F.lit("see CNKI.net "), "text")).when(k % 8 == 7, F.concat(F.lit("3 《"), "text", F.lit("》，法律出版社"))).otherwise(F.col("text")))
 
 
 READABLE = f"""{BLOCKS}, art AS (SELECT doc_id, block_id, page, reading_order, CASE WHEN reading_order % 13 = 4 THEN 'header' ELSE block_type END AS block_type, reading_order % 11 = 5 AS printed, reading_order % 11 <> 5 AND reading_order % 8 = 7 AS note,
-  CASE WHEN reading_order % 11 = 5 THEN 'see CNKI.net ' || text WHEN reading_order % 8 = 7 THEN '3 《' || left(text, 20) || '》，法律出版社' ELSE text END AS text FROM blocks), readable AS (SELECT * FROM art WHERE block_type <> 'header' AND NOT printed)"""
+  CASE WHEN reading_order % 11 = 5 THEN 'see CNKI.net ' || text WHEN reading_order % 8 = 7 THEN '3 《' || text || '》，法律出版社' ELSE text END AS text FROM blocks), readable AS (SELECT * FROM art WHERE block_type <> 'header' AND NOT printed)"""
 
 
 @query(f"WITH {READABLE} SELECT doc_id, block_id, CASE WHEN note THEN 'note' ELSE 'body' END AS part FROM readable")
@@ -168,14 +168,14 @@ def reading_text_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fo.reading_text_stats(*fo.split_body_notes(_with_artifacts(spark, sf_dir)))
 
 
-@query(f"""WITH {NOTES}, cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY reading_order) AS rn FROM notes), kept AS (SELECT * FROM cand WHERE reading_order % 16 = 7)
+@query(f"""WITH {NOTES}, cand AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text ORDER BY reading_order) AS rn FROM notes), kept AS (SELECT * FROM cand WHERE reading_order % 4 = 1)
 SELECT c.doc_id, 'recovered-footnote-' || c.block_id AS block_id, c.page, trim(regexp_replace(c.text, '\\s+', ' ', 'g')) AS text, c.marker AS footnote_marker FROM cand c
 WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.doc_id = c.doc_id AND contains(regexp_replace(k.text, '\\s', '', 'g'), regexp_replace(c.text, '\\s', '', 'g')))
 AND NOT EXISTS (SELECT 1 FROM cand e WHERE e.doc_id = c.doc_id AND e.reading_order < c.reading_order AND contains(regexp_replace(e.text, '\\s', '', 'g'), regexp_replace(c.text, '\\s', '', 'g')))""")
 def recover_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _notes(spark, sf_dir)
     outline = n.select("doc_id", F.lit(None).cast("string").alias("outline_id"), F.col("text").alias("title"), "page", "block_id", F.col("reading_order").alias("ord"))
-    return fo.recover_footnotes(outline, n.where("reading_order % 16 = 7")).select("doc_id", "block_id", "page", "text", "footnote_marker")
+    return fo.recover_footnotes(outline, n.where("reading_order % 4 = 1")).select("doc_id", "block_id", "page", "text", "footnote_marker")
 
 
 # recognised pages
@@ -265,19 +265,19 @@ def repair_legacy_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three annotations of each document's every third block, with fields that break the rules."""
-    b, k = ad.blocks(spark, sf_dir).where("reading_order % 3 = 0"), F.col("reading_order")
+    """An annotation of each block, with fields that break the rules."""
+    b, k = ad.blocks(spark, sf_dir), F.col("reading_order")
     return b.select(
-        F.concat(F.lit("a-"), _text("doc_id"), F.lit("-"), _text(k)).alias("annotation_id"), F.lit("other").alias("project_id"), "doc_id", _pick(["highlight", "note", "scribble"], k / 3).alias("kind"), _pick(["yellow", "red"], k).alias("color"), _pick(["观点卡", "案例卡", "规范卡", "问题卡", "?"], k / 3).alias("card_type"),
-        F.when(k % 12 == 9, "  ").otherwise(F.concat(F.lit(" "), F.substring(F.trim("text"), 1, 60))).alias("text"), F.lit(" n ").alias("note"), (k - 3).cast("int").alias("page"), "block_id", (k % 5 - 2).cast("int").alias("start_offset"), F.lit(0).alias("end_offset"), F.col("text").alias("quote_prefix"), F.col("text").alias("quote_suffix"),
+        F.concat(F.lit("a-"), _text("doc_id"), F.lit("-"), _text(k)).alias("annotation_id"), F.lit("other").alias("project_id"), "doc_id", _pick(["highlight", "note", "scribble"], k).alias("kind"), _pick(["yellow", "red"], k).alias("color"), _pick(["观点卡", "案例卡", "规范卡", "问题卡", "?"], k).alias("card_type"),
+        F.when(k % 12 == 9, "  ").otherwise(F.concat(F.lit(" "), "text")).alias("text"), F.lit(" n ").alias("note"), (k - 3).cast("int").alias("page"), "block_id", (k % 5 - 2).cast("int").alias("start_offset"), F.lit(0).alias("end_offset"), F.col("text").alias("quote_prefix"), F.col("text").alias("quote_suffix"),
         F.array(*map(F.lit, [-1.0, 0.5, 2.0, 0.25])).alias("page_rect"), F.lit(None).cast("array<array<double>>").alias("page_rects"), F.array().cast("array<struct<block_id:string,start_offset:int,end_offset:int,text:string>>").alias("segments"), F.lit("lost").alias("anchor_status"),
-        F.array(F.lit(" t1 "), _pick(["x", "y", "t1"], k / 3), F.lit("")).alias("tags"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"),
+        F.array(F.lit(" t1 "), _pick(["x", "y", "t1"], k), F.lit("")).alias("tags"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.lit("2024-01-01").cast("timestamp").alias("updated_at"),
     )
 
 
-ANN = f"""{BLOCKS}, an AS (SELECT 'a-' || doc_id || '-' || reading_order AS annotation_id, doc_id, block_id, reading_order AS k, ['highlight', 'note', 'highlight'][reading_order // 3 % 3 + 1] AS kind, ['yellow', 'yellow'][reading_order % 2 + 1] AS color, ['观点卡', '案例卡', '规范卡', '问题卡', '引用卡'][reading_order // 3 % 5 + 1] AS card_type,
-  regexp_replace(left(trim(blocks.text, ' '), 60), '^\\s+|\\s+$', '', 'g') AS text, blocks.text AS whole, CASE WHEN reading_order // 3 % 3 = 2 THEN ['t1'] ELSE ['t1', ['x', 'y'][reading_order // 3 % 3 + 1]] END AS tags, greatest(0, reading_order % 5 - 2) AS start_offset, greatest(1, least(1 + n_chars // 1000, CASE WHEN reading_order = 3 THEN 1 ELSE reading_order - 3 END)) AS page
-  FROM blocks JOIN documents USING (doc_id) WHERE reading_order % 3 = 0 AND reading_order % 12 <> 9)"""
+ANN = f"""{BLOCKS}, an AS (SELECT 'a-' || doc_id || '-' || reading_order AS annotation_id, doc_id, block_id, reading_order AS k, ['highlight', 'note', 'highlight'][reading_order % 3 + 1] AS kind, ['yellow', 'yellow'][reading_order % 2 + 1] AS color, ['观点卡', '案例卡', '规范卡', '问题卡', '引用卡'][reading_order % 5 + 1] AS card_type,
+  left(regexp_replace(blocks.text, '^\\s+|\\s+$', '', 'g'), 5000) AS text, blocks.text AS whole, CASE WHEN reading_order % 3 = 2 THEN ['t1'] ELSE ['t1', ['x', 'y'][reading_order % 3 + 1]] END AS tags, greatest(0, reading_order % 5 - 2) AS start_offset, greatest(1, least(1 + n_chars // 1000, CASE WHEN reading_order = 3 THEN 1 ELSE reading_order - 3 END)) AS page
+  FROM blocks JOIN documents USING (doc_id) WHERE reading_order % 12 <> 9)"""
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,20 +341,21 @@ def filter_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An annotation of two segments on each page: some moved to the other block, some no longer there."""
-    b = ad.blocks(spark, sf_dir).withColumn("k", F.row_number().over(_page_order()) - 1)
-    first = b.where("k = 0").select("doc_id", "page", F.col("block_id").alias("b0"), F.substring("text", 1, 30).alias("t0"))
-    second = b.where("k = 1").select("doc_id", "page", F.col("block_id").alias("b1"), F.substring("text", 1, 30).alias("t1"))
+    """Annotations of two neighbouring blocks of a page (the last of an odd page alone): some moved to another block, some no longer there."""
+    b = ad.blocks(spark, sf_dir).withColumn("k", F.row_number().over(_page_order()) - 1).withColumn("j", F.expr("k div 2"))
+    first = b.where("k % 2 = 0").select("doc_id", "page", "j", F.col("block_id").alias("b0"), F.col("text").alias("t0"))
+    second = b.where("k % 2 = 1").select("doc_id", "page", "j", F.col("block_id").alias("b1"), F.col("text").alias("t1"))
     seg = lambda where, t: F.struct(where.alias("block_id"), F.lit(0).alias("start_offset"), F.length(t).alias("end_offset"), t.alias("text"))
-    p = F.col("page")
-    other = F.when(p % 3 == 2, F.concat(F.lit("\u0001"), "t1")).otherwise(F.col("t1"))
-    segments = F.array(seg(F.col("b0"), F.col("t0")), seg(F.when(p % 3 == 1, F.lit("nowhere")).otherwise(F.col("b1")), other))
-    return first.join(second, ["doc_id", "page"]).select(F.concat_ws("-", _text("doc_id"), _text("page")).alias("annotation_id"), "doc_id", F.col("b0").alias("block_id"), "page", F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), segments.alias("segments"), F.lit("exact").alias("anchor_status"))
+    turn = (F.col("page") + F.col("j")) % 3
+    other = F.when(turn == 2, F.concat(F.lit("\u0001"), "t1")).otherwise(F.col("t1"))
+    own = seg(F.col("b0"), F.col("t0"))
+    segments = F.when(F.col("b1").isNull(), F.array(own)).otherwise(F.array(own, seg(F.when(turn == 1, F.lit("nowhere")).otherwise(F.col("b1")), other)))
+    return first.join(second, ["doc_id", "page", "j"], "left").select(F.concat_ws("-", _text("doc_id"), _text("page"), _text("j")).alias("annotation_id"), "doc_id", F.col("b0").alias("block_id"), "page", F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), segments.alias("segments"), F.lit("exact").alias("anchor_status"))
 
 
-@query(f"""WITH {BLOCKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY reading_order) - 1 AS k FROM blocks), two AS (SELECT a.doc_id, a.page, left(b.text, 30) AS t FROM pl a JOIN pl b ON a.doc_id = b.doc_id AND a.page = b.page AND a.k = 0 AND b.k = 1),
-hit AS (SELECT t.doc_id, t.page, arg_min(b.block_id, b.page * 1000000 + b.reading_order) AS b FROM two t JOIN blocks b ON b.doc_id = t.doc_id AND contains(b.text, t.t) WHERE t.page % 3 = 1 GROUP BY ALL)
-SELECT t.doc_id || '-' || t.page AS annotation_id, CASE t.page % 3 WHEN 2 THEN 'orphaned' WHEN 1 THEN 'recovered' ELSE 'exact' END AS anchor_status, CASE WHEN t.page % 3 = 1 THEN h.b WHEN t.page % 3 = 0 THEN (SELECT block_id FROM pl WHERE pl.doc_id = t.doc_id AND pl.page = t.page AND k = 1) END AS second_block FROM two t LEFT JOIN hit h USING (doc_id, page)""")
+@query(f"""WITH {BLOCKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY reading_order) - 1 AS k FROM blocks), two AS (SELECT a.doc_id, a.page, a.k // 2 AS j, b.block_id AS b1, b.text AS t, CASE WHEN b.block_id IS NULL THEN 3 ELSE (a.page + a.k // 2) % 3 END AS turn FROM pl a LEFT JOIN pl b ON a.doc_id = b.doc_id AND a.page = b.page AND b.k = a.k + 1 WHERE a.k % 2 = 0),
+hit AS (SELECT t.doc_id, t.page, t.j, arg_min(b.block_id, b.page * 1000000 + b.reading_order) AS b FROM two t JOIN blocks b ON b.doc_id = t.doc_id AND contains(b.text, t.t) WHERE turn = 1 GROUP BY ALL)
+SELECT t.doc_id || '-' || t.page || '-' || t.j AS annotation_id, CASE turn WHEN 2 THEN 'orphaned' WHEN 1 THEN 'recovered' ELSE 'exact' END AS anchor_status, CASE turn WHEN 1 THEN h.b WHEN 0 THEN b1 END AS second_block FROM two t LEFT JOIN hit h USING (doc_id, page, j)""")
 def recover_segment_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = an.recover_segment_anchors(_segmented(spark, sf_dir), ad.blocks(spark, sf_dir))
     return r.select("annotation_id", "anchor_status", F.when(F.col("anchor_status") != "orphaned", F.get("segments", F.lit(1))["block_id"]).alias("second_block"))
@@ -416,19 +417,19 @@ def insert_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.insert_cards_dedup(c, new.unionByName(new)).select("card_id")
 
 
-@query(f"WITH {DOCS}, {NODES}, left_over AS (SELECT doc_id, project_id FROM docs WHERE doc_id % 4 <> 1 AND project_id <> (SELECT min(project_id) FROM docs)) SELECT 'documents' AS what, count(*) AS n FROM left_over UNION ALL SELECT 'nodes', count(*) FROM nodes WHERE doc_id IN (SELECT doc_id FROM left_over) UNION ALL SELECT 'cards', count(*) FROM cards WHERE doc_id IN (SELECT doc_id FROM left_over)")
+@query(f"WITH {DOCS}, {NODES}, left_over AS (SELECT doc_id, project_id FROM docs WHERE doc_id % 4 <> 1 AND project_id <> (SELECT min(project_id) FROM docs)) SELECT 'documents' AS what, CAST(doc_id AS VARCHAR) AS id FROM left_over UNION ALL SELECT 'nodes', node_id FROM nodes WHERE doc_id IN (SELECT doc_id FROM left_over) UNION ALL SELECT 'cards', card_id FROM cards WHERE doc_id IN (SELECT doc_id FROM left_over)")
 def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = ad.documents(spark, sf_dir)
     # what has no project of its own goes with the documents, so they go first
     out = re_.cascade_delete({"documents": d, "nodes": ad.nodes(spark, sf_dir).join(d.select("doc_id"), "doc_id", "left_semi"), "cards": ad.cards(spark, sf_dir)}, doc_ids=d.where("doc_id % 4 = 1"))
     out = re_.cascade_delete(out, project_ids=d.agg(F.min("project_id").alias("project_id")))
-    count = lambda k: out[k].agg(F.lit(k).alias("what"), F.count("*").alias("n"))
-    return count("documents").unionByName(count("nodes")).unionByName(count("cards"))
+    ids = lambda k, key: out[k].select(F.lit(k).alias("what"), _text(key).alias("id"))
+    return ids("documents", "doc_id").unionByName(ids("nodes", "node_id")).unionByName(ids("cards", "card_id"))
 
 
-@query(f"WITH {BLOCKS}, t AS (SELECT doc_id, page, min(block_id) AS b FROM blocks WHERE reading_order % 5 = 0 GROUP BY ALL), c AS (SELECT l.doc_id, 1 + l.doc_id % 4 AS page FROM labels l JOIN documents USING (doc_id)), j AS (SELECT c.doc_id, arg_min(t.b, abs(t.page - c.page) * 1000000 + t.page) AS target_id FROM c LEFT JOIN t USING (doc_id) GROUP BY c.doc_id) SELECT CAST(doc_id AS VARCHAR) AS card_id, target_id FROM j")
+@query(f"WITH {BLOCKS}, t AS (SELECT doc_id, page, min(block_id) AS b FROM blocks GROUP BY ALL), c AS (SELECT l.doc_id, 1 + l.doc_id % 4 AS page FROM labels l JOIN documents USING (doc_id)), j AS (SELECT c.doc_id, arg_min(t.b, abs(t.page - c.page) * 1000000 + t.page) AS target_id FROM c LEFT JOIN t USING (doc_id) GROUP BY c.doc_id) SELECT CAST(doc_id AS VARCHAR) AS card_id, target_id FROM j")
 def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = ad.blocks(spark, sf_dir).where("reading_order % 5 = 0").select("doc_id", "page", F.col("block_id").alias("target_id"))
+    t = ad.blocks(spark, sf_dir).select("doc_id", "page", F.col("block_id").alias("target_id"))
     c = ad.cards(spark, sf_dir).withColumn("page", (1 + F.col("doc_id") % 4).cast("int"))
     return re_.nearest_target(c, t).select("card_id", "target_id")
 
@@ -438,11 +439,11 @@ def document_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.document_conclusion(ad.documents(spark, sf_dir), ad.nodes(spark, sf_dir), ad.issues(spark, sf_dir))
 
 
-@query(f"""WITH {BLOCKS}, n AS (SELECT doc_id, reading_order, ['问题提出', '理由', '核心结论'][reading_order % 3 + 1] AS role, left(text, 40) AS s, ['unread', 'understood', 'doubt', 'read'][reading_order % 4 + 1] AS st FROM blocks)
+@query(f"""WITH {BLOCKS}, n AS (SELECT doc_id, reading_order, ['问题提出', '理由', '核心结论'][reading_order % 3 + 1] AS role, text AS s, ['unread', 'understood', 'doubt', 'read'][reading_order % 4 + 1] AS st FROM blocks)
 SELECT doc_id, count(*) FILTER (reading_order % 2 = 0) AS anchored_nodes, count(*) FILTER (st IN ('unread', 'doubt')) AS pending_nodes, coalesce(arg_min(s, reading_order) FILTER (role = '问题提出'), arg_min(s, reading_order)) AS question, coalesce(arg_max(s, reading_order) FILTER (role = '核心结论'), arg_max(s, reading_order)) AS conclusion FROM n GROUP BY doc_id""")
 def paper_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("reading_order")
-    n = ad.blocks(spark, sf_dir).select("doc_id", k.alias("ord"), _pick(["问题提出", "理由", "核心结论"], k).alias("role"), F.substring("text", 1, 40).alias("summary"), _pick(["unread", "understood", "doubt", "read"], k).alias("user_status"), F.when(k % 2 == 0, F.array("block_id")).otherwise(F.array().cast("array<string>")).alias("source_anchors"))
+    n = ad.blocks(spark, sf_dir).select("doc_id", k.alias("ord"), _pick(["问题提出", "理由", "核心结论"], k).alias("role"), F.col("text").alias("summary"), _pick(["unread", "understood", "doubt", "read"], k).alias("user_status"), F.when(k % 2 == 0, F.array("block_id")).otherwise(F.array().cast("array<string>")).alias("source_anchors"))
     return re_.paper_overview(n)
 
 

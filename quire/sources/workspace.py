@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.structure import pack_sequential
+from quire.streaming.streams import new_checkpoint
 
 BLOCK = "id string, page int, readingOrder int, blockType string, text string, bbox array<double>, fontSize double, extractionMethod string, confidence double, footnoteMarker string, footnoteRefs array<struct<marker:string,quote:string,startOffset:int,endOffset:int>>"
 PAGE = "page int, width double, height double, textLength int, blockCount int, extractionMethod string, confidence double, qualityIssue string"
@@ -43,10 +44,81 @@ def _flat(df: DataFrame, key: str) -> DataFrame:
     return df.select(*[F.col(c).alias(key if c == "id" else snake(c)) for c in df.columns])
 
 
+#: The arrays of a workspace file that are read.
+ARRAYS = ["documents", "jobs", "annotations"]
+KEYED_ARRAY = r'"([^":,]*)"\s*:\s*\[\s*\{'
+
+
+def workspace_items(spark: SparkSession, path: str) -> DataFrame:
+    """file, name, ord, json: the objects in the top-level arrays of workspace files (UTF-8), read in splits.
+
+    Files are cut after each closing brace. Whether a piece begins inside a string, and how deep it begins, are running sums over the
+    pieces: inside a split by a window, over splits by their totals. Objects two levels down are put together from their
+    pieces, so a task holds one of them at a time, not a file. The version is an item of its own. A file whose braces and
+    brackets do not meet is an error; an empty file has no items.
+    """
+    raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("t"))
+    # no brace comes right after an escape, so escapes end inside their piece; what is left of quotes then begins or ends strings
+    e = raw.withColumn("e", F.regexp_replace("t", r"(?s)\\.", "")).withColumn("odd", (F.length("e") - F.length(F.replace("e", F.lit('"')))) % 2)
+    rest = lambda c: F.regexp_replace(c, r'"[^"]*("|$)', "")
+    depth = lambda c: F.length(F.regexp_replace(c, r"[^\[{]", "")) - F.length(F.regexp_replace(c, r"[^\]}]", ""))
+    # a piece ends with a brace, which counts unless it is in a string: both ways, as what begins the piece is not known yet
+    def ways(begins):
+        c = F.concat(F.lit('"'), F.col("e")) if begins else F.col("e")
+        return depth(rest(c)) - F.when((F.col("odd") + begins) % 2 == 0, 1).otherwise(0)
+
+    e = e.withColumn("d0", ways(0)).withColumn("d1", ways(1))
+    before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("q", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    within = e.withColumn("in0", F.when(F.col("q") == 0, F.col("d0")).otherwise(F.col("d1"))).withColumn("in1", F.when(F.col("q") == 0, F.col("d1")).otherwise(F.col("d0")))
+    # one row a split from here: what its pieces add, for either way to begin
+    splits = within.groupBy("file", "split").agg((F.sum("odd") % 2).alias("odd"), F.sum("in0").alias("in0"), F.sum("in1").alias("in1"))
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("begins", F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2).withColumn("adds", F.when(F.col("begins") == 0, F.col("in0")).otherwise(F.col("in1")))
+    total = F.sum("adds").over(Window.partitionBy("file"))
+    # white space after the last brace is a piece, too
+    level = F.when(total.isin(0, -1), F.coalesce(F.sum("adds").over(earlier), F.lit(0))).otherwise(F.raise_error(F.concat(F.lit("not a whole workspace file: "), F.col("file"))).cast("long"))
+    placed = within.join(splits.select("file", "split", "begins", level.alias("level")), ["file", "split"])
+    own = F.when(F.col("begins") == 0, F.col("in0")).otherwise(F.col("in1"))
+    p = placed.withColumn("adds", own).withColumn("inside", (F.col("q") + F.col("begins")) % 2)
+    p = p.withColumn("start", F.col("level") + F.coalesce(F.sum("adds").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("adds"))
+    closes = (F.col("inside") + F.col("odd")) % 2 == 0
+    outside = F.col("inside") == 0
+    level_at = lambda pattern: F.col("start") + depth(rest(F.left("e", F.position(F.regexp_extract("e", pattern, 0), F.col("e")) - 1)))
+    s0 = rest(F.col("e"))
+    leading = F.length(F.regexp_replace(F.regexp_extract(s0, r"^[^\[{]*", 0), r"[^\]]", ""))
+    # the name of an array of objects that opens here at the top; other values at the top end what was open
+    name = F.when(outside & F.col("e").rlike(KEYED_ARRAY) & (level_at(KEYED_ARRAY) == 1), F.regexp_extract("e", KEYED_ARRAY, 1)).when(outside & (F.col("start") - leading <= 1), F.lit(""))
+    version = r'"version"\s*:\s*\d+'
+    stated = F.when(outside & F.col("e").rlike(version) & (level_at(version) == 1), F.regexp_extract("e", r'"version"\s*:\s*(\d+)', 1))
+    p = p.withColumn("opens", name).withColumn("stated", stated).withColumn("ends", (closes & (F.col("end") == 2)).cast("int"))
+    # names and numbers of items run on over splits as depths do
+    parts = p.groupBy("file", "split").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("at"))).alias("opens"), F.sum("ends").alias("ends"))
+    parts = parts.select("file", "split", F.last("opens", ignorenulls=True).over(earlier).alias("was"), F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("had"))
+    upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.join(parts, ["file", "split"]).withColumn("name", F.coalesce(F.last("opens", ignorenulls=True).over(upto), "was")).withColumn("ord", F.col("had") + F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    # an item's first piece still has what stands before it
+    head = F.when(F.col("opens") != "", F.regexp_replace("t", F.concat(F.lit('(?s)^.*?"'), "opens", F.lit(r'"\s*:\s*\[\s*\{')), F.lit("{"))).when(F.col("start") == 2, F.regexp_replace("t", r"^\s*,\s*", "")).otherwise(F.col("t"))
+    pieces = p.where("name <> '' and end >= 2").select("file", "name", "ord", F.struct("split", "at", F.concat(head, F.lit("}")).alias("t"), "ends").alias("x"))
+    whole = pieces.groupBy("file", "name", "ord").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.exists("x", lambda v: v["ends"] == 1))
+    items = whole.select("file", "name", "ord", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("json"))
+    return items.unionByName(p.groupBy("file").agg(F.max("stated").alias("json")).select("file", F.lit("version").alias("name"), F.lit(0).cast("long").alias("ord"), "json"))
+
+
 def read_workspace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Flat tables from workspace files (one JSON object each). Missing arrays are empty, a missing version is 2."""
-    root = spark.read.schema(workspace_schema()).json(path, multiLine=True)
-    docs = root.select(F.explode("documents").alias("d")).select("d.*")
+    """Flat tables from workspace files (one JSON object each), in parallel also within a file. Missing arrays are empty, a missing version is 2.
+
+    The files are taken apart once, when this is called; the tables are read from what it writes to the shared folder.
+    """
+    at = new_checkpoint(spark, "items")
+    workspace_items(spark, path).where(F.col("name").isin("version", *ARRAYS)).write.partitionBy("name").parquet(at)
+    items = spark.read.schema("file string, ord long, json string, name string").parquet(at)
+
+    def array(name: str) -> DataFrame:
+        schema = workspace_schema()[name].dataType.elementType
+        return items.where(F.col("name") == name).select(F.from_json("json", schema).alias("x")).select("x.*")
+
+    docs = array("documents")
 
     def embedded(column: Column, key: str) -> DataFrame:
         e = docs.select(F.col("id").alias("_doc"), F.posexplode(column).alias("_ord", "x")).select("_doc", "_ord", "x.*")
@@ -54,18 +126,32 @@ def read_workspace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         return e.select(F.col("_doc").alias("doc_id"), (F.col("_ord") + 1).alias("ord"), *[F.col(c).alias(n) for c, n in zip(e.columns[2:], out.columns, strict=True)])
 
     return {
-        "meta": root.select(F.greatest(F.coalesce("version", F.lit(2)), F.lit(2)).alias("version")),
+        "meta": items.where("name = 'version'").select(F.greatest(F.coalesce(F.col("json").cast("int"), F.lit(2)), F.lit(2)).alias("version")),
         "documents": _flat(docs.withColumn("hasAnalysis", F.col("analysis").isNotNull()).drop("pages", "blocks", "outline", "analysis"), "doc_id"),
         "pages": embedded(F.col("pages"), "page_id"),
         "blocks": embedded(F.col("blocks"), "block_id"),
         "outline": embedded(F.col("outline"), "outline_id"),
         "nodes": embedded(F.col("analysis.nodes"), "node_id"),
         "issues": embedded(F.col("analysis.issues"), "issue_id"),
-        "jobs": _flat(root.select(F.explode("jobs").alias("j")).select("j.*"), "job_id"),
-        "annotations": _flat(root.select(F.explode("annotations").alias("a")).select("a.*"), "annotation_id"),
+        "jobs": _flat(array("jobs"), "job_id"),
+        "annotations": _flat(array("annotations"), "annotation_id"),
     }
 
 
+def write_workspaces(tables: dict[str, tuple[DataFrame, str]], path: str, files: int) -> None:
+    """Workspace files of whole objects: for each array its objects as JSON rows (``json``) and the column that deals them to files."""
+    rows = None
+    for i, (name, (df, key)) in enumerate(tables.items()):
+        one = df.select(F.pmod(F.xxhash64(key), F.lit(files)).cast("int").alias("file"), F.lit(i).alias("i"), F.lit(name).alias("name"), "json")
+        rows = one if rows is None else rows.unionByName(one)
+    w = Window.partitionBy("file").orderBy("i", "json")
+    before, after = F.lag("i").over(w), F.lead("i").over(w)
+    opening = F.concat(F.when(before.isNull(), '{"version":3,').otherwise("],"), F.lit('"'), "name", F.lit('":['))
+    line = F.concat(F.when(before == F.col("i"), ",").otherwise(opening), "json", F.when(after.isNull(), "]}").otherwise(""))
+    numbered = rows.select("file", "i", F.row_number().over(w).alias("n"), line.alias("value"))
+    numbered.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+
+
 def title_of(filename: Column) -> Column:
     return F.regexp_replace(filename, r"(?i)\.pdf$", "")
 
