@@ -15,14 +15,14 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import materialise, release_memory, table, words_of
+from quire.llm.common import kept, materialise, release_memory, table, words_of
 
 CAPACITY, GROUP_PIECES = 2048, 4096
 END_ID = b"\0\0\0\0"
@@ -181,7 +181,7 @@ def as_bytes(ids: list[int]) -> bytes:
 pack_ids = [struct.Struct(f"<{n}I").pack for n in range(17)]
 
 
-@lru_cache(maxsize=2)
+@kept
 def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
@@ -190,7 +190,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACI
     """The ids of each whole text, then id 0, cut into pieces of ``capacity`` ids (the last may be shorter)."""
 
     def run(batches):
-        release_memory()
+        release_memory(word_tokenizer)
         t = word_tokenizer(tokenizer_path)
         for b in batches:
             ids, piece, start, length, crc = [], [], [], [], []

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import TwoGenerationCache, materialise, remainder, table
+from quire.llm.common import TwoGenerationCache, materialise, release_memory, remainder, table
 
 #: Bounds of the positives and the unlabelled rows that batches are drawn from, and of the classifier's features.
 MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 4_000, 12_000, 1_024
@@ -133,8 +133,9 @@ def train(docs: DataFrame, labels: DataFrame, is_training: Column) -> Classifier
     chosen = materialise(draw(rows, fold), "toxic-chosen")
 
     def run(batches):
+        release_memory()
         seen = set()
-        for b in batches:
+        for b in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
             parts, feats, hashes = [], [], []
             for h, text, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if (h, part) not in seen:
@@ -178,6 +179,7 @@ def document_shares(rows: DataFrame, candidates: list[str]) -> tuple[int, np.nda
     shared = rows.sparkSession.sparkContext.broadcast(candidates)
 
     def run(batches):
+        release_memory()
         index = {f: i for i, f in enumerate(shared.value)}
         cache = TwoGenerationCache(lambda w: tuple(index[f] for f in word_features(w) if f in index), 100_000)
         size, total = 0, np.zeros(len(index), np.int64)
@@ -203,23 +205,27 @@ def fit_sample(counted: DataFrame, features: list[str], prior: float, n: int, m:
     index = {f: i for i, f in enumerate(features)}
 
     def project(batches):
-        for b in batches:
-            rows = [[index[f] for f in d if f in index] for d in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["part", "at"])
+        release_memory()
+        for b in (b.slice(at, 100) for b in batches for at in range(0, b.num_rows, 100)):
+            # two bytes a feature, the high one first: such rows have the order of their numbers
+            rows = [np.array([index[f] for f in d if f in index], ">u2").tobytes() for d in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["part", "at"])
 
     def fit(batches):
+        release_memory()
         x = {"p": np.zeros((n, len(features)), np.uint8), "u": np.zeros((m, len(features)), np.uint8)}
         seen, rows = Counter(), []
         for b in batches:
             rows += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
         for part, at in sorted(rows):
-            x[part][seen[part], at] = 1
+            x[part][seen[part], np.frombuffer(at, ">u2")] = 1
             seen[part] += 1
+        del rows
         w, bias = nnpu(x["p"], x["u"], prior)
         yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["weights", "bias"])
 
     # the sample is bounded, MAX_POSITIVE + MAX_UNLABELLED rows of at most MAX_FEATURES numbers: one task fits it
-    got = counted.mapInArrow(project, "part string, at array<int>").repartition(1).mapInArrow(fit, "weights array<double>, bias double").first()
+    got = counted.mapInArrow(project, "part string, at binary").repartition(1).mapInArrow(fit, "weights array<double>, bias double").first()
     return np.array(got["weights"]), got["bias"]
 
 
@@ -237,6 +243,7 @@ def classify(docs: DataFrame, classifier: Classifier, keep: tuple[str, ...] = ()
     kinds = ", ".join(f"`{f}` {chosen.schema[f].dataType.simpleString()}" for f in fields)
 
     def run(batches):
+        release_memory()
         c = model.value
         if not hasattr(c, "cache"):
             c.prepare()
