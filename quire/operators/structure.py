@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import clamp, head, normalize_text, number_or, squeeze, strip
+from quire.shared import written
 
 ORDER = ["page", "reading_order", "block_id"]
 #: Titles that are headings by themselves (any case).
@@ -167,13 +168,47 @@ CHAIN = """aggregate(sequence(1, cast(ceil(log2(size(ptr) + 1)) as int)), named_
     named_struct('r', concat(s.r, filter(transform(s.r, i -> get(s.p, i)), i -> i is not null)), 'p', transform(s.p, i -> if(i is null, null, get(s.p, i))))).r"""
 
 
+#: Rows of a key that are folded as one row; keys of more are packed by pointers.
+FOLDED = 1024
+
+#: From the sizes of a key's rows in order, the pack of each.
+FOLD = """aggregate(_rows, named_struct('total', 0L, 'pack', 0, 'packs', cast(array() as array<int>)), (s, r) ->
+    if(s.pack = 0 or s.total + r._size > {0},
+        named_struct('total', r._size, 'pack', s.pack + 1, 'packs', concat(s.packs, array(s.pack + 1))),
+        named_struct('total', s.total + r._size, 'pack', s.pack, 'packs', concat(s.packs, array(s.pack)))), s -> s.packs)"""
+
+
 def pack_sequential(df: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
     """Adds ``pack`` (from 1): consecutive rows of a key are packed greedily up to ``cap``.
 
     A pack closes when it is not empty and the next row would not fit; a row over the cap is a pack by itself. Sizes
-    below zero and missing ones count nothing. Where a pack that begins at a row would end is an as-of lookup in the
-    running sum; the starts are then followed by doubling, within segments of SEGMENT rows first and from segment to
-    segment after, where only rows remain at which a segment can be entered. So no row of a key holds all its rows.
+    below zero and missing ones count nothing. Keys of at most FOLDED rows meet in one row and are folded, after one
+    shuffle; larger ones, and rows that hold maps, which have no order, take the way of ``_pack_by_pointers``. Which keys
+    are large is asked when this is called.
+    """
+    large = df.groupBy(*keys).count().where(F.col("count") > FOLDED).select(*keys)
+    if any("map<" in f.dataType.simpleString() for f in df.schema):
+        return _pack_by_pointers(df, keys, order, size, cap)
+    some = not large.isEmpty()
+    few = df
+    if some:
+        large = written(large, "large")
+        few = df.join(_renamed(large), _equal(keys), "left_anti")
+    sized = F.greatest(F.lit(0), F.coalesce(F.col(size), F.lit(0))).cast("long").alias("_size")
+    row = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], sized, F.struct(*[c for c in df.columns if c not in keys]).alias("_row"))
+    folded = few.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("_rows")).withColumn("_packs", F.expr(FOLD.format(cap)))
+    out = folded.select(*keys, F.inline(F.arrays_zip("_rows", "_packs"))).select(*[F.col(c) if c in keys else F.col(f"_rows._row.`{c}`") for c in df.columns], F.col("_packs").alias("pack"))
+    if some:
+        out = out.unionByName(_pack_by_pointers(df.join(_renamed(large), _equal(keys), "left_semi"), keys, order, size, cap))
+    return out
+
+
+def _pack_by_pointers(df: DataFrame, keys: list[str], order: list[str], size: str, cap: int) -> DataFrame:
+    """``pack_sequential`` for keys of any number of rows.
+
+    Where a pack that begins at a row would end is an as-of lookup in the running sum; the starts are then followed by
+    doubling, within segments of SEGMENT rows first and from segment to segment after, where only rows remain at which a
+    segment can be entered. So no row of a key holds all its rows. What is read several times is written once.
     """
     w = Window.partitionBy(*keys).orderBy(*order)
     rows = df.withColumn("_n", F.row_number().over(w).cast("long"))
@@ -186,10 +221,11 @@ def pack_sequential(df: DataFrame, keys: list[str], order: list[str], size: str,
     after = both.withColumn("_next", F.min(F.when(F.col("_row") == 1, F.col("_n"))).over(falling)).where("_row = 0").select(*k, "_n", F.greatest("_next", F.when(F.col("_next").isNotNull(), F.col("_n") + 1)).alias("_next"))
     segment = F.floor((F.col("_n") - 1) / SEGMENT).alias("_segment")
     joined = after.groupBy(*k, segment).agg(F.min("_n").alias("_base"), F.transform(F.array_sort(F.collect_list(F.struct("_n", "_next"))), lambda x: x["_next"]).alias("_nexts"))
-    joined = joined.withColumn("ptr", F.transform("_nexts", lambda x: F.when(x < F.col("_base") + F.size("_nexts"), (x - F.col("_base")).cast("int"))))
+    joined = written(joined, "segments").withColumn("ptr", F.transform("_nexts", lambda x: F.when(x < F.col("_base") + F.size("_nexts"), (x - F.col("_base")).cast("int"))))
     # where each row's chain leaves the segment
     leave = "aggregate(sequence(1, cast(ceil(log2(size(_nexts) + 1)) as int)), _nexts, (e, k) -> transform(e, v -> if(v < _base + size(_nexts), get(e, cast(v - _base as int)), v)))"
     exits = joined.select(*k, F.posexplode(F.expr(leave)).alias("_at", "_exit"), "_base").select(*k, (F.col("_base") + F.col("_at")).alias("_n"), "_exit")
+    exits = written(exits, "exits")
     entries = exits.select(*k, F.col("_exit").alias("_n")).where("_n is not null").unionByName(exits.where("_n = 1").select(*k, "_n")).distinct()
     numbered = exits.join(_renamed(entries), _equal(k, "_n"), "left_semi").withColumn("_i", F.row_number().over(Window.partitionBy(*k).orderBy("_n")) - 1)
     to = _renamed(numbered.select(*k, F.col("_n").alias("_exit"), F.col("_i").alias("_to")))
@@ -231,7 +267,7 @@ def source_line(page: str = "page", block_id: str = "block_id", text: str = "tex
 def analysis_chunks(blocks: DataFrame, outline: DataFrame, cap: int = 10_000) -> DataFrame:
     """Sections packed into parts of at most ``cap`` characters, with ids, pages and source text."""
     placed = assign_sections(blocks, section_boundaries(outline, blocks)).withColumn("line", source_line()).withColumn("size", F.length("line") + 1)
-    packed = pack_sequential(placed, ["doc_id", "section_start"], ["idx"], "size", cap)
+    packed = pack_sequential(written(placed, "placed"), ["doc_id", "section_start"], ["idx"], "size", cap)
     parts = packed.groupBy("doc_id", "section_start", "section_id", "section_title", "pack").agg(
         F.min("idx").alias("first_idx"), F.min_by("page", "idx").alias("start_page"), F.max_by("page", "idx").alias("end_page"), F.sum("size").alias("character_count"), F.array_sort(F.collect_list(F.struct("idx", "line", "block_id"))).alias("lines")
     )

@@ -15,6 +15,7 @@ from quire.operators import responses as rs
 from quire.operators import search as se
 from quire.operators import structure as st
 from quire.plans import adapters as ad
+from quire.shared import written
 from quire.sources import reports, workspace
 from quire.streaming import streams
 
@@ -397,7 +398,7 @@ SELECT doc_id, CAST(sum(plain) AS BIGINT) AS source_characters, CAST(sum(CASE WH
   round(least(1.0, coalesce(sum(CASE WHEN ok THEN character_count - 1 END), 0) / greatest(1, sum(plain))), 6) AS text_coverage, round(coalesce(sum(CASE WHEN ok THEN plain END), 0) / greatest(1, sum(plain)), 6) AS true_coverage, CAST(CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0) THEN length('Node ' || doc_id) + 7 ELSE 0 END AS BIGINT) AS generated_characters, CAST(sum(n_blocks) AS BIGINT) AS cited_blocks FROM c JOIN p USING (doc_id, section_start, part) GROUP BY doc_id""")
 def coverage_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = ad.blocks(spark, sf_dir)
-    chunks = st.analysis_chunks(b, ad.outline(spark, sf_dir))
+    chunks = written(st.analysis_chunks(b, ad.outline(spark, sf_dir)), "chunks")
     idx = st.indexed_blocks(b).select("doc_id", F.col("block_id").alias("first_block"), "idx")
     starts = chunks.select("doc_id", "chunk_id", "section_id", "part", F.element_at("block_ids", 1).alias("first_block")).join(idx, ["doc_id", "first_block"])
     begin = starts.where("part = 1").select("doc_id", "section_id", F.col("idx").alias("section_start"))

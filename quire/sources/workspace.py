@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.structure import pack_sequential
+from quire.shared import written
 from quire.streaming.streams import new_checkpoint
 
 BLOCK = "id string, page int, readingOrder int, blockType string, text string, bbox array<double>, fontSize double, extractionMethod string, confidence double, footnoteMarker string, footnoteRefs array<struct<marker:string,quote:string,startOffset:int,endOffset:int>>"
@@ -266,6 +267,7 @@ def publish_parts(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[s
     for name, (df, order) in tables.items():
         one = byte_parts(df, name, order, target, most)
         parts = one if parts is None else parts.unionByName(one)
+    parts = written(parts, "byte-parts")
     large = parts.where("too_large").groupBy("name").count().collect()
     if large:
         raise ValueError("rows over %d bytes: %s" % (most, ", ".join(f"{r['name']}: {r['count']}" for r in sorted(large))))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from quire import shared
 from quire.operators import annotations as an
 from quire.operators import responses as rs
+from quire.operators import structure as st
+from quire.sources import workspace
 
 
 def test_responses_are_parsed_once_a_row(spark):
@@ -38,3 +40,27 @@ def test_long_quotes_ask_for_few_grams(spark):
         an.written = kept
     assert got == {k: f"b{k % 50:02d}" for k in range(200)}
     assert rows["grams"].count() < sum(len(t) - 3 for t in texts) / 6
+
+
+def test_keys_of_few_rows_take_one_shuffle(spark):
+    """Orders are packed in one pass: no join and one exchange; keys of many rows keep their places beside them."""
+    rows = [(k, i, (i * 37 + k) % 90) for k in range(40) for i in range(25)]
+    d = spark.createDataFrame(rows, "k int, i int, s int")
+    plan = st.pack_sequential(d, ["k"], ["i"], "s", 100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan and "Window" not in plan
+    many = d.unionByName(spark.range(5000).selectExpr("cast(null as int) as k", "cast(id as int) as i", "cast(id % 7 * 20 as int) as s"))
+    got = {(r["k"], r["i"]): r["pack"] for r in st.pack_sequential(many, ["k"], ["i"], "s", 100).collect()}
+    want = {}
+    for k, i, s in sorted([(-1 if r["k"] is None else r["k"], r["i"], r["s"]) for r in many.collect()]):
+        total, pack = (0, 0) if i == 0 else (total, pack)
+        total, pack = (s, pack + 1) if not pack or total + s > 100 else (total + s, pack)
+        want[None if k < 0 else k, i] = pack
+    assert got == want
+
+
+def test_parts_are_made_once(spark, tmp_path):
+    """What is hashed, written and named in the manifest is one table: rows that change from reading to reading stay whole."""
+    d = spark.range(2000).select("id", F.expr("uuid()").alias("t"))
+    workspace.publish_parts(spark, {"t": (d, ["id"])}, str(tmp_path / "p"))
+    back = workspace.read_parts(spark, str(tmp_path / "p"), {"t": d.schema})["t"]
+    assert sorted(r["id"] for r in back.collect()) == list(range(2000))
