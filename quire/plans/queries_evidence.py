@@ -13,6 +13,7 @@ from quire.operators import research as re_
 from quire.operators import search as se
 from quire.operators import structure as st
 from quire.plans import adapters as ad
+from quire.shared import written
 from quire.plans.queries import BLOCKS, DOCS, NODES, SQUEEZE, query
 from quire.sources import reports, workspace
 
@@ -225,8 +226,8 @@ def ocr_page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {OCR_QUALITY}, ok AS (SELECT doc_id, page FROM oq WHERE confidence >= 0.65) SELECT b.doc_id, b.page, b.block_id FROM blocks b LEFT JOIN ok USING (doc_id, page) WHERE ok.doc_id IS NULL UNION ALL SELECT doc_id, page, block_id FROM ocr JOIN ok USING (doc_id, page)")
 def replace_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, pages = _ocr(spark, sf_dir)
-    new = pa.normalize_ocr_blocks(raw, pages)
-    accepted = pa.accept_ocr_pages(pa.ocr_page_quality(new, pages))
+    new = written(pa.normalize_ocr_blocks(raw, pages), "ocr-blocks")
+    accepted = written(pa.accept_ocr_pages(pa.ocr_page_quality(new, pages)).select("doc_id", "page"), "accepted")
     return pa.replace_pages(ad.blocks(spark, sf_dir).drop("block_type", "reading_order", "text"), new.select("doc_id", "page", "block_id"), accepted).select("doc_id", "page", "block_id")
 
 

@@ -64,3 +64,11 @@ def test_parts_are_made_once(spark, tmp_path):
     workspace.publish_parts(spark, {"t": (d, ["id"])}, str(tmp_path / "p"))
     back = workspace.read_parts(spark, str(tmp_path / "p"), {"t": d.schema})["t"]
     assert sorted(r["id"] for r in back.collect()) == list(range(2000))
+
+
+def test_ocr_blocks_are_made_once(spark):
+    from quire.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    plan = QUERIES["replace_pages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") <= 1 and "Window" not in plan
