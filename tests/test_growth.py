@@ -3,6 +3,7 @@
 import random
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from quire import shared
 from quire.operators import annotations as an
@@ -72,3 +73,25 @@ def test_ocr_blocks_are_made_once(spark):
 
     plan = QUERIES["replace_pages"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") <= 1 and "Window" not in plan
+
+
+def test_near_copies_do_not_all_meet(spark, monkeypatch):
+    """In a group of near copies, many of which are too far apart to link, a pair is made about once, not once a list."""
+    from quire.llm import jaccard
+
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = [(c, " ".join(f"e{c}x{k}" if k in at else w for k, w in enumerate(base))) for c in range(150) for at in [set(rng.sample(range(200), 1 + c % 4))]]
+    made, cross = [], jaccard.cross_pairs
+
+    def as_made(*args):
+        with monkeypatch.context() as m:  # what the join itself gives
+            m.setattr(DataFrame, "distinct", lambda df: df)
+            made.append(cross(*args))
+        return made[-1].distinct()
+
+    monkeypatch.setattr(jaccard, "cross_pairs", as_made)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    jaccard.representatives(d, words=5, percent=80).count()
+    (pairs,) = made
+    assert pairs.count() <= 1.5 * pairs.distinct().count()
