@@ -95,3 +95,28 @@ def test_near_copies_do_not_all_meet(spark, monkeypatch):
     jaccard.representatives(d, words=5, percent=80).count()
     (pairs,) = made
     assert pairs.count() <= 1.5 * pairs.distinct().count()
+
+
+def test_near_copies_leave_little_behind(spark, tmp_path, monkeypatch):
+    """Stars are found in one step, shuffles go with the table they made, and tables of pairs and texts when nothing reads them."""
+    import os
+
+    from quire.llm import common, jaccard
+    from quire.llm import components as co
+
+    made, kept = [], co.stored
+    co.stored = lambda df, name: made.append(name) or kept(df, name)
+    try:
+        edges = spark.createDataFrame([(k, 1000 + k % 3) for k in range(50)], "a long, b long")
+        got = {(r["node"], r["component"]) for r in co.components(edges).collect()}
+    finally:
+        co.stored = kept
+    assert got == {(n, k) for k in range(3) for n in [*range(k, 50, 3), 1000 + k]}
+    assert made.count("stars") <= 2
+    monkeypatch.setattr(common, "scratch", lambda spark, name: f"file://{tmp_path}/{name}-{len(os.listdir(tmp_path))}-{os.urandom(4).hex()}")
+    base = [f"w{k}" for k in range(120)]
+    d = spark.createDataFrame([(c, " ".join(base[:c] + [f"e{c}"] + base[c:])) for c in range(40)], "doc_id long, text string")
+    assert jaccard.link(d).select("component_id").distinct().count() == 1
+    names = {f.rsplit("-", 2)[0] for f in os.listdir(tmp_path)}
+    assert "signed" in names and not names & {"needed", "texts", "ends", "near-ends", "hub-pairs", "keys-met-again", "lists", "list-ends"}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
