@@ -68,10 +68,11 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
         c = F.concat(F.lit('"'), F.col("e")) if begins else F.col("e")
         return depth(rest(c)) - F.when((F.col("odd") + begins) % 2 == 0, 1).otherwise(0)
 
-    e = e.withColumn("d0", ways(0)).withColumn("d1", ways(1))
+    # the patterns over texts are looked for once a piece; running sums over a split's pieces need no texts
+    e = written(e.withColumn("d0", ways(0)).withColumn("d1", ways(1)), "pieces")
     before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    e = e.withColumn("q", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
-    within = e.withColumn("in0", F.when(F.col("q") == 0, F.col("d0")).otherwise(F.col("d1"))).withColumn("in1", F.when(F.col("q") == 0, F.col("d1")).otherwise(F.col("d0")))
+    within = e.withColumn("q", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
+    within = within.withColumn("in0", F.when(F.col("q") == 0, F.col("d0")).otherwise(F.col("d1"))).withColumn("in1", F.when(F.col("q") == 0, F.col("d1")).otherwise(F.col("d0")))
     # one row a split from here: what its pieces add, for either way to begin
     splits = within.groupBy("file", "split").agg((F.sum("odd") % 2).alias("odd"), F.sum("in0").alias("in0"), F.sum("in1").alias("in1"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -93,14 +94,16 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
     version = r'"version"\s*:\s*\d+'
     stated = F.when(outside & F.col("e").rlike(version) & (level_at(version) == 1), F.regexp_extract("e", r'"version"\s*:\s*(\d+)', 1))
     p = p.withColumn("opens", name).withColumn("stated", stated).withColumn("ends", (closes & (F.col("end") == 2)).cast("int"))
-    # names and numbers of items run on over splits as depths do
-    parts = p.groupBy("file", "split").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("at"))).alias("opens"), F.sum("ends").alias("ends"))
-    parts = parts.select("file", "split", F.last("opens", ignorenulls=True).over(earlier).alias("was"), F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("had"))
     upto = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    p = p.join(parts, ["file", "split"]).withColumn("name", F.coalesce(F.last("opens", ignorenulls=True).over(upto), "was")).withColumn("ord", F.col("had") + F.coalesce(F.sum("ends").over(before), F.lit(0)))
+    p = p.withColumn("since", F.last("opens", ignorenulls=True).over(upto)).withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # an item's first piece still has what stands before it
     head = F.when(F.col("opens") != "", F.regexp_replace("t", F.concat(F.lit('(?s)^.*?"'), "opens", F.lit(r'"\s*:\s*\[\s*\{')), F.lit("{"))).when(F.col("start") == 2, F.regexp_replace("t", r"^\s*,\s*", "")).otherwise(F.col("t"))
-    pieces = p.where("name <> '' and end >= 2").select("file", "name", "ord", F.struct("split", "at", F.concat(head, F.lit("}")).alias("t"), "ends").alias("x"))
+    p = written(p.select("file", "split", "at", "opens", "stated", "ends", "since", "ended", "end", F.concat(head, F.lit("}")).alias("t")), "placed-pieces")
+    # names and numbers of items run on over splits as depths do
+    parts = p.groupBy("file", "split").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("at"))).alias("opens"), F.sum("ends").alias("ends"))
+    parts = parts.select("file", "split", F.last("opens", ignorenulls=True).over(earlier).alias("was"), F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("had"))
+    p = p.join(parts, ["file", "split"]).withColumn("name", F.coalesce("since", "was")).withColumn("ord", F.col("had") + F.col("ended"))
+    pieces = p.where("name <> '' and end >= 2").select("file", "name", "ord", F.struct("split", "at", "t", "ends").alias("x"))
     whole = pieces.groupBy("file", "name", "ord").agg(F.array_sort(F.collect_list("x")).alias("x")).where(F.exists("x", lambda v: v["ends"] == 1))
     items = whole.select("file", "name", "ord", F.array_join(F.transform("x", lambda v: v["t"]), "").alias("json"))
     return items.unionByName(p.groupBy("file").agg(F.max("stated").alias("json")).select("file", F.lit("version").alias("name"), F.lit(0).cast("long").alias("ord"), "json"))

@@ -144,3 +144,12 @@ def test_runs_are_named_once(spark):
     out = an.longest_common_run(d, "l", "r", "k")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") <= 2
     assert [tuple(r) for r in out.collect()] == [("x", 2, 2, 4)]
+
+
+def test_workspace_texts_are_searched_once(spark, tmp_path):
+    """Pieces of workspace files are looked through once: what puts items together reads what was found."""
+    (tmp_path / "w.json").write_text('{"version":3,"documents":[{"id":"a","title":"}{"},{"id":"b"}]}')
+    items = workspace.workspace_items(spark, str(tmp_path))
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert " text" not in plan and "regexp" not in plan
+    assert sorted(r["json"] for r in items.where("name = 'documents'").collect()) == ['{"id":"a","title":"}{"}', '{"id":"b"}']
