@@ -343,15 +343,14 @@ def filter_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotations of two neighbouring blocks of a page (the last of an odd page alone): some moved to another block, some no longer there."""
-    b = ad.blocks(spark, sf_dir).withColumn("k", F.row_number().over(_page_order()) - 1).withColumn("j", F.expr("k div 2"))
-    first = b.where("k % 2 = 0").select("doc_id", "page", "j", F.col("block_id").alias("b0"), F.col("text").alias("t0"))
-    second = b.where("k % 2 = 1").select("doc_id", "page", "j", F.col("block_id").alias("b1"), F.col("text").alias("t1"))
+    b = ad.blocks(spark, sf_dir).withColumn("k", F.row_number().over(_page_order()) - 1).withColumn("b1", F.lead("block_id").over(_page_order())).withColumn("t1", F.lead("text").over(_page_order()))
+    two = b.where("k % 2 = 0").select("doc_id", "page", F.expr("k div 2").alias("j"), F.col("block_id").alias("b0"), F.col("text").alias("t0"), "b1", "t1")
     seg = lambda where, t: F.struct(where.alias("block_id"), F.lit(0).alias("start_offset"), F.length(t).alias("end_offset"), t.alias("text"))
     turn = (F.col("page") + F.col("j")) % 3
     other = F.when(turn == 2, F.concat(F.lit("\u0001"), "t1")).otherwise(F.col("t1"))
     own = seg(F.col("b0"), F.col("t0"))
     segments = F.when(F.col("b1").isNull(), F.array(own)).otherwise(F.array(own, seg(F.when(turn == 1, F.lit("nowhere")).otherwise(F.col("b1")), other)))
-    return first.join(second, ["doc_id", "page", "j"], "left").select(F.concat_ws("-", _text("doc_id"), _text("page"), _text("j")).alias("annotation_id"), "doc_id", F.col("b0").alias("block_id"), "page", F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), segments.alias("segments"), F.lit("exact").alias("anchor_status"))
+    return two.select(F.concat_ws("-", _text("doc_id"), _text("page"), _text("j")).alias("annotation_id"), "doc_id", F.col("b0").alias("block_id"), "page", F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), segments.alias("segments"), F.lit("exact").alias("anchor_status"))
 
 
 @query(f"""WITH {BLOCKS}, pl AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY reading_order) - 1 AS k FROM blocks), two AS (SELECT a.doc_id, a.page, a.k // 2 AS j, b.block_id AS b1, b.text AS t, CASE WHEN b.block_id IS NULL THEN 3 ELSE (a.page + a.k // 2) % 3 END AS turn FROM pl a LEFT JOIN pl b ON a.doc_id = b.doc_id AND a.page = b.page AND b.k = a.k + 1 WHERE a.k % 2 = 0),

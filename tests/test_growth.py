@@ -153,3 +153,52 @@ def test_workspace_texts_are_searched_once(spark, tmp_path):
     plan = items._jdf.queryExecution().optimizedPlan().toString()
     assert " text" not in plan and "regexp" not in plan
     assert sorted(r["json"] for r in items.where("name = 'documents'").collect()) == ['{"id":"a","title":"}{"}', '{"id":"b"}']
+
+
+SEGMENTS = "array<struct<block_id:string,start_offset:int,end_offset:int,text:string>>"
+
+
+def quoted(spark):
+    """Blocks of four documents and annotations of them: exact, elsewhere in the document, nowhere, of a null document."""
+    rng = random.Random(11)
+    texts = {(d, k): "".join(rng.choice("ab ") for _ in range(rng.randrange(8, 40))) for d in (*range(4), None) for k in range(30)}
+    b = spark.createDataFrame([(d, f"b{k:02d}", k // 8, k, t) for (d, k), t in texts.items()], "doc_id int, block_id string, page int, reading_order int, text string")
+    pieces = [(d, k, texts.get((d, k), "abcdefgh" * 3)[(s := rng.randrange(6)) : s + rng.randrange(12)] + ("#" if rng.random() < 0.1 else "")) for d in (*range(5), None) for k in range(30)]
+    a = [(f"a{i}", d, f"b{rng.choice([k, rng.randrange(35)]):02d}", rng.randrange(5), 7, 9, t) for i, (d, k, t) in enumerate(pieces)]
+    a = spark.createDataFrame(a, "annotation_id string, doc_id int, block_id string, page int, start_offset int, end_offset int, text string").withColumn("anchor_status", F.lit("?"))
+    return a, b
+
+
+def by_index(monkeypatch, find):
+    with monkeypatch.context() as m:
+        m.setattr(an, "SEARCHED", 100)
+        return sorted(map(str, find().collect()))
+
+
+def test_quotes_are_found_beside_their_blocks(spark, monkeypatch):
+    """In documents of common size nothing is written but the (empty) list of larger ones, and blocks and annotations are shuffled once."""
+    a, b = quoted(spark)
+    a = a.withColumn("segments", F.array().cast(SEGMENTS))
+    made = []
+    monkeypatch.setattr(an, "written", lambda df, name: made.append(name) or shared.written(df, name))
+    out = an.recover_anchors(a, b)
+    assert made == ["large-documents"] and out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got = out.collect()
+    assert {r["anchor_status"] for r in got} == {"exact", "recovered", "orphaned"}
+    assert sorted(map(str, got)) == by_index(monkeypatch, lambda: an.recover_anchors(a, b).select(*out.columns)) and "grams" in made
+
+
+def test_segments_are_found_beside_their_blocks(spark, monkeypatch):
+    a, b = quoted(spark)
+    # by the first text both start at its offset or have to be found
+    seg = F.struct("block_id", F.lit(0).alias("start_offset"), F.length("text").alias("end_offset"), "text")
+    a = a.where("text <> ''").groupBy("doc_id", (F.xxhash64("annotation_id") % 40).alias("g")).agg(F.min("annotation_id").alias("annotation_id"), F.min("block_id").alias("block_id"), F.min("page").alias("page"), F.array_sort(F.collect_list(seg)).cast(SEGMENTS).alias("segments")).drop("g")
+    a = shared.written(a.select("*", F.lit(0).alias("start_offset"), F.lit(0).alias("end_offset"), F.lit("?").alias("anchor_status")), "segmented")
+    made = []
+    monkeypatch.setattr(an, "written", lambda df, name: made.append(name) or shared.written(df, name))
+    find = lambda: an.recover_segment_anchors(a, b).select("annotation_id", "doc_id", "block_id", "page", "start_offset", "segments", "anchor_status")
+    out = find()
+    assert made == ["large-documents"] and out._jdf.queryExecution().executedPlan().toString().count("Exchange") <= 2
+    got = out.collect()
+    assert {r["anchor_status"] for r in got} >= {"recovered", "orphaned"}
+    assert sorted(map(str, got)) == by_index(monkeypatch, find)
