@@ -202,3 +202,46 @@ def test_segments_are_found_beside_their_blocks(spark, monkeypatch):
     got = out.collect()
     assert {r["anchor_status"] for r in got} >= {"recovered", "orphaned"}
     assert sorted(map(str, got)) == by_index(monkeypatch, find)
+
+
+def test_synthesis_shuffles_texts_once(spark, monkeypatch):
+    """Candidates are dealt to their documents once, whatever names them: no window, no join by name, and no table of them."""
+    from quire.plans import queries_responses as qr
+    from tests.conftest import SF
+
+    made = []
+    monkeypatch.setattr(shared, "stored", lambda df, name, kept=shared.stored: made.append(name) or kept(df, name))
+    monkeypatch.setattr(qr, "stored", shared.stored)
+    for query in (qr.synthesize_issues, qr.synthesize_nodes, qr.case_summary):
+        made.clear()
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and not [x for x in plan.splitlines() if "Join" in x and "candidate_id" in x]
+        assert sorted(made) == ["chunk-ids", "chunks", "responses"]
+
+
+def test_a_final_row_takes_what_its_candidates_say(spark):
+    """Names in their order, unknown ones left out; a document without final rows has its first candidates; ids that exist, once."""
+    schema = "title string, role string, attribution string, summary string, reasons array<string>, sourceBlockIds array<string>, candidateIds array<string>, confidence double"
+    node = lambda n, ids, names=None, title=None: (title, None, None, f"s{n}", [f"r{n}"], ids, names, None)
+    rows = [(1, "c2", "map", ([node(1, ["b2", "no"])],)), (1, "c1", "map", ([node(2, ["b1"]), node(3, ["b1", "b0"])],)), (2, "c1", "map", ([node(4, ["b1"])] * 9,)), (2, "lost", "map", ([node(5, ["b1"])],)), (None, "c1", "map", ([node(6, ["b1"])],)), (1, "reduce", "reduce", ([node(7, ["b3", "b2"], ["c1-node-2", "none", "c2-node-1"], "T")],))]
+    parsed = spark.createDataFrame(rows, f"doc_id int, chunk_id string, stage string, parsed struct<nodes:array<{rs.struct_of(schema)}>>")
+    chunks = spark.createDataFrame([(d, c, o, ids) for d in (1, 2, None) for c, o, ids in (("c1", 0, ["b0", "b1"]), ("c2", 1, ["b2", "b3"]))], "doc_id int, chunk_id string, ord int, block_ids array<string>")
+    b = spark.createDataFrame([(d, f"b{k}", k, f"t{k}") for d in (1, 2, None) for k in range(4)], "doc_id int, block_id string, page int, text string")
+    c = rs.normalize_map_nodes(parsed.where("stage = 'map'"), chunks)
+    assert sorted((r["doc_id"] or 0, r["candidate_id"], r["chunk_ord"], r["block_ids"]) for r in c.collect() if r["doc_id"] != 2) == [(0, "c1-node-1", None, []), (1, "c1-node-1", 0, ["b1"]), (1, "c1-node-2", 0, ["b1", "b0"]), (1, "c2-node-1", 1, ["b2"])]
+    out = {(r["doc_id"], r["ord"]): r for r in rs.synthesize_nodes(parsed, c, b).collect()}
+    assert sorted((k[0] or 0, k[1]) for k in out) == [(0, 0), (1, 0)] + [(2, k) for k in range(8)]
+    one = out[1, 0]
+    assert (one["title"], one["summary"], one["reasons"]) == ("T", "s7", ["r7"]) and [a["block_id"] for a in one["source_anchors"]] == ["b1", "b0", "b2", "b3"] and one["source_anchors"][1]["text"] == "t0"
+    # a place that is not known comes first
+    assert [out[2, k]["summary"] for k in range(8)] == ["s5"] + ["s4"] * 7 and out[2, 0]["source_type"] == "ai_inference" and out[None, 0]["source_anchors"] == []
+
+
+def test_ids_of_responses_are_not_broadcast(spark):
+    """Responses of ids take so little room that a broadcast would look cheap at any size."""
+    from quire.plans.queries import QUERIES
+    from tests.conftest import SF
+
+    for name in ("full_text_issues", "full_text_sections", "full_text_nodes"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Broadcast") == 0, name
