@@ -13,6 +13,7 @@ from quire.operators import search as se
 from quire.operators import structure as st
 from quire.plans import adapters as ad
 from quire.plans.queries import BLOCKS, query
+from quire.shared import discard
 from quire.sources import workspace
 from quire.streaming import streams
 
@@ -117,5 +118,6 @@ def read_workspace(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = streams.new_checkpoint(spark, "workspaces")
     workspace.write_workspaces({"documents": (docs, "doc_id"), "jobs": (jobs, "event_id")}, path, 8 + docs.count() // 100_000)
     t = workspace.read_workspace(spark, f"{path}/*")
+    discard(spark, path)  # tables are read from what read_workspace wrote
     blocks = t["blocks"].join(t["documents"].select("doc_id", "project_id"), "doc_id").select(F.lit("block").alias("kind"), "doc_id", F.col("block_id").alias("id"), F.col("page").alias("n"), "text", F.col("project_id").alias("label"))
     return blocks.unionByName(t["jobs"].select(F.lit("job").alias("kind"), "doc_id", F.col("job_id").alias("id"), F.col("progress").alias("n"), F.lit(None).cast("string").alias("text"), F.col("stage").alias("label")))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.operators.structure import pack_sequential
-from quire.shared import written
+from quire.shared import discard, shuffles_dropped, stored, written
 from quire.streaming.streams import new_checkpoint
 
 BLOCK = "id string, page int, readingOrder int, blockType string, text string, bbox array<double>, fontSize double, extractionMethod string, confidence double, footnoteMarker string, footnoteRefs array<struct<marker:string,quote:string,startOffset:int,endOffset:int>>"
@@ -58,9 +58,15 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
     pieces, so a task holds one of them at a time, not a file. The version is an item of its own. A file whose braces and
     brackets do not meet is an error; an empty file has no items.
     """
+    return _items(_placed_pieces(spark, path)[0])
+
+
+def _placed_pieces(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """The pieces of files with what they open and end, written to the shared folder, and where."""
     raw = spark.read.option("lineSep", "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("t"))
     # no brace comes right after an escape, so escapes end inside their piece; what is left of quotes then begins or ends strings
-    e = raw.withColumn("e", F.regexp_replace("t", r"(?s)\\.", "")).withColumn("odd", (F.length("e") - F.length(F.replace("e", F.lit('"')))) % 2)
+    unescaped = F.explode(F.array(F.regexp_replace("t", r"(?s)\\.", ""))).alias("e")  # of one row, so that it is done once
+    e = raw.select("*", unescaped).withColumn("odd", (F.length("e") - F.length(F.replace("e", F.lit('"')))) % 2)
     rest = lambda c: F.regexp_replace(c, r'"[^"]*("|$)', "")
     depth = lambda c: F.length(F.regexp_replace(c, r"[^\[{]", "")) - F.length(F.regexp_replace(c, r"[^\]}]", ""))
     # a piece ends with a brace, which counts unless it is in a string: both ways, as what begins the piece is not known yet
@@ -68,8 +74,8 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
         c = F.concat(F.lit('"'), F.col("e")) if begins else F.col("e")
         return depth(rest(c)) - F.when((F.col("odd") + begins) % 2 == 0, 1).otherwise(0)
 
-    # the patterns over texts are looked for once a piece; running sums over a split's pieces need no texts
-    e = written(e.withColumn("d0", ways(0)).withColumn("d1", ways(1)), "pieces")
+    # the patterns over texts are looked for once a piece; texts without escapes are made again, not kept beside the others
+    e, pieces_at = stored(e.withColumn("d0", ways(0)).withColumn("d1", ways(1)).drop("e"), "pieces")
     before = Window.partitionBy("file", "split").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     within = e.withColumn("q", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2)
     within = within.withColumn("in0", F.when(F.col("q") == 0, F.col("d0")).otherwise(F.col("d1"))).withColumn("in1", F.when(F.col("q") == 0, F.col("d1")).otherwise(F.col("d0")))
@@ -84,6 +90,7 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
     own = F.when(F.col("begins") == 0, F.col("in0")).otherwise(F.col("in1"))
     p = placed.withColumn("adds", own).withColumn("inside", (F.col("q") + F.col("begins")) % 2)
     p = p.withColumn("start", F.col("level") + F.coalesce(F.sum("adds").over(before), F.lit(0))).withColumn("end", F.col("start") + F.col("adds"))
+    p = p.select("*", unescaped)
     closes = (F.col("inside") + F.col("odd")) % 2 == 0
     outside = F.col("inside") == 0
     level_at = lambda pattern: F.col("start") + depth(rest(F.left("e", F.position(F.regexp_extract("e", pattern, 0), F.col("e")) - 1)))
@@ -98,7 +105,14 @@ def workspace_items(spark: SparkSession, path: str) -> DataFrame:
     p = p.withColumn("since", F.last("opens", ignorenulls=True).over(upto)).withColumn("ended", F.coalesce(F.sum("ends").over(before), F.lit(0)))
     # an item's first piece still has what stands before it
     head = F.when(F.col("opens") != "", F.regexp_replace("t", F.concat(F.lit('(?s)^.*?"'), "opens", F.lit(r'"\s*:\s*\[\s*\{')), F.lit("{"))).when(F.col("start") == 2, F.regexp_replace("t", r"^\s*,\s*", "")).otherwise(F.col("t"))
-    p = written(p.select("file", "split", "at", "opens", "stated", "ends", "since", "ended", "end", F.concat(head, F.lit("}")).alias("t")), "placed-pieces")
+    placed = stored(p.select("file", "split", "at", "opens", "stated", "ends", "since", "ended", "end", F.concat(head, F.lit("}")).alias("t")), "placed-pieces")
+    discard(spark, pieces_at)
+    return placed
+
+
+def _items(p: DataFrame) -> DataFrame:
+    """The objects that placed pieces make up."""
+    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     # names and numbers of items run on over splits as depths do
     parts = p.groupBy("file", "split").agg(F.max_by("opens", F.when(F.col("opens").isNotNull(), F.col("at"))).alias("opens"), F.sum("ends").alias("ends"))
     parts = parts.select("file", "split", F.last("opens", ignorenulls=True).over(earlier).alias("was"), F.coalesce(F.sum("ends").over(earlier), F.lit(0)).alias("had"))
@@ -115,7 +129,10 @@ def read_workspace(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     The files are taken apart once, when this is called; the tables are read from what it writes to the shared folder.
     """
     at = new_checkpoint(spark, "items")
-    workspace_items(spark, path).where(F.col("name").isin("version", *ARRAYS)).write.partitionBy("name").parquet(at)
+    placed, placed_at = _placed_pieces(spark, path)
+    with shuffles_dropped(spark):
+        _items(placed).where(F.col("name").isin("version", *ARRAYS)).write.option("compression", "zstd").partitionBy("name").parquet(at)
+    discard(spark, placed_at)
     items = spark.read.schema("file string, ord long, json string, name string").parquet(at)
 
     def array(name: str) -> DataFrame:
@@ -153,7 +170,9 @@ def write_workspaces(tables: dict[str, tuple[DataFrame, str]], path: str, files:
     opening = F.concat(F.when(before.isNull(), '{"version":3,').otherwise("],"), F.lit('"'), "name", F.lit('":['))
     line = F.concat(F.when(before == F.col("i"), ",").otherwise(opening), "json", F.when(after.isNull(), "]}").otherwise(""))
     numbered = rows.select("file", "i", F.row_number().over(w).alias("n"), line.alias("value"))
-    numbered.repartition("file").sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
+    # a file's rows are in one task since they were numbered
+    with shuffles_dropped(df.sparkSession):
+        numbered.sortWithinPartitions("file", "n").select("file", "value").write.partitionBy("file").text(path)
 
 
 def title_of(filename: Column) -> Column:

@@ -245,3 +245,18 @@ def test_ids_of_responses_are_not_broadcast(spark):
     for name in ("full_text_issues", "full_text_sections", "full_text_nodes"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("Broadcast") == 0, name
+
+
+def test_workspaces_leave_only_their_items(spark, tmp_path, monkeypatch):
+    """Pieces go when they are placed, placed ones when items are whole; files are written after one shuffle."""
+    import os
+
+    at = lambda s, name: f"file://{tmp_path}/{name}-{len(os.listdir(tmp_path))}"
+    monkeypatch.setattr(shared, "new_checkpoint", at)
+    monkeypatch.setattr(workspace, "new_checkpoint", at)
+    d = spark.range(300).selectExpr("id", "to_json(named_struct('id', cast(id AS string), 'title', concat('}{\"', repeat('x', cast(id % 50 AS int))))) AS json")
+    workspace.write_workspaces({"documents": (d, "id"), "jobs": (d, "id")}, str(tmp_path / "files"), 3)
+    t = workspace.read_workspace(spark, str(tmp_path / "files" / "*"))
+    assert {f.split("-")[0] for f in os.listdir(tmp_path)} == {"files", "items"}
+    assert {r["doc_id"]: len(r["title"]) for r in t["documents"].collect()} == {str(k): 3 + k % 50 for k in range(300)} and t["jobs"].count() == 300
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
